@@ -41,6 +41,11 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with value evaluated once: a lambda's body would evaluate what it captures for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hash60(key: Column) -> Column:
     """60 bits of md5 of a string as a long; the same in any engine and any run."""
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")

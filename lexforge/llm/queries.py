@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, token_counts
+from . import decontaminate, mix, quality, sharding, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,18 +18,38 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_source_mix(spark, sf_dir):
+    return mix.report(_read(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark, sf_dir):
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op7_sharding(spark, sf_dir):
+    return sharding.report(_read(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark, sf_dir):
+    found = quality.report(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_decontamination(spark, sf_dir):
     found = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_token_counts, op10_decontamination)}
+    return {f.__name__: f for f in (op1_source_mix, op4_token_counts, op7_sharding, op8_quality_rules, op10_decontamination)}
+
+
+_SIZED = r"sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_source_mix": f"WITH {_SIZED}{mix.SQL}SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE (times + CAST(extra AS BIGINT)) * size END AS taken FROM x{mix.FILLS}",
+        "op7_sharding": f"""WITH docs AS (SELECT doc_id, text FROM documents), {sharding.SQL}
+SELECT doc_id, n_bytes, substr(lpad(bin(h), 60, '0'), 1, x.d) AS shard, CAST(x.d AS INTEGER) AS depth, x.s AS shard_bytes, x.s > {sharding.LIMIT} AS over_limit FROM f""",
+    }
