@@ -144,10 +144,11 @@ def _judged(docs: DataFrame, kept: Column, text: str, lang: str) -> DataFrame:
     by_class = distance(F.col("classes"), F.col("ref_classes"))
     by_common = distance(F.col("common"), F.col("ref_common"))
     enough = (F.col("n_words") >= MIN_DIVERGENT) & (_total(F.col("ref_common")) >= MIN_REFERENCE)
-    rows = rows.withColumn("class_distance", F.when(enough, by_class)).withColumn("common_distance", F.when(enough, by_common))
+    # a row number keeps filters above this projection: pushed below it, they would compute everything once more
+    rows = rows.select("*", F.when(enough, by_class).alias("class_distance"), F.when(enough, by_common).alias("common_distance"), (F.monotonically_increasing_id() >= 0).alias("here"))
     far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS + NOISE / F.col("n_words")) & (F.coalesce("common_distance", F.lit(0.0)) > MAX_COMMON)
     far = F.coalesce(far, F.lit(False))
-    return rows.withColumn("verdict", ~F.col("base_failed") & ~far)
+    return rows.withColumn("verdict", F.col("here") & ~F.col("base_failed") & ~far)
 
 
 def report(docs: DataFrame, *, doc_id="doc_id", text="text", lang="lang") -> DataFrame:
