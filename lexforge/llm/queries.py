@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, mix, quality, sharding, token_counts
+from . import decontaminate, mix, quality, repeats, sharding, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,13 +36,18 @@ def op8_quality_rules(spark, sf_dir):
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_repeated_substrings(spark, sf_dir):
+    found = repeats.repeats(_read(spark, sf_dir, "documents"))
+    return found.select(F.col("row").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_decontamination(spark, sf_dir):
     found = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mix, op4_token_counts, op7_sharding, op8_quality_rules, op10_decontamination)}
+    return {f.__name__: f for f in (op1_source_mix, op4_token_counts, op7_sharding, op8_quality_rules, op9_repeated_substrings, op10_decontamination)}
 
 
 _SIZED = r"sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),"
