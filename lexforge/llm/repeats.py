@@ -11,11 +11,13 @@ is known by its trigger's hash, its extent around the trigger and a fingerprint
 Ordering. The phrases, sorted by trigger and fingerprint and then by corpus position, play the part of the suffix
 array of dictionary and parse: only equality and the earliest occurrence matter, so fingerprints may stand for
 lexicographic ranks. Of equal phrases, all but the first are repeats as a whole. Phrases that share a trigger
-but differ meet at the rims of longer repeats: their windows are cut to single windows and sorted the same way.
+but differ meet at the rims of longer repeats: they are cut into quarters by distance from the trigger, quarters
+whose common bytes stand nowhere else are dropped, and the single windows of the others are sorted the same way.
 
 Scale. Equal phrases are first resolved inside each block of texts that a task holds, so a passage that stands in a
 third of all documents is a few rows of each task when it is shuffled. What is shuffled is one row per phrase
-(about 1 for 35 bytes), and one row per window at the rims. Sorted rows stream through a task; nothing is gathered.
+(about 1 for 35 bytes), one row per window at the rims, and the compressed texts, twice. Sorted rows stream through
+a task; nothing is gathered but a document's own places.
 Fingerprints have 64 bits under a 64-bit trigger hash.
 
 Null and empty texts have no bytes. Documents with equal ids are ordered by their texts, null ids come first.
@@ -35,7 +37,7 @@ from .common import raw, written
 
 WIDTH, GRAM = 100, 32
 #: Bytes of text that are parsed at a time.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 _POS = np.uint64((1 << 24) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -118,9 +120,13 @@ def _blocks(batches, block: int):
 
 
 #: place: offset of the trigger, how far before it the first and the last window start, and whether the row is known
-#: to be a repeat.
-_ROWS = pa.schema([("key", pa.int64()), ("print", pa.int64()), ("id", pa.int64()), ("twin", pa.int64()), ("place", pa.int64())])
-ROWS = "key long, print long, id long, twin long, place long"
+#: to be a repeat. twin tells documents with equal ids apart and is there only if there are any.
+def _schema(twin: bool, *more) -> pa.Schema:
+    return pa.schema([("key", pa.int64()), ("print", pa.int64()), ("id", pa.int64()), *[("twin", pa.int64())] * twin, ("place", pa.int64()), *more])
+
+
+def _sql(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'binary'}" for f in schema)
 
 
 def _place(at, left, right, done):
@@ -143,19 +149,26 @@ def _again(key, print_, order, at):
     return out
 
 
-def _rows(part, block: Block, t, a, first, last, key, prints) -> pa.RecordBatch:
+def _column(part, name):
+    i = part.schema.get_field_index(name)
+    return part.column(i).to_numpy(zero_copy_only=False) if i >= 0 else None
+
+
+def _rows(part, t, at, left, right, key, prints) -> pa.RecordBatch:
     """One row per phrase; those with an equal one before them in the block get a key of their own and go anywhere."""
-    ids = part.column("id").to_numpy(zero_copy_only=False)
-    twins = part.column("twin").to_numpy(zero_copy_only=False)
-    idx = np.lexsort((twins, ids))
+    ids, twins = _column(part, "id"), _column(part, "twin")
+    same = twins if twins is not None else np.zeros(len(ids), np.int64)
+    idx = np.lexsort((same, ids))
     order = np.empty(len(ids), np.int64)
-    order[idx] = np.cumsum(np.concatenate([[0], (ids[idx][1:] != ids[idx][:-1]) | (twins[idx][1:] != twins[idx][:-1])]))
-    at = a - block.starts[t]
+    order[idx] = np.cumsum(np.concatenate([[0], (ids[idx][1:] != ids[idx][:-1]) | (same[idx][1:] != same[idx][:-1])]))
     done = _again(key, prints, order[t], at)
     alone = _mixed(ids[t].astype(np.uint64) * _BASE + at.astype(np.uint64))
     key = np.where(done, alone, key)
-    columns = (key.view(np.int64), prints.view(np.int64), ids[t], twins[t], _place(at, a - first, a - last, done))
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_ROWS)
+    columns = {"key": key.view(np.int64), "print": prints.view(np.int64), "id": ids[t], "place": _place(at, left, right, done)}
+    schema = _schema(twins is not None)
+    if twins is not None:
+        columns["twin"] = twins[t]
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], pa.int64()) for f in schema], schema=schema)
 
 
 def _parser(width: int, gram: int, size: int):
@@ -165,25 +178,72 @@ def _parser(width: int, gram: int, size: int):
             t, a, first, last, key = b.phrases(width, gram)
             if len(t):
                 shape = ((a - first) * 256 + (a - last)).astype(np.uint64)
-                yield _rows(part, b, t, a, first, last, key, _mixed(b.hashes(first, last + width) ^ (shape * _BASE)))
+                yield _rows(part, t, a - b.starts[t], a - first, a - last, key, _mixed(b.hashes(first, last + width) ^ (shape * _BASE)))
+
+    return run
+
+
+def _packer(batches):
+    """Texts compressed, for a shuffle."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        i = batch.schema.get_field_index("t")
+        yield batch.set_column(i, pa.field("t", pa.binary()), pa.array([pack(t or b"") for t in raw(batch.column(i))], pa.binary()))
+
+
+def _unpacked(batch) -> list[bytes]:
+    import zstandard
+
+    return list(map(zstandard.ZstdDecompressor().decompress, raw(batch.column("t"))))
+
+
+def _cutter(width: int, step: int, twin: bool):
+    """The undecided phrases in quarters, of ``step`` window starts by their distance from the trigger: the bytes that
+    all windows of such a quarter have in common are the key, and the bytes of all of them come along."""
+    schema = _schema(twin, ("bytes", pa.binary()))
+
+    def run(batches):
+        for batch in batches:
+            out = {f.name: [] for f in schema}
+            ids, twins, lists = _column(batch, "id"), _column(batch, "twin"), batch.column("places").to_pylist()
+            for i, (data, places) in enumerate(zip(_unpacked(batch), lists, strict=True)):
+                b, place = Block([data]), np.unique(np.array(places, np.int64))
+                lo, hi = _extent(place)
+                a = place >> 17
+                for j in range(int((a - lo).max()) // step + 1):
+                    first, last = np.maximum(lo, a - step * j - step + 1), np.minimum(hi, a - step * j)
+                    some = np.flatnonzero(first <= last)
+                    core = a[some] - step * j
+                    keys = _mixed(b.hashes(core, core + width - step + 1) ^ (np.uint64(j) * _BASE)).view(np.int64)
+                    out["key"].append(keys)
+                    out["print"].append(np.zeros(len(some), np.int64))
+                    out["id"].append(np.full(len(some), ids[i]))
+                    if twin:
+                        out["twin"].append(np.full(len(some), twins[i]))
+                    out["place"].append(first[some])
+                    out["bytes"] += [data[x:y] for x, y in zip(first[some].tolist(), (last[some] + width).tolist(), strict=True)]
+            if out["bytes"]:
+                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) if f.name == "bytes" else pa.array(np.concatenate(out[f.name]), f.type) for f in schema], schema=schema)
 
     return run
 
 
-def _cutter(width: int, size: int):
-    """The windows of the undecided phrases, as phrases of one window each."""
+def _windows(width: int):
+    """The windows of the quarters, as phrases of one window each."""
 
     def run(batches):
-        for part, texts in _blocks(batches, size):
-            b = Block(texts)
-            places = part.column("places").combine_chunks() if isinstance(part.column("places"), pa.ChunkedArray) else part.column("places")
-            t = np.repeat(np.arange(part.num_rows), np.diff(places.offsets.to_numpy()))
-            lo, hi = _extent(places.flatten().to_numpy(zero_copy_only=False))
-            n = hi - lo + 1
-            of = np.repeat(t, n)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n) + b.starts[of]
-            if len(of):
-                yield _rows(part, b, of, at, at, at, b.hashes(at, at + width), np.zeros(len(of), np.uint64))
+        for part in batches:
+            if not part.num_rows:
+                continue
+            b = Block(raw(part.column("bytes")))
+            n = b.sizes - width + 1
+            of = np.repeat(np.arange(len(n)), n)
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = b.starts[of] + nth
+            none = np.zeros(len(of), np.int64)
+            yield _rows(part, of, _column(part, "place")[of] + nth, none, none, b.hashes(at, at + width), none.astype(np.uint64))
 
     return run
 
@@ -194,8 +254,7 @@ def _pruner(width: int):
     def run(batches):
         for batch in batches:
             out = []
-            for data, places in zip(raw(batch.column("t")), batch.column("places").to_pylist(), strict=True):
-                data = data or b""
+            for data, places in zip(_unpacked(batch), batch.column("places").to_pylist(), strict=True):
                 starts, ends = spans(places or [], width)
                 pieces, at = [], 0
                 for lo, hi in zip(starts, ends, strict=True):
@@ -221,14 +280,14 @@ def spans(places, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], hi[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(lo) - 1]])]
 
 
-def _resolved(rows: DataFrame) -> DataFrame:
+def _resolved(rows: DataFrame, ids: list[str]) -> DataFrame:
     """rows with repeat (an equal phrase stands before it) and open (first of its kind, but not its trigger's only)."""
-    kind = Window.partitionBy("key", "print").orderBy("id", "twin", "place")
+    kind = Window.partitionBy("key", "print").orderBy(*ids, "place")
     trigger = Window.partitionBy("key")
     rows = rows.repartition("key").withColumn("rank", F.rank().over(kind))
     rows = rows.withColumn("least", F.min("print").over(trigger)).withColumn("most", F.max("print").over(trigger))
     repeat = (F.col("rank") > 1) | (F.col("place").bitwiseAND(F.lit(1)) == 1)
-    return rows.select("id", "twin", "place", repeat.alias("repeat"), (~repeat & (F.col("least") != F.col("most"))).alias("open")).where("repeat or open")
+    return rows.select(*ids, "place", repeat.alias("repeat"), (~repeat & (F.col("least") != F.col("most"))).alias("open")).where("repeat or open")
 
 
 def repeats(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = WIDTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
@@ -236,15 +295,30 @@ def repeats(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = WIDTH
     removed runs of bytes."""
     null_id = -(1 << 63)
     rows = docs.select(F.col(doc_id).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(null_id)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    twice = not rows.groupBy("id").count().where("count > 1").isEmpty()
-    rows = rows.withColumn("twin", F.xxhash64("t") if twice else F.lit(0).cast("long"))
-    slim = rows.select("id", "twin", "t")
-    found = written(_resolved(slim.mapInArrow(_parser(width, gram, block), ROWS)), "repeats-phrases")
-    by = lambda df: df.groupBy("id", "twin").agg(F.collect_list("place").alias("places"))
-    rims = by(found.where("open"))
-    cut = slim.join(rims.withColumnRenamed("id", "i").withColumnRenamed("twin", "w"), [F.col("id") == F.col("i"), F.col("twin") == F.col("w")]).select("id", "twin", "t", "places")
-    windows = written(_resolved(cut.mapInArrow(_cutter(width, block), ROWS)).where("repeat"), "repeats-windows")
-    places = by(found.where("repeat").select("id", "twin", "place").unionByName(windows.select("id", "twin", "place")))
-    whole = rows.join(places.withColumnRenamed("id", "i").withColumnRenamed("twin", "w"), [F.col("id") == F.col("i"), F.col("twin") == F.col("w")], "left").select("row", "t", "places")
+    twin = not rows.groupBy("id").count().where("count > 1").isEmpty()
+    ids = ["id", "twin"] if twin else ["id"]
+    if twin:
+        rows = rows.withColumn("twin", F.xxhash64("t"))
+    slim, plain = rows.select(*ids, "t"), _sql(_schema(twin))
     kind = docs.schema[doc_id].dataType.simpleString()
+    head = ", ".join(f"{c} long" for c in ids)
+
+    def by_document(places: DataFrame) -> DataFrame:
+        return places.groupBy(*[F.col(c).alias(f"of_{c}") for c in ids]).agg(F.collect_list("place").alias("places"))
+
+    def joined(texts: DataFrame, places: DataFrame, how: str) -> DataFrame:
+        return texts.join(by_document(places), [F.col(c) == F.col(f"of_{c}") for c in ids], how)
+
+    found = written(_resolved(slim.mapInArrow(_parser(width, gram, block), plain), ids), "repeats-phrases")
+    packed = slim.mapInArrow(_packer, f"{head}, t binary")
+    step = max(1, (width - gram + 4) // 4)
+    cut = joined(packed, found.where("open"), "inner").select(*ids, "t", "places").mapInArrow(_cutter(width, step, twin), _sql(_schema(twin, ("bytes", pa.binary()))))
+    core = Window.partitionBy("key")
+    cut = cut.repartition("key").withColumn("spot", F.xxhash64(*ids, "place"))
+    cut = cut.withColumn("least", F.min("spot").over(core)).withColumn("most", F.max("spot").over(core)).where("least != most")
+    windows = cut.select(*ids, "place", "bytes").mapInArrow(_windows(width), plain)
+    more = written(_resolved(windows, ids).where("repeat"), "repeats-windows")
+    every = found.where("repeat").select(*ids, "place").unionByName(more.select(*ids, "place"))
+    texts = rows.select("row", *ids, "t").mapInArrow(_packer, f"row {kind}, {head}, t binary")
+    whole = joined(texts, every, "left").select("row", "t", "places")
     return whole.mapInArrow(_pruner(width), f"row {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<int>, ends array<int>")
