@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mix, quality, repeats, sharding, token_counts
+from . import decontaminate, mix, ngram_jaccard, quality, repeats, sharding, token_counts
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_source_mix(spark, sf_dir):
     return mix.report(_read(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard(spark, sf_dir):
+    return ngram_jaccard.report(_read(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op4_token_counts(spark, sf_dir):
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -47,7 +51,7 @@ def op10_decontamination(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mix, op4_token_counts, op7_sharding, op8_quality_rules, op9_repeated_substrings, op10_decontamination)}
+    return {f.__name__: f for f in (op1_source_mix, op3_ngram_jaccard, op4_token_counts, op7_sharding, op8_quality_rules, op9_repeated_substrings, op10_decontamination)}
 
 
 _SIZED = r"sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),"
