@@ -1,0 +1,52 @@
+from collections import Counter
+
+import duckdb
+
+import corpus_pipeline
+from lexforge.llm import sharding
+from lexforge.llm.queries import _SIZED, mix
+from tests.llm import test_decontaminate, test_ngram_jaccard, test_quality
+
+
+def test_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    good = {x[0] for x in test_quality.expected([(r.doc_id, r.text, r.lang) for r in rows.values()]) if x[-1]}
+    groups = test_ngram_jaccard.brute([(d, rows[d].text) for d in sorted(good)], 5, 80)
+    once = {d for d, _, c in groups if d == c}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    short = [(d, rows[d].text) for d in once]
+    from lexforge.llm import decontaminate as op
+
+    trie = op.automaton([(str(i), (t or "").encode()) for i, t in items])
+    clean = set()
+    for d, t in short:
+        ws = op.normalised(t.encode()).split()
+        ranges, _ = op.scan(trie, ws)
+        n = int(op.hits(ranges, len(ws)).sum()) if ranges else 0
+        if not (n and 20 * n >= len(ws)):
+            clean.add(d)
+    c = duckdb.connect()
+    documents = docs.where(docs.doc_id.isin(sorted(clean))).toPandas()  # noqa: F841
+    c.sql("CREATE TABLE documents AS SELECT * FROM documents")
+    want = {r[0]: r[1] for r in c.sql(f"WITH {_SIZED}{mix.SQL}SELECT doc_id, times + CAST(extra AS BIGINT) FROM x{mix.FILLS} WHERE size > 0").fetchall()}
+    got = corpus_pipeline.run(spark, sf)
+    assert got.columns == [*docs.columns, "shard"]
+    out = got.collect()
+    assert Counter(r.doc_id for r in out) == Counter({d: n for d, n in want.items() if n})
+    by = Counter()
+    for r in out:
+        by[r.shard] += len(r.text.encode())
+        assert tuple(r)[:-1] == tuple(rows[r.doc_id])
+    assert all(size <= sharding.LIMIT for size in by.values())
+    assert test_decontaminate
+
+
+def test_stages():
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "source_mix", "sharding"]
+
+
+def test_empty_tables(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf).count() == 0
