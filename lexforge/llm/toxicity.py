@@ -34,7 +34,7 @@ from .common import bind, hash60, raw, words
 from .quality import windows
 
 MAX_TRAIN, MAX_TOKENS = 100_000, 50_000
-#: Strength of the prior in tokens, significance in standard deviations, lengths of stems, chance of a random segment.
+#: Strength of the prior in tokens (a hundredth of all at most), significance in standard deviations, lengths of stems, chance of a random segment.
 PRIOR, SIGNIFICANT, STEMS, CHANCE = 2000.0, 3.5, (5, 4), 0.05
 THRESHOLD = 0.7
 _K = 0.1
@@ -146,9 +146,10 @@ def _scores(rows, toxic: float, other: float) -> dict[bytes, float]:
     """Log-odds with a Dirichlet prior of (token, toxic, other) rows; only significant ones."""
     out = {}
     every = toxic + other
+    strength = min(PRIOR, every / 100)
     for token, y, n in rows:
-        prior = 0.5 + PRIOR * (y + n) / every
-        odds = lambda k, total: math.log((k + prior) / (total + PRIOR - k - prior))
+        prior = 0.5 + strength * (y + n) / every
+        odds = lambda k, total: math.log((k + prior) / (total + strength - k - prior))
         delta = odds(y, toxic) - odds(n, other)
         if delta / math.sqrt(1 / (y + prior) + 1 / (n + prior)) > SIGNIFICANT:
             out[bytes(token)] = delta
