@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mix, ngram_jaccard, quality, repeats, sharding, token_counts, toxicity
+from . import decontaminate, mix, ngram_jaccard, quality, repeats, sharding, token_counts, token_store, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op4_token_counts(spark, sf_dir):
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op5_token_store(spark, sf_dir):
+    path = token_store.write(_read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+    return token_store.digest(spark, path)
+
+
 def op6_toxicity(spark, sf_dir):
     found = toxicity.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
@@ -56,7 +61,7 @@ def op10_decontamination(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mix, op3_ngram_jaccard, op4_token_counts, op6_toxicity, op7_sharding, op8_quality_rules, op9_repeated_substrings, op10_decontamination)}
+    return {f.__name__: f for f in (op1_source_mix, op3_ngram_jaccard, op4_token_counts, op5_token_store, op6_toxicity, op7_sharding, op8_quality_rules, op9_repeated_substrings, op10_decontamination)}
 
 
 _SIZED = r"sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),"
