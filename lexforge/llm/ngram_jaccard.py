@@ -338,10 +338,11 @@ def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 5, perce
     met = keys.repartition("key").withColumn("least", F.min("node").over(same)).withColumn("most", F.max("node").over(same))
     rows = written(met.where("least != most").select("key", "node", "need").distinct(), "jaccard-keys")
     for _ in range(2):  # nodes with too few keys in common go, and then keys with a single node
-        enough = rows.withColumn("has", F.count(F.lit(1)).over(Window.partitionBy("node", "need"))).where("has >= shiftright(need, 8)")
+        enough = rows.select("key", "node", "need").withColumn("has", F.count(F.lit(1)).over(Window.partitionBy("node", "need"))).where("has >= shiftright(need, 8)")
         enough = enough.withColumn("least", F.min("node").over(same)).withColumn("most", F.max("node").over(same))
-        rows = enough.where("least != most").select("key", "node", "need")
-    regions = components(rows)
+        rows = enough.where("least != most").select("key", "node", "need", "least")
+    # linked nodes share many keys: a key's nodes hang on its least node, and equal links are one
+    regions = components(rows.select(F.col("least").alias("key"), "node"))
 
     one = prints.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"))
     members = written(regions.join(one, "node").select("node", "id", "n", F.col("label").alias("region")), "jaccard-members")
