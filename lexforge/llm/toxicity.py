@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, hash60, raw, words
+from .common import bind, hash60, raw, words, written
 from .quality import windows
 
 MAX_TRAIN, MAX_TOKENS = 100_000, 50_000
@@ -63,7 +63,8 @@ def training(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text"
     n = marks.count()
     if n > most:
         marks = marks.where(hash60(F.concat(F.lit("toxic:"), F.col("id").cast("string"))) < int(most / n * (1 << 60)))
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(marks, "id").select("t", "y")
+    # at most about ``most`` ids and marks go to the executors
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(marks), "id").select("t", "y")
     # copies of one toxic text would make all its words look toxic; near copies mostly have the same least shingle
     least = bind(words(F.col("t")), lambda w: F.array_min(windows(w)))
     return rows.withColumn("copy", F.coalesce(least, F.xxhash64("t"))).groupBy("copy", "y").agg(F.min("t").alias("t")).select("t", "y")
@@ -170,7 +171,7 @@ def _lambda(values: list[tuple[float, float]], cost: float, rest: float) -> floa
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
     """The model of the labelled documents that aren't held out."""
-    rows = training(docs, labels, **options)
+    rows = written(training(docs, labels, **options), "toxicity-training")
     counts = rows.mapInArrow(_counter, "token binary, toxic long, other long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     whole = ~F.col("token").cast("string").endswith("*")
     counts = counts.persist()
