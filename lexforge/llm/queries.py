@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mix, ngram_jaccard, quality, repeats, sharding, token_counts, token_store, toxicity
+from . import decontaminate, mix, ngram_jaccard, quality, repeats, sharding, token_counts, token_store, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,13 @@ def op1_source_mix(spark, sf_dir):
     return mix.report(_read(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("day", url_filter.fetch_day(F.col("url")))
+    found = url_filter.judged(captures, url_filter.drawn_entries(pages))
+    return found.select("row.page_id", "host", F.col("row.day").alias("fetched_on"), "filtered", "n_entries", "first_list", "since")
+
+
 def op3_ngram_jaccard(spark, sf_dir):
     return ngram_jaccard.report(_read(spark, sf_dir, "documents"), width=3, percent=90)
 
@@ -61,7 +68,7 @@ def op10_decontamination(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mix, op3_ngram_jaccard, op4_token_counts, op5_token_store, op6_toxicity, op7_sharding, op8_quality_rules, op9_repeated_substrings, op10_decontamination)}
+    return {f.__name__: f for f in (op1_source_mix, op2_url_filter, op3_ngram_jaccard, op4_token_counts, op5_token_store, op6_toxicity, op7_sharding, op8_quality_rules, op9_repeated_substrings, op10_decontamination)}
 
 
 _SIZED = r"sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),"
@@ -70,6 +77,7 @@ _SIZED = r"sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_source_mix": f"WITH {_SIZED}{mix.SQL}SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE (times + CAST(extra AS BIGINT)) * size END AS taken FROM x{mix.FILLS}",
+        "op2_url_filter": url_filter.SQL,
         "op7_sharding": f"""WITH docs AS (SELECT doc_id, text FROM documents), {sharding.SQL}
 SELECT doc_id, n_bytes, substr(lpad(bin(h), 60, '0'), 1, x.d) AS shard, CAST(x.d AS INTEGER) AS depth, x.s AS shard_bytes, x.s > {sharding.LIMIT} AS over_limit FROM f""",
     }
