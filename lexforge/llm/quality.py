@@ -21,17 +21,17 @@ from .common import SPACE, bind, words, written
 
 MIN_WORDS, MAX_REPEATED = 50, 50
 #: Limits of the distances (NOISE / words comes to the first), and the words that a text and a reference need.
-MAX_CLASS, NOISE, MAX_COMMON = 0.175, 1.5, 0.18
+MAX_CLASS, NOISE, MAX_COMMON = 0.175, 1.0, 0.14
 MIN_DIVERGENT, MIN_REFERENCE = 50, 1000
 #: Frequent words of four languages.
 COMMON = (
-    "the", "of", "and", "to", "in", "is", "that", "for", "with", "was",
-    "de", "la", "le", "les", "et", "des", "en", "un", "une", "que",
-    "der", "die", "und", "den", "das", "von", "zu", "mit", "ist", "nicht",
-    "el", "los", "las", "del", "se", "por", "con", "para", "no", "y",
+    "the", "of", "and", "to", "in", "that",
+    "de", "la", "les", "et", "des", "que",
+    "der", "die", "und", "das", "zu", "mit",
+    "el", "los", "en", "del", "por", "con",
 )
 #: Classes of characters, counted one after the other; what is left is of no class.
-CLASSES = (r"[\p{Ll}\p{Lo}\p{Lm}\p{M}]+", SPACE, r"\p{Lu}+", r"[.,;:!?'\"()-]+", r"\p{Nd}+", r"[#*$%&|<>]+")
+CLASSES = (r"[a-z\p{Ll}\p{Lo}\p{Lm}\p{M}]+", SPACE, r"\p{Lu}+", r"[.,;:!?'\"()-]+", r"\p{Nd}+", r"[#*$%&|<>]+")
 CAPITAL_CLASS, SYMBOL_CLASS = 2, 5
 SYMBOLS = r"[#*$%&|<>]"
 #: Documents with more symbols or capitals than this share of their characters are no part of a reference.
@@ -59,14 +59,14 @@ def windows(ws: Column) -> Column:
 def repeated(hashes: Column) -> Column:
     """Words covered by windows that occur twice or more: sorted hashes show equal neighbours, and the starts of those
     windows, in order, cover up to three words each."""
-    placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def flagged(rows: Column) -> Column:
         twin = lambda x, j: (F.get(rows, j - 1)["h"] == x["h"]) | (F.get(rows, j + 1)["h"] == x["h"])
         return F.filter(F.transform(rows, lambda x, j: F.when(twin(x, j), x["i"])), lambda i: i.isNotNull())
 
     return F.aggregate(
-        F.array_sort(bind(placed, flagged)),
+        F.sort_array(bind(placed, flagged)),
         F.struct(F.lit(-3).alias("at"), F.lit(0).cast("bigint").alias("n")),
         lambda acc, i: F.struct(i.alias("at"), (acc["n"] + F.least(F.lit(3), i - acc["at"])).alias("n")),
         lambda acc: acc["n"],
