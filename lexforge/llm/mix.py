@@ -24,6 +24,8 @@ from pyspark.sql.window import Window
 from .common import hash60, n_words, written
 
 WEIGHTS, CAP, FILLS = (1, 2, 3), 3, 3
+#: Sources up to which what is known of them goes to all executors; beyond, joins are shuffles by source.
+SENT = 20_000
 #: Hash bits that each level of histograms looks at; together all 60.
 LEVELS = (12, 12, 36)
 END = 1 << 60
@@ -58,13 +60,15 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap=CAP) -> DataFrame:
     return rows.select("k", "source_size", target.alias("target"))
 
 
-def _threshold(rows: DataFrame, gaps: DataFrame) -> DataFrame:
+def _threshold(rows: DataFrame, gaps: DataFrame, sent) -> DataFrame:
     """k, t: hashes below t are those whose running sum of sizes, in hash order, stays within the source's gap."""
     todo = gaps.select("k", F.col("gap").alias("room"), F.lit(0).cast("long").alias("prefix"))
     done = 0
     for bits in LEVELS:
         rest = 60 - done - bits
-        inside = rows.join(todo, "k").where(F.shiftright("h", 60 - done) == F.col("prefix")) if done else rows.join(todo, "k")
+        inside = rows.join(sent(todo), "k")
+        if done:
+            inside = inside.where(F.shiftright("h", 60 - done) == F.col("prefix"))
         counted = inside.groupBy("k", "room", F.shiftright("h", rest).alias("b")).agg(F.sum("size").alias("n"))
         upto = Window.partitionBy("k").orderBy("b")
         counted = counted.withColumn("sum", F.sum("n").over(upto)).where("sum > room")
@@ -82,11 +86,12 @@ def plan(docs: DataFrame, *, doc_id="doc_id", text="text", source="source", weig
     goal = goal.withColumn("times", times)
     gap = F.floor(F.col("target") - F.col("times") * F.col("source_size")).cast("long")
     goal = written(goal.withColumn("gap", gap).withColumn("steps", F.expr("cast(array() as array<struct<gap:bigint,t:bigint>>)")), "mix-targets")
+    sent = F.broadcast if goal.count() <= SENT else lambda df: df  # one row per source
     for fill in range(fills):
-        found = sizes.join(goal.where("gap > 0").select("k", "gap", "steps"), "k").where((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & ~_taken())
+        found = sizes.join(sent(goal.where("gap > 0").select("k", "gap", "steps")), "k").where((F.col("size") > 0) & (F.col("size") <= F.col("gap")) & ~_taken())
         rows = found.select("k", "h", "size")
-        at = _threshold(rows, goal.where("gap > 0").select("k", "gap"))
-        got = found.select("k", "h", "size").join(at, "k").where("h < t").groupBy("k").agg(F.sum("size").alias("got"))
+        at = _threshold(rows, goal.where("gap > 0").select("k", "gap"), sent)
+        got = found.select("k", "h", "size").join(sent(at), "k").where("h < t").groupBy("k").agg(F.sum("size").alias("got"))
         now = goal.join(at, "k", "left").join(got, "k", "left")
         step = F.when(F.col("t").isNull(), F.col("steps")).otherwise(F.concat("steps", F.array(F.struct("gap", "t"))))
         goal = written(now.select("k", "source_size", "target", "times", (F.col("gap") - F.coalesce("got", F.lit(0))).alias("gap"), step.alias("steps")), f"mix-fill{fill}")
