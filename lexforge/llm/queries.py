@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mix, ngram_jaccard, quality, repeats, sharding, token_counts, token_store, toxicity, url_filter
+from . import decontaminate, mix, ngram_jaccard, oracle, quality, repeats, sharding, token_counts, token_store, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_source_mix": f"WITH {_SIZED}{mix.SQL}SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE (times + CAST(extra AS BIGINT)) * size END AS taken FROM x{mix.FILLS}",
         "op2_url_filter": url_filter.SQL,
+        "op3_ngram_jaccard": oracle.JACCARD,
+        "op8_quality_rules": oracle.QUALITY,
+        "op9_repeated_substrings": oracle.REPEATS,
+        "op10_decontamination": oracle.DECONTAMINATION,
         "op7_sharding": f"""WITH docs AS (SELECT doc_id, text FROM documents), {sharding.SQL}
 SELECT doc_id, n_bytes, substr(lpad(bin(h), 60, '0'), 1, x.d) AS shard, CAST(x.d AS INTEGER) AS depth, x.s AS shard_bytes, x.s > {sharding.LIMIT} AS over_limit FROM f""",
     }

@@ -216,7 +216,7 @@ def _cutter(width: int, step: int, twin: bool):
                     first, last = np.maximum(lo, a - step * j - step + 1), np.minimum(hi, a - step * j)
                     some = np.flatnonzero(first <= last)
                     core = a[some] - step * j
-                    keys = _mixed(b.hashes(core, core + width - step + 1) ^ (np.uint64(j) * _BASE)).view(np.int64)
+                    keys = _mixed(b.hashes(core, core + width - step + 1) ^ (np.full(len(core), j, np.uint64) * _BASE)).view(np.int64)
                     out["key"].append(keys)
                     out["print"].append(np.zeros(len(some), np.int64))
                     out["id"].append(np.full(len(some), ids[i]))
