@@ -38,6 +38,8 @@ from .common import raw, written
 WIDTH, GRAM = 100, 32
 #: Bytes of text that are parsed at a time.
 BLOCK = 1 << 20
+#: Windows whose triggers are sought at a time: their places have 24 bits.
+STRIDE = 1 << 23
 _POS = np.uint64((1 << 24) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -59,6 +61,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _least(grams: np.ndarray, span: int) -> np.ndarray:
+    """Place of the least of every ``span`` neighbours, the leftmost of equals, by the upper 40 bits."""
+    key = (grams & ~_POS) | np.arange(len(grams), dtype=np.uint64)
+    low, size = key, 1
+    while size * 2 <= span:
+        low = np.minimum(low[:-size], low[size:])
+        size *= 2
+    if size < span:
+        low = np.minimum(low[: len(key) - span + 1], low[span - size :][: len(key) - span + 1])
+    return (low & _POS).astype(np.int64)
+
+
 class Block:
     """Bytes of several texts, one after the other, with the hash of any substring."""
 
@@ -86,16 +100,8 @@ class Block:
         if n < width:
             return none, none, none, none, np.zeros(0, np.uint64)
         grams = _mixed((self.sums[gram:] - self.sums[:-gram]) * Block._down[: n - gram + 1])
-        # the order of hashes, then the leftmost
-        key = (grams & ~_POS) | np.arange(len(grams), dtype=np.uint64)
         span = width - gram + 1
-        low, size = key, 1
-        while size * 2 <= span:
-            low = np.minimum(low[:-size], low[size:])
-            size *= 2
-        if size < span:
-            low = np.minimum(low[: len(key) - span + 1], low[span - size :][: len(key) - span + 1])
-        at = (low & _POS).astype(np.int64)
+        at = np.concatenate([_least(grams[i : i + STRIDE + span - 1], span) + i for i in range(0, len(grams) - span + 1, STRIDE)])
         text = np.repeat(np.arange(len(self.sizes)), self.sizes)[: len(at)]
         ok = np.arange(len(at)) + width <= self.ends[text]
         where = np.flatnonzero(ok)

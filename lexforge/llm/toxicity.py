@@ -103,23 +103,24 @@ class Model:
             if s is not None and s > 0:
                 places.append(i)
                 values.append(s)
-        out: list[list[float]] = []  # sum before, sum after, first, last
+        out: list[list[float]] = []  # sum before, sum after, first, last, the nearest piece on the left that began lower
         total, before = 0.0, -1
         for i, s in zip(places, values, strict=True):
             total -= self.cost * (i - before - 1)
-            piece = [total, total + s, i, i]
+            piece = [total, total + s, i, i, -1]
             total, before = total + s, i
-            # a piece joins the last one that began lower and ended no higher than it, and all in between
+            # a piece joins the nearest one that began lower, and all in between, unless that one ended as high
             while True:
                 j = len(out) - 1
                 while j >= 0 and out[j][0] >= piece[0]:
-                    j -= 1
+                    j = out[j][4]
                 if j < 0 or out[j][1] >= piece[1]:
+                    piece[4] = j
                     out.append(piece)
                     break
-                piece = [out[j][0], piece[1], out[j][2], piece[3]]
+                piece = [out[j][0], piece[1], out[j][2], piece[3], -1]
                 del out[j:]
-        return [(b - a, int(f), int(t)) for a, b, f, t in out]
+        return [(b - a, int(f), int(t)) for a, b, f, t, _ in out]
 
     def evidence(self, words: list[bytes]) -> tuple[float, list[tuple[int, int]]]:
         """Calibrated evidence of a text, and the word ranges of its significant segments."""

@@ -61,3 +61,14 @@ def test_whole_table(spark, sf):
     want = brute(docs, 100)
     got = {r.doc_id: tuple(r)[1:] for r in queries.op9_repeated_substrings(spark, sf).collect()}
     assert got == {k: v for (k, _), v in want.items()}
+
+
+def test_triggers_in_strides(monkeypatch):
+    import numpy as np
+
+    rnd = random.Random(9)
+    block = repeats.Block([bytes(rnd.choice(b"ab") for _ in range(n)) for n in (500, 0, 30, 3, 700)])
+    whole = block.phrases(20, 6)
+    monkeypatch.setattr(repeats, "STRIDE", 37)
+    assert all((a == b).all() for a, b in zip(whole, block.phrases(20, 6), strict=True))
+    assert isinstance(whole[0], np.ndarray)
