@@ -19,6 +19,7 @@ Null and empty texts have no ids but the end id. Null document ids come first, e
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -31,15 +32,14 @@ from pyspark.sql.window import Window
 
 from .common import raw, shared_dir, written
 
-BLOCK, LANES, END = 4096, 1024, 2
+BLOCK, LANES, END = 2048, 2048, 2
 #: Bytes of text that a task codes, and words that a worker keeps the ids of.
 PART, KEPT = 24 << 20, 400_000
 NULL_ID = -(1 << 63)
 _SLOTS, _BITS = 512, 12
 _MAGIC = b"LFT1"
 #: Steps after which the frequencies of order 0 are taken anew from the counts.
-_RENEW = frozenset({32, 64, 128, 256, 512, 1024, 2048})
-_U = np.uint64
+_RENEW = frozenset({32, 64, 128, 256, 512, 1024})
 
 
 class Lanes:
@@ -50,9 +50,10 @@ class Lanes:
         self.lane = np.arange(n)
         self.base = self.lane * _SLOTS
         self.mixes = self.lane * 16
-        self.follow = [np.full(n * _SLOTS, 0xFFFF, np.uint16) for _ in range(2)]
-        self.streak = [np.zeros(n * _SLOTS, np.uint8) for _ in range(2)]
-        self.mix = [np.full(n * 16, c, np.uint64) for c in (2, 1, 3)]
+        # by slot: the id that followed, times 4, and the streak of hits (0 to 3)
+        self.follow = [np.full(n * _SLOTS, 0xFFFF << 2, np.uint32) for _ in range(2)]
+        # by confidences: how often it was order 2's, order 1's or neither's, 16 bits each
+        self.mix = np.full(n * 16, 2 | 1 << 16 | 3 << 32, np.int64)
         self.seen = [np.ones(n * 256, np.uint32) for _ in range(2)]
         self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.renew()
@@ -62,8 +63,8 @@ class Lanes:
         room = (1 << _BITS) - 256
         for seen in self.seen:
             total = np.cumsum(seen.reshape(self.n, 256), 1, dtype=np.uint64)
-            cum = np.zeros((self.n, 257), np.uint64)
-            cum[:, 1:] = total * _U(room) // total[:, -1:] + np.arange(1, 257, dtype=np.uint64)
+            cum = np.zeros((self.n, 257), np.uint32)
+            cum[:, 1:] = total * np.uint64(room) // total[:, -1:] + np.arange(1, 257, dtype=np.uint64)
             self.cum.append(cum.ravel())
 
     def finder(self, k: int) -> np.ndarray:
@@ -74,29 +75,37 @@ class Lanes:
         return self.find[k]
 
     def predict(self, m: int):
-        """Slots, predictions and streaks of order 2 and order 1, and the mixing counts, of the first m lanes."""
+        """Slots and entries of order 2 and order 1, and place and value of the mixing counts, of the first m lanes."""
         last = self.last[:m]
-        slot1 = self.base[:m] + ((last * 0x9E35) >> 4) % _SLOTS
-        slot2 = self.base[:m] + ((last * 0x2F0B + self.before[:m] * 0x6A4D) >> 5) % _SLOTS
+        slot1 = self.base[:m] + (last * 0x9E35 >> 4 & _SLOTS - 1)
+        slot2 = self.base[:m] + (last * 0x2F0B + self.before[:m] * 0x6A4D >> 5 & _SLOTS - 1)
         two, one = self.follow[0].take(slot2), self.follow[1].take(slot1)
-        s2, s1 = self.streak[0].take(slot2), self.streak[1].take(slot1)
-        at = self.mixes[:m] + (s2 * 4 + s1)
-        return slot2, slot1, two, one, s2, s1, at, [c.take(at) for c in self.mix]
-
-    def learn(self, m: int, slot2, slot1, two, one, s2, s1, at, counts, kind, ids) -> None:
-        self.streak[0][slot2] = np.minimum(s2 + 1, 3) * (two == ids)
-        self.streak[1][slot1] = np.minimum(s1 + 1, 3) * (one == ids)
-        self.follow[0][slot2] = ids
-        self.follow[1][slot1] = ids
-        big = np.flatnonzero(counts[0] + counts[1] + counts[2] > 400)
-        for k, c in enumerate(counts):
-            c += (kind == k) * _U(2)
-            c[big] = (c[big] >> _U(1)) + _U(1)
-            self.mix[k][at] = c
+        at = self.mixes[:m] + ((two & 3) << 2 | one & 3)
+        return slot2, slot1, two, one, at, self.mix.take(at)
+
+    def learn(self, m: int, slot2, slot1, two, one, at, mix, kind, ids) -> None:
+        wide = ids.astype(np.uint32) << 2
+        self.follow[0][slot2] = wide | np.minimum((two & 3) + 1, 3) * ((two ^ wide) < 4)
+        self.follow[1][slot1] = wide | np.minimum((one & 3) + 1, 3) * ((one ^ wide) < 4)
+        mix = mix + (2 << (kind << 4))
+        big = np.flatnonzero((mix & 0xFFFF) + (mix >> 16 & 0xFFFF) + (mix >> 32) > 400)
+        if len(big):
+            mix[big] = (mix[big] >> 1 & 0x7FFF_7FFF_7FFF) + 0x0001_0001_0001
+        self.mix[at] = mix
         self.before[:m] = self.last[:m]
         self.last[:m] = ids
 
 
+def _counts(mix: np.ndarray):
+    """Counts of order 2 and of both orders, and the total."""
+    a = mix & 0xFFFF
+    ab = a + (mix >> 16 & 0xFFFF)
+    return a.astype(np.uint32), ab.astype(np.uint32), (ab + (mix >> 32)).astype(np.uint32)
+
+
+_HALF, _SIXTEEN = np.uint32(1 << 16), np.uint32(16)
+
+
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
     """The coded bytes of each block of ids (below 65,535); blocks must not grow in length."""
     n = len(blocks)
@@ -105,53 +114,56 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     for k, b in enumerate(blocks):
         ids[: len(b), k] = b
     model = Lanes(n)
-    low, width = np.zeros(n, np.uint64), np.full(n, 1 << 32, np.uint64)
+    low, width = np.zeros(n, np.uint32), np.full(n, 0xFFFFFFFF, np.uint32)
     stride = int(size.max()) * 3 + 4
     out = np.zeros(n * stride, np.uint32)
     pos = np.arange(n) * stride
 
-    def put(rows, lo, w):
-        over = np.flatnonzero(lo > _U(0xFFFFFFFF))
+    def put(rows, lo, add, w):
+        lo = lo + add
+        over = np.flatnonzero(lo < add)  # a carry into the word before
         if len(over):
             out[pos[rows[over]] - 1] += 1
-            lo[over] &= _U(0xFFFFFFFF)
-        short = np.flatnonzero(w < _U(1 << 16))
+        short = np.flatnonzero(w < _HALF)
         if len(short):
             r, part = rows.take(short), lo.take(short)
             p = pos.take(r)
-            out[p] = part >> _U(16)
+            out[p] = part >> _SIXTEEN
             pos[r] = p + 1
-            lo[short] = (part & _U(0xFFFF)) << _U(16)
-            w[short] <<= _U(16)
+            lo[short] = part << _SIXTEEN
+            w[short] <<= _SIXTEEN
         return lo, w
 
     for t in range(ids.shape[0]):
         m = int(np.searchsorted(-size, -t, side="left"))  # blocks with an id here
         x = ids[t, :m]
         seen = model.predict(m)
-        two, one, (a, b, c) = seen[2], seen[3], seen[-1]
-        first = two == x
-        second = ~first & (one == x)
+        a, ab, total = _counts(seen[-1])
+        wide = x.astype(np.uint32) << 2
+        first = (seen[2] ^ wide) < 4
+        second = ~first & ((seen[3] ^ wide) < 4)
         kind = 2 - 2 * first - second
-        unit = width[:m] // (a + b + c)
-        lo = low[:m] + unit * (a * (kind > 0) + b * (kind == 2))
-        low[:m], width[:m] = put(model.lane[:m], lo, unit * np.where(first, a, np.where(second, b, c)))
+        unit = width[:m] // total
+        start = np.where(first, 0, np.where(second, a, ab))
+        end = np.where(first, a, np.where(second, ab, total))
+        low[:m], width[:m] = put(model.lane[:m], low[:m], unit * start, unit * (end - start))
         rest = np.flatnonzero(kind == 2)
         if len(rest):
             y = x.take(rest).astype(np.int64)
             lo, w = low.take(rest), width.take(rest)
+            at = rest * 257
             for k, part in ((0, y >> 8), (1, y & 255)):
-                i = rest * 257 + part
+                i = at + part
                 cum = model.cum[k].take(i)
-                unit = w >> _U(_BITS)
-                lo, w = put(rest, lo + cum * unit, (model.cum[k].take(i + 1) - cum) * unit)
+                unit = w >> np.uint32(_BITS)
+                lo, w = put(rest, lo, cum * unit, (model.cum[k].take(i + 1) - cum) * unit)
                 model.seen[k][i - rest] += 24
             low[rest], width[rest] = lo, w
         model.learn(m, *seen, kind, x)
         if t + 1 in _RENEW:
             model.renew()
-    out[pos] = low >> _U(16)
-    out[pos + 1] = low & _U(0xFFFF)
+    out[pos] = low >> _SIXTEEN
+    out[pos + 1] = low & np.uint32(0xFFFF)
     out = out.reshape(n, stride)
     used = pos - np.arange(n) * stride + 2
     for j in range(int(used.max()) - 1, 0, -1):  # carries go left
@@ -163,46 +175,47 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
 def decode(data: list[bytes], size: np.ndarray) -> list[np.ndarray]:
     """The ids of each block; sizes must not grow."""
     n = len(data)
-    words = np.zeros((n, max(map(len, data)) // 2 + 4), np.uint64)
+    words = np.zeros((n, max(map(len, data)) // 2 + 4), np.uint32)
     for k, d in enumerate(data):
         words[k, : len(d) // 2] = np.frombuffer(d, "<u2")
     flat, stride = words.ravel(), words.shape[1]
     model = Lanes(n)
-    code = (words[:, 0] << _U(16)) | words[:, 1]
-    width = np.full(n, 1 << 32, np.uint64)
+    code = (words[:, 0] << _SIXTEEN) | words[:, 1]
+    width = np.full(n, 0xFFFFFFFF, np.uint32)
     pos = np.arange(n) * stride + 2
     ids = np.zeros((int(size.max()), n), np.uint16)
 
     def take(rows, c, w):
-        short = np.flatnonzero(w < _U(1 << 16))
+        short = np.flatnonzero(w < _HALF)
         if len(short):
             r = rows.take(short)
             p = pos.take(r)
-            c[short] = (c.take(short) << _U(16)) | flat.take(p)
+            c[short] = (c.take(short) << _SIXTEEN) | flat.take(p)
             pos[r] = p + 1
-            w[short] <<= _U(16)
+            w[short] <<= _SIXTEEN
         return c, w
 
     for t in range(ids.shape[0]):
         m = int(np.searchsorted(-size, -t, side="left"))
         seen = model.predict(m)
-        two, one, (a, b, c) = seen[2], seen[3], seen[-1]
-        ab = a + b
-        unit = width[:m] // (ab + c)
+        a, ab, total = _counts(seen[-1])
+        unit = width[:m] // total
         v = code[:m]
-        kind = (v >= a * unit).astype(np.int64) + (v >= ab * unit)
-        first, second = kind == 0, kind == 1
-        code[:m], width[:m] = take(model.lane[:m], v - unit * (a * (kind > 0) + b * (kind == 2)), unit * np.where(first, a, np.where(second, b, c)))
-        x = np.where(first, two, one)
-        rest = np.flatnonzero(kind == 2)
+        first, last = v < a * unit, v >= ab * unit
+        kind = 1 - first + last
+        start = np.where(first, 0, np.where(last, ab, a))
+        end = np.where(first, a, np.where(last, total, ab))
+        code[:m], width[:m] = take(model.lane[:m], v - unit * start, unit * (end - start))
+        x = np.where(first, seen[2] >> 2, seen[3] >> 2)
+        rest = np.flatnonzero(last)
         if len(rest):
             c, w = code.take(rest), width.take(rest)
-            found = 0
+            at, found = rest * 257, 0
             for k in range(2):
-                unit = w >> _U(_BITS)
-                v = np.minimum(c // unit, _U((1 << _BITS) - 1)).astype(np.int64)
+                unit = w >> np.uint32(_BITS)
+                v = np.minimum(c // unit, np.uint32((1 << _BITS) - 1))
                 part = model.finder(k).take((rest << _BITS) + v).astype(np.int64)
-                i = rest * 257 + part
+                i = at + part
                 cum = model.cum[k].take(i)
                 c, w = take(rest, c - cum * unit, (model.cum[k].take(i + 1) - cum) * unit)
                 model.seen[k][i - rest] += 24
@@ -244,6 +257,10 @@ def unframe(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumsum(index[:docs]), index[docs:], np.concatenate(ids) if ids else np.zeros(0, np.uint16)
 
 
+#: Words that every step of the tokenizer leaves whole but for case: letters, and marks behind them.
+_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+
+
 class Encoder:
     """Ids of texts under a tokenizer that drops white space: those of the parts between it, one after the other."""
 
@@ -259,20 +276,44 @@ class Encoder:
             if self.model.encode(f"a{c}b{c}", add_special_tokens=False).ids != self.model.encode("a b", add_special_tokens=False).ids:
                 raise ValueError("this tokenizer keeps white space")
         self.known: dict[bytes, bytes] = {}
+        # the letters that stand for the bytes of simple words; without them, or if a sample differs, the short way is shut
+        shown = {b: self.model.pre_tokenizer.pre_tokenize_str(chr(b))[0][0] for b in range(33, 127)}
+        self.letters = {}
+        for c in range(0xC0, 0x100):
+            if c not in (0xD7, 0xF7):
+                self.letters.update(zip(chr(c).encode(), self.model.pre_tokenizer.pre_tokenize_str(chr(c))[0][0], strict=True))
+        sample = ["Wort,", "\u00c9t\u00e9!!", "na\u00efve", "ABC.", "stra\u00dfe;:"]
+        self.short = all(shown[b] == chr(b) for b in shown) and [self._simple(w) for w in sample] == [self.model.encode(w, add_special_tokens=False).ids for w in sample]
+
+    def _simple(self, word: str) -> list[int] | None:
+        """Ids of a simple word by the model alone: it is in normal form, one run of letters and one of marks."""
+        found = _SIMPLE.fullmatch(word)
+        if not found:
+            return None
+        letters, marks = found.groups()
+        letters = letters.lower()
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self.letters)
+        pieces = self.model.model.tokenize(letters)
+        return [t.id for t in (pieces + self.model.model.tokenize(marks) if marks else pieces)]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
         lists = [t.split() for t in texts]
-        known = self.known
-        new = {w for ws in lists for w in ws}.difference(known)
-        if new:
-            if len(known) + len(new) > KEPT:
-                known.clear()
-                new = {w for ws in lists for w in ws}
-            names = list(new)
-            found = self.model.encode_batch_fast([w.decode() for w in names], add_special_tokens=False)
-            known.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(names, found, strict=True))
-        return [b"".join(map(known.__getitem__, ws)) for ws in lists]
+        known, here = self.known, {}
+        hard = []
+        for word in {w for ws in lists for w in ws}.difference(known):
+            ids = self._simple(word.decode()) if self.short else None
+            if ids is None:
+                hard.append(word)
+            else:
+                here[word] = struct.pack(f"<{len(ids)}H", *ids)
+        for word, e in zip(hard, self.model.encode_batch_fast([w.decode() for w in hard], add_special_tokens=False), strict=True):
+            here[word] = struct.pack(f"<{len(e.ids)}H", *e.ids)
+        if len(known) < KEPT:  # the first words that a worker meets are mostly the frequent ones
+            known.update(here)
+            return [b"".join(map(known.__getitem__, ws)) for ws in lists]
+        return [b"".join([known[w] if w in known else here[w] for w in ws]) for ws in lists]
 
 
 def _writer(path: str, most: int):

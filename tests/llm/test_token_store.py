@@ -62,3 +62,14 @@ def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     path = token_store.write(d, queries.tokenizer("word_bpe_49k.json"))
     assert token_store.digest(spark, path).count() == 0
+
+
+def test_parts_between_white_space_against_whole_texts():
+    import random
+
+    rnd, encoder = random.Random(4), token_store.Encoder(queries.tokenizer("word_bpe_49k.json"))
+    assert encoder.short
+    letters = "aBcÉéßøÿµªŒœ.,;:!?'\"-$123 \n\t\x0b\x0cİΣςſǅ́ﬁ中😀\x85\xa0"
+    for _ in range(3000):
+        text = "".join(rnd.choice(letters) for _ in range(rnd.randrange(0, 14))) + rnd.choice(["", "<|endoftext|>"])
+        assert np.frombuffer(encoder.ids([text.encode()])[0], "<u2").tolist() == encoder.model.encode(text, add_special_tokens=False).ids
