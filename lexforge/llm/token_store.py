@@ -36,7 +36,7 @@ BLOCK, LANES, END = 2048, 2048, 2
 #: Bytes of text that a task codes, and words that a worker keeps the ids of.
 PART, KEPT = 24 << 20, 400_000
 NULL_ID = -(1 << 63)
-_SLOTS, _BITS = 512, 12
+_SLOTS, _BITS = 512, 11
 _MAGIC = b"LFT1"
 #: Steps after which the frequencies of order 0 are taken anew from the counts.
 _RENEW = frozenset({32, 64, 128, 256, 512, 1024})
@@ -67,6 +67,12 @@ class Lanes:
             cum[:, 1:] = total * np.uint64(room) // total[:, -1:] + np.arange(1, 257, dtype=np.uint64)
             self.cum.append(cum.ravel())
 
+    def fade(self) -> None:
+        """Halves the mixing counts that have grown large, so that recent hits weigh more."""
+        mix = self.mix
+        big = np.flatnonzero((mix & 0xFFFF) + (mix >> 16 & 0xFFFF) + (mix >> 32) > 400)
+        mix[big] = (mix[big] >> 1 & 0x7FFF_7FFF_7FFF) + 0x0001_0001_0001
+
     def finder(self, k: int) -> np.ndarray:
         """The symbol at each point of the frequency table, for the decoder."""
         if self.find[k] is None:
@@ -87,11 +93,7 @@ class Lanes:
         wide = ids.astype(np.uint32) << 2
         self.follow[0][slot2] = wide | np.minimum((two & 3) + 1, 3) * ((two ^ wide) < 4)
         self.follow[1][slot1] = wide | np.minimum((one & 3) + 1, 3) * ((one ^ wide) < 4)
-        mix = mix + (2 << (kind << 4))
-        big = np.flatnonzero((mix & 0xFFFF) + (mix >> 16 & 0xFFFF) + (mix >> 32) > 400)
-        if len(big):
-            mix[big] = (mix[big] >> 1 & 0x7FFF_7FFF_7FFF) + 0x0001_0001_0001
-        self.mix[at] = mix
+        self.mix[at] = mix + (2 << (kind << 4))
         self.before[:m] = self.last[:m]
         self.last[:m] = ids
 
@@ -162,6 +164,8 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         model.learn(m, *seen, kind, x)
         if t + 1 in _RENEW:
             model.renew()
+        if t % 64 == 63:
+            model.fade()
     out[pos] = low >> _SIXTEEN
     out[pos + 1] = low & np.uint32(0xFFFF)
     out = out.reshape(n, stride)
@@ -226,6 +230,8 @@ def decode(data: list[bytes], size: np.ndarray) -> list[np.ndarray]:
         model.learn(m, *seen, kind, x)
         if t + 1 in _RENEW:
             model.renew()
+        if t % 64 == 63:
+            model.fade()
     return [ids[: size[k], k] for k in range(n)]
 
 
