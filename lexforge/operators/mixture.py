@@ -24,6 +24,29 @@ def effective_length(length: int = LENGTH, smoke: bool = False, smoke_length: in
     return smoke_length if smoke else length
 
 
+def numbered(rows: DataFrame, source: str, order: str, out: str = "k") -> DataFrame:
+    """rows with their number within the source, from 1, in ascending order. Ranges of the order column are numbered
+    apart and shifted by the sizes of the ranges before, so one source is many tasks; a column that has no numeric
+    ranges takes a window per source."""
+    plain = Window.partitionBy(source).orderBy(order)
+    kind = dict(rows.dtypes)[order]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if kind not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
+        return rows.withColumn(out, F.row_number().over(plain).cast("long"))
+    bounds = sorted(set(rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.005)))
+    if not bounds:
+        return rows.withColumn(out, F.row_number().over(plain).cast("long"))
+    # null orders come first, as in a sort
+    cut = F.coalesce(F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: F.col(order).cast("double") > b)), F.lit(0))
+    rows = rows.withColumn("_range", cut)
+    sizes = rows.groupBy(F.col(source).alias("_of"), F.col("_range").alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_of").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_of", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(source, "_range").orderBy(order)))
+    rows = rows.join(sizes, F.col(source).eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_part")))
+    return rows.withColumn(out, F.col("_before") + F.col("_nth")).drop("_of", "_part", "_before", "_nth", "_range")
+
+
 def _draws(spark: SparkSession, weights: dict[str, float], upto: int, seed: int) -> DataFrame:
     """i, source, k: draw i takes the k-th row of its source. The first 32 bits of md5 of seed and i choose it."""
     total = sum(weights.values())
@@ -36,7 +59,7 @@ def _draws(spark: SparkSession, weights: dict[str, float], upto: int, seed: int)
     for name, edge in edges[1:-1]:
         source = source.when(u < edge, name)
     rows = spark.range(upto).withColumnRenamed("id", "i").withColumn("source", source.otherwise(edges[-1][0]))
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("i")))
+    return numbered(rows, "source", "i")
 
 
 def interleave(rows: DataFrame, weights: dict[str, float], *, source: str = "source", order: str = "doc_id", seed: int = 42, stop: str = "first_exhausted") -> DataFrame:
@@ -53,12 +76,12 @@ def interleave(rows: DataFrame, weights: dict[str, float], *, source: str = "sou
     spark = rows.sparkSession
     weights = {k: w for k, w in weights.items() if w > 0}
     rows = rows.where(F.col(source).isin(*weights))
-    numbered = rows.withColumn("k", F.row_number().over(Window.partitionBy(source).orderBy(order)))
+    placed = numbered(rows, source, order)
     if len(weights) == 1:
-        return numbered.withColumn("i", (F.col("k") - 1).cast("long")).drop("k")
+        return placed.withColumn("i", F.col("k") - 1).drop("k")
     sizes = {r[0]: r[1] for r in rows.groupBy(source).count().collect()}
     if len(sizes) < len(weights):
-        return numbered.withColumn("i", F.lit(0).cast("long")).drop("k").limit(0)
+        return placed.withColumn("i", F.lit(0).cast("long")).drop("k").limit(0)
     total = sum(weights.values())
     upto = math.ceil(max(n * total / weights[s] for s, n in sizes.items()) * 2) + 100
     while True:
@@ -69,8 +92,9 @@ def interleave(rows: DataFrame, weights: dict[str, float], *, source: str = "sou
             break
         upto *= 2
     end = min(last.values()) if stop == "first_exhausted" else max(last.values())
-    taken = draws.where(F.col("i") <= end).withColumn("k", ((F.col("k") - 1) % size + 1).cast("int")).withColumnRenamed("source", "_source")
-    return taken.join(numbered, (F.col("_source") == F.col(source)) & (taken["k"] == numbered["k"])).select("i", *rows.columns)
+    taken = draws.where(F.col("i") <= end).withColumn("k", (F.col("k") - 1) % size + 1).withColumnRenamed("source", "_source")
+    taken = taken.withColumnRenamed("k", "_k")
+    return taken.join(placed, (F.col("_source") == F.col(source)) & (F.col("_k") == F.col("k"))).select("i", *rows.columns)
 
 
 def encoded(rows: DataFrame, tokenizer, *, text: str = "text", key: str = "doc_id", length: int = LENGTH, pad: int = 0) -> DataFrame:

@@ -113,6 +113,17 @@ def test_interleave(spark):
         mixture.interleave(rows, {"a": 0})
 
 
+def test_numbering(spark):
+    rows = frame(spark, [(i * 7 % 1000, "ab"[i % 3 == 0]) for i in range(1000)], "doc_id long, source string").repartition(3)
+    got = {}
+    for r in mixture.numbered(rows, "source", "doc_id").collect():
+        got.setdefault(r.source, []).append((r.doc_id, r.k))
+    assert all([k for _, k in sorted(x)] == list(range(1, len(x) + 1)) for x in got.values())
+    assert mixture.numbered(rows.limit(0), "source", "doc_id").count() == 0
+    words = mixture.numbered(rows.withColumn("doc_id", F.col("doc_id").cast("string")), "source", "doc_id")
+    assert words.agg(F.max("k")).first()[0] == max(map(len, got.values()))
+
+
 def test_subword_and_tables(spark, tmp_path):
     pytest.importorskip("tokenizers")
     document = catalog._tokenizer()
