@@ -312,19 +312,27 @@ def _linker(percent: int):
     return run
 
 
-def components(rows: DataFrame) -> DataFrame:
-    """node, label: the smallest node reachable over rows (key, node). Each round takes the least label of a key's
-    nodes and then that label's own label; every round is written, so the lineage stays short."""
-    rows = written(rows.select("key", "node").distinct(), "jaccard-edges")
-    labels = written(rows.groupBy("node").agg(F.min("node").alias("label")), "jaccard-labels")
-    while True:
-        by_key = rows.join(labels, "node").groupBy("key").agg(F.min("label").alias("label"))
-        least = rows.join(by_key, "key").groupBy("node").agg(F.min("label").alias("label"))
-        jump = least.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        found = written(least.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label")), "jaccard-labels")
-        if found.join(labels, ["node", "label"], "left_anti").isEmpty():
-            return found
-        labels = found
+def components(edges: DataFrame) -> DataFrame:
+    """node, label (a node of its component, the same for all) over edges (a, b); an edge of a node to itself is one.
+
+    Each round points every node to the least of itself and its neighbours, goes on to where that one points, and
+    contracts the graph to the nodes that were pointed to. So edges get fewer from round to round. What a round leaves
+    is written, and the lineage stays short."""
+    edges = written(edges.select("a", "b").distinct(), "jaccard-edges")
+    labels = written(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().select("node", F.col("node").alias("label")), "jaccard-labels")
+    edges = edges.where("a != b")
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        least = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("v"), F.least("a", "b").alias("to"))
+        least = written(least, "jaccard-least")
+        onward = least.join(least.toDF("w", "further"), F.col("to") == F.col("w"), "left").select("v", F.coalesce("further", "to").alias("to"))
+        onward = written(onward, "jaccard-onward")
+        found = labels.join(onward, F.col("label") == F.col("v"), "left")
+        labels = written(found.select("node", F.coalesce("to", "label").alias("label")), "jaccard-labels")
+        left, right = onward.toDF("va", "ta"), onward.toDF("vb", "tb")
+        left_over = edges.join(left, F.col("a") == F.col("va")).join(right, F.col("b") == F.col("vb")).where("ta != tb")
+        edges = written(left_over.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "jaccard-edges")
+    return labels
 
 
 def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -342,7 +350,7 @@ def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 5, perce
         enough = enough.withColumn("least", F.min("node").over(same)).withColumn("most", F.max("node").over(same))
         rows = enough.where("least != most").select("key", "node", "need", "least")
     # linked nodes share many keys: a key's nodes hang on its least node, and equal links are one
-    regions = components(rows.select(F.col("least").alias("key"), "node"))
+    regions = components(rows.select(F.col("least").alias("a"), F.col("node").alias("b")))
 
     one = prints.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"))
     members = written(regions.join(one, "node").select("node", "id", "n", F.col("label").alias("region")), "jaccard-members")
@@ -360,7 +368,7 @@ def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 5, perce
     part = F.when(F.col("blocks").isNull(), F.col("region")).otherwise(F.xxhash64("region", F.least(own, "other"), F.greatest(own, "other")))
     parts = sets.select(part.alias("part"), "node", "set").repartition("part").sortWithinPartitions("part", "node")
     linked = written(parts.mapInArrow(_linker(percent), "part long, label long, node long"), "jaccard-linked")
-    whole = components(linked.select(F.xxhash64("part", "label").alias("key"), "node"))
+    whole = components(linked.select(F.col("label").alias("a"), F.col("node").alias("b")))
 
     classes = one.join(whole, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     least = classes.groupBy("label").agg(F.min("id").alias("component"))

@@ -90,6 +90,23 @@ def test_link_against_brute_force():
         assert len({(a, b) for a, b in zip(label, want, strict=True)}) == len(set(label)) == len(set(want))
 
 
+def test_components(spark):
+    rnd = random.Random(8)
+    for nodes, edges in ((50, 30), (200, 190), (30, 200)):
+        pairs = [(rnd.randrange(nodes), rnd.randrange(nodes)) for _ in range(edges)] + [(i, i + 1) for i in range(1000, 1040)]
+        want = {}
+        for a, b in pairs:
+            x, y = want.setdefault(a, {a}), want.setdefault(b, {b})
+            if x is not y:
+                x |= y
+                want.update(dict.fromkeys(y, x))
+        got = {}
+        for r in ngram_jaccard.components(spark.createDataFrame(pairs, "a long, b long")).collect():
+            got.setdefault(r.label, set()).add(r.node)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, {id(x): x for x in want.values()}.values()))
+    assert ngram_jaccard.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_against_brute_force(spark, monkeypatch):
     for seed, width, percent in ((1, 3, 90), (2, 5, 80), (3, 3, 80)):
         rows = corpus(seed)
