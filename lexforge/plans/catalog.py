@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import candidates, compare, counts, mixture, tokenization, vocabulary
 from ..operators.counts import Options
+from ..sources import io
 
 PLAIN = Options(normalization="none")
 
@@ -20,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def docs(spark, d) -> DataFrame:
-    return table(spark, d, "documents")
+    return io.spread(table(spark, d, "documents"))
 
 
 # --- counts ---

@@ -23,6 +23,13 @@ def read_corpus(spark: SparkSession, path: str | list[str], format: str = "parqu
     return spark.read.options(**options).format(format).load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer files than the session has cores, dealt out to all of them; any other scan as it is. One small file
+    is one task, however costly the work on its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def read_sources(spark: SparkSession, sources: dict[str, str], weights: dict[str, float] | None = None, format: str = "parquet", columns=("doc_id", "text")) -> DataFrame:
     """Several corpora under one schema, with their name as source; sources of weight 0 aren't opened."""
     parts = [read_corpus(spark, path, format).select(*columns, F.lit(name).alias("source")) for name, path in sources.items() if weights is None or weights.get(name)]
