@@ -128,3 +128,17 @@ def run_plan(spark: SparkSession, *, world: int = 4, smoke: bool = False, skip_w
     batch = (per_device or a) * (accumulate or b) * world
     rows = [(phase, n, rate, min(warm, n), batch, *(max(1, min(x, n)) for x in intervals)) for phase, (n, rate, warm) in steps.items()]
     return spark.createDataFrame(rows, "phase string, max_steps long, learning_rate double, warmup_steps long, effective_batch long, logging_steps long, save_steps long")
+
+
+def run_config(spark: SparkSession, arguments: dict, *, vocabulary_size: int, world: int = 4, smoke: bool = False, **options) -> dict:
+    """What a run was started with, as a report: arguments, devices, length, vocabulary size and the plan of phases."""
+    phases = run_plan(spark, world=world, smoke=smoke, **options).collect()
+    return {
+        "arguments": dict(sorted(arguments.items())),
+        "world_size": world,
+        "smoke_test": smoke,
+        "max_length": effective_length(smoke=smoke),
+        "vocabulary_size": vocabulary_size,
+        "effective_batch": phases[0]["effective_batch"] if phases else 0,
+        "phases": {r["phase"]: {k: v for k, v in r.asDict().items() if k != "phase"} for r in phases},
+    }

@@ -128,3 +128,27 @@ def aligned(vocabulary: DataFrame, matrix: DataFrame) -> None:
 
 def by_id(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.orderBy("id")
+
+
+def readable_document(spark, tokenizer) -> tuple[str, dict]:
+    """A tokenizer's document with its tokens, merges and added tokens in readable form, and a report: tokens, entries
+    that share their decoded form with another (they stay raw), and clashes of raw forms with what others show."""
+    import json
+
+    document = json.loads(tokenizer.document)
+    known = set(document["model"]["vocab"])
+    names = spark.createDataFrame([(t,) for t in sorted(known)], "token string")
+    table = readable(tokenizer.vocabulary(spark).join(names, "token", "left_semi"))
+    rows = by_id(table).collect()  # as many as the document has tokens
+    shown = {r.token: r.shown for r in rows}
+    single = {r.decoded for r in rows if r.collisions == 1}
+    document["model"]["vocab"] = {r.shown: r.id for r in rows}
+    pairs = [m if isinstance(m, list) else m.split(" ", 1) for m in document["model"].get("merges", [])]
+    document["model"]["merges"] = [[shown.get(a, a), shown.get(b, b)] for a, b in pairs]
+    model = tokenizer.model()
+    for added in document.get("added_tokens", []):
+        decoded = model.decode([added["id"]], skip_special_tokens=False)
+        if decoded in single:
+            added["content"] = decoded
+    stats = {"tokens": len(rows), "kept_raw": sum(r.collisions > 1 for r in rows), "clashes": sum(r.clash for r in rows)}
+    return json.dumps(document, ensure_ascii=False, indent=2), stats

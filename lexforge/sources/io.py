@@ -83,6 +83,15 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return whole.where(T.nonblank(F.col("raw")))
 
 
+def read_samples(spark: SparkSession, path: str | None = None, texts: tuple[str, ...] = ()) -> DataFrame:
+    """position, text of the lines of a file and then of texts given by hand."""
+    out = spark.createDataFrame([((1 << 40) + i, t) for i, t in enumerate(texts)], "position long, text string")
+    if path:
+        whole = spark.read.text(path, wholetext=True).select(F.posexplode(T.lines(F.col("value"))).alias("position", "text"))
+        out = whole.withColumn("position", F.col("position").cast("long")).unionByName(out)
+    return out
+
+
 def read_tokenizer(path: str):
     """A tokenizer from a folder or a document, as an operator."""
     from ..operators.tokenization import Subword

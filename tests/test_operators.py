@@ -97,6 +97,8 @@ def test_run_plan(spark):
     assert get() == {"warmup": (2000, 1e-4, 0, 256, 10, 1000), "full": (50_000, 2e-5, 1000, 256, 10, 1000)}
     assert get(smoke=True) == {"warmup": (20, 1e-4, 0, 4, 10, 20), "full": (40, 2e-5, 5, 4, 10, 40)}
     assert get(steps={"full": (3, 1.0, 5)})["full"][2] == 3
+    config = mixture.run_config(spark, {"b": 1, "a": 2}, vocabulary_size=9, smoke=True)
+    assert list(config["arguments"]) == ["a", "b"] and config["effective_batch"] == 4 and config["max_length"] == 1024 and config["phases"]["full"]["max_steps"] == 40
     assert mixture.accumulation(256, 1, 16) == 16 and mixture.effective_length(smoke=True) == 1024
     with pytest.raises(ValueError):
         mixture.accumulation(256, 1, 12)
@@ -140,6 +142,10 @@ def test_subword_and_tables(spark, tmp_path):
     io.save_tokenizer(document, str(tmp_path / "t"), {"eos_token": "e"})
     assert io.tokenizer_config(str(tmp_path / "t"))["pad_token"] == "e"
     assert io.read_tokenizer(str(tmp_path / "t")).document == document
+    text, stats = vocabulary.readable_document(spark, t)
+    shown = json.loads(text)["model"]
+    assert len(shown["vocab"]) == stats["tokens"] - stats["clashes"] // 2 and [" ", "the"] in shown["merges"] and " the" in shown["vocab"]
+    assert stats["kept_raw"] > 0  # bytes that are no character of their own all decode to the same sign
     out = mixture.encoded(df, t, key="i", length=4).collect()
     assert len(out) == 1 and out[0].attention_mask == [1, 1, 1, 1]
 
@@ -169,6 +175,9 @@ def test_files(spark, tmp_path):
     (tmp_path / "lists").mkdir()
     (tmp_path / "lists" / "a.txt").write_text(" x\n\n-y\x85z\n", encoding="utf-8")
     assert [(r.file, r.raw) for r in io.read_lines(spark, str(tmp_path / "lists")).orderBy("position").collect()] == [("a.txt", " x"), ("a.txt", "-y"), ("a.txt", "z")]
+    (tmp_path / "s.txt").write_text("one\n two \n\none\n")
+    lines = io.read_samples(spark, str(tmp_path / "s.txt"), ("two", "three"))
+    assert [r.text for r in compare.samples(lines, None).collect()] == ["one", "two", "three"]
     chosen = candidates.select(frame(spark, [("aaaa", 10)], "word string, count long"), Fixed({}), script=None)
     assert io.write_candidates(chosen, str(tmp_path / "c.tsv")) == 1
     raw = (tmp_path / "c.tsv").read_bytes()
