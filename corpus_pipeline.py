@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm import decontaminate, mix, ngram_jaccard, quality, sharding
+from lexforge.llm import decontaminate, mix, ngram_jaccard, oracle, quality, sharding
 from lexforge.llm.common import written
 
 
@@ -45,8 +45,7 @@ STAGES = [
     ("sharding", shards),
 ]
 
-#: The n-gram join, the automaton and the nested fills are iterative; tests hold the pipeline against brute force.
-ORACLE_SQL = None
+ORACLE_SQL = oracle.pipeline()
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from . import mix, sharding
 from . import quality as Q
 
+#: The size in words of every document.
+SIZED = r"sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),"
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -82,14 +86,33 @@ SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
   sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(fin, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
 """
 
-JACCARD = f"""
+def jaccard(width: int, percent: int) -> str:
+    return f"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + least(3, len(w)) - 1], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) AS p FROM d WHERE len(w) > 0)),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + least({width}, len(w)) - 1], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - {width - 2}))) AS p FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (x) JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
-  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 90 * (na.n + nb.n - count(*))),
+  WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= {percent} * (na.n + nb.n - count(*))),
 r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(least(d.doc_id, coalesce(c.least, d.doc_id)) AS BIGINT) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 """
+
+
+JACCARD = jaccard(3, 90)
+
+
+def pipeline() -> str:
+    """The five stages, each over what the one before kept."""
+    over = lambda sql, name: sql.replace("FROM documents", f"FROM {name}")
+    mixed = f"WITH {over(SIZED, 's3')}{mix.SQL}SELECT doc_id, times + CAST(extra AS BIGINT) AS copies FROM x{mix.FILLS} WHERE size > 0"
+    shard = f"WITH docs AS (SELECT doc_id, text FROM s4), {sharding.SQL}SELECT DISTINCT doc_id, substr(lpad(bin(h), 60, '0'), 1, x.d) AS shard FROM f"
+    return f"""
+WITH s1 AS MATERIALIZED (SELECT o.* FROM documents o JOIN ({QUALITY}) q USING (doc_id) WHERE q.kept),
+s2 AS MATERIALIZED (SELECT o.* FROM s1 o JOIN ({over(jaccard(5, 80), 's1')}) j USING (doc_id) WHERE j.component_id = o.doc_id),
+s3 AS MATERIALIZED (SELECT o.* FROM s2 o JOIN ({over(DECONTAMINATION, 's2')}) c USING (doc_id) WHERE NOT c.contaminated),
+m AS MATERIALIZED ({mixed}),
+s4 AS MATERIALIZED (SELECT o.* FROM s3 o JOIN m USING (doc_id), range(0, 3) n(i) WHERE n.i < m.copies)
+SELECT s4.*, shard FROM s4 JOIN ({shard}) USING (doc_id)
+"""

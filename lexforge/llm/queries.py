@@ -71,12 +71,9 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_source_mix, op2_url_filter, op3_ngram_jaccard, op4_token_counts, op5_token_store, op6_toxicity, op7_sharding, op8_quality_rules, op9_repeated_substrings, op10_decontamination)}
 
 
-_SIZED = r"sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),"
-
-
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_source_mix": f"WITH {_SIZED}{mix.SQL}SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE (times + CAST(extra AS BIGINT)) * size END AS taken FROM x{mix.FILLS}",
+        "op1_source_mix": f"WITH {oracle.SIZED}{mix.SQL}SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE (times + CAST(extra AS BIGINT)) * size END AS taken FROM x{mix.FILLS}",
         "op2_url_filter": url_filter.SQL,
         "op3_ngram_jaccard": oracle.JACCARD,
         "op8_quality_rules": oracle.QUALITY,

@@ -3,8 +3,9 @@ from collections import Counter
 import duckdb
 
 import corpus_pipeline
-from lexforge.llm import sharding
-from lexforge.llm.queries import _SIZED, mix
+from lexforge.llm import mix, sharding
+from lexforge.llm.oracle import SIZED
+from tests.llm.helpers import duck, same
 from tests.llm import test_decontaminate, test_ngram_jaccard, test_quality
 
 
@@ -29,7 +30,7 @@ def test_against_brute_force(spark, sf):
     c = duckdb.connect()
     documents = docs.where(docs.doc_id.isin(sorted(clean))).toPandas()  # noqa: F841
     c.sql("CREATE TABLE documents AS SELECT * FROM documents")
-    want = {r[0]: r[1] for r in c.sql(f"WITH {_SIZED}{mix.SQL}SELECT doc_id, times + CAST(extra AS BIGINT) FROM x{mix.FILLS} WHERE size > 0").fetchall()}
+    want = {r[0]: r[1] for r in c.sql(f"WITH {SIZED}{mix.SQL}SELECT doc_id, times + CAST(extra AS BIGINT) FROM x{mix.FILLS} WHERE size > 0").fetchall()}
     got = corpus_pipeline.run(spark, sf)
     assert got.columns == [*docs.columns, "shard"]
     out = got.collect()
@@ -42,6 +43,10 @@ def test_against_brute_force(spark, sf):
     assert test_decontaminate
 
 
+def test_against_sql(spark, sf):
+    assert same(corpus_pipeline.run(spark, sf), duck(sf).sql(corpus_pipeline.ORACLE_SQL))
+
+
 def test_stages():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "source_mix", "sharding"]
 
