@@ -3,8 +3,9 @@
 Each text has two histograms: its characters by class, and its common words (the listed ones, and all others). Each
 language has the same two as sums over all its documents of enough words and few symbols and capitals: the reference. A text is rejected
 when the Jensen-Shannon distance (square root of the divergence in bits, 0 to 1) of either histogram to its language's
-reference is beyond a limit. Short texts have noisy histograms, so both have minimum lengths, of the text and of the
-reference; below them there is no verdict by divergence.
+reference is beyond that distance's own limit, or when both are beyond lower limits. Short texts have noisy histograms,
+so the limits fall with the length of the text, and text and reference have minimum lengths; below them there is no
+verdict by divergence.
 
 Base rules: fewer than 50 words, or more than half of all words in 3-word windows that occur twice, fail.
 
@@ -20,9 +21,12 @@ from pyspark.sql import functions as F
 from .common import SPACE, bind, words, written
 
 MIN_WORDS, MAX_REPEATED = 50, 50
-#: Limits of the distances (NOISE / words comes to the first), and the words that a text and a reference need.
+#: Limits of both distances together (NOISE / words comes to the first), and the words that a text and a reference need.
 MAX_CLASS, NOISE, MAX_COMMON = 0.175, 1.0, 0.14
 MIN_DIVERGENT, MIN_REFERENCE = 50, 1000
+#: What comes to the limits of a distance that rejects alone: by words, by the square root of words, and by the share of
+#: digits and symbols in the reference, where these are ordinary.
+CLASS_ALONE, COMMON_ALONE, MIXED = 5.0, 2.0, 2.0
 #: Frequent words of four languages.
 COMMON = (
     "the", "of", "and", "to", "in", "that",
@@ -32,7 +36,7 @@ COMMON = (
 )
 #: Classes of characters, counted one after the other; what is left is of no class.
 CLASSES = (r"[a-z\p{Ll}\p{Lo}\p{Lm}\p{M}]+", SPACE, r"\p{Lu}+", r"[.,;:!?'\"()-]+", r"\p{Nd}+", r"[#*$%&|<>]+")
-CAPITAL_CLASS, SYMBOL_CLASS = 2, 5
+CAPITAL_CLASS, DIGIT_CLASS, SYMBOL_CLASS = 2, 4, 5
 SYMBOLS = r"[#*$%&|<>]"
 #: Documents with more symbols or capitals than this share of their characters are no part of a reference.
 MAX_SYMBOLS, MAX_CAPITALS = 0.01, 0.2
@@ -146,7 +150,10 @@ def _judged(docs: DataFrame, kept: Column, text: str, lang: str) -> DataFrame:
     enough = (F.col("n_words") >= MIN_DIVERGENT) & (_total(F.col("ref_common")) >= MIN_REFERENCE)
     # a row number keeps filters above this projection: pushed below it, they would compute everything once more
     rows = rows.select("*", F.when(enough, by_class).alias("class_distance"), F.when(enough, by_common).alias("common_distance"), (F.monotonically_increasing_id() >= 0).alias("here"))
-    far = (F.coalesce("class_distance", F.lit(0.0)) > MAX_CLASS + NOISE / F.col("n_words")) & (F.coalesce("common_distance", F.lit(0.0)) > MAX_COMMON)
+    n, one, two = F.greatest(F.col("n_words"), F.lit(1)), F.coalesce("class_distance", F.lit(0.0)), F.coalesce("common_distance", F.lit(0.0))
+    far = (one > MAX_CLASS + NOISE / n) & (two > MAX_COMMON)
+    mixed = (F.get("ref_classes", F.lit(DIGIT_CLASS)) + F.get("ref_classes", F.lit(SYMBOL_CLASS))) / _total(F.col("ref_classes"))
+    far = far | (one > MAX_CLASS + CLASS_ALONE / n + MIXED * mixed) | (two > MAX_COMMON + COMMON_ALONE / F.sqrt(n))
     far = F.coalesce(far, F.lit(False))
     return rows.withColumn("verdict", F.col("here") & ~F.col("base_failed") & ~far)
 

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -86,3 +87,19 @@ def test_labels(spark):
     rows = quality.report(spark.read.parquet(f"{sf}/documents.parquet")).where("not base_failed").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
     bad, good = [r.kept for r in rows if not r.quality], [r.kept for r in rows if r.quality]
     assert sum(bad) <= 0.05 * len(bad) and sum(good) >= 0.98 * len(good)
+
+
+def test_partly_junk(spark):
+    rnd = random.Random(2)
+    found = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").select("doc_id", "text", "lang")
+    clean = [(r.doc_id, r.text, r.lang) for r in quality.report(found).where("kept and n_words >= 400").select("doc_id").join(found, "doc_id").orderBy("doc_id").limit(30).collect()]
+    greek = ["".join(rnd.choice("αβγδεζηθικλμνο") for _ in range(rnd.randrange(2, 9))) for _ in range(300)]  # of no list
+    clean += [(10**6 + i, " ".join(rnd.choice(greek) for _ in range(450)), "el") for i in range(30)]
+    junk = []
+    for d, text, lang in clean[::3]:
+        for k, letters in enumerate(("#*$%&|<>", "#*$%0123456789")):
+            ws = ["".join(rnd.choice(letters) for _ in w) if rnd.random() < 0.3 else w for w in text.split()]
+            junk.append((10**7 * (k + 1) + d, " ".join(ws), lang))
+    got = {r.doc_id: r.kept for r in quality.report(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string")).collect()}
+    assert all(got[d] for d, _, _ in clean)
+    assert not any(got[d] for d, _, _ in junk)
