@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from lexforge.llm import quality, queries
 
 
@@ -103,3 +105,9 @@ def test_partly_junk(spark):
     got = {r.doc_id: r.kept for r in quality.report(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string")).collect()}
     assert all(got[d] for d, _, _ in clean)
     assert not any(got[d] for d, _, _ in junk)
+
+
+def test_common_words_of_each_language(spark):
+    words = "the of and to in is that for with was de la le les et des en un une que der die und den das von zu mit ist nicht el los las del se por con para no y".split()
+    counts = spark.createDataFrame([(words + ["other"],)], "w array<string>").select(quality.common_counts(F.col("w")).alias("c")).first().c
+    assert counts == [1] * 41
