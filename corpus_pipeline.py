@@ -18,8 +18,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at a similarity of 0.8 or more, the one of the smallest id stays."""
-    return ngram_jaccard.representatives(docs, width=5, percent=80)
+    """Of documents linked by five-word shingles at a similarity of 0.8 or more, the one of the smallest id stays, whatever
+    ids are null or repeated."""
+    return ngram_jaccard.representatives(docs, width=5, percent=80, by_id=False)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -238,15 +238,15 @@ def _texts(batches, size: int):
                 lo, used = i + 1, 0
 
 
-def _prints(width: int):
-    """id, n, node of each text."""
+def _prints(width: int, carried: list[str]):
+    """The carried columns, n, node of each text."""
 
     def run(batches):
         known = Words()
         for part, texts in _texts(batches, BLOCK):
             text, value = shingled(texts, width, known)
             n, node = fingerprints(text, value, len(texts))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(node.view(np.int64))], names=["id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carried], pa.array(n, pa.int64()), pa.array(node.view(np.int64))], names=[*carried, "n", "node"])
 
     return run
 
@@ -338,8 +338,22 @@ def components(edges: DataFrame) -> DataFrame:
 def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: id (null ids as NULL_ID), n_shingles, node (its set's fingerprint), component_id (the
     smallest id reachable by links)."""
-    texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text).alias("t"))
-    prints = written(texts.mapInArrow(_prints(width), "id long, n long, node long"), "jaccard-prints")
+    return _joined(docs, doc_id, text, width, percent).select("id", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def _key(doc_id: str):
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
+
+
+def _hash(text: str):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _joined(docs: DataFrame, doc_id: str, text: str, width: int, percent: int, *, labelled: bool = False) -> DataFrame:
+    """id, n, node, component of each document; if labelled, also h (its text's hash) and the component's label."""
+    texts = docs.select(_key(doc_id).alias("id"), F.col(text).alias("t"), *([_hash(text).alias("h")] if labelled else []))
+    carried = ["id", "h"] if labelled else ["id"]
+    prints = written(texts.mapInArrow(_prints(width, carried), ", ".join(f"{c} long" for c in [*carried, "n", "node"])), "jaccard-prints")
 
     keys = texts.select("t").mapInArrow(_keys(width, percent), "key long, node long, need int")
     same = Window.partitionBy("key")
@@ -372,9 +386,8 @@ def join(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 5, perce
 
     classes = one.join(whole, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     least = classes.groupBy("label").agg(F.min("id").alias("component"))
-    classes = written(classes.join(least, "label").select("node", "component"), "jaccard-components")
-    found = prints.join(classes, "node")
-    return found.select("id", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"))
+    classes = written(classes.join(least, "label").select("node", "component", *(["label"] if labelled else [])), "jaccard-components")
+    return prints.join(classes, "node")
 
 
 def report(docs: DataFrame, *, doc_id="doc_id", **options) -> DataFrame:
@@ -383,17 +396,18 @@ def report(docs: DataFrame, *, doc_id="doc_id", **options) -> DataFrame:
     return join(docs, doc_id=doc_id, **options).select(given("id")("doc_id"), "n_shingles", given("component_id")("component_id"))
 
 
-def representatives(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group: that of the smallest id. Of rows with this id one is kept, by its text."""
-    found = join(docs, doc_id=doc_id, text=text, width=width, percent=percent)
-    empty = found.where("n_shingles = 0").select("id").distinct()
-    kept = found.where("id = component_id").select("id").distinct()
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
-    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), key.alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"))
-    twice = rows.groupBy("id").count().where("count > 1").select("id")
-    left = rows.join(kept, "id", "left_semi")
-    if not twice.isEmpty():
-        again = left.join(twice, "id", "left_semi").join(empty, "id", "left_anti")
-        once = again.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("h"))).where("nth = 1").select("row")
-        left = left.join(twice, "id", "left_anti").select("row").unionByName(once).unionByName(rows.join(twice, "id", "left_semi").join(empty, "id", "left_semi").select("row"))
+def representatives(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = 5, percent: int = 80, by_id: bool = True) -> DataFrame:
+    """docs with one row of each group, and all rows without words: that of the smallest id, null ids first; of rows with
+    one id the one of the least hash of its text. By id, of the rows that stay with one (not null) id only one does."""
+    found = written(_joined(docs, doc_id, text, width, percent, labelled=True).select("id", "h", "n", "label"), "jaccard-found")
+    best = found.where("n > 0").groupBy("label").agg(F.min(F.struct("id", "h")).alias("best")).select("best.id", "best.h")
+    if by_id:
+        best = best.where(F.col("id") == NULL_ID).unionByName(best.where(F.col("id") != NULL_ID).groupBy("id").agg(F.min("h").alias("h")))
+    chosen = best.unionByName(found.where("n = 0").select("id", "h").distinct())
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), _key(doc_id).alias("id"), _hash(text).alias("h"))
+    left = rows.join(chosen, ["id", "h"], "left_semi")
+    copies = found.where("n > 0").groupBy("id", "h").count().where("count > 1").select("id", "h")
+    if not copies.isEmpty():
+        once = left.join(copies, ["id", "h"], "left_semi").groupBy("id", "h").agg(F.first("row").alias("row"))
+        left = left.join(copies, ["id", "h"], "left_anti").select("row").unionByName(once.select("row"))
     return left.select("row.*")

@@ -134,6 +134,19 @@ def test_representatives(spark):
     assert ngram_jaccard.representatives(d.limit(0)).count() == 0
 
 
+def test_representatives_of_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"{k}x{i}" for i in range(60))
+    near = lambda k: text(k) + " more"
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (7, near("c")), (None, ""), (None, None)]
+    rows += [(1, text("d")), (5, near("d")), (5, text("e")), (5, text("f")), (5, text("f")), (6, near("f")), (8, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = ngram_jaccard.representatives(d, by_id=False).collect()
+    want = [(None, text("a")), (None, text("b")), (None, text("c")), (None, ""), (None, None), (1, text("d")), (5, text("e")), (5, text("f")), (8, "")]
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
+    nulls = [r.text for r in ngram_jaccard.representatives(d).where("doc_id is null").collect()]
+    assert sorted(map(str, nulls)) == sorted(map(str, (t for i, t in want if i is None)))
+
+
 def test_whole_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert result(queries.op3_ngram_jaccard(spark, sf)) == brute(rows, 3, 90)
