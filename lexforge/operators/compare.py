@@ -60,8 +60,11 @@ def summary(rows: DataFrame, names=("base", "reference")) -> DataFrame:
 
 
 def rendered(rows: DataFrame, names=("base", "reference"), text: str = "text", order: str = "position") -> DataFrame:
-    """A Markdown section for each compared sample: nth and markdown."""
+    """A Markdown section for each compared sample: nth and markdown, with the pieces where rows have
+    <name>_decoded_pieces."""
     place = F.row_number().over(Window.orderBy(order))
     parts = [F.format_string(f"- {n}: %d tokens, %.4f characters per token", F.col(f"{n}_tokens"), F.col(f"{n}_chars_per_token")) for n in names]
     parts += [F.format_string(f"- {b} against {a}: %d fewer, %.2f %%", F.col(f"{a}_minus_{b}"), F.col(f"{b}_reduction_vs_{a}")) for a, b in _pairs(names)]
+    shown = [n for n in names if f"{n}_decoded_pieces" in rows.columns]
+    parts += [F.concat_ws("\n", F.lit(f"**{n} tokenization**"), F.lit("```text"), F.concat_ws(" | ", f"{n}_decoded_pieces"), F.lit("```")) for n in shown]
     return rows.withColumn("nth", place).select("nth", F.concat_ws("\n", F.format_string("### Sample %d", "nth"), F.concat(F.lit("> "), F.col(text)), *parts).alias("markdown"))

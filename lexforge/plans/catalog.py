@@ -275,8 +275,12 @@ def compare_summary(spark, d):
 
 def compare_rendered(spark, d):
     rows = _compared(spark, d, "conversations", ("conv_id", "turn")).drop("extended_tokens", "extended_chars_per_token")
-    rows = rows.withColumn("position", F.struct("conv_id", "turn")).withColumn("text", F.substring("text", 1, 40))
-    return compare.rendered(compare.compared(rows)).where("nth <= 20")
+    rows = rows.withColumn("position", F.struct("conv_id", "turn")).orderBy("position").limit(20)
+    code = lambda i: F.conv(F.substring(F.hex(F.encode("text", "UTF-8")), 2 * i - 1, F.lit(2)), 16, 10).cast("int")
+    pieces = {"base": (F.octet_length("text"), lambda i: F.when(code(i) < 128, F.char(code(i))).otherwise("\ufffd")), "reference": (F.length("text"), lambda i: F.substring(F.col("text"), i, F.lit(1)))}
+    for name, (n, piece) in pieces.items():  # bytes and characters, as counted
+        rows = rows.withColumn(f"{name}_decoded_pieces", F.when(n > 0, F.transform(F.sequence(F.lit(1), n), piece)))
+    return compare.rendered(compare.compared(rows))
 
 
 def first_seen_samples(spark, d):
