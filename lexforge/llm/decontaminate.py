@@ -9,7 +9,8 @@ The automaton goes to the executors as a broadcast of the items' texts. Its size
 the next, in one job and without a shuffle.
 
 Null or empty texts have no words, no hits and are not contaminated. An item without words has no window. Repeated
-documents are judged one by one; items that share a window are all reported, repeated item ids once.
+documents are judged one by one; items that share a window are all reported, repeated item ids once. The windows of an
+item whose id is null hit like all others; it has no name, so it counts neither in n_items nor in items_sha256.
 """
 
 from __future__ import annotations
@@ -47,7 +48,9 @@ def automaton(items, width: int = WIDTH):
         ws = normalised(data or b"").split()
         for i in range(max(1, len(ws) - width + 1) if ws else 0):
             window = ws[i : i + width]
-            found.setdefault(b" " + b" ".join(window) + b" ", (len(window), set()))[1].add(item_id)
+            ids = found.setdefault(b" " + b" ".join(window) + b" ", (len(window), set()))[1]
+            if item_id is not None:
+                ids.add(item_id)
     if not found:
         return None
     trie = ahocorasick.Automaton()
@@ -99,11 +102,11 @@ def spans(data: bytes, covered: np.ndarray) -> list[tuple[int, int]]:
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, max_bytes: int):
     """The items in blocks of about max_bytes of text; the size is checked before anything is collected."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("binary").alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).cast("binary").alias("t")).where("t is not null")
     size = items.agg(F.coalesce(F.sum(F.length("t") + 16), F.lit(0))).first()[0]
     n = max(1, math.ceil(size / max_bytes))
     for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k)
         yield [(r.i, bytes(r.t)) for r in part.toLocalIterator()], k == n - 1
 
 

@@ -79,3 +79,15 @@ def test_whole_table(spark, sf):
     short = [x for x in docs if len(x[1]) < 3000][:40]
     want = brute(short, items)
     assert {d: got[d] for d in want} == want
+
+
+def test_null_item_ids(spark):
+    text = lambda k: " ".join(f"{k}x{i}" for i in range(20))
+    items = [(None, text("a")), (None, text("b")), (1, text("b")), (2, text("c")), (None, None)]
+    docs = [(k, f"so {text(w)} there") for k, w in enumerate("abcd")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {0: [(22, 20, 0, sha(""), True)], 1: [(22, 20, 1, sha("1"), True)], 2: [(22, 20, 1, sha("2"), True)], 3: [(22, 0, 0, sha(""), False)]}
+    for size in (decontaminate.MAX_BYTES, 100):
+        assert result(decontaminate.contamination(d, b, max_bytes=size)) == want
+        assert [r.doc_id for r in decontaminate.clean(d, b, max_bytes=size).collect()] == [3]
