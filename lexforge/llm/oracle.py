@@ -69,7 +69,10 @@ b AS (SELECT s.uid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regex
   FROM s JOIN lines USING (uid) LEFT JOIN cov USING (uid)),
 f AS (SELECT *, n_words < {Q.MIN_WORDS} OR 100 * n_repeat_words > {Q.MAX_REPEATED} * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(n_words >= {Q.MIN_DIVERGENT} AND list_sum(rcom) >= {Q.MIN_REFERENCE} AND coalesce(j1.js, 0) > {Q.MAX_CLASS} + {Q.NOISE} / n_words AND coalesce(j2.js, 0) > {Q.MAX_COMMON}, FALSE) AS kept
+  NOT base_failed AND NOT coalesce(n_words >= {Q.MIN_DIVERGENT} AND list_sum(rcom) >= {Q.MIN_REFERENCE} AND (
+    coalesce(j1.js, 0) > {Q.MAX_CLASS} + {Q.NOISE} / n_words AND coalesce(j2.js, 0) > {Q.MAX_COMMON}
+    OR coalesce(j1.js, 0) > {Q.MAX_CLASS} + {Q.CLASS_ALONE} / n_words + {Q.MIXED} * (rcls[{Q.DIGIT_CLASS + 1}] + rcls[{Q.SYMBOL_CLASS + 1}]) / list_sum(rcls)
+    OR coalesce(j2.js, 0) > {Q.MAX_COMMON} + {Q.COMMON_ALONE} / sqrt(n_words)), FALSE) AS kept
 FROM f LEFT JOIN r USING (k) LEFT JOIN j1 USING (uid) LEFT JOIN j2 USING (uid)
 """
 

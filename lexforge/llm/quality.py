@@ -9,8 +9,14 @@ verdict by divergence.
 
 Base rules: fewer than 50 words, or more than half of all words in 3-word windows that occur twice, fail.
 
-Two scans and no shuffle but that of the references' partial sums. A null text has no words and fails. A null language
-is a language of its own. Repeated rows are judged one by one.
+Texts are scanned once: that scan writes each document's counts (some 55 numbers), references are sums over this table,
+and the verdict is a join of the two. No shuffle but that of the sums, which are partial and by language. ``report``
+carries only ids along; ``passed`` has to carry the rows, so that repeated rows and ids need no join.
+
+Cases. A null or empty text has no words and fails. A null language is a language of its own. Repeated rows are judged
+one by one and all kept or all rejected. Distances at a limit pass (ties). Texts of any length are one row of work; their
+words are an array in memory. An empty table gives an empty result. Columns of the input may have any names, those used
+here included: they travel in a struct.
 """
 
 from __future__ import annotations
@@ -89,11 +95,11 @@ def class_counts(text: Column) -> Column:
 
 
 def common_counts(ws: Column) -> Column:
-    """Occurrences of each common word, and of all other words."""
-
-    def counted(line: Column) -> Column:
-        return F.array(*[((F.length(line) - F.length(F.replace(line, F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("bigint") for w in COMMON])
-
+    """Occurrences of each common word, and of all other words. One expression runs over the list of words: forty copies
+    of it would be a plan too large for the compiler."""
+    listed = F.array(*[F.lit(f" {w} ") for w in COMMON])
+    times = lambda line, w: ((F.length(line) - F.length(F.replace(line, w, F.lit("")))) / F.length(w)).cast("bigint")
+    counted = lambda line: F.transform(listed, lambda w: times(line, w))
     known = F.filter(ws, lambda w: w.isin(*COMMON))
     line = lambda x: F.concat(F.lit(" "), F.array_join(x, "  "), F.lit(" "))
     return bind(known, lambda x: F.concat(bind(line(x), counted), F.array((F.size(ws) - F.size(x)).cast("bigint"))))
@@ -122,40 +128,40 @@ def base_failed(n: Column, n_repeat: Column) -> Column:
     return (n < MIN_WORDS) | (100 * n_repeat > MAX_REPEATED * n)
 
 
-def _counted(docs: DataFrame, kept: Column, text: str, lang: str) -> DataFrame:
-    """kept, key (of the language), and all counts."""
+def counts(docs: DataFrame, kept: Column, *, text="text", lang="lang") -> DataFrame:
+    """One row per document, from one scan: kept, key (of the language), common, classes, and the measures."""
     rows = docs.select(kept.alias("kept"), F.col(text).alias("text"), F.coalesce(F.concat(F.lit("="), F.col(lang).cast("string")), F.lit("")).alias("key"))
     rows = rows.withColumn("__words", words(F.col("text")))
     rows = rows.select("*", windows(F.col("__words")).alias("__w"), common_counts(F.col("__words")).alias("common"), class_counts(F.col("text")).alias("classes"), *[c.alias(n) for n, c in measures(F.col("text")).items()])
     again = F.when(F.size(F.array_distinct("__w")) < F.size("__w"), repeated(F.col("__w"))).otherwise(0)
-    rows = rows.select("kept", "key", "common", "classes", "n_words", "word_chars", "n_symbols", "n_dup_lines", again.cast("long").alias("n_repeat_words"))
-    return rows.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
+    return rows.select("kept", "key", "common", "classes", "n_words", "word_chars", "n_symbols", "n_dup_lines", again.cast("long").alias("n_repeat_words"))
 
 
-def references(docs: DataFrame, *, text="text", lang="lang") -> DataFrame:
-    """One row per language: key, and the histograms over its documents of enough words."""
-    rows = docs.select(F.coalesce(F.concat(F.lit("="), F.col(lang).cast("string")), F.lit("")).alias("key"), words(F.col(text)).alias("w"), F.col(text).alias("text"))
-    rows = rows.where(F.size("w") >= MIN_WORDS).select("key", "w", class_counts(F.col("text")).alias("classes"))
+def references(counted: DataFrame) -> DataFrame:
+    """One row per language of a table of counts: key, and the histograms over its documents of enough words."""
     share = lambda c: F.get("classes", F.lit(c)) / _total(F.col("classes"))
-    rows = rows.where((share(SYMBOL_CLASS) <= MAX_SYMBOLS) & (share(CAPITAL_CLASS) <= MAX_CAPITALS)).select("key", "classes", common_counts(F.col("w")).alias("common"))
-    sums = lambda c, n: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(n)]).alias(f"ref_{c}")
-    return rows.groupBy("key").agg(sums("common", len(COMMON) + 1), sums("classes", len(CLASSES) + 1))
+    fit = (F.col("n_words") >= MIN_WORDS) & (share(SYMBOL_CLASS) <= MAX_SYMBOLS) & (share(CAPITAL_CLASS) <= MAX_CAPITALS)
+    each = counted.where(fit).select("key", F.posexplode(F.concat("common", "classes")).alias("at", "n"))
+    sums = each.groupBy("key", "at").agg(F.sum("n").alias("n"))
+    n = len(COMMON) + 1
+    whole = sums.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda x: x["n"]).alias("all"))
+    return whole.select("key", F.slice("all", 1, n).alias("ref_common"), F.slice("all", n + 1, len(CLASSES) + 1).alias("ref_classes"))
 
 
 def _judged(docs: DataFrame, kept: Column, text: str, lang: str) -> DataFrame:
-    found = written(references(docs, text=text, lang=lang), "quality-references")
-    rows = _counted(docs, kept, text, lang).join(found, "key", "left")
+    counted = written(counts(docs, kept, text=text, lang=lang), "quality-counts")
+    found = written(references(counted), "quality-references")
+    rows = counted.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))).join(found, "key", "left")
     by_class = distance(F.col("classes"), F.col("ref_classes"))
     by_common = distance(F.col("common"), F.col("ref_common"))
     enough = (F.col("n_words") >= MIN_DIVERGENT) & (_total(F.col("ref_common")) >= MIN_REFERENCE)
-    # a row number keeps filters above this projection: pushed below it, they would compute everything once more
-    rows = rows.select("*", F.when(enough, by_class).alias("class_distance"), F.when(enough, by_common).alias("common_distance"), (F.monotonically_increasing_id() >= 0).alias("here"))
+    rows = rows.select("*", F.when(enough, by_class).alias("class_distance"), F.when(enough, by_common).alias("common_distance"))
     n, one, two = F.greatest(F.col("n_words"), F.lit(1)), F.coalesce("class_distance", F.lit(0.0)), F.coalesce("common_distance", F.lit(0.0))
     far = (one > MAX_CLASS + NOISE / n) & (two > MAX_COMMON)
     mixed = (F.get("ref_classes", F.lit(DIGIT_CLASS)) + F.get("ref_classes", F.lit(SYMBOL_CLASS))) / _total(F.col("ref_classes"))
     far = far | (one > MAX_CLASS + CLASS_ALONE / n + MIXED * mixed) | (two > MAX_COMMON + COMMON_ALONE / F.sqrt(n))
     far = F.coalesce(far, F.lit(False))
-    return rows.withColumn("verdict", F.col("here") & ~F.col("base_failed") & ~far)
+    return rows.withColumn("verdict", ~F.col("base_failed") & ~far)
 
 
 def report(docs: DataFrame, *, doc_id="doc_id", text="text", lang="lang") -> DataFrame:

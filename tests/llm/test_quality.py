@@ -58,7 +58,10 @@ def expected(rows):
         ref = refs.get(lang)
         far = False
         if ref and base[0] >= 50 and sum(ref[0]) >= quality.MIN_REFERENCE:
-            far = js(classes, ref[1]) > quality.MAX_CLASS + quality.NOISE / base[0] and js(common, ref[0]) > quality.MAX_COMMON
+            one, two, n = js(classes, ref[1]), js(common, ref[0]), base[0]
+            mixed = (ref[1][4] + ref[1][5]) / sum(ref[1])
+            far = one > quality.MAX_CLASS + quality.NOISE / n and two > quality.MAX_COMMON
+            far = far or one > quality.MAX_CLASS + quality.CLASS_ALONE / n + quality.MIXED * mixed or two > quality.MAX_COMMON + quality.COMMON_ALONE / math.sqrt(n)
         out.append((d, *base, not base[-1] and not far))
     return sorted(out, key=str)
 
@@ -81,7 +84,13 @@ def test_odd_rows(spark):
     assert got(quality.report(d).select(*names)) == want
     left = quality.passed(d)
     assert left.columns == d.columns and left.count() == sum(r[-1] for r in want)
-    assert quality.report(d.limit(0)).count() == 0
+    assert quality.report(d.limit(0)).count() == 0 and quality.passed(d.limit(0)).count() == 0
+
+
+def test_one_scan(spark, sf):
+    """References and verdicts come from the written counts: the texts are read by one job."""
+    plan = quality.report(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and plan.count("FileScan parquet") <= 2
 
 
 def test_labels(spark):
