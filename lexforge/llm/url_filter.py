@@ -6,13 +6,17 @@ day to the day of the next entry of the same list and key. A capture has a few k
 in, and every path prefix under its host. It is filtered when an interval of one of its keys holds its fetch day: an
 as-of join, by equality of keys and then by the interval.
 
-Intervals go to all executors if there are at most ``SENT`` of them; beyond that the join is a shuffle by key, whose
-large partitions Spark splits, since a hot host is many captures but few intervals. Captures without a match stay, so
-the result has one row per capture; hits are summed up by capture before and after the shuffle.
-
-On one day, removals come after additions. A null or unreadable URL has no host and no keys and is never filtered; so
-is a capture without a day. Entries without key, list, action or day are no entries. Repeated captures are judged one
-by one, repeated entries count once.
+A verdict depends on a capture's URL and day alone, so it is sought once for each distinct pair of them, and captures
+take it over by an equality join on that pair: no row numbers are drawn, which a repeated or re-planned task could draw
+differently. Intervals go to all executors if there are at most ``SENT`` of them; beyond that the join is a shuffle by
+key, whose large partitions Spark splits, since a hot host is many captures but few intervals. Hits are summed up by
+pair before and after the shuffle.
+
+Cases. Captures without a match stay: one row per capture, repeated captures judged alike, none merged. On one day,
+removals come after additions (ties). A null or unreadable URL has no host and no keys and is never filtered; so is a
+capture without a day, and an empty URL. Entries without key, list, action or day are no entries; repeated entries count
+once. A URL of any length has one key for each path prefix, so its keys grow with the square of its depth. Empty captures
+give an empty result, empty lists filter nothing. Columns may have any names: they travel in a struct.
 """
 
 from __future__ import annotations
@@ -56,17 +60,22 @@ def intervals(entries: DataFrame) -> DataFrame:
     return rows.where("action = 'add' and (until is null or until > day)").select("list", "key", F.col("day").alias("since"), "until")
 
 
-def judged(captures: DataFrame, entries: DataFrame, *, url="url", day="day") -> DataFrame:
-    """(row, host, filtered, n_entries, first_list, since) of every capture; row has all its columns."""
+def verdicts(pairs: DataFrame, entries: DataFrame) -> DataFrame:
+    """(u, on, n_entries, first_list, since) of the distinct URLs and days of (u, on) that an active entry filters."""
     valid = written(intervals(entries), "url-intervals")
     valid = F.broadcast(valid) if valid.limit(SENT + 1).count() <= SENT else valid
-    rows = captures.select(F.struct(*[F.col(c) for c in captures.columns]).alias("row"), host_of(F.col(url)).alias("host"), F.col(day).alias("on"), F.monotonically_increasing_id().alias("uid"), keys_of(F.col(url)).alias("keys"))
-    slim = rows.select("uid", "on", F.explode("keys").alias("key"))
+    slim = pairs.where("u is not null and on is not null").distinct().select("u", "on", F.explode(keys_of(F.col("u"))).alias("key"))
     active = (F.col("since") <= F.col("on")) & (F.col("until").isNull() | (F.col("on") < F.col("until")))
     hits = slim.join(valid, "key").where(active)
-    found = hits.groupBy(F.col("uid").alias("of")).agg(F.count(F.lit(1)).alias("n"), F.min("list").alias("first_list"), F.min("since").alias("since"))
-    out = rows.select("row", "host", "uid").join(found, F.col("uid") == F.col("of"), "left")
-    return out.select("row", "host", F.col("n").isNotNull().alias("filtered"), F.coalesce("n", F.lit(0)).alias("n_entries"), "first_list", "since")
+    return hits.groupBy("u", "on").agg(F.count(F.lit(1)).alias("n_entries"), F.min("list").alias("first_list"), F.min("since").alias("since"))
+
+
+def judged(captures: DataFrame, entries: DataFrame, *, url="url", day="day") -> DataFrame:
+    """(row, host, filtered, n_entries, first_list, since) of every capture; row has all its columns."""
+    rows = captures.select(F.struct(*[F.col(c) for c in captures.columns]).alias("row"), F.col(url).alias("u"), F.col(day).alias("on"))
+    found = verdicts(rows.select("u", "on"), entries)
+    out = rows.join(found, ["u", "on"], "left")
+    return out.select("row", host_of(F.col("u")).alias("host"), F.col("n_entries").isNotNull().alias("filtered"), F.coalesce("n_entries", F.lit(0)).alias("n_entries"), "first_list", "since")
 
 
 def passed(captures: DataFrame, entries: DataFrame, **options) -> DataFrame:

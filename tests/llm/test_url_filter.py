@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from lexforge.llm import queries, url_filter
 from tests.llm.helpers import duck, same
 
@@ -57,3 +59,32 @@ def test_against_sql(spark):
         assert n
     rows = queries.op2_url_filter(spark, sf).collect()
     assert 0 < sum(r.filtered for r in rows) < len(rows)
+
+
+def test_shuffled_captures(spark):
+    """Captures that come from a join, dropDuplicates or a repartition get the verdicts of a plain scan."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html")
+    entries = url_filter.drawn_entries(pages)
+    plain = pages.withColumn("day", url_filter.fetch_day(F.col("url")))
+    ids = spark.range(0, 10**6).withColumnRenamed("id", "page_id")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows = lambda d: sorted((r.row.page_id, r.filtered, r.n_entries) for r in url_filter.judged(d, entries).select(F.struct("row.page_id").alias("row"), "filtered", "n_entries").collect())
+        lists = [(r.list, r.key, r.action, r.day) for r in entries.collect()]
+        few = plain.orderBy("page_id").limit(300)
+        want = brute([(r.page_id, r.url, r.day) for r in few.select("page_id", "url", "day").collect()], lists)
+        assert sorted(want) == rows(few)
+        found = rows(plain)
+        assert 0 < sum(x[1] for x in found) < len(found)
+        for other in (plain.dropDuplicates(["page_id"]), plain.dropDuplicates(), plain.join(ids, "page_id"), plain.repartition(64, "page_id"), plain.repartition(7)):
+            assert rows(other) == found
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_long_url(spark):
+    url = "http://a.example.com/" + "/".join(f"p{i}" for i in range(3000))
+    c = spark.createDataFrame([(1, url, day(9))], "page_id long, url string, day date")
+    e = spark.createDataFrame([("l", "a.example.com/p0/p1", "add", day(9))], "list string, key string, action string, day date")
+    assert [(r.filtered, r.n_entries) for r in url_filter.judged(c, e).collect()] == [(True, 1)]
