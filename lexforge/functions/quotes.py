@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from .text import WHITE, normalized
+from .text import WHITE, normalized, stripped
 
 # Quotation marks, and what they are folded to; the three kinds of quoted spans.
 FOLD = ("‘’‚‛′“”„«»ʼ", "'''''\"\"\"\"\"'")
@@ -21,25 +21,28 @@ def fold(text: Column) -> Column:
 
 
 def spans(text: str) -> list[str]:
-    """Segments of all kinds; of overlapping ones the first, or the longest of those that begin together."""
+    """Segments of all kinds, without white space around them; of overlapping ones the first, or the longest of those
+    that begin together."""
     found = [m for kind in KINDS for m in re.finditer(kind, text) if m.group(1).strip()]
     kept, end = [], -1
     for m in sorted(found, key=lambda m: (m.start(), -m.end())):
         if m.start() >= end:
-            kept.append(m.group(1))
+            kept.append(m.group(1).strip())
             end = m.end()
     return kept
 
 
 @F.pandas_udf(ArrayType(StringType()))
 def _segments(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: spans(t) if t else [])
+    return texts.map(lambda t: spans(t) if t is not None else None)
 
 
 def with_segments(df: DataFrame, text: str, form: str = "NFKC", out: str = "segments") -> DataFrame:
-    """df with the quoted segments of its text. Texts with one kind of mark, the double one, or none stay in the JVM."""
+    """df with the quoted segments of its text, from one scan. Only texts with marks of other kinds than the double one are
+    sent to Python: in the column that it gets, all others are null."""
     df = normalized(df, text, form).withColumn(text, fold(F.col(text)))
-    single = F.coalesce(~F.col(text).rlike("[`']"), F.lit(True))
+    several = F.col(text).rlike("[`']")
     native = F.filter(F.regexp_extract_all(F.col(text), F.lit(KINDS[0]), F.lit(1)), lambda s: s.rlike(f"[^{WHITE}]"))
-    native = F.coalesce(native, F.array().cast("array<string>"))
-    return df.where(single).withColumn(out, native).unionByName(df.where(~single).withColumn(out, _segments(F.col(text))))
+    native = F.coalesce(F.transform(native, stripped), F.array().cast("array<string>"))
+    df = df.withColumn(out, _segments(F.when(several, F.col(text))))
+    return df.withColumn(out, F.coalesce(F.col(out), native))

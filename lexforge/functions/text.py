@@ -49,13 +49,12 @@ def strip_accents(words: pd.Series) -> pd.Series:
 
 def normalized(df: DataFrame, text: str, form: str = "NFKC") -> DataFrame:
     """df with its text in a normal form, typographic apostrophes made plain. Only texts that a normal form could change
-    meet Python: the others take a branch of their own."""
+    are sent to Python: in the column that it gets, all others are null."""
     if form not in FORMS:
         raise ValueError(f"normalization must be one of {', '.join(FORMS)}")
     if form != "none":
         udf = _nfc if form == "NFC" else _nfkc
-        plain = F.coalesce(F.col(text).rlike(_PLAIN), F.lit(True))
-        df = df.where(plain).unionByName(df.where(~plain).withColumn(text, udf(F.col(text))))
+        df = df.withColumn(text, F.coalesce(udf(F.when(~F.col(text).rlike(_PLAIN), F.col(text))), F.col(text)))
     return df.withColumn(text, F.translate(F.col(text), _APOSTROPHES, "''"))
 
 

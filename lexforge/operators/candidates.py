@@ -90,7 +90,7 @@ def selection_stats(counts: DataFrame, tokenizer, min_pieces=MIN_PIECES, max_sel
 def static_groups(entries: DataFrame) -> DataFrame:
     """Entries (raw, file) by their text without hyphens: entry_count, raw_entries, source_files."""
     word = F.replace("raw", F.lit("-"), F.lit(""))
-    rows = entries.withColumn("word", word).where(T.nonblank(F.col("word")))
+    rows = entries.withColumn("word", word).where(T.nonblank(F.col("raw")) & (F.col("word") != ""))
     return rows.groupBy("word").agg(F.count(F.lit(1)).alias("entry_count"), F.sort_array(F.collect_set("raw")).alias("raw_entries"), F.sort_array(F.collect_set("file")).alias("source_files"))
 
 
@@ -106,6 +106,19 @@ def static_candidates(groups: DataFrame, tokenizer, taken: DataFrame) -> DataFra
     return rows.withColumn("token", F.col("word")).orderBy(F.desc("base_token_count"), "word")
 
 
+def static_candidate_stats(groups: DataFrame, tokenizer, taken: DataFrame) -> DataFrame:
+    """One row: groups, how many of them the base has as an exact single token, how many are among the selected tokens, and
+    how many are left to add."""
+    known = bounded(taken.select(F.col("token").alias("_taken")).distinct())
+    rows = groups.join(known, F.col("word") == F.col("_taken"), "left")
+    if hasattr(tokenizer, "covered"):
+        rows = rows.withColumn("_exact", tokenizer.covered(F.col("word"))["exact"])
+    else:
+        rows = tokenizer.counted(rows, "word", "_pieces").withColumn("_exact", F.col("_pieces") == 1)
+    there = F.col("_taken").isNotNull()
+    return rows.agg(F.count(F.lit(1)).alias("input_groups"), F.count_if("_exact").alias("exact_single_token_in_base"), F.count_if(there).alias("already_selected"), F.count_if(~there).alias("missing"))
+
+
 def final(corpus: DataFrame, static: DataFrame) -> DataFrame:
     """Corpus candidates, then static ones, each in its own order: section, place and the columns of the TSV."""
     by_use = Window.partitionBy("section").orderBy(F.desc("utility_score"), F.desc("base_token_count"), F.desc("count"), "word")
@@ -127,5 +140,7 @@ def select(counts: DataFrame, tokenizer, entries: DataFrame | None = None, *, mi
     return final(chosen, static_candidates(static_groups(entries), tokenizer, chosen))
 
 
-def examples(chosen: DataFrame, limit: int = 25) -> DataFrame:
-    return chosen.orderBy("section", "place").limit(limit)
+def examples(chosen: DataFrame, limit: int = 25, tokenizer=None) -> DataFrame:
+    """The first candidates; with a subword tokenizer also base_decoded_pieces, what each piece of the word spells."""
+    rows = chosen.orderBy("section", "place").limit(limit)
+    return rows.withColumn("base_decoded_pieces", tokenizer.pieces(tokenizer.encode(F.col("word")))) if tokenizer else rows

@@ -32,6 +32,16 @@ def counted(rows: DataFrame, tokens: dict[str, Column], text: str = "text") -> D
     return rows
 
 
+def analysed(rows: DataFrame, tokenizers: dict, text: str = "text") -> DataFrame:
+    """rows with <name>_tokens, <name>_chars_per_token and <name>_decoded_pieces of each subword tokenizer."""
+    for name, t in tokenizers.items():
+        rows = rows.withColumn(f"_{name}", t.segmented(F.col(text)))
+    out = counted(rows, {name: F.col(f"_{name}.token_count") for name in tokenizers}, text)
+    for name in tokenizers:
+        out = out.withColumn(f"{name}_decoded_pieces", F.col(f"_{name}.decoded_pieces")).drop(f"_{name}")
+    return out
+
+
 def _pairs(names) -> list[tuple[str, str]]:
     known = [n for n in NAMES if n in names]
     return [(a, b) for i, a in enumerate(known) for b in known[i + 1 :]]
@@ -47,10 +57,8 @@ def compared(rows: DataFrame, names=("base", "reference")) -> DataFrame:
 
 def summary(rows: DataFrame, names=("base", "reference")) -> DataFrame:
     """One row over all counted samples: totals, means, and reductions of each pair."""
-    count = F.count(F.lit(1))
     sums = [F.coalesce(F.sum(f"{n}_tokens"), F.lit(0)).cast("long").alias(f"{n}_total") for n in names]
-    means = [F.when(count == 0, 0.0).otherwise(F.round(F.avg(f"{n}_chars_per_token"), 4)).alias(f"{n}_mean_chars_per_token") for n in names]
-    out = rows.agg(count.alias("samples"), *sums, *means)
+    out = rows.agg(F.count(F.lit(1)).alias("samples"), *sums)
     for n in names:
         out = out.withColumn(f"{n}_mean_tokens", F.when(F.col("samples") == 0, 0.0).otherwise(F.round(F.col(f"{n}_total").cast("double") / F.col("samples").cast("double"), 4)))
     for a, b in _pairs(names):

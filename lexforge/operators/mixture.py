@@ -47,14 +47,21 @@ def numbered(rows: DataFrame, source: str, order: str, out: str = "k") -> DataFr
     return rows.withColumn(out, F.col("_before") + F.col("_nth")).drop("_of", "_part", "_before", "_nth", "_range")
 
 
+def _edges(weights: dict[str, float]) -> list[tuple[str, int]]:
+    """The upper end of each source's share of the 32-bit numbers. A share without a number would never be drawn."""
+    total, edges, at = math.fsum(weights.values()), [], []
+    for name, w in weights.items():
+        at.append(w)
+        edges.append((name, round(math.fsum(at) / total * (1 << 32))))
+        if edges[-1][1] <= (edges[-2][1] if len(edges) > 1 else 0):
+            raise ValueError(f"the weight of {name} is below one in 2**32 of all")
+    return edges
+
+
 def _draws(spark: SparkSession, weights: dict[str, float], upto: int, seed: int) -> DataFrame:
     """i, source, k: draw i takes the k-th row of its source. The first 32 bits of md5 of seed and i choose it."""
-    total = sum(weights.values())
-    edges, at = [], 0.0
-    for name, w in weights.items():
-        at += w / total
-        edges.append((name, round(at * 1000)))
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("i").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % 1000
+    edges = _edges(weights)
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("i").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
     source = F.when(u < edges[0][1], edges[0][0])
     for name, edge in edges[1:-1]:
         source = source.when(u < edge, name)
@@ -75,6 +82,7 @@ def interleave(rows: DataFrame, weights: dict[str, float], *, source: str = "sou
         raise ValueError("weights must not be negative, and not all 0")
     spark = rows.sparkSession
     weights = {k: w for k, w in weights.items() if w > 0}
+    _edges(weights)
     rows = rows.where(F.col(source).isin(*weights))
     placed = numbered(rows, source, order)
     if len(weights) == 1:
@@ -142,3 +150,26 @@ def run_config(spark: SparkSession, arguments: dict, *, vocabulary_size: int, wo
         "effective_batch": phases[0]["effective_batch"] if phases else 0,
         "phases": {r["phase"]: {k: v for k, v in r.asDict().items() if k != "phase"} for r in phases},
     }
+
+
+def latest_checkpoint(folder: str, overwrite: bool = False) -> str | None:
+    """The checkpoint (a folder named checkpoint-<step>) of the most steps that a phase goes on from; none if the phase
+    is to be overwritten or has no checkpoint."""
+    import os
+    import re
+
+    if overwrite or not os.path.isdir(folder):
+        return None
+    found = [(int(m.group(1)), e.path) for e in os.scandir(folder) if e.is_dir() and (m := re.fullmatch(r"checkpoint-(\d+)", e.name))]
+    return max(found)[1] if found else None
+
+
+def resumed(plan: DataFrame, folders: dict[str, str], overwrite: bool = False) -> DataFrame:
+    """The plan with checkpoint (of each phase's folder, null where it starts anew) and the steps that are left."""
+    import re
+
+    at = {phase: latest_checkpoint(folder, overwrite) for phase, folder in folders.items()}
+    rows = [(phase, path, int(re.search(r"(\d+)$", path).group(1)) if path else 0) for phase, path in at.items()]
+    known = plan.sparkSession.createDataFrame(rows, "phase string, checkpoint string, done long")
+    out = plan.join(F.broadcast(known), "phase", "left").withColumn("done", F.coalesce("done", F.lit(0)))
+    return out.withColumn("steps_left", F.greatest(F.col("max_steps") - F.col("done"), F.lit(0)))

@@ -78,6 +78,23 @@ class Subword:
 
         return run(text)
 
+    def covered(self, text: Column) -> Column:
+        """token_ids of a text, and exact: it is one id, and that id alone spells the text."""
+        document = self.document
+
+        @F.pandas_udf("struct<token_ids:array<int>,exact:boolean>")
+        def run(texts: pd.Series) -> pd.DataFrame:
+            t, given = _cached(document), texts.fillna("").tolist()
+            ids = [e.ids for e in t.encode_batch(given, add_special_tokens=False)]
+            exact = [len(x) == 1 and t.decode(x, skip_special_tokens=False) == g for x, g in zip(ids, given, strict=True)]
+            return pd.DataFrame({"token_ids": ids, "exact": exact})
+
+        return run(text)
+
+    def pieces(self, ids: Column) -> Column:
+        """What each of the ids spells by itself."""
+        return self._batches("array<string>", lambda t, b: [[t.decode([int(i)], skip_special_tokens=False) for i in x] for x in b])(ids)
+
     def vocabulary(self, spark) -> DataFrame:
         """token, id, decoded, special of the whole vocabulary, by id."""
         t = self.model()

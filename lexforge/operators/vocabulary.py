@@ -39,6 +39,25 @@ def partition(tokens: DataFrame, vocabulary: DataFrame, token: str = "token") ->
     return rows.drop("_own", "_own_id", "_spaced", "_spaced_id")
 
 
+def partition_by(tokens: DataFrame, tokenizer, token: str = "token") -> DataFrame:
+    """The same by a subword tokenizer itself: a token is covered if it is encoded as one id that spells it, which an entry
+    that no merge leads to doesn't do. source_ids: its pieces in the base, for the tokens to add."""
+    spaced = F.when(~F.col(token).rlike(f"^[{T.WHITE}]") & (F.col(token) != ""), F.concat(F.lit(" "), F.col(token)))
+    rows = tokens.withColumn("_own", tokenizer.covered(F.col(token))).withColumn("_text", spaced).withColumn("_spaced", tokenizer.covered(spaced))
+    exact, shadow = F.col("_own.exact"), F.col("_text").isNotNull() & F.col("_spaced.exact")
+    first = lambda c: F.get(c, F.lit(0))
+    rows = rows.withColumn("action", F.when(exact | shadow, "skip").otherwise("add")).withColumn("reason", F.when(exact, EXACT).when(shadow, SHADOW))
+    rows = rows.withColumn("conflicting_token", F.when(exact, F.col(token)).when(shadow, F.col("_text")))
+    rows = rows.withColumn("conflicting_token_id", F.when(exact, first("_own.token_ids")).when(shadow, first("_spaced.token_ids")))
+    return rows.withColumn("source_ids", F.when(F.col("action") == "add", F.col("_own.token_ids"))).drop("_own", "_text", "_spaced")
+
+
+def initialisation_samples(parts: DataFrame, tokenizer, limit: int = 50, token: str = "token", position: str = "position") -> DataFrame:
+    """The first tokens to add, with the number, the ids and the spelling of their pieces in the base."""
+    rows = parts.where("action = 'add'").orderBy(position).limit(limit)
+    return rows.select(token, F.size("source_ids").alias("source_token_count"), F.col("source_ids").alias("source_token_ids"), tokenizer.pieces(F.col("source_ids")).alias("source_decoded_pieces"))
+
+
 def extended(parts: DataFrame, vocabulary: DataFrame, token: str = "token", position: str = "position") -> DataFrame:
     """The added tokens with ids that go on after the base, in order of position. New tokens are few: one window."""
     last = vocabulary.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("last"))
@@ -70,20 +89,48 @@ def source_histogram(rows: DataFrame, ids: str = "source_ids") -> DataFrame:
 
 def mean_rows(sources: DataFrame, matrix: DataFrame, key: str, ids: str = "source_ids", row_id: str = "id", vector: str = "vec") -> DataFrame:
     """key and the element-wise mean (in double precision) of the matrix rows of its ids, repeated ids counted."""
-    each = sources.select(key, F.explode(ids).alias("_row")).join(matrix.select(F.col(row_id).alias("_row"), F.col(vector).alias("_vec")), "_row")
-    means = each.select(key, F.posexplode("_vec").alias("_at", "_x")).groupBy(key, "_at").agg(F.avg(F.col("_x").cast("double")).alias("_x"))
-    return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_x"))), lambda s: s["_x"]).alias("mean"))
-
-
-def diff(base: DataFrame, reference: DataFrame, token: str = "token") -> DataFrame:
-    """One row: sizes, common and exclusive tokens, and overlap in percent of each side."""
+    each = sources.select(key, F.posexplode(ids).alias("_at", "_row")).join(matrix.select(F.col(row_id).alias("_row"), F.col(vector).cast("array<double>").alias("_vec")), "_row")
+    # a token has a few pieces: their rows meet as arrays, in order
+    found = each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_vec"))), lambda s: s["_vec"]).alias("_rows"))
+    total = F.aggregate(F.slice("_rows", 2, F.size("_rows")), F.get("_rows", F.lit(0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return found.select(key, F.transform(total, lambda x: x / F.size("_rows")).alias("mean"))
+
+
+def initialised(sources: DataFrame, inputs: DataFrame, outputs: DataFrame | None = None, *, tied: bool = False, key: str = "id", **columns) -> tuple[DataFrame, DataFrame | None, dict]:
+    """New rows of the input matrix and of the output matrix (the same if they are tied, none if there is none), and how
+    many tokens were initialised in each; tokens without pieces are in neither."""
+    given = sources.where(F.size(columns.get("ids", "source_ids")) > 0)
+    new = mean_rows(given, inputs, key, **columns)
+    out = new if tied else mean_rows(given, outputs, key, **columns) if outputs is not None else None
+    n = given.count()
+    return new, out, {"initialized_input_embeddings": n, "initialized_output_embeddings": 0 if out is None else n, "output_embeddings_share_storage": tied}
+
+
+def diff(base: DataFrame, reference: DataFrame, token: str = "token", *, script: str | None = None, decoded: str = "decoded") -> DataFrame:
+    """One row: whole sizes, sizes in a script (of the decoded form; whole ones without one), common and exclusive tokens,
+    and overlap in percent of each side."""
+    full = [df.agg(F.count_distinct(token).alias(f"full_{n}_size")) for n, df in (("base", base), ("reference", reference))]
+    if script:
+        base, reference = in_script(base, script, decoded), in_script(reference, script, decoded)
     a = base.select(token).distinct().withColumn("_a", F.lit(1))
     b = reference.select(token).distinct().withColumn("_b", F.lit(1))
-    rows = a.join(b, token, "full").agg(
+    rows = full[0].crossJoin(full[1]).crossJoin(_overlap(a, b, token))  # one row each
+    return rows.withColumn("common_percent_of_base", T.percentage(F.col("common"), F.col("base_size"))).withColumn("common_percent_of_reference", T.percentage(F.col("common"), F.col("reference_size")))
+
+
+def diff_examples(base: DataFrame, reference: DataFrame, limit: int = 100) -> DataFrame:
+    """kind (common, only_base, only_reference), id, raw, decoded: the first tokens of each kind, common ones as the base
+    has them. Both sides: token, id, decoded."""
+    parts = {"common": common(base, reference), "only_base": only(base, reference), "only_reference": only(reference, base)}
+    each = [examples(rows, limit).select(F.lit(kind).alias("kind"), "id", F.col("token").alias("raw"), "decoded") for kind, rows in parts.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+def _overlap(a: DataFrame, b: DataFrame, token: str) -> DataFrame:
+    return a.join(b, token, "full").agg(
         F.count("_a").alias("base_size"), F.count("_b").alias("reference_size"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("common"),
         F.count_if(F.col("_b").isNull()).alias("only_base"), F.count_if(F.col("_a").isNull()).alias("only_reference"),
     )
-    return rows.withColumn("common_percent_of_base", T.percentage(F.col("common"), F.col("base_size"))).withColumn("common_percent_of_reference", T.percentage(F.col("common"), F.col("reference_size")))
 
 
 def common(base: DataFrame, reference: DataFrame, token: str = "token") -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,10 +162,19 @@ def static_token_stats(spark, d):
     return candidates.static_stats(candidates.static_groups(_entries(spark, d)))
 
 
+def _static(spark, d):
+    """Groups, a tokenizer of the spaced vocabulary, and the words of the selection's input as tokens already taken."""
+    taken = counts.ranked(_counted(spark, d), 5, 200_000).select(F.col("word").alias("token"))
+    base = tokenization.ByteFallback(_spaced_vocabulary(spark, d).select(F.col("decoded").alias("token")))
+    return candidates.static_groups(_entries(spark, d)), base, taken
+
+
 def static_candidates(spark, d):
-    taken = counts.ranked(_counted(spark, d), 1, 500).select(F.col("word").alias("token"))
-    rows = candidates.static_candidates(candidates.static_groups(_entries(spark, d)), tokenization.ByteFallback(_vocabulary(spark, d).where("id % 2 = 0")), taken)
-    return rows.select("word", "entry_count", "base_token_count", "utility_score")
+    return candidates.static_candidates(*_static(spark, d)).select("word", "entry_count", "base_token_count", "utility_score")
+
+
+def static_candidate_stats(spark, d):
+    return candidates.static_candidate_stats(*_static(spark, d))
 
 
 def selected_tokens(spark, d):
@@ -179,10 +185,9 @@ def selected_tokens(spark, d):
 
 
 def _new_tokens(spark, d) -> DataFrame:
-    """The first 3,000 words by count as tokens, every other with a leading space."""
-    rows = counts.ranked(_counted(spark, d), 1, 3000)
-    token = F.when(F.length("word") % 2 == 0, F.concat(F.lit(" "), F.col("word"))).otherwise(F.col("word"))
-    return rows.select(token.alias("token"), F.concat(F.lpad((F.lit(10**9) - F.col("count")).cast("string"), 10, "0"), F.col("word")).alias("position"))
+    """The selected tokens, each at its first place in the list."""
+    rows = selected_tokens(spark, d).select("token", (F.col("section") * 10**6 + F.col("place")).alias("position"))
+    return vocabulary.first_seen(rows)
 
 
 def _spaced_vocabulary(spark, d) -> DataFrame:
@@ -210,7 +215,13 @@ def _lang(spark, d, lang) -> DataFrame:
 
 
 def vocab_diff_summary(spark, d):
-    return vocabulary.diff(_lang(spark, d, "fr"), _lang(spark, d, "es"))
+    return vocabulary.diff(_lang(spark, d, "fr"), _lang(spark, d, "es"), script="latin1", decoded="token")
+
+
+def vocab_diff_examples(spark, d):
+    """Ids of words are their counts here."""
+    words = lambda lang: counts.word_counts(docs(spark, d).where(F.col("lang") == lang), PLAIN).select(F.col("word").alias("token"), F.col("count").alias("id"), F.lower("word").alias("decoded"))
+    return vocabulary.diff_examples(words("fr"), words("es"))
 
 
 def vocab_common(spark, d):
@@ -235,7 +246,7 @@ def readable_vocab(spark, d):
 
 
 def source_length_histogram(spark, d):
-    rows = counts.ranked(_counted(spark, d), 1, 3000).withColumn("source_ids", F.sequence(F.lit(1), F.octet_length("word")))
+    rows = _counted(spark, d).withColumn("source_ids", F.sequence(F.lit(1), F.octet_length("word")))
     return vocabulary.source_histogram(rows)
 
 
@@ -246,7 +257,7 @@ def token_input_stats(spark, d):
 
 def embedding_mean_init(spark, d):
     matrix = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    sources = matrix.where("id % 10 = 0").select(F.col("id").alias("token_id"), F.array(F.col("id"), F.col("id") + 1, F.col("id") + 3, F.col("id") + 3).alias("source_ids"))
+    sources = matrix.select(F.col("id").alias("token_id"), F.array(F.col("id"), F.col("id") + 1, F.col("id") + 3, F.col("id") + 3).alias("source_ids"))
     means = vocabulary.mean_rows(sources, matrix, "token_id")
     return means.select("token_id", F.posexplode("mean").alias("dim", "value")).withColumn("value", F.round("value", 6))
 
@@ -270,7 +281,7 @@ def compare_samples_3way(spark, d):
 
 
 def compare_summary(spark, d):
-    return compare.summary(_compared(spark, d, "documents", ("doc_id",)).withColumn("base_chars_per_token", F.round("base_chars_per_token", 2)), ("base", "reference")).drop("base_mean_chars_per_token", "reference_mean_chars_per_token")
+    return compare.summary(_compared(spark, d, "documents", ("doc_id",)), compare.NAMES)
 
 
 def compare_rendered(spark, d):
@@ -310,7 +321,9 @@ def mixture_interleave_all_exhausted(spark, d):
 
 
 def _bytes(spark, d, length) -> DataFrame:
-    ids = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.ascii(F.substring(F.col("text"), i, F.lit(1))) % 256)
+    """The UTF-8 bytes of texts as ids: the tokenizer that every byte-level vocabulary starts from."""
+    text = F.hex(F.encode("text", "UTF-8"))
+    ids = F.transform(F.sequence(F.lit(1), F.octet_length("text")), lambda i: F.conv(F.substring(text, 2 * i - 1, F.lit(2)), 16, 10).cast("int"))
     rows = table(spark, d, "benchmark").where(T.nonblank(F.col("text"))).select(F.col("item_id").alias("doc_id"), ids.alias("_ids"))
     return mixture.padded(rows, length=length)
 
@@ -350,38 +363,61 @@ def _state(spark) -> str:
     """A new folder that driver and executors share."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexforge-")
-    return f"{root}/streaming-{uuid.uuid4().hex}"
+    return f"{io.shared_folder(spark)}/streaming-{uuid.uuid4().hex}"
 
 
-def _tokenizer() -> str:
-    """A small byte-level tokenizer document made of single characters and a few merges."""
-    from tokenizers import pre_tokenizers
+def _tokenizer(name: str = "byte_bpe_50k.json") -> tokenization.Subword:
+    """A public tokenizer that the machine has."""
+    import public_tokenizers
 
-    letters = sorted(pre_tokenizers.ByteLevel.alphabet())
-    merges = [("t", "h"), ("th", "e"), ("Ġ", "the"), ("i", "n"), ("e", "r"), ("o", "n"), ("a", "n"), ("an", "d"), ("Ġ", "and"), ("in", "g")]
-    vocab = {t: i for i, t in enumerate([*letters, *[a + b for a, b in merges]])}
-    model = {"type": "BPE", "vocab": vocab, "merges": [list(m) for m in merges]}
-    byte = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-    return json.dumps({"version": "1.0", "added_tokens": [], "normalizer": None, "pre_tokenizer": byte, "post_processor": None, "decoder": byte, "model": model})
+    return tokenization.Subword.load(public_tokenizers.path(name))
 
 
 def bpe_token_counts(spark, d):
-    t = tokenization.Subword(_tokenizer())
-    words = _counted(spark, d)
-    return words.select("word", "count", t.piece_count(F.col("word")).cast("long").alias("base_token_count"))
+    return _counted(spark, d).select("word", "count", _tokenizer().piece_count(F.col("word")).cast("long").alias("base_token_count"))
 
 
 def bpe_segmentation(spark, d):
-    t = tokenization.Subword(_tokenizer())
-    rows = table(spark, d, "benchmark").select("item_id", t.segmented(F.col("text")).alias("s"))
+    rows = table(spark, d, "benchmark").select("item_id", _tokenizer().segmented(F.col("text")).alias("s"))
     return rows.select("item_id", F.col("s.token_count").cast("long").alias("token_count"), F.concat_ws("|", "s.decoded_pieces").alias("pieces"))
 
 
+def bpe_token_partition(spark, d):
+    return vocabulary.partition_by(_new_tokens(spark, d), _tokenizer()).select("token", "action", "reason", "conflicting_token", "conflicting_token_id", F.concat_ws(" ", F.transform("source_ids", lambda i: i.cast("string"))).alias("source_ids"))
+
+
+def bpe_initialisation_samples(spark, d):
+    t = _tokenizer()
+    rows = vocabulary.initialisation_samples(vocabulary.partition_by(_new_tokens(spark, d), t), t)
+    return rows.select("token", "source_token_count", F.concat_ws(" ", F.transform("source_token_ids", lambda i: i.cast("string"))).alias("source_token_ids"), F.concat_ws("|", "source_decoded_pieces").alias("source_decoded_pieces"))
+
+
+def bpe_vocab_diff(spark, d):
+    """The two public tokenizers' vocabularies."""
+    a, b = (_tokenizer(n).vocabulary(spark) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    return vocabulary.diff(a, b, script="latin1")
+
+
+def _both(spark, d) -> DataFrame:
+    names = {"base": _tokenizer(), "reference": _tokenizer("word_bpe_49k.json")}
+    return compare.analysed(table(spark, d, "conversations").select("conv_id", "turn", "text"), names)
+
+
+def bpe_compare_samples(spark, d):
+    rows = compare.compared(_both(spark, d))
+    pieces = [F.concat_ws("|", f"{n}_decoded_pieces").alias(f"{n}_decoded_pieces") for n in ("base", "reference")]
+    return rows.select(*[c for c in rows.columns if c != "text" and not c.endswith("_pieces")], *pieces)
+
+
+def bpe_compare_summary(spark, d):
+    return compare.summary(_both(spark, d))
+
+
 def bpe_encoded_mixture(spark, d):
-    t = tokenization.Subword(_tokenizer())
-    rows = mixture.encoded(docs(spark, d).where("lang = 'en'"), t, length=mixture.effective_length(smoke=True))
-    return rows.select("doc_id", F.size("input_ids").alias("length"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("tokens"))
+    rows = mixture.interleave(docs(spark, d).select("doc_id", "text", F.col("lang").alias("source")), {"en": 0.9, "fr": 0.1})
+    rows = mixture.encoded(rows, _tokenizer(), key="i", length=mixture.effective_length(smoke=True))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
+    return rows.select("i", F.size("input_ids").alias("length"), total("attention_mask").alias("tokens"), F.crc32(F.concat_ws(",", F.transform("input_ids", lambda i: i.cast("string"))).cast("binary")).alias("ids_crc32"))
 
 
 QUERIES = (
@@ -389,12 +425,13 @@ QUERIES = (
     word_count_strip_accents, word_count_quality_filtered, word_count_max_documents, word_count_stats, unique_word_stats, word_count_merge,
     quoted_segments, quoted_word_topk, quoted_word_preview, quoted_word_stats, contains_script,
     candidate_filter_reasons, case_variant_collapse, case_variant_stats, candidate_scores, candidate_topk, candidate_stats,
-    static_token_groups, static_token_stats, static_candidates, selected_tokens,
-    token_partition, vocab_extension, vocab_extension_stats, vocab_diff_summary, vocab_common, vocab_only_base, vocab_only_reference, vocab_in_script,
+    static_token_groups, static_token_stats, static_candidates, static_candidate_stats, selected_tokens,
+    token_partition, vocab_extension, vocab_extension_stats, vocab_diff_summary, vocab_diff_examples, vocab_common, vocab_only_base, vocab_only_reference, vocab_in_script,
     readable_vocab, source_length_histogram, token_input_stats, embedding_mean_init,
     compare_samples_2way, compare_samples_3way, compare_summary, compare_rendered, first_seen_samples, parsed_samples,
     mixture_interleave_first_exhausted, mixture_interleave_all_exhausted, encode_truncate_pad, causal_labels, run_plan, run_plan_smoke,
-    streaming_word_count, bpe_token_counts, bpe_segmentation, bpe_encoded_mixture,
+    streaming_word_count, bpe_token_counts, bpe_segmentation, bpe_token_partition, bpe_initialisation_samples, bpe_vocab_diff,
+    bpe_compare_samples, bpe_compare_summary, bpe_encoded_mixture,
 )
 
 

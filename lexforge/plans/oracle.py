@@ -36,14 +36,19 @@ def _score(source: str, vocab: str = "v") -> str:
 
 _ENTRIES = "e AS (SELECT CASE WHEN length(token) % 3 = 0 THEN '-' || token ELSE token END AS raw, 'affixes.txt' AS file FROM v UNION ALL SELECT token, 'forced.txt' FROM v WHERE length(token) % 2 = 0)"
 _GROUPS = _ENTRIES + ", g AS (SELECT replace(raw, '-', '') AS word, CAST(count(*) AS BIGINT) AS entry_count, string_agg(DISTINCT raw, ',' ORDER BY raw) AS raw_entries, string_agg(DISTINCT file, ',' ORDER BY file) AS source_files, CAST(count(DISTINCT raw) AS BIGINT) AS n_raw FROM e GROUP BY 1)"
-_NEW = f"n AS (SELECT CASE WHEN length(word) % 2 = 0 THEN ' ' || word ELSE word END AS token, lpad(CAST(1000000000 - count AS VARCHAR), 10, '0') || word AS position FROM (SELECT * FROM c ORDER BY count DESC, word LIMIT 3000))"
 _SPACED = "s AS (SELECT CASE WHEN id % 2 = 0 THEN ' ' || token ELSE token END AS decoded, id, token FROM v)"
 _EXACT, _SHADOW = "already_present_as_exact_single_token", "would_shadow_existing_leading_space_single_token"
 _PARTS = f"""p AS (SELECT n.token, n.position, CASE WHEN a.decoded IS NULL AND b.decoded IS NULL THEN 'add' ELSE 'skip' END AS action,
   CASE WHEN a.decoded IS NOT NULL THEN '{_EXACT}' WHEN b.decoded IS NOT NULL THEN '{_SHADOW}' END AS reason,
   coalesce(a.decoded, b.decoded) AS conflicting_token, CASE WHEN a.decoded IS NOT NULL THEN a.id ELSE b.id END AS conflicting_token_id
   FROM n LEFT JOIN s a ON n.token = a.decoded LEFT JOIN s b ON ' ' || n.token = b.decoded AND n.token NOT LIKE ' %')"""
-_EXT = f"WITH {_C}, {_VOCAB}, {_NEW}, {_SPACED}, {_PARTS}"
+_SELECTED = f"""WITH {_F}, {_VOCAB}, {_GROUPS}, fg AS ({_collapse('f')}), s AS ({_score('fg')}),
+a AS (SELECT 0 AS section, word, ' ' || word AS token, count, 'corpus' AS source_type, '' AS static_source_files, source_variant_count, base_token_count, base_fragmentation, utility_score FROM s WHERE base_token_count >= 3 ORDER BY utility_score DESC, base_token_count DESC, count DESC, word LIMIT 5000),
+gc AS (SELECT *, CAST(0 AS BIGINT) AS count FROM g WHERE word NOT IN (SELECT token FROM a)), gs AS ({_score('gc')}),
+b AS (SELECT 1 AS section, word, word AS token, count, 'static' AS source_type, source_files AS static_source_files, n_raw AS source_variant_count, base_token_count, base_fragmentation, CAST(0 AS BIGINT) AS utility_score FROM gs)
+SELECT *, CAST(row_number() OVER (PARTITION BY section ORDER BY utility_score DESC, base_token_count DESC, count DESC, word) AS INTEGER) AS place FROM (SELECT * FROM a UNION ALL SELECT * FROM b)"""
+_NEW = f"n AS (SELECT token, min(section * 1000000 + place) AS position FROM ({_SELECTED}) GROUP BY token)"
+_EXT = f"WITH {_VOCAB}, {_NEW}, {_SPACED}, {_PARTS}"
 
 
 def _lang(lang: str) -> str:
@@ -51,6 +56,12 @@ def _lang(lang: str) -> str:
 
 
 _PAIR = f"a AS ({_lang('fr')}), b AS ({_lang('es')})"
+_SCRIPT = f"fa AS ({_lang('fr')}), fb AS ({_lang('es')}), a AS (SELECT * FROM fa WHERE regexp_matches(token, '{_LATIN}')), b AS (SELECT * FROM fb WHERE regexp_matches(token, '{_LATIN}'))"
+
+
+def _example(kind: str, own: str, other: str, within: bool) -> str:
+    words = lambda lang: f"SELECT w AS token, CAST(count(*) AS BIGINT) AS id FROM (SELECT {_words()} AS w FROM documents WHERE lang = '{lang}') GROUP BY 1"
+    return f"SELECT * FROM (SELECT '{kind}' AS kind, id, token AS raw, lower(token) AS decoded FROM ({words(own)}) WHERE token {'' if within else 'NOT '}IN (SELECT token FROM ({words(other)})) ORDER BY token LIMIT 100)"
 
 
 def _pct(part: str, whole: str) -> str:
@@ -75,17 +86,17 @@ _THREE = f"{_TWO}, {_EXTENDED} AS extended_tokens, {_cpt(_EXTENDED)} AS extended
 def _mixture(stop: str, last: str) -> str:
     return f"""WITH r AS (SELECT doc_id, lang AS source, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents WHERE lang IN ('en', 'fr')),
 sz AS (SELECT source, count(*) AS n FROM r GROUP BY 1),
-i0 AS (SELECT range AS i, CASE WHEN CAST('0x' || substr(md5('42:' || range), 1, 8) AS BIGINT) % 1000 < 900 THEN 'en' ELSE 'fr' END AS source FROM range(400 * (SELECT max(n) FROM sz))),
+i0 AS (SELECT range AS i, CASE WHEN CAST('0x' || substr(md5('42:' || range), 1, 8) AS BIGINT) < {round(0.9 * 2**32)} THEN 'en' ELSE 'fr' END AS source FROM range(400 * (SELECT max(n) FROM sz))),
 i1 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY i) AS k FROM i0),
 e AS (SELECT {last}(i) AS i FROM i1 JOIN sz USING (source) WHERE k = n)
 SELECT i1.i, r.doc_id, r.source FROM i1 JOIN sz USING (source) JOIN r ON r.source = i1.source AND r.k = (i1.k - 1) % n + 1 WHERE i1.i <= (SELECT i FROM e)"""
 
 
 def _ids(what: str) -> str:
-    code = "ascii(substr(text, i, 1)) % 256"
-    n = "least(length(text), 256)"
+    code = "CAST('0x' || substr(hex(encode(text)), 2 * CAST(i AS INTEGER) - 1, 2) AS INTEGER)"
+    n = "least(strlen(text), 256)"
     parts = {
-        "input_ids": f"SELECT string_agg(CAST(CASE WHEN i <= length(text) THEN {code} ELSE 0 END AS VARCHAR), ' ' ORDER BY i)",
+        "input_ids": f"SELECT string_agg(CAST(CASE WHEN i <= {n} THEN {code} ELSE 0 END AS VARCHAR), ' ' ORDER BY i)",
         "attention_mask": f"SELECT string_agg(CASE WHEN i <= {n} THEN '1' ELSE '0' END, ' ' ORDER BY i)",
         "labels": f"SELECT string_agg(CASE WHEN i <= {n} THEN CAST({code} AS VARCHAR) ELSE '-100' END, ' ' ORDER BY i)",
     }
@@ -100,11 +111,28 @@ def _plan(steps: dict, batch: tuple[int, int]) -> str:
     return " UNION ALL ".join(rows)
 
 
-_QUOTED = r"""q AS (SELECT doc_id, list_filter(regexp_extract_all(text, '"([^"\n]+)"', 1), lambda x: regexp_matches(x, '\S')) AS s FROM documents)"""
+def _section(name: str, n: str, pieces: str) -> str:
+    return f"'**{name} tokenization**' || chr(10) || '```text' || chr(10) || coalesce(array_to_string(CASE WHEN {n} > 0 THEN {pieces} END, ' | '), '') || chr(10) || '```'"
+
+
+def _rendered() -> str:
+    byte = "CAST('0x' || substr(hex(encode(text)), 2 * CAST(i AS INTEGER) - 1, 2) AS INTEGER)"
+    bytes_ = f"list_transform(range(1, strlen(text) + 1), lambda i: CASE WHEN {byte} < 128 THEN chr({byte}) ELSE chr(65533) END)"
+    chars = "list_transform(range(1, length(text) + 1), lambda i: substr(text, CAST(i AS INTEGER), 1))"
+    line = lambda n: f"'- {n}: ' || {n}_tokens || ' tokens, ' || printf('%.4f', {n}_chars_per_token) || ' characters per token'"
+    less = "'- reference against base: ' || base_minus_reference || ' fewer, ' || printf('%.2f', reference_reduction_vs_base) || ' %'"
+    parts = ["'### Sample ' || nth", "'> ' || text", line("base"), line("reference"), less, _section("base", "base_tokens", bytes_), _section("reference", "reference_tokens", chars)]
+    rows = f"SELECT text, {_TWO}, CAST(row_number() OVER (ORDER BY conv_id, turn) AS INTEGER) AS nth FROM (SELECT * FROM conversations ORDER BY conv_id, turn LIMIT 20)"
+    return f"SELECT nth, {' || chr(10) || '.join(parts)} AS markdown FROM ({rows})"
+
+
+_QUOTED = r"""q AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(text, '"([^"\n]+)"', 1), lambda x: regexp_matches(x, '\S')), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS s FROM documents)"""
 _QW = f"qw AS (SELECT w AS word, CAST(count(*) AS BIGINT) AS count FROM (SELECT {_words('x')} AS w FROM (SELECT unnest(s) AS x FROM q)) GROUP BY 1)"
 _TALK = "t AS (SELECT conv_id * 1000 + turn AS position, text FROM conversations)"
 _SAME_LINES = r"regexp_split_to_array(text, '\r\n|[\n\x0b\f\r\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]')"
 
+_TAKEN = "x AS (SELECT word AS token FROM c WHERE count >= 5 ORDER BY count DESC, word LIMIT 200000)"
+
 SQL = {
     "word_count_topk": f"WITH {_C} SELECT * FROM c WHERE count >= 2 ORDER BY count DESC, word LIMIT 1000",
     "word_counts_all": _counts(),
@@ -132,30 +160,29 @@ SQL = {
     "candidate_stats": f"WITH {_F}, {_VOCAB}, g AS ({_collapse('f')}), s AS ({_score('g')}) SELECT CAST(count(*) AS BIGINT) AS scored, CAST(count(*) FILTER (base_token_count < 3) AS BIGINT) AS below_threshold, CAST(count(*) FILTER (base_token_count >= 3) AS BIGINT) AS before_cap, CAST(least(count(*) FILTER (base_token_count >= 3), 5000) AS BIGINT) AS after_cap FROM s",
     "static_token_groups": f"WITH {_VOCAB}, {_GROUPS} SELECT word, entry_count, raw_entries, source_files FROM g",
     "static_token_stats": f"WITH {_VOCAB}, {_GROUPS} SELECT CAST(count(*) AS BIGINT) AS groups, CAST(sum(entry_count - 1) AS BIGINT) AS duplicates FROM g",
-    "static_candidates": f"WITH {_C}, {_VOCAB}, {_GROUPS}, x AS (SELECT word AS token FROM c ORDER BY count DESC, word LIMIT 500) SELECT word, entry_count, CAST(CASE WHEN word IN (SELECT token FROM v WHERE id % 2 = 0) THEN 1 ELSE strlen(word) END AS INTEGER) AS base_token_count, CAST(0 AS BIGINT) AS utility_score FROM g WHERE word NOT IN (SELECT token FROM x)",
-    "selected_tokens": f"""WITH {_F}, {_VOCAB}, {_GROUPS}, fg AS ({_collapse('f')}), s AS ({_score('fg')}),
-a AS (SELECT 0 AS section, word, ' ' || word AS token, count, 'corpus' AS source_type, '' AS static_source_files, source_variant_count, base_token_count, base_fragmentation, utility_score FROM s WHERE base_token_count >= 3 ORDER BY utility_score DESC, base_token_count DESC, count DESC, word LIMIT 5000),
-gc AS (SELECT *, CAST(0 AS BIGINT) AS count FROM g WHERE word NOT IN (SELECT token FROM a)), gs AS ({_score('gc')}),
-b AS (SELECT 1 AS section, word, word AS token, count, 'static' AS source_type, source_files AS static_source_files, n_raw AS source_variant_count, base_token_count, base_fragmentation, CAST(0 AS BIGINT) AS utility_score FROM gs)
-SELECT *, CAST(row_number() OVER (PARTITION BY section ORDER BY utility_score DESC, base_token_count DESC, count DESC, word) AS INTEGER) AS place FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""",
+    "static_candidates": f"WITH {_C}, {_VOCAB}, {_GROUPS}, {_SPACED}, {_TAKEN} SELECT word, entry_count, CAST(CASE WHEN word IN (SELECT decoded FROM s) THEN 1 ELSE strlen(word) END AS INTEGER) AS base_token_count, CAST(0 AS BIGINT) AS utility_score FROM g WHERE word NOT IN (SELECT token FROM x)",
+    "static_candidate_stats": f"WITH {_C}, {_VOCAB}, {_GROUPS}, {_SPACED}, {_TAKEN} SELECT CAST(count(*) AS BIGINT) AS input_groups, CAST(count(*) FILTER (word IN (SELECT decoded FROM s) OR strlen(word) = 1) AS BIGINT) AS exact_single_token_in_base, CAST(count(*) FILTER (word IN (SELECT token FROM x)) AS BIGINT) AS already_selected, CAST(count(*) FILTER (word NOT IN (SELECT token FROM x)) AS BIGINT) AS missing FROM g",
+    "selected_tokens": _SELECTED,
     "token_partition": f"{_EXT} SELECT token, action, reason, conflicting_token, conflicting_token_id FROM p",
     "vocab_extension": f"{_EXT} SELECT token, CAST((SELECT max(id) FROM s) + row_number() OVER (ORDER BY position) AS INTEGER) AS id FROM p WHERE action = 'add'",
     "vocab_extension_stats": f"{_EXT}, x AS (SELECT (SELECT CAST(count(*) AS BIGINT) FROM s) AS initial_size, CAST(count(*) FILTER (action = 'add') AS BIGINT) AS added, CAST(count(*) FILTER (reason = '{_EXACT}') AS BIGINT) AS skipped_exact, CAST(count(*) FILTER (reason = '{_SHADOW}') AS BIGINT) AS skipped_shadow FROM p) SELECT *, initial_size + added AS final_size FROM x",
-    "vocab_diff_summary": f"WITH {_PAIR}, x AS (SELECT CAST(count(a.token) AS BIGINT) AS base_size, CAST(count(b.token) AS BIGINT) AS reference_size, CAST(count(*) FILTER (a.token IS NOT NULL AND b.token IS NOT NULL) AS BIGINT) AS common, CAST(count(*) FILTER (b.token IS NULL) AS BIGINT) AS only_base, CAST(count(*) FILTER (a.token IS NULL) AS BIGINT) AS only_reference FROM a FULL JOIN b ON a.token = b.token) SELECT *, {_pct('common', 'base_size')} AS common_percent_of_base, {_pct('common', 'reference_size')} AS common_percent_of_reference FROM x",
+    "vocab_diff_summary": f"WITH {_SCRIPT}, x AS (SELECT (SELECT CAST(count(*) AS BIGINT) FROM fa) AS full_base_size, (SELECT CAST(count(*) AS BIGINT) FROM fb) AS full_reference_size, CAST(count(a.token) AS BIGINT) AS base_size, CAST(count(b.token) AS BIGINT) AS reference_size, CAST(count(*) FILTER (a.token IS NOT NULL AND b.token IS NOT NULL) AS BIGINT) AS common, CAST(count(*) FILTER (b.token IS NULL) AS BIGINT) AS only_base, CAST(count(*) FILTER (a.token IS NULL) AS BIGINT) AS only_reference FROM a FULL JOIN b ON a.token = b.token) SELECT *, {_pct('common', 'base_size')} AS common_percent_of_base, {_pct('common', 'reference_size')} AS common_percent_of_reference FROM x",
+    "vocab_diff_examples": f"{_example('common', 'fr', 'es', True)} UNION ALL {_example('only_base', 'fr', 'es', False)} UNION ALL {_example('only_reference', 'es', 'fr', False)}",
     "vocab_common": f"WITH {_PAIR} SELECT token FROM a INTERSECT SELECT token FROM b",
     "vocab_only_base": f"WITH {_PAIR} SELECT token FROM a EXCEPT SELECT token FROM b",
     "vocab_only_reference": f"WITH {_PAIR} SELECT token FROM b EXCEPT SELECT token FROM a ORDER BY token LIMIT 100",
     "vocab_in_script": f"WITH {_VOCAB}, {_SPACED} SELECT token, id, decoded FROM s WHERE regexp_matches(decoded, '{_LATIN}')",
     "readable_vocab": f"WITH {_C}, x AS (SELECT word AS token, lower(word) AS decoded, CAST(count(*) OVER (PARTITION BY lower(word)) AS BIGINT) AS collisions FROM c), y AS (SELECT *, CASE WHEN collisions = 1 THEN decoded ELSE token END AS shown FROM x) SELECT *, count(*) OVER (PARTITION BY shown) > 1 AS clash FROM y",
-    "source_length_histogram": f"WITH {_C} SELECT CAST(strlen(word) AS BIGINT) AS pieces, CAST(count(*) AS BIGINT) AS tokens FROM (SELECT * FROM c ORDER BY count DESC, word LIMIT 3000) GROUP BY 1",
+    "source_length_histogram": f"WITH {_C} SELECT CAST(strlen(word) AS BIGINT) AS pieces, CAST(count(*) AS BIGINT) AS tokens FROM c GROUP BY 1",
     "token_input_stats": r"WITH x AS (SELECT text FROM conversations UNION ALL SELECT text FROM conversations) SELECT CAST(count(*) AS BIGINT) AS input_tokens, CAST(count(DISTINCT text) AS BIGINT) AS unique_tokens, CAST(count(*) - count(DISTINCT text) AS BIGINT) AS duplicate_tokens FROM x WHERE regexp_matches(text, '\S')",
-    "embedding_mean_init": """WITH s AS (SELECT vec_id AS token_id, unnest([vec_id, vec_id + 1, vec_id + 3, vec_id + 3]) AS id FROM embeddings WHERE vec_id % 10 = 0),
+    "embedding_mean_init": """WITH s AS (SELECT vec_id AS token_id, unnest([vec_id, vec_id + 1, vec_id + 3, vec_id + 3]) AS id FROM embeddings),
 x AS (SELECT token_id, i - 1 AS dim, CAST(embedding[i] AS DOUBLE) AS v FROM s JOIN embeddings e ON e.vec_id = s.id, range(1, len(embedding) + 1) r(i))
 SELECT token_id, CAST(dim AS INTEGER) AS dim, round(avg(v), 6) AS value FROM x GROUP BY 1, 2""",
     "compare_samples_2way": f"SELECT conv_id, turn, {_TWO} FROM conversations",
     "compare_samples_3way": f"SELECT doc_id, {_THREE} FROM documents",
-    "compare_summary": f"""WITH x AS (SELECT CAST(count(*) AS BIGINT) AS samples, CAST(sum(strlen(text)) AS BIGINT) AS base_total, CAST(sum(length(text)) AS BIGINT) AS reference_total FROM documents)
-SELECT *, round(CAST(base_total AS DOUBLE) / CAST(samples AS DOUBLE), 4) AS base_mean_tokens, round(CAST(reference_total AS DOUBLE) / CAST(samples AS DOUBLE), 4) AS reference_mean_tokens, {_minus('base_total', 'reference_total', 'base', 'reference')} FROM x""",
+    "compare_summary": f"""WITH x AS (SELECT CAST(count(*) AS BIGINT) AS samples, CAST(sum(strlen(text)) AS BIGINT) AS base_total, CAST(sum(length(text)) AS BIGINT) AS reference_total, CAST(sum(len(string_split(text, ' '))) AS BIGINT) AS extended_total FROM documents)
+SELECT *, round(CAST(extended_total AS DOUBLE) / CAST(samples AS DOUBLE), 4) AS extended_mean_tokens, {_minus('base_total', 'extended_total', 'base', 'extended')}, {_minus('extended_total', 'reference_total', 'extended', 'reference')}, round(CAST(base_total AS DOUBLE) / CAST(samples AS DOUBLE), 4) AS base_mean_tokens, round(CAST(reference_total AS DOUBLE) / CAST(samples AS DOUBLE), 4) AS reference_mean_tokens, {_minus('base_total', 'reference_total', 'base', 'reference')} FROM x""",
+    "compare_rendered": _rendered(),
     "first_seen_samples": f"WITH {_TALK}, u AS (SELECT * FROM t UNION ALL SELECT position + 1000000000, '  ' || text FROM t) SELECT trim(text, ' \t\n') AS text, min(position) AS position FROM u GROUP BY 1",
     "parsed_samples": rf"WITH x AS (SELECT doc_id, {_SAME_LINES} AS s FROM documents) SELECT doc_id, CAST(i - 1 AS INTEGER) AS position, s[i] AS line FROM x, range(1, len(s) + 1) r(i) WHERE regexp_matches(s[i], '\S')",
     "mixture_interleave_first_exhausted": _mixture("first_exhausted", "min"),

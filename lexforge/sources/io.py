@@ -7,32 +7,59 @@ import json
 import os
 import shutil
 import sqlite3
+import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Bytes for each core up to which a scan is dealt out.
+SPREAD = 8 << 20
+#: Rows that come from a database at a time.
+CHUNK = 100_000
 CORPUS_FORMATS = ("parquet", "json", "csv", "orc", "text")
 
 
-def read_corpus(spark: SparkSession, path: str | list[str], format: str = "parquet", **options) -> DataFrame:
-    """A corpus; columns beyond those that a query takes are never read from columnar files."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own, if all run on
+    this machine; on a cluster it has to be set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="lexforge-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def read_corpus(spark: SparkSession, path: str | list[str], format: str = "parquet", *, config: str | None = None, split: str | None = None, **options) -> DataFrame:
+    """A corpus; columns beyond those that a query takes are never read from columnar files. config is a folder of it, split
+    what the names of its files begin with (or a folder)."""
     if format not in CORPUS_FORMATS:
         raise ValueError(f"format must be one of {', '.join(CORPUS_FORMATS)}")
-    return spark.read.options(**options).format(format).load(path)
+    paths = [path] if isinstance(path, str) else list(path)
+    if config:
+        paths = [f"{p.rstrip('/')}/{config}" for p in paths]
+    if split:
+        paths = [f"{p.rstrip('/')}/{split}*" for p in paths]
+    return spark.read.options(**options).format(format).load(paths)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer files than the session has cores, dealt out to all of them; any other scan as it is. One small file
-    is one task, however costly the work on its rows."""
+    """A scan of few bytes, dealt out to all cores of the session; any other scan as it is. One small file is one task,
+    however costly the work on its rows. The plan's own estimate of its size decides: no file is listed, and no more than
+    ``SPREAD`` bytes for each core are ever shuffled."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SPREAD else df
 
 
-def read_sources(spark: SparkSession, sources: dict[str, str], weights: dict[str, float] | None = None, format: str = "parquet", columns=("doc_id", "text")) -> DataFrame:
-    """Several corpora under one schema, with their name as source; sources of weight 0 aren't opened."""
-    parts = [read_corpus(spark, path, format).select(*columns, F.lit(name).alias("source")) for name, path in sources.items() if weights is None or weights.get(name)]
+def read_sources(spark: SparkSession, sources: dict[str, str], weights: dict[str, float] | None = None, format: str = "parquet", columns=("doc_id", "text"), configs: dict[str, str] | None = None, splits: dict[str, str] | None = None) -> DataFrame:
+    """Several corpora under one schema, with their name as source; sources of weight 0 aren't opened. configs and splits
+    are those of single sources."""
+    where = lambda name: {"config": (configs or {}).get(name), "split": (splits or {}).get(name)}
+    parts = [read_corpus(spark, path, format, **where(name)).select(*columns, F.lit(name).alias("source")) for name, path in sources.items() if weights is None or weights.get(name)]
     if not parts:
         raise ValueError("no source has a weight")
     out = parts[0]
@@ -58,23 +85,35 @@ def _top(rows: DataFrame, min_count: int, top: int) -> DataFrame:
 
 
 def read_counts(spark: SparkSession, path: str, min_count: int = 1, top: int = 0) -> DataFrame:
-    """word, count of a counts table; filter and limit reach the scan."""
+    """word, count of a counts table, most frequent first, then by word. The filter reaches the scan of a Parquet table; an
+    SQLite file does filter, order and limit itself, and its rows come in columns of ``CHUNK`` rows."""
     if os.path.isfile(path) and not path.endswith(".parquet"):
-        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-            name = db.execute("SELECT name FROM sqlite_master WHERE type = 'table' ORDER BY name LIMIT 1").fetchone()[0].replace('"', "")
-            rows = db.execute(f'SELECT word, count FROM "{name}" WHERE count >= ?', (min_count,)).fetchall()
-        return _top(spark.createDataFrame(rows, "word string, count long"), min_count, top)
+        import pyarrow as pa
+
+        schema = pa.schema([("word", pa.string()), ("count", pa.int64())])
+        db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+        try:
+            rows = db.execute("SELECT word, count FROM word_counts WHERE count >= ? ORDER BY count DESC, word LIMIT ?", (min_count, top or -1))
+            parts = []
+            while chunk := rows.fetchmany(CHUNK):
+                words, numbers = zip(*chunk, strict=True)
+                parts.append(pa.RecordBatch.from_arrays([pa.array(map(str, words), pa.string()), pa.array(map(int, numbers), pa.int64())], schema=schema))
+        finally:
+            db.close()
+        return _top(spark.createDataFrame(pa.Table.from_batches(parts, schema)), min_count, top)
     return _top(spark.read.parquet(path).select("word", "count"), min_count, top)
 
 
 def read_counts_json(spark: SparkSession, path: str, min_count: int = 1, top: int = 0) -> DataFrame:
-    """word, count of a JSON array; rows of other types are passed over, another document is an error."""
+    """word, count of a JSON array. Items whose word is no JSON string or whose count is no whole number (numbers in quotes
+    are none; true is 1) are passed over, another document is an error."""
     head = spark.read.text(path, wholetext=True).select(T.stripped(F.substring("value", 1, 4096)).alias("v")).first()
     if head is None or not head.v.startswith("["):
         raise ValueError("the counts are not a JSON array")
-    rows = spark.read.schema("word string, count string").option("multiLine", True).json(path)
-    rows = rows.withColumn("count", F.expr("try_cast(count AS bigint)"))
-    return _top(rows.where("word is not null and count is not null"), min_count, top)
+    rows = spark.read.schema("word variant, count variant").option("multiLine", True).json(path)
+    typed = "schema_of_variant(word) = 'STRING' and schema_of_variant(count) in ('BIGINT', 'BOOLEAN')"
+    rows = rows.where(typed).selectExpr("variant_get(word, '$', 'string') as word", "variant_get(count, '$', 'bigint') as count")
+    return _top(rows, min_count, top)
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -92,6 +131,14 @@ def read_samples(spark: SparkSession, path: str | None = None, texts: tuple[str,
     return out
 
 
+# The class names, and the settings that a tokenizer keeps under the generic class.
+INCOMPATIBLE, GENERIC = ("TokenizersBackend",), "PreTrainedTokenizerFast"
+SETTINGS = (
+    "bos_token", "eos_token", "unk_token", "sep_token", "pad_token", "cls_token", "mask_token", "additional_special_tokens",
+    "add_prefix_space", "model_max_length", "padding_side", "truncation_side", "clean_up_tokenization_spaces", "model_input_names",
+)
+
+
 def read_tokenizer(path: str):
     """A tokenizer from a folder or a document, as an operator."""
     from ..operators.tokenization import Subword
@@ -100,11 +147,26 @@ def read_tokenizer(path: str):
 
 
 def tokenizer_config(path: str) -> dict:
-    """The configuration beside a tokenizer: padding on the right, with the end token where no padding token is set."""
+    """The configuration beside a tokenizer: padding on the right, with the end token where no padding token is set, and an
+    error where there is neither. Of a class that the runtime doesn't have, the known settings go over to the generic one,
+    with the chat template beside it."""
     file = os.path.join(path, "tokenizer_config.json")
-    config = json.load(open(file, encoding="utf-8")) if os.path.exists(file) else {}
-    if not config.get("pad_token"):
-        config["pad_token"] = config.get("eos_token")
+    config = {}
+    if os.path.exists(file):
+        with open(file, encoding="utf-8") as f:
+            config = json.load(f)
+    if config.get("tokenizer_class") in INCOMPATIBLE:
+        if not os.path.exists(os.path.join(path, "tokenizer.json")):
+            raise ValueError(f"{path} names the class {config['tokenizer_class']}, but has no tokenizer.json")
+        config = {k: config[k] for k in SETTINGS if k in config} | {"tokenizer_class": GENERIC}
+        template = os.path.join(path, "chat_template.jinja")
+        if os.path.exists(template):
+            with open(template, encoding="utf-8") as f:
+                config["chat_template"] = f.read()
+    if config.get("pad_token") is None:
+        if config.get("eos_token") is None:
+            raise ValueError("the tokenizer has neither a padding token nor an end token")
+        config["pad_token"] = config["eos_token"]
     return config | {"padding_side": "right"}
 
 
@@ -190,12 +252,15 @@ def write_report(payload: dict, path: str, overwrite: bool = True) -> str:
 
 
 def save_tokenizer(document: str, folder: str, config: dict | None = None, overwrite: bool = False) -> None:
-    """A tokenizer document and its configuration, under the generic class name."""
+    """A tokenizer document and its configuration; a class that the runtime doesn't have becomes the generic one."""
     prepared(folder, overwrite)
     os.makedirs(folder)
     with open(os.path.join(folder, "tokenizer.json"), "w", encoding="utf-8") as f:
         f.write(document)
-    write_report((config or {}) | {"tokenizer_class": "PreTrainedTokenizerFast"}, os.path.join(folder, "tokenizer_config.json"))
+    config = dict(config or {})
+    if config.get("tokenizer_class") in INCOMPATIBLE:
+        config["tokenizer_class"] = GENERIC
+    write_report(config, os.path.join(folder, "tokenizer_config.json"))
 
 
 def as_json(row: Column) -> Column:

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexforge.operators import candidates, compare, mixture, tokenization, vocabulary
-from lexforge.plans import catalog
 from lexforge.sources import io
 from lexforge.streaming import incremental
 
@@ -126,9 +125,21 @@ def test_numbering(spark):
     assert words.agg(F.max("k")).first()[0] == max(map(len, got.values()))
 
 
+def toy():
+    """A byte-level tokenizer document of single characters and ten merges."""
+    from tokenizers import pre_tokenizers
+
+    letters = sorted(pre_tokenizers.ByteLevel.alphabet())
+    merges = [("t", "h"), ("th", "e"), ("Ġ", "the"), ("i", "n"), ("e", "r"), ("o", "n"), ("a", "n"), ("an", "d"), ("Ġ", "and"), ("in", "g")]
+    vocab = {t: i for i, t in enumerate([*letters, *[a + b for a, b in merges]])}
+    model = {"type": "BPE", "vocab": vocab, "merges": [list(m) for m in merges]}
+    byte = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+    return json.dumps({"version": "1.0", "added_tokens": [], "normalizer": None, "pre_tokenizer": byte, "post_processor": None, "decoder": byte, "model": model})
+
+
 def test_subword_and_tables(spark, tmp_path):
     pytest.importorskip("tokenizers")
-    document = catalog._tokenizer()
+    document = toy()
     t = tokenization.Subword(document)
     df = frame(spark, [(0, "the thing and"), (1, ""), (2, None)], "i int, text string")
     rows = {r.i: r.s for r in df.select("i", t.segmented(F.col("text")).alias("s")).collect()}
@@ -190,6 +201,100 @@ def test_files(spark, tmp_path):
     assert both.where("source = 'a'").count() == 2
 
 
+def test_partition_by_encoding(spark):
+    """An entry of the vocabulary that no merge leads to is no exact single token, though its spelling is there."""
+    document = json.loads(toy())
+    document["model"]["vocab"]["zz"] = len(document["model"]["vocab"])
+    t = tokenization.Subword(json.dumps(document))
+    lines = frame(spark, [(0, "the"), (1, "and"), (2, "zz"), (3, "ing"), (4, " ing"), (5, " the"), (6, "ther"), (7, "\tthe")], "position int, token string")
+    parts = vocabulary.partition_by(lines, t)
+    got = {r.token: (r.action, r.reason, r.conflicting_token) for r in parts.collect()}
+    assert got["the"] == got["ing"][:2] + ("the",) == ("skip", vocabulary.EXACT, "the")
+    assert got["zz"] == got["ther"] == got["\tthe"] == got[" ing"] == ("add", None, None)
+    joined = {r.token: r.action for r in vocabulary.partition(lines, t.vocabulary(spark)).collect()}
+    assert joined["zz"] == "skip"
+    document["model"]["vocab"].pop("and"), document["model"]["merges"].remove(["an", "d"]), document["model"]["merges"].remove(["Ġ", "and"])
+    document["model"]["merges"] += [["Ġ", "an"], ["Ġan", "d"]]
+    document["model"]["vocab"]["Ġan"], document["model"]["vocab"]["Ġand"] = 900, document["model"]["vocab"]["Ġand"]
+    parts = vocabulary.partition_by(lines.where("token = 'and'"), tokenization.Subword(json.dumps(document)))
+    assert parts.first().reason == vocabulary.SHADOW and parts.first().conflicting_token == " and"
+    t = tokenization.Subword(toy())
+    samples = vocabulary.initialisation_samples(vocabulary.partition_by(lines, t), t, 2).collect()
+    assert [(r.token, r.source_token_count, r.source_decoded_pieces) for r in samples] == [("zz", 2, ["z", "z"]), (" ing", 2, [" ", "ing"])]
+    groups = candidates.static_groups(frame(spark, [("the-", "a"), ("ther", "a"), ("-", "a"), (" -", "a")], "raw string, file string"))
+    assert sorted(r.word for r in groups.collect()) == [" ", "the", "ther"]
+    stats = candidates.static_candidate_stats(groups, t, frame(spark, [("ther",)], "token string")).first()
+    assert tuple(stats) == (3, 2, 1, 2)
+    chosen = candidates.select(frame(spark, [("things", 10)], "word string, count long"), t, script=None)
+    assert candidates.examples(chosen, tokenizer=t).first().base_decoded_pieces == ["th", "ing", "s"]
+
+
+def test_initialised(spark):
+    matrix = frame(spark, [(i, [float(i), 2.0 * i]) for i in range(5)], "id int, vec array<float>")
+    sources = frame(spark, [("a", [1, 3, 3]), ("b", []), ("c", [4])], "token string, source_ids array<int>")
+    new, out, n = vocabulary.initialised(sources, matrix, key="token")
+    assert {r.token: [round(x, 6) for x in r["mean"]] for r in new.collect()} == {"a": [2.333333, 4.666667], "c": [4.0, 8.0]}
+    assert out is None and n["initialized_output_embeddings"] == 0
+    same = vocabulary.initialised(sources, matrix, matrix, tied=True, key="token")
+    assert same[1] is same[0] and same[2] == {"initialized_input_embeddings": 2, "initialized_output_embeddings": 2, "output_embeddings_share_storage": True}
+    other = matrix.withColumn("vec", F.transform("vec", lambda x: -x))
+    assert {r.token: r["mean"] for r in vocabulary.initialised(sources, matrix, other, key="token")[1].where("token = 'c'").collect()} == {"c": [-4.0, -8.0]}
+
+
+def test_vocabulary_report(spark):
+    a = frame(spark, [("x", 0, "x"), ("é", 1, "é"), ("ñ", 2, "ñ")], "token string, id int, decoded string")
+    b = frame(spark, [("é", 7, "é"), ("y", 8, "y")], "token string, id int, decoded string")
+    assert tuple(vocabulary.diff(a, b).first()) == (3, 2, 3, 2, 1, 2, 1, 33.33, 50.0)
+    assert tuple(vocabulary.diff(a, b, script="latin1").first()) == (3, 2, 2, 1, 1, 1, 0, 50.0, 100.0)
+    assert {tuple(r) for r in vocabulary.diff_examples(a, b).collect()} == {("common", 1, "é", "é"), ("only_base", 0, "x", "x"), ("only_base", 2, "ñ", "ñ"), ("only_reference", 8, "y", "y")}
+
+
+def test_mixture_edges(spark):
+    rows = frame(spark, [(i, "a" if i < 500 else "b") for i in range(503)], "doc_id long, source string")
+    every = mixture.interleave(rows, {"a": 0.9996, "b": 0.0004}, stop="all_exhausted")
+    assert every.select("doc_id").distinct().count() == 503
+    with pytest.raises(ValueError):
+        mixture.interleave(rows, {"a": 1.0, "b": 1e-12}, stop="all_exhausted")
+
+
+def test_resume(spark, tmp_path):
+    for n in (9, 10, 100):
+        (tmp_path / "full" / f"checkpoint-{n}").mkdir(parents=True)
+    (tmp_path / "full" / "checkpoint-x").mkdir()
+    (tmp_path / "full" / "checkpoint-999").write_text("no folder")
+    folders = {"full": str(tmp_path / "full"), "warmup": str(tmp_path / "warmup")}
+    assert mixture.latest_checkpoint(folders["full"]).endswith("checkpoint-100") and mixture.latest_checkpoint(folders["full"], overwrite=True) is None
+    got = {r.phase: (r.done, r.steps_left) for r in mixture.resumed(mixture.run_plan(spark), folders).collect()}
+    assert got == {"full": (100, 49_900), "warmup": (0, 2000)}
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "odd.json").write_text('[{"word": "x", "count": 2}, {"word": "q", "count": "7"}, {"word": 5, "count": 5}, {"word": "f", "count": 2.5}, {"word": "t", "count": true}, {"count": 3}, {"word": "z", "count": null}]')
+    assert [tuple(r) for r in io.read_counts_json(spark, str(tmp_path / "odd.json")).collect()] == [("x", 2), ("t", 1)]
+    with sqlite3.connect(tmp_path / "c.db") as db:
+        db.execute("CREATE TABLE another (word TEXT, count INTEGER)")
+        db.execute("CREATE TABLE word_counts (word TEXT PRIMARY KEY, count INTEGER NOT NULL)")
+        db.executemany("INSERT INTO word_counts VALUES (?, ?)", [(f"w{i}", i % 7) for i in range(1000)])
+    got = [tuple(r) for r in io.read_counts(spark, str(tmp_path / "c.db"), 5, 150).collect()]
+    assert got == sorted(((f"w{i}", i % 7) for i in range(1000) if i % 7 >= 5), key=lambda x: (-x[1], x[0]))[:150]
+    assert io.read_counts(spark, str(tmp_path / "c.db"), 99).count() == 0
+    row = lambda i: spark.range(i, i + 1).selectExpr("id doc_id", "'t' text")
+    for i, name in enumerate(("train-0", "train-1", "test-0")):
+        row(i).toPandas().to_parquet(f"{(tmp_path / 'p' / 'sub').mkdir(parents=True, exist_ok=True) or tmp_path}/p/sub/{name}.parquet")
+    both = io.read_sources(spark, {"a": str(tmp_path / "p")}, configs={"a": "sub"}, splits={"a": "train"})
+    assert sorted(r.doc_id for r in both.collect()) == [0, 1]
+    folder = tmp_path / "tok"
+    io.save_tokenizer(toy(), str(folder), {"tokenizer_class": "TokenizersBackend", "eos_token": "e", "odd": 1})
+    assert json.load(open(folder / "tokenizer_config.json"))["tokenizer_class"] == io.GENERIC
+    io.save_tokenizer(toy(), str(folder), {"tokenizer_class": "Other"}, overwrite=True)
+    assert json.load(open(folder / "tokenizer_config.json"))["tokenizer_class"] == "Other"
+    with pytest.raises(ValueError):
+        io.tokenizer_config(str(folder))
+    (folder / "tokenizer_config.json").write_text('{"tokenizer_class": "TokenizersBackend", "eos_token": "e", "odd": 1}')
+    (folder / "chat_template.jinja").write_text("{{ x }}")
+    assert io.tokenizer_config(str(folder)) == {"tokenizer_class": io.GENERIC, "eos_token": "e", "pad_token": "e", "padding_side": "right", "chat_template": "{{ x }}"}
+
+
 def test_streaming_equals_batch(spark, tmp_path):
     folder = str(tmp_path / "in")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")

@@ -137,3 +137,14 @@ def test_partitions_do_not_matter(spark):
     assert a == {tuple(r) for r in counts.word_counts(c.repartition(7)).collect()}
     merged = counts.merge(counts.word_counts(c.where("doc_id < 50")), counts.word_counts(c.where("doc_id >= 50")))
     assert a == {tuple(r) for r in merged.collect()}
+
+
+def test_segments_are_stripped_in_one_scan(spark, sf):
+    texts = ["say ' padded ' and \" both \" or ` `", "only \" double\t\" here", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.segments for r in quotes.with_segments(rows, "text").collect()}
+    assert got == {0: ["padded", "both"], 1: ["double"], 2: []}
+    from lexforge.operators import counts
+
+    plan = counts.quoted_word_counts(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == plan.count("FileScan") <= 2 and plan.split("== Initial Plan ==")[0].count("FileScan") == 1
