@@ -1,30 +1,38 @@
 """Token counts by prefix dynamic programming over a sentencepiece BPE vocabulary.
 
-No piece of such a vocabulary has a word mark after another character, so no merge crosses the place where a run of
-word marks begins. A text is cut there into segments, and the count at the end of a segment is the count at its start
-plus the segment's own: the table of these sums answers how many tokens any prefix has, and where a budget ends,
-without encoding again. Inside a segment the same recurrence runs over its characters: the last token of a prefix is
-the only piece that may stand after the encoding of what comes before it (``Prefixes.inside``).
+The library only reads the model: its pieces and their scores. Texts are never encoded.
 
-Counts of whole segments are kept in a table of bounded size; they come from the library itself, many at a time.
+Recurrence. The last token of a prefix is the one piece that may stand after the last token of the shorter prefix that it
+leaves, and two pieces may stand side by side if merging what they spell, best score first and leftmost of equals, ends
+in just these two. So one pass over a text gives the exact token count of every prefix, in constant time for each
+character (``Prefixes.inside``). Whether a pair may stand is found once and kept.
 
-Null and empty texts have no tokens. Repeated documents are counted one by one.
+No piece of such a vocabulary has a word mark after another character, so no merge crosses the place where a run of word
+marks begins. A text is cut there into segments, whose tables are found once for each distinct segment and added up.
+
+The table of a text (``prefix_table``) answers how many tokens any prefix has (``tokens_of``) and where a budget ends
+(``truncated``) in plain SQL, without encoding and without the library.
+
+Cases. Null and empty texts have no tokens, and a table of the one number 0. Repeated documents are counted one by one; no
+ties arise, as the last piece is unique. A text of any length is one row: its table takes four bytes a character. Empty
+tables give empty results. Columns other than id and text aren't read, so their names don't matter.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
 
 LIMIT = 4096
-#: Segments that a worker keeps counts of, and the longest that it keeps.
-KEPT, LONGEST = 300_000, 64
+#: Segments whose tables a worker keeps, and the longest that it keeps; pairs of pieces that it keeps.
+KEPT, LONGEST, PAIRS = 200_000, 64, 500_000
 _SEGMENT = re.compile(r" +[^ ]*")
 
 
@@ -35,11 +43,18 @@ class Prefixes:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.pieces = {self.model.id_to_piece(i).replace("▁", " ") for i in range(self.model.get_piece_size()) if not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_byte(i))}
+        m = self.model
+        ids = [i for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))]
+        self.pieces = {m.id_to_piece(i).replace("▁", " "): m.get_score(i) for i in ids}
         if any(re.search(r"[^ ] ", p) for p in self.pieces):
             raise ValueError("a piece of this model has a word mark after another character; segments can't be cut there")
-        self.widest = max(map(len, self.pieces))
-        self.known: dict[str, int] = {}
+        # lengths of the pieces that end in two characters, the longest first
+        found: dict[str, set] = {}
+        for p in self.pieces:
+            if len(p) > 1:
+                found.setdefault(p[-2:], set()).add(len(p))
+        self.widths = {end: sorted(n, reverse=True) for end, n in found.items()}
+        self.known: dict[str, list[int]] = {}
         self.fits: dict[tuple[str, str], bool] = {}
 
     @staticmethod
@@ -47,58 +62,57 @@ class Prefixes:
         """Runs of spaces with what follows them; the library puts one space before any text."""
         return _SEGMENT.findall(" " + text.replace("▁", " ")) if text else []
 
-    def _encoded(self, segments: list[str]) -> list[int]:
-        # the library adds the first space again; a segment that is this space alone is one piece
-        out = self.model.encode([s[1:] for s in segments], num_threads=1)
-        return [len(ids) if s != " " else 1 for ids, s in zip(out, segments, strict=True)]
-
-    def counts(self, segments: list[str]) -> list[int]:
-        """Tokens of each segment."""
-        known = self.known
-        out = list(map(known.get, segments))
-        if None in out:
-            gaps = [i for i, n in enumerate(out) if n is None]
-            new = list(dict.fromkeys(segments[i] for i in gaps))
-            found = dict(zip(new, self._encoded(new), strict=True))
-            for i in gaps:
-                out[i] = found[segments[i]]
-            if len(known) < KEPT:
-                known.update((s, n) for s, n in found.items() if len(s) <= LONGEST)
-        return out
-
-    def total(self, text: str) -> int:
-        return sum(self.counts(self.segments(text)))
+    def spelled(self, text: str) -> list[str]:
+        """The pieces of a short string, by merging: the best score first, the leftmost of equals."""
+        out = list(text)
+        while True:
+            scores = [(self.pieces[p], -i) for i, p in enumerate(map("".join, zip(out, out[1:]))) if p in self.pieces]
+            if not scores:
+                return out
+            i = -max(scores)[1]
+            out[i : i + 2] = [out[i] + out[i + 1]]
 
     def _follows(self, left: str, right: str) -> bool:
         """Whether the pair of pieces (or the right one alone) stays as it is when what it spells is encoded."""
-        key = (left, right)
-        if (ok := self.fits.get(key)) is None:
-            whole = left + right
-            # behind a newline, which no piece holds, the library's own first space can't merge with the pair
-            got = self.model.encode("\n" + whole, out_type=str)[2:]
-            ok = [p.replace("▁", " ") for p in got] == ([left, right] if left else [right])
-            if len(self.fits) >= KEPT:
-                self.fits.clear()
-            self.fits[key] = ok
+        ok = self.spelled(left + right) == ([left, right] if left else [right])
+        if len(self.fits) >= PAIRS:
+            self.fits.clear()
+        self.fits[left, right] = ok
         return ok
 
     def inside(self, segment: str) -> list[int]:
         """Tokens of each prefix of a segment, by its length in characters, from 0 on."""
+        if (out := self.known.get(segment)) is not None:
+            return out
         count, last = [0], [""]  # last: the last piece of each prefix; none after bytes, which never merge
+        pieces, fits, widths = self.pieces, self.fits, self.widths
         for i in range(1, len(segment) + 1):
-            for width in range(min(self.widest, i), 0, -1):
+            for width in (*widths.get(segment[i - 2 : i], ()), 1) if i > 1 else (1,):
+                if width > i:
+                    continue
                 piece = segment[i - width : i]
-                if piece in self.pieces:
+                if piece in pieces:
                     before = last[i - width]
-                    if self._follows(before, piece):
+                    ok = fits.get((before, piece))
+                    if self._follows(before, piece) if ok is None else ok:
                         count.append(count[i - width] + 1)
                         last.append(piece)
                         break
             else:  # a character outside the vocabulary: its bytes
                 count.append(count[i - 1] + len(segment[i - 1].encode()))
                 last.append("")
+        if len(segment) <= LONGEST and len(self.known) < KEPT:
+            self.known[segment] = count
         return count
 
+    def counts(self, segments: list[str]) -> list[int]:
+        """Tokens of each segment: the ends of their tables."""
+        known, inside = self.known, self.inside
+        return [known[s][-1] if s in known else inside(s)[-1] for s in segments]
+
+    def total(self, text: str) -> int:
+        return sum(self.counts(self.segments(text)))
+
     def table(self, text: str) -> np.ndarray:
         """Tokens of each prefix of a text, by its length in characters, from 0 on."""
         out = np.zeros(len(text) + 1, np.int64)
@@ -124,13 +138,19 @@ class Prefixes:
         return max(0, whole + max(i for i, n in enumerate(own) if n <= left))
 
 
+@lru_cache(maxsize=1)
+def _model(path: str) -> Prefixes:
+    """One for each worker, with all that it has found, whatever the number of its tasks."""
+    return Prefixes(path)
+
+
 def token_counts(docs: DataFrame, model: str, *, doc_id="doc_id", text="text", limit=LIMIT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit, and limit_chars, the characters of its longest
     prefix with at most ``limit`` tokens (all of them unless over the limit). A scan without a shuffle."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        prefixes = Prefixes(model)
+        prefixes = _model(model)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -146,3 +166,31 @@ def token_counts(docs: DataFrame, model: str, *, doc_id="doc_id", text="text", l
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))
     return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, limit_chars long").withColumnRenamed("doc_id", doc_id)
+
+
+def prefix_table(docs: DataFrame, model: str, *, doc_id="doc_id", text="text") -> DataFrame:
+    """doc_id and tokens: the token count of each prefix of its text, by its length in characters, from 0 on. Written as
+    Parquet, rising counts pack to a fraction of the text."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def run(batches):
+        prefixes = _model(model)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                tables = [prefixes.table(t or "").astype(np.int32) for t in part.column(1).to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in tables])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(tables)))], names=["doc_id", "tokens"])
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, tokens array<int>").withColumnRenamed("doc_id", doc_id)
+
+
+def tokens_of(chars: Column, tokens: str = "tokens") -> Column:
+    """Tokens of the prefix of so many characters (of the whole text beyond its end), from the table."""
+    return F.get(tokens, F.greatest(F.lit(0), F.least(chars.cast("int"), F.size(tokens) - 1)))
+
+
+def truncated(limit: Column, tokens: str = "tokens") -> Column:
+    """Characters of the longest prefix with at most limit tokens, from the table."""
+    return F.array_max(F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: F.get(tokens, i) <= limit))

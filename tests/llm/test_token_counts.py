@@ -35,3 +35,30 @@ def test_odd_rows(spark):
     got = sorted((r.doc_id or -1, r.n_tokens) for r in token_counts.token_counts(d, queries.tokenizer("piece_bpe_32k.model")).collect())
     assert got == sorted((d or -1, len(p.model.encode(t or ""))) for d, t in rows)
     assert token_counts.token_counts(d.limit(0), queries.tokenizer("piece_bpe_32k.model")).count() == 0
+
+
+def test_table_answers_without_the_library(spark, sf):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 1500").selectExpr("doc_id", "text", "'x' tokens")
+    table = token_counts.prefix_table(docs, queries.tokenizer("piece_bpe_32k.model"))
+    p = model()
+    got = table.select("doc_id", "tokens", token_counts.tokens_of(F.lit(100)).alias("at"), token_counts.truncated(F.lit(64)).alias("cut")).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(got) == len(texts) > 20
+    for r in got:
+        text = texts[r.doc_id]
+        want = [len(p.model.encode(text[:i])) for i in range(min(len(text), 200) + 1)]
+        assert r.tokens[: len(want)] == want and len(r.tokens) == len(text) + 1 and r.tokens[-1] == len(p.model.encode(text))
+        assert r["at"] == len(p.model.encode(text[:100])) and r.cut == p.within(text, 64)
+    odd = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert [r.tokens for r in token_counts.prefix_table(odd, queries.tokenizer("piece_bpe_32k.model")).collect()] == [[0], [0]]
+
+
+def test_all_documents_against_the_library(spark):
+    p = model()
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r.n_tokens for r in queries.op4_token_counts(spark, sf).collect()}
+    ids = sorted(docs)
+    assert [got[d] for d in ids] == [len(x) for x in p.model.encode([docs[d] or "" for d in ids])]
