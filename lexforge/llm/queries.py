@@ -48,8 +48,12 @@ def op6_toxicity(spark, sf_dir):
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+#: Bytes of a shard: small enough that the smallest test tables have several, of several depths.
+SHARD = 1 << 17
+
+
 def op7_sharding(spark, sf_dir):
-    return sharding.report(_read(spark, sf_dir, "documents"))
+    return sharding.report(_read(spark, sf_dir, "documents"), limit=SHARD)
 
 
 def op8_quality_rules(spark, sf_dir):
@@ -79,6 +83,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_quality_rules": oracle.QUALITY,
         "op9_repeated_substrings": oracle.REPEATS,
         "op10_decontamination": oracle.DECONTAMINATION,
-        "op7_sharding": f"""WITH docs AS (SELECT doc_id, text FROM documents), {sharding.SQL}
-SELECT doc_id, n_bytes, substr(lpad(bin(h), 60, '0'), 1, x.d) AS shard, CAST(x.d AS INTEGER) AS depth, x.s AS shard_bytes, x.s > {sharding.LIMIT} AS over_limit FROM f""",
+        "op7_sharding": f"""WITH docs AS (SELECT doc_id, text FROM documents), {sharding.sql(SHARD)}
+SELECT doc_id, n_bytes, substr(lpad(bin(h), 60, '0'), 1, x.d) AS shard, CAST(x.d AS INTEGER) AS depth, x.s AS shard_bytes, x.s > {SHARD} AS over_limit FROM f""",
     }

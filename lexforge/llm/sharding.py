@@ -6,8 +6,10 @@ from histograms of bytes by the next ``bits`` hash bits, rolled up to each short
 that are still too large are counted again by the bits that follow. Documents find their shard by an equi-join of
 their hash bits with the directory, never by a sort.
 
-Documents with equal ids share a hash, and no bit can part them: such a shard (or one that is a single document) may
-exceed the limit, which ``over_limit`` says. Null and empty texts weigh nothing. Rows with a null id share one hash.
+Cases. Documents with equal ids share a hash, and no bit can part them (ties): such a shard, or one that is a single very
+long document, may exceed the limit, which ``over_limit`` says. Null and empty texts weigh nothing. Rows with a null id
+share one hash. Repeated rows are all assigned. An empty table has no shards. Columns may have any names but for
+``sharded``, where a column named shard is replaced.
 """
 
 from __future__ import annotations
@@ -79,6 +81,19 @@ def sharded(docs: DataFrame, *, doc_id="doc_id", text="text", limit: int = LIMIT
     return _assigned(rows, limit, bits).select("row.*", "shard")
 
 
+def write(docs: DataFrame, path: str, *, tasks: int | None = None, **options) -> None:
+    """Writes docs as Parquet under path, a folder for each shard and one file in it: a shard is within its limit, so the
+    file of one task is. A shard over the limit is cut where its rows allow it by Spark's maxRecordsPerFile, if set."""
+    rows = sharded(docs, **options)
+    n = tasks or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(n, "shard").write.partitionBy("shard").parquet(path)
+
+
+def sql(limit: int) -> str:
+    """The directory and each document's place in it, as DuckDB SQL."""
+    return SQL.replace(f"<= {LIMIT})", f"<= {limit})")
+
+
 #: Of a relation docs (doc_id, text); depths beyond 40 aren't looked at.
 SQL = f"""
 b AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,

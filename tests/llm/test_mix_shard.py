@@ -1,4 +1,5 @@
 import duckdb
+from pyspark.sql import functions as F
 
 from lexforge.llm import mix, queries, sharding
 from tests.llm.helpers import duck, same
@@ -69,3 +70,22 @@ def test_shards_odd_rows(spark):
     out = sharding.sharded(d, limit=60)
     assert sorted(out.columns) == sorted(d.columns) and out.count() == d.count()
     assert sharding.report(d.limit(0)).count() == 0
+
+
+def test_query_splits(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op7_sharding(spark, sf)
+    assert same(got, duck(sf).sql(queries.oracle_sql()["op7_sharding"]))
+    assert len({r.depth for r in got.collect()}) > 1
+
+
+def test_written_shards(spark, tmp_path):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    d = d.where("octet_length(text) < 20000").unionByName(d.limit(1).withColumn("text", F.lit("long " * 40_000)).withColumn("doc_id", F.lit(10**9)))
+    sharding.write(d, str(tmp_path / "s"), limit=100_000)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(map(str, back.select(*d.columns).collect())) == sorted(map(str, d.collect()))
+    sizes = {}
+    for r in spark.read.parquet(str(tmp_path / "s")).select("doc_id", F.input_file_name().alias("f"), F.octet_length("text").alias("n")).collect():
+        sizes.setdefault(r.f, []).append(r.n)
+    assert len(sizes) > 5 and all(sum(x) <= 100_000 or len(x) == 1 for x in sizes.values())
