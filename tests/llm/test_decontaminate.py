@@ -49,7 +49,7 @@ def test_against_brute_force_and_in_blocks(spark):
     b = spark.createDataFrame(items, "item_id long, text string")
     want = brute(docs, items)
     assert result(decontaminate.contamination(d, b)) == want
-    assert result(decontaminate.contamination(d, b, max_bytes=300)) == want
+    assert result(decontaminate.contamination(d, b, max_windows=20)) == want
     left = decontaminate.clean(d, b)
     assert left.columns == d.columns
     assert left.count() == sum(not x[-1] for xs in want.values() for x in xs)
@@ -76,9 +76,34 @@ def test_whole_table(spark, sf):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     got = result(op10_decontamination(spark, sf))
     assert set(got) == {d for d, _ in docs}
-    short = [x for x in docs if len(x[1]) < 3000][:40]
-    want = brute(short, items)
-    assert {d: got[d] for d in want} == want
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+    windows = {}
+    for i, t in items:
+        ws = words(t)
+        for k in range(max(1, len(ws) - 12) if ws else 0):
+            windows.setdefault(tuple(ws[k : k + 13]), set()).add(str(i))
+    sizes = {len(w) for w in windows}
+    want = {}
+    for d, t in docs:  # every document, whole
+        ws, hit, ids = words(t), set(), set()
+        for n in sizes:
+            for k in range(len(ws) - n + 1):
+                if (at := windows.get(tuple(ws[k : k + n]))) is not None:
+                    hit |= set(range(k, k + n))
+                    ids |= at
+        want[d] = [(len(ws), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(ws))]
+    assert got == want and any(x[0][-1] for x in want.values())
+
+
+def test_long_text(spark):
+    """An item inside a text of 400,000 words, and a node bound that holds."""
+    item = " ".join(f"q{i}" for i in range(30))
+    d = spark.createDataFrame([(1, "w " * 300_000 + item + " w" * 100_000)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [(r.n_words, r.n_hit) for r in decontaminate.contamination(d, b).collect()] == [(400_030, 30)]
+    w = decontaminate.Windows([("1", " ".join(f"q{i}" for i in range(2000)).encode())])
+    assert w.trie.get_stats()["nodes_count"] <= 13 * (2000 - 12) + 1
 
 
 def test_null_item_ids(spark):
@@ -88,6 +113,6 @@ def test_null_item_ids(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     want = {0: [(22, 20, 0, sha(""), True)], 1: [(22, 20, 1, sha("1"), True)], 2: [(22, 20, 1, sha("2"), True)], 3: [(22, 0, 0, sha(""), False)]}
-    for size in (decontaminate.MAX_BYTES, 100):
-        assert result(decontaminate.contamination(d, b, max_bytes=size)) == want
-        assert [r.doc_id for r in decontaminate.clean(d, b, max_bytes=size).collect()] == [3]
+    for size in (decontaminate.MAX_WINDOWS, 8):
+        assert result(decontaminate.contamination(d, b, max_windows=size)) == want
+        assert [r.doc_id for r in decontaminate.clean(d, b, max_windows=size).collect()] == [3]
