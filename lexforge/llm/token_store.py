@@ -1,20 +1,27 @@
 """Token ids in files, coded by an adaptive context-mixing range coder.
 
-Blocks. The ids of all documents, in ascending order of document ids, are cut into blocks of ``BLOCK`` ids. Each block
-starts with an empty model and has its own CRC-32, so a damaged or wanted block never needs another one.
+Frames. The ids of documents, in ascending order of document ids, are gathered into frames of a few million ids. A frame
+begins with its model: the distinct ids with their frequencies (order 0), the two best followers of each id (order 1) and
+the best follower of each pair of ids (order 2), each where it saves more than it costs, with the class of its
+probability, and the counts that the mixing starts from.
 
-Model. Order 2 and order 1 predict the id that followed the last two ids, or the last one, the last time, each with
-the length of its streak of hits as confidence. The pair of confidences selects adaptive counts that mix the
-predictions: how often the id was order 2's, order 1's, or neither's. Neither's is coded by order 0: the adaptive
-frequencies of its high byte and of its low byte.
+Blocks. A frame's ids are cut into blocks of ``BLOCK`` ids. Each block is reset to the frame's model, has no context
+before its first id, and its own CRC-32, so a damaged or wanted block never needs another one.
 
-Coder. A 32-bit range coder with 16-bit words; carries are added to the words before. Blocks are independent, so up to
-``LANES`` of them run in lockstep as the lanes of array operations.
+Mixing. The classes of what order 2 and order 1 foresee select counts of how often the id was order 2's, order 1's first
+or second, or none of them. These counts adapt within the block; they divide the interval between the orders. An id that
+none of them foresees is coded by order 0. Contexts are compared as a whole, never by a hash alone.
 
-Files. A row of the store is a frame: documents' ids and lengths, the table of blocks, and the blocks. Spark writes
-and reads rows of frames, so the store lives wherever Spark can write, and a lost task is written again.
+Coder. A 64-bit range coder with 32-bit words; carries are added to the words before. The blocks of a frame run in
+lockstep as the lanes of array operations.
 
-Null and empty texts have no ids but the end id. Null document ids come first, equal ones are ordered by their texts.
+Files. A row of the store is a frame: documents' ids and lengths, the model, the table of blocks, and the blocks. Spark
+writes and reads rows of frames, so the store lives wherever Spark can write, and a lost task is written again.
+
+Cases. Null and empty texts have no ids but the end id. Null document ids come first; equal ones (ties, repeated rows) are
+ordered by their texts and all kept. Ids of any type are kept and ordered by that type. A text of any length is within one
+frame, which may then be larger. An empty table makes an empty store. Ids beyond 2**32, or more than a million distinct
+ones in a frame, are an error. Columns other than id and text aren't read.
 """
 
 from __future__ import annotations
@@ -23,6 +30,7 @@ import re
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,234 +41,353 @@ from pyspark.sql.window import Window
 from .common import raw, shared_dir, written
 
 BLOCK, LANES, END = 2048, 2048, 2
-#: Bytes of text that a task codes, and words that a worker keeps the ids of.
-PART, KEPT = 24 << 20, 400_000
-NULL_ID = -(1 << 63)
-_SLOTS, _BITS = 512, 11
-_MAGIC = b"LFT1"
-#: Steps after which the frequencies of order 0 are taken anew from the counts.
-_RENEW = frozenset({32, 64, 128, 256, 512, 1024})
-
-
-class Lanes:
-    """The models of several blocks; step by step they see the same ids in the coder and in the decoder."""
-
-    def __init__(self, n: int):
-        self.n = n
-        self.lane = np.arange(n)
-        self.base = self.lane * _SLOTS
-        self.mixes = self.lane * 16
-        # by slot: the id that followed, times 4, and the streak of hits (0 to 3)
-        self.follow = [np.full(n * _SLOTS, 0xFFFF << 2, np.uint32) for _ in range(2)]
-        # by confidences: how often it was order 2's, order 1's or neither's, 16 bits each
-        self.mix = np.full(n * 16, 2 | 1 << 16 | 3 << 32, np.int64)
-        self.seen = [np.ones(n * 256, np.uint32) for _ in range(2)]
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.renew()
-
-    def renew(self) -> None:
-        self.cum, self.find = [], [None, None]
-        room = (1 << _BITS) - 256
-        for seen in self.seen:
-            total = np.cumsum(seen.reshape(self.n, 256), 1, dtype=np.uint64)
-            cum = np.zeros((self.n, 257), np.uint32)
-            cum[:, 1:] = total * np.uint64(room) // total[:, -1:] + np.arange(1, 257, dtype=np.uint64)
-            self.cum.append(cum.ravel())
-
-    def fade(self) -> None:
-        """Halves the mixing counts that have grown large, so that recent hits weigh more."""
-        mix = self.mix
-        big = np.flatnonzero((mix & 0xFFFF) + (mix >> 16 & 0xFFFF) + (mix >> 32) > 400)
-        mix[big] = (mix[big] >> 1 & 0x7FFF_7FFF_7FFF) + 0x0001_0001_0001
-
-    def finder(self, k: int) -> np.ndarray:
-        """The symbol at each point of the frequency table, for the decoder."""
-        if self.find[k] is None:
-            widths = np.diff(self.cum[k].reshape(self.n, 257), axis=1).ravel().astype(np.int64)
-            self.find[k] = np.repeat(np.tile(np.arange(256, dtype=np.uint8), self.n), widths)
-        return self.find[k]
-
-    def predict(self, m: int):
-        """Slots and entries of order 2 and order 1, and place and value of the mixing counts, of the first m lanes."""
-        last = self.last[:m]
-        slot1 = self.base[:m] + (last * 0x9E35 >> 4 & _SLOTS - 1)
-        slot2 = self.base[:m] + (last * 0x2F0B + self.before[:m] * 0x6A4D >> 5 & _SLOTS - 1)
-        two, one = self.follow[0].take(slot2), self.follow[1].take(slot1)
-        at = self.mixes[:m] + ((two & 3) << 2 | one & 3)
-        return slot2, slot1, two, one, at, self.mix.take(at)
-
-    def learn(self, m: int, slot2, slot1, two, one, at, mix, kind, ids) -> None:
-        wide = ids.astype(np.uint32) << 2
-        self.follow[0][slot2] = wide | np.minimum((two & 3) + 1, 3) * ((two ^ wide) < 4)
-        self.follow[1][slot1] = wide | np.minimum((one & 3) + 1, 3) * ((one ^ wide) < 4)
-        self.mix[at] = mix + (2 << (kind << 4))
-        self.before[:m] = self.last[:m]
-        self.last[:m] = ids
-
-
-def _counts(mix: np.ndarray):
-    """Counts of order 2 and of both orders, and the total."""
-    a = mix & 0xFFFF
-    ab = a + (mix >> 16 & 0xFFFF)
-    return a.astype(np.uint32), ab.astype(np.uint32), (ab + (mix >> 32)).astype(np.uint32)
-
-
-_HALF, _SIXTEEN = np.uint32(1 << 16), np.uint32(16)
-
-
-def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """The coded bytes of each block of ids (below 65,535); blocks must not grow in length."""
-    n = len(blocks)
-    size = np.array([len(b) for b in blocks])
-    ids = np.zeros((int(size.max()), n), np.uint16)
-    for k, b in enumerate(blocks):
-        ids[: len(b), k] = b
-    model = Lanes(n)
-    low, width = np.zeros(n, np.uint32), np.full(n, 0xFFFFFFFF, np.uint32)
-    stride = int(size.max()) * 3 + 4
-    out = np.zeros(n * stride, np.uint32)
-    pos = np.arange(n) * stride
+#: Bytes of text that a task codes (fewer where there are fewer for each core), and that it parses at a time; words that a
+#: worker keeps the ids of.
+PART, LEAST, CHUNK, KEPT = 256 << 20, 8 << 20, 2 << 20, 1_000_000
+_MAGIC = b"LFT2"
+#: Bits of a rank, of the order 0 frequencies, classes of a probability, and what a count grows by.
+_WIDE, _ZERO, _CLASSES, _STEP = 20, 22, 8, 24
+_NONE = (1 << _WIDE) - 1
+_M16 = np.uint64(0xFFFF)
+_SUMS = np.uint64(0x0001_0001_0001_0001)
+_HALF, _WORD = np.uint64(1 << 32), np.uint64(32)
+
+
+def _class(share: np.ndarray) -> np.ndarray:
+    """1 to 7: the class of a probability."""
+    return np.clip(1 + np.floor(-1.5 * np.log2(np.maximum(1 - share, 1e-9))), 1, _CLASSES - 1).astype(np.int64)
+
+
+def _shifted(ranks: np.ndarray, by: int) -> np.ndarray:
+    """The ranks before each one, none at the beginning of a block."""
+    out = np.full(len(ranks), _NONE, np.int64)
+    out[by:] = ranks[:-by] if by < len(ranks) else ranks[:0]
+    for k in range(by):
+        out[k::BLOCK] = _NONE
+    return out
+
+
+def _followers(context: np.ndarray, ranks: np.ndarray):
+    """Of (context, follower) pairs: contexts, totals, and the first and second follower with their counts."""
+    pairs = context << _WIDE | ranks
+    if not len(pairs):
+        return (pairs, pairs, (pairs, pairs), (pairs, pairs))
+    pairs.sort()
+    new = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+    counts = np.diff(np.append(new, len(pairs)))
+    pairs = pairs[new]
+    own = pairs >> _WIDE
+    at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    # the largest count, and of equal ones the smaller rank
+    weight = counts << _WIDE | (_NONE - (pairs & _NONE))
+    best = np.maximum.reduceat(weight, at)
+    group = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(own))))
+    second = np.maximum.reduceat(np.where(weight == best[group], 0, weight), at)
+    return own[at], np.add.reduceat(counts, at), (_NONE - (best & _NONE), best >> _WIDE), (_NONE - (second & _NONE), second >> _WIDE)
+
+
+class Model:
+    """What a frame foresees: built from its ids by the writer, from its bytes by the reader."""
+
+    def __init__(self, alphabet, logs, one, two, prior):
+        #: ids by rank; quantised logarithms of their counts
+        self.alphabet, self.logs, self.one, self.two, self.prior = alphabet, logs, one, two, prior
+        weights = np.exp2(logs / 8.0)
+        room = (1 << _ZERO) - len(logs)
+        ends = np.floor(np.cumsum(weights) / max(weights.sum(), 1e-300) * room).astype(np.int64) + np.arange(1, len(logs) + 1)
+        self.cum = np.concatenate([[0], ends]).astype(np.uint64)
+        # order 1 by rank: first follower, second, class
+        context, first, second, cls = one
+        self.first = np.full(len(alphabet) + 1, _NONE << _WIDE | _NONE, np.int64)
+        self.first[context] = cls << 2 * _WIDE | second << _WIDE | first
+        # order 2 in slots: the pair, follower, class; pairs of one slot but the first were left out by the writer
+        keys, follower, cls = two
+        self.bits = max(8, int(4 * len(keys) + 1).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int64)
+        self.slots[self.slot(keys)] = follower << 3 | cls
+        self.tags = np.full(1 << self.bits, -1, np.int64)
+        self.tags[self.slot(keys)] = keys
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (x >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def foreseen(self, p2: np.ndarray, p1: np.ndarray):
+        """What order 2 and order 1 foresee behind two ranks, and the place of the mixing counts."""
+        e = self.first.take(np.minimum(p1, len(self.alphabet)))
+        keys = p2 << _WIDE | p1
+        at = self.slot(keys)
+        f = np.where(self.tags.take(at) == keys, self.slots.take(at), _NONE << 3)
+        return f >> 3, e & _NONE, e >> _WIDE & _NONE, (f & 7) * _CLASSES + (e >> 2 * _WIDE)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[Model, np.ndarray]:
+        """The model of a frame's ids, and their ranks."""
+        if len(ids) and int(ids.max()) < 1 << 22:  # no sort where the ids themselves can be counted
+            counts = np.bincount(ids)
+            alphabet = np.flatnonzero(counts)
+            counts = counts[alphabet]
+        else:
+            alphabet, counts = np.unique(ids, return_counts=True)
+        if len(alphabet) >= _NONE:
+            raise ValueError("more than a million distinct ids in a frame")
+        logs = np.round(8 * np.log2(np.maximum(counts, 1))).astype(np.int64)
+        order = np.lexsort((alphabet, -logs))
+        alphabet, logs, counts = alphabet[order].astype(np.int64), logs[order], counts[order]
+        if len(ids) and int(alphabet.max()) < 1 << 22:
+            place = np.zeros(int(alphabet.max()) + 1, np.int64)
+            place[alphabet] = np.arange(len(alphabet))
+            ranks = place[ids]
+        else:
+            sorted_ = np.argsort(alphabet)
+            ranks = sorted_[np.searchsorted(alphabet, ids, sorter=sorted_)] if len(ids) else np.zeros(0, np.int64)
+        none = (np.zeros(0, np.int64),) * 4
+        if not len(ids):
+            return cls(alphabet, logs, none, none[:3], np.full(_CLASSES**2, int(_SUMS) << 4, np.uint64)), ranks
+        p1, p2 = _shifted(ranks, 1), _shifted(ranks, 2)
+        cost0 = -np.log2(counts / counts.sum())
+        # order 1: a follower is worth its place if it saves more than some 32 bits
+        has = p1 != _NONE
+        context, total, (f, n), (g, m) = _followers(p1[has], ranks[has])
+        if len(context):
+            keep = n * (cost0[f] + np.log2(n / total)) > 32
+            g = np.where(m * (cost0[np.minimum(g, len(cost0) - 1)] + np.log2(np.maximum(m, 1) / total)) > 24, g, _NONE)
+            one = context[keep], f[keep], g[keep], _class((n + np.where(g != _NONE, m, 0))[keep] / (total[keep] + 1))
+        else:
+            one = none
+        share1 = np.zeros(len(alphabet) + 1)
+        first1 = np.full(len(alphabet) + 1, _NONE, np.int64)
+        share1[one[0]], first1[one[0]] = (n / total)[keep] if len(context) else 0, one[1]
+        # order 2: where it saves more than some 48 bits against order 1 and order 0
+        has = p2 != _NONE
+        context, total, (f, n), _ = _followers((p2 << _WIDE | p1)[has], ranks[has])
+        before = context & _NONE
+        known = np.where(first1[before] == f, share1[before], 0)
+        cost = np.minimum(cost0[f], -np.log2(np.maximum(known, 1e-9)) + 0.3)
+        keep = np.flatnonzero(n * (cost + np.log2(n / (total + 1))) > 48)
+        two = context[keep], f[keep], _class(n[keep] / (total[keep] + 1))
+        # one pair for each slot: the first
+        bits = max(8, int(4 * len(keep) + 1).bit_length())
+        slot = ((two[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+        alone = np.sort(np.unique(slot, return_index=True)[1])
+        model = cls(alphabet, logs, one, tuple(x[alone] for x in two), np.zeros(_CLASSES**2, np.uint64))
+        if model.bits != bits:  # fewer pairs, other slots: leave out what now shares one
+            while True:
+                alone = np.sort(np.unique(model.slot(model.two[0]), return_index=True)[1])
+                if len(alone) == len(model.two[0]):
+                    break
+                model = cls(alphabet, logs, one, tuple(x[alone] for x in model.two), model.prior)
+        return model, ranks
+
+    def kinds(self, ranks: np.ndarray):
+        """Which order foresees each rank (0: order 2, 1 and 2: order 1, 3: none), and the places of its counts."""
+        kind, at = np.empty(len(ranks), np.uint8), np.empty(len(ranks), np.uint8)
+        p1, p2 = _shifted(ranks, 1), _shifted(ranks, 2)
+        for lo in range(0, len(ranks), 1 << 18):
+            r = ranks[lo : lo + (1 << 18)]
+            two, one, other, c = self.foreseen(p2[lo : lo + len(r)], p1[lo : lo + len(r)])
+            kind[lo : lo + len(r)] = np.where(two == r, 0, np.where(one == r, 1, np.where(other == r, 2, 3)))
+            at[lo : lo + len(r)] = c
+        return kind, at
+
+    def start(self, kind: np.ndarray, at: np.ndarray) -> None:
+        """The counts that the mixing of every block starts from: the frame's, scaled down."""
+        seen = np.bincount(at.astype(np.int64) * 4 + kind, minlength=4 * _CLASSES**2).reshape(-1, 4).astype(float)
+        seen = (seen + 0.25) / (seen.sum(1, keepdims=True) + 1)
+        counts = np.maximum(1, np.round(seen * 2000)).astype(np.uint64)
+        self.prior = counts[:, 0] | counts[:, 1] << np.uint64(16) | counts[:, 2] << np.uint64(32) | counts[:, 3] << np.uint64(48)
+
+    def dump(self) -> bytes:
+        planes = []
+        by_id = np.argsort(self.alphabet)
+        columns = [np.diff(self.alphabet[by_id], prepend=0), self.logs[by_id], np.diff(self.one[0], prepend=0), *self.one[1:], np.diff(self.two[0] >> _WIDE, prepend=0), self.two[0] & _NONE, *self.two[1:]]
+        for c in columns:  # bytes of equal weight together
+            planes.append(np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+        return struct.pack("<III", len(self.alphabet), len(self.one[0]), len(self.two[0])) + zlib.compress(b"".join(planes) + self.prior.astype("<u8").tobytes(), 9)
+
+    @classmethod
+    def load(cls, data: bytes) -> Model:
+        a, b, c = struct.unpack_from("<III", data)
+        flat, at, columns = zlib.decompress(data[12:]), 0, []
+        for n in (a, a, b, b, b, b, c, c, c, c):
+            columns.append(np.ascontiguousarray(np.frombuffer(flat, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel().astype(np.int64))
+            at += 4 * n
+        prior = np.frombuffer(flat, "<u8", _CLASSES**2, at).astype(np.uint64)
+        alphabet, logs = np.cumsum(columns[0]), columns[1]
+        order = np.lexsort((alphabet, -logs))
+        two = np.cumsum(columns[6]) << _WIDE | columns[7]
+        return cls(alphabet[order], logs[order], (np.cumsum(columns[2]), *columns[3:6]), (two, *columns[8:10]), prior)
+
+
+def _fade(mix: np.ndarray) -> None:
+    """Halves the counts that have grown large, so that recent ids weigh more and no sum leaves its 16 bits."""
+    big = np.flatnonzero((mix * _SUMS) >> np.uint64(48) > np.uint64(12_000))
+    mix[big] = (mix[big] >> np.uint64(1) & np.uint64(0x7FFF_7FFF_7FFF_7FFF)) + _SUMS
+
+
+def _lanes(size: np.ndarray) -> list[int]:
+    """How many blocks have an id at each step; sizes must not grow."""
+    return np.searchsorted(-size, -np.arange(int(size.max()) if len(size) else 0), side="left").tolist()
+
+
+def encode(model: Model, ranks: np.ndarray) -> list[bytes]:
+    """The coded bytes of each block of a frame's ranks."""
+    n = -(-len(ranks) // BLOCK)
+    size = np.minimum(BLOCK, len(ranks) - BLOCK * np.arange(n))
+    kind, at = model.kinds(ranks)
+    model.start(kind, at)
+    steps = int(size.max()) if n else 0
+    grid = lambda x, kind: np.ascontiguousarray(np.pad(x, (0, n * BLOCK - len(x))).reshape(n, BLOCK).T[:steps]).astype(kind)
+    shift, place, rank = grid(kind, np.uint8), grid(at, np.uint8), grid(ranks, np.uint32)
+    del kind, at
+    base = np.arange(n) * _CLASSES**2
+    mix = np.tile(model.prior, n)
+    low, width = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
+    stride = 2 * steps + 8  # an id narrows the interval to a 2**36th at most
+    out = np.zeros(n * stride, np.uint64)
+    pos = np.arange(n) * stride + 1  # a word in front takes the last carry
+    zero, cum = np.uint64(_ZERO), model.cum
 
     def put(rows, lo, add, w):
         lo = lo + add
         over = np.flatnonzero(lo < add)  # a carry into the word before
         if len(over):
-            out[pos[rows[over]] - 1] += 1
+            out[pos[over if rows is None else rows[over]] - 1] += np.uint64(1)
         short = np.flatnonzero(w < _HALF)
         if len(short):
-            r, part = rows.take(short), lo.take(short)
+            r, part = short if rows is None else rows.take(short), lo.take(short)
             p = pos.take(r)
-            out[p] = part >> _SIXTEEN
+            out[p] = part >> _WORD
             pos[r] = p + 1
-            lo[short] = part << _SIXTEEN
-            w[short] <<= _SIXTEEN
+            lo[short] = part << _WORD
+            w[short] <<= _WORD
         return lo, w
 
-    for t in range(ids.shape[0]):
-        m = int(np.searchsorted(-size, -t, side="left"))  # blocks with an id here
-        x = ids[t, :m]
-        seen = model.predict(m)
-        a, ab, total = _counts(seen[-1])
-        wide = x.astype(np.uint32) << 2
-        first = (seen[2] ^ wide) < 4
-        second = ~first & ((seen[3] ^ wide) < 4)
-        kind = 2 - 2 * first - second
-        unit = width[:m] // total
-        start = np.where(first, 0, np.where(second, a, ab))
-        end = np.where(first, a, np.where(second, ab, total))
-        low[:m], width[:m] = put(model.lane[:m], low[:m], unit * start, unit * (end - start))
-        rest = np.flatnonzero(kind == 2)
+    for t, m in enumerate(_lanes(size)):
+        k = shift[t, :m]
+        move = k.astype(np.uint64) << np.uint64(4)
+        c = base[:m] + place[t, :m]
+        q = mix.take(c)
+        sums = q * _SUMS
+        end, own = sums >> move & _M16, q >> move & _M16
+        unit = width[:m] // (sums >> np.uint64(48))
+        low[:m], width[:m] = put(None, low[:m], unit * (end - own), unit * own)
+        mix[c] = q + (np.uint64(_STEP) << move)
+        rest = np.flatnonzero(k == 3)
         if len(rest):
-            y = x.take(rest).astype(np.int64)
-            lo, w = low.take(rest), width.take(rest)
-            at = rest * 257
-            for k, part in ((0, y >> 8), (1, y & 255)):
-                i = at + part
-                cum = model.cum[k].take(i)
-                unit = w >> np.uint32(_BITS)
-                lo, w = put(rest, lo, cum * unit, (model.cum[k].take(i + 1) - cum) * unit)
-                model.seen[k][i - rest] += 24
-            low[rest], width[rest] = lo, w
-        model.learn(m, *seen, kind, x)
-        if t + 1 in _RENEW:
-            model.renew()
+            r = rank[t].take(rest).astype(np.int64)
+            w = width.take(rest) >> zero
+            start = cum.take(r)
+            low[rest], width[rest] = put(rest, low.take(rest), w * start, w * (cum.take(r + 1) - start))
         if t % 64 == 63:
-            model.fade()
-    out[pos] = low >> _SIXTEEN
-    out[pos + 1] = low & np.uint32(0xFFFF)
-    out = out.reshape(n, stride)
+            _fade(mix)
+    out[pos] = low >> _WORD
+    out[pos + 1] = low & np.uint64(0xFFFFFFFF)
+    out = out.reshape(n, stride) if n else out.reshape(0, 1)
     used = pos - np.arange(n) * stride + 2
-    for j in range(int(used.max()) - 1, 0, -1):  # carries go left
-        out[:, j - 1] += out[:, j] >> 16
-    words = (out & 0xFFFF).astype("<u2")
-    return [words[k, : used[k]].tobytes() for k in range(n)]
+    for j in range(int(used.max()) - 1 if n else 0, 0, -1):  # carries go left
+        out[:, j - 1] += out[:, j] >> _WORD
+    words = (out & np.uint64(0xFFFFFFFF)).astype("<u4")
+    return [words[k, 1 : used[k]].tobytes() for k in range(n)]
 
 
-def decode(data: list[bytes], size: np.ndarray) -> list[np.ndarray]:
-    """The ids of each block; sizes must not grow."""
+def decode(model: Model, data: list[bytes], size: np.ndarray) -> list[np.ndarray]:
+    """The ranks of each block; sizes must not grow."""
     n = len(data)
-    words = np.zeros((n, max(map(len, data)) // 2 + 4), np.uint32)
+    if not n:
+        return []
+    stride = max(map(len, data)) // 4 + 4
+    words = np.zeros((n, stride), np.uint64)
     for k, d in enumerate(data):
-        words[k, : len(d) // 2] = np.frombuffer(d, "<u2")
-    flat, stride = words.ravel(), words.shape[1]
-    model = Lanes(n)
-    code = (words[:, 0] << _SIXTEEN) | words[:, 1]
-    width = np.full(n, 0xFFFFFFFF, np.uint32)
+        words[k, : len(d) // 4] = np.frombuffer(d, "<u4")
+    flat = words.ravel()
+    code = words[:, 0] << _WORD | words[:, 1]
+    width = np.full(n, (1 << 64) - 1, np.uint64)
     pos = np.arange(n) * stride + 2
-    ids = np.zeros((int(size.max()), n), np.uint16)
+    base = np.arange(n) * _CLASSES**2
+    mix = np.tile(model.prior, n)
+    p1, p2 = np.full(n, _NONE, np.int64), np.full(n, _NONE, np.int64)
+    out = np.zeros((int(size.max()), n), np.uint32)
+    zero, cum, last = np.uint64(_ZERO), model.cum, np.uint64((1 << _ZERO) - 1)
+    # the rank at each 1024th of the order 0 interval: a search begins there
+    coarse = np.searchsorted(cum, np.arange(1 << 12, dtype=np.uint64) << np.uint64(_ZERO - 12), side="right") - 1
 
     def take(rows, c, w):
         short = np.flatnonzero(w < _HALF)
         if len(short):
-            r = rows.take(short)
+            r = short if rows is None else rows.take(short)
             p = pos.take(r)
-            c[short] = (c.take(short) << _SIXTEEN) | flat.take(p)
+            c[short] = c.take(short) << _WORD | flat.take(p)
             pos[r] = p + 1
-            w[short] <<= _SIXTEEN
+            w[short] <<= _WORD
         return c, w
 
-    for t in range(ids.shape[0]):
-        m = int(np.searchsorted(-size, -t, side="left"))
-        seen = model.predict(m)
-        a, ab, total = _counts(seen[-1])
-        unit = width[:m] // total
+    for t, m in enumerate(_lanes(size)):
+        two, one, other, at = model.foreseen(p2[:m], p1[:m])
+        c = base[:m] + at
+        q = mix.take(c)
+        sums = q * _SUMS
         v = code[:m]
-        first, last = v < a * unit, v >= ab * unit
-        kind = 1 - first + last
-        start = np.where(first, 0, np.where(last, ab, a))
-        end = np.where(first, a, np.where(last, total, ab))
-        code[:m], width[:m] = take(model.lane[:m], v - unit * start, unit * (end - start))
-        x = np.where(first, seen[2] >> 2, seen[3] >> 2)
-        rest = np.flatnonzero(last)
+        unit = width[:m] // (sums >> np.uint64(48))
+        k = (v >= unit * (sums & _M16)).astype(np.uint64)
+        k += v >= unit * (sums >> np.uint64(16) & _M16)
+        k += v >= unit * (sums >> np.uint64(32) & _M16)
+        move = k << np.uint64(4)
+        own = q >> move & _M16
+        code[:m], width[:m] = take(None, v - unit * ((sums >> move & _M16) - own), unit * own)
+        mix[c] = q + (np.uint64(_STEP) << move)
+        x = np.where(k == 0, two, np.where(k == 1, one, other))
+        rest = np.flatnonzero(k == 3)
         if len(rest):
-            c, w = code.take(rest), width.take(rest)
-            at, found = rest * 257, 0
-            for k in range(2):
-                unit = w >> np.uint32(_BITS)
-                v = np.minimum(c // unit, np.uint32((1 << _BITS) - 1))
-                part = model.finder(k).take((rest << _BITS) + v).astype(np.int64)
-                i = at + part
-                cum = model.cum[k].take(i)
-                c, w = take(rest, c - cum * unit, (model.cum[k].take(i + 1) - cum) * unit)
-                model.seen[k][i - rest] += 24
-                found = found << 8 | part
-            code[rest], width[rest] = c, w
-            x[rest] = found
-        ids[t, :m] = x
-        model.learn(m, *seen, kind, x)
-        if t + 1 in _RENEW:
-            model.renew()
+            w = width.take(rest) >> zero
+            c = code.take(rest)
+            v = np.minimum(c // w, last)
+            r = coarse.take((v >> np.uint64(_ZERO - 12)).astype(np.int64))
+            far = np.flatnonzero(cum.take(r + 1) <= v)
+            if len(far):
+                r[far] = np.searchsorted(cum, v.take(far), side="right") - 1
+            start = cum.take(r)
+            code[rest], width[rest] = take(rest, c - w * start, w * (cum.take(r + 1) - start))
+            x[rest] = r
+        out[t, :m] = x
+        p2[:m], p1[:m] = p1[:m], x
         if t % 64 == 63:
-            model.fade()
-    return [ids[: size[k], k] for k in range(n)]
+            _fade(mix)
+    return [out[: size[k], k] for k in range(n)]
 
 
-def frame(keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """A frame of documents' ids: magic, counts, index (compressed), table of blocks (ids, bytes, CRC-32), blocks."""
-    blocks = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-    coded = [c for i in range(0, len(blocks), LANES) for c in encode(blocks[i : i + LANES])]
-    index = zlib.compress(np.diff(keys, prepend=np.int64(0)).astype("<i8").tobytes() + lengths.astype("<i8").tobytes(), 1)
-    head = np.array([(len(b), len(c), zlib.crc32(b.astype("<u4").tobytes())) for b, c in zip(blocks, coded, strict=True)], "<u4").reshape(-1, 3)
-    return b"".join([_MAGIC, struct.pack("<III", len(keys), len(blocks), len(index)), index, head.tobytes(), *coded])
+def frame(lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """A frame of documents' ids: magic, counts, lengths, model, table of blocks (bytes, CRC-32), blocks."""
+    model, ranks = Model.of(ids)
+    coded = encode(model, ranks)
+    index = zlib.compress(lengths.astype("<u4").tobytes(), 1)
+    held = model.dump()
+    crc = [zlib.crc32(ids[i : i + BLOCK].astype("<u4")) for i in range(0, len(ids), BLOCK)]
+    head = np.array([(len(c), x) for c, x in zip(coded, crc, strict=True)], "<u4").reshape(-1, 2)
+    return b"".join([_MAGIC, struct.pack("<IIQII", len(lengths), len(coded), len(ids), len(index), len(held)), index, held, head.tobytes(), *coded])
 
 
-def unframe(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """keys, lengths and ids of a frame; raises if a block isn't what was written."""
+def unframe(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """lengths and ids of a frame; raises if a block isn't what was written."""
     if data[:4] != _MAGIC:
         raise ValueError("not a frame")
-    docs, blocks, size = struct.unpack_from("<III", data, 4)
-    at = 16 + size
-    index = np.frombuffer(zlib.decompress(data[16:at]), "<i8")
-    head = np.frombuffer(data, "<u4", blocks * 3, at).reshape(-1, 3).astype(np.int64)
-    ends = at + blocks * 12 + np.cumsum(head[:, 1])
-    coded = [data[e - b : e] for e, b in zip(ends.tolist(), head[:, 1].tolist(), strict=True)]
-    ids = []
-    for i in range(0, blocks, LANES):
-        ids += decode(coded[i : i + LANES], head[i : i + LANES, 0])
-    for k, b in enumerate(ids):
-        if zlib.crc32(b.astype("<u4").tobytes()) != head[k, 2]:
-            raise ValueError(f"block {k} is damaged")
-    return np.cumsum(index[:docs]), index[docs:], np.concatenate(ids) if ids else np.zeros(0, np.uint16)
+    docs, blocks, total, size, held = struct.unpack_from("<IIQII", data, 4)
+    at = 28
+    index = zlib.decompress(data[at : at + size])
+    model = Model.load(data[at + size : at + size + held])
+    at += size + held
+    head = np.frombuffer(data, "<u4", blocks * 2, at).reshape(-1, 2).astype(np.int64)
+    ends = at + blocks * 8 + np.cumsum(head[:, 0])
+    coded = [data[e - b : e] for e, b in zip(ends.tolist(), head[:, 0].tolist(), strict=True)]
+    sizes = np.minimum(BLOCK, total - BLOCK * np.arange(blocks))
+    ids = np.zeros(total, np.uint32)
+    for lo in range(0, blocks, LANES):
+        for k, ranks in enumerate(decode(model, coded[lo : lo + LANES], sizes[lo : lo + LANES]), lo):
+            found = ids[BLOCK * k : BLOCK * k + len(ranks)]
+            found[:] = model.alphabet.take(ranks, mode="clip")
+            if zlib.crc32(found) != head[k, 1]:
+                raise ValueError(f"block {k} is damaged")
+    return np.frombuffer(index, "<u4", docs).astype(np.int64), ids
 
 
 #: Words that every step of the tokenizer leaves whole but for case: letters, and marks behind them.
@@ -281,7 +408,7 @@ class Encoder:
         for c in " \t\n\x0b\f\r":
             if self.model.encode(f"a{c}b{c}", add_special_tokens=False).ids != self.model.encode("a b", add_special_tokens=False).ids:
                 raise ValueError("this tokenizer keeps white space")
-        self.known: dict[bytes, bytes] = {}
+        self._forget()
         # the letters that stand for the bytes of simple words; without them, or if a sample differs, the short way is shut
         shown = {b: self.model.pre_tokenizer.pre_tokenize_str(chr(b))[0][0] for b in range(33, 127)}
         self.letters = {}
@@ -303,91 +430,158 @@ class Encoder:
         pieces = self.model.model.tokenize(letters)
         return [t.id for t in (pieces + self.model.model.tokenize(marks) if marks else pieces)]
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 16-bit ids of each text."""
-        lists = [t.split() for t in texts]
-        known, here = self.known, {}
-        hard = []
-        for word in {w for ws in lists for w in ws}.difference(known):
+    def _forget(self) -> None:
+        """No words known: their numbers, and by number where their ids are and how many."""
+        self.known: dict[bytes, int] = {b"": 0}
+        self.begin, self.count, self.flat, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encodes words that aren't known."""
+        new, hard, found = [], [], []
+        for word in words:
             ids = self._simple(word.decode()) if self.short else None
             if ids is None:
                 hard.append(word)
             else:
-                here[word] = struct.pack(f"<{len(ids)}H", *ids)
-        for word, e in zip(hard, self.model.encode_batch_fast([w.decode() for w in hard], add_special_tokens=False), strict=True):
-            here[word] = struct.pack(f"<{len(e.ids)}H", *e.ids)
-        if len(known) < KEPT:  # the first words that a worker meets are mostly the frequent ones
-            known.update(here)
-            return [b"".join(map(known.__getitem__, ws)) for ws in lists]
-        return [b"".join([known[w] if w in known else here[w] for w in ws]) for ws in lists]
+                new.append(word)
+                found.append(ids)
+        found += [e.ids for e in self.model.encode_batch_fast([w.decode() for w in hard], add_special_tokens=False)]
+        ids = np.array([i for x in found for i in x], np.uint32)
+        counts = np.array([len(x) for x in found], np.int64)
+        first, last = len(self.known), len(self.known) + len(counts)
+        if last > len(self.begin):
+            grow = max(last, 2 * len(self.begin))
+            self.begin, self.count = (np.resize(x, grow) for x in (self.begin, self.count))
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, max(self.used + len(ids), 2 * len(self.flat)))
+        self.begin[first:last], self.count[first:last] = self.used + np.cumsum(counts) - counts, counts
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.known.update(zip(new + hard, range(first, last)))
+
+    def ids(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow column of texts, one text after the other, and how many each text has."""
+        import pyarrow.compute as pc
+
+        parts = pc.ascii_split_whitespace(texts)
+        words = pc.list_flatten(parts).dictionary_encode()
+        distinct = raw(words.dictionary)
+        if len(self.known) > KEPT:
+            self._forget()
+        known = self.known
+        new = [w for w in distinct if w not in known]
+        if new:
+            self._learn(new)
+        at = np.array([known[w] for w in distinct], np.int64)[words.indices.to_numpy()]
+        n = self.count[at]
+        ends = np.cumsum(n)
+        out = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[at] - ends + n, n)]
+        upto = np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(parts).to_numpy())]
+        return out, np.diff(upto, prepend=0)
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for each worker, with the words that it has met, whatever the number of its tasks."""
+    return Encoder(path)
+
+
+def _slices(batches, size: int):
+    """Rows of about so many bytes of text at a time."""
+    for batch in batches:
+        lengths = np.cumsum(np.array(batch.column("n")))
+        lo = 0
+        while lo < batch.num_rows:
+            before = lengths[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(lengths, before + size, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 def _writer(path: str, most: int):
     def run(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        encoder = Encoder(path)
-        end = np.array([END], "<u2").tobytes()
+        part, encoder = TaskContext.get().partitionId(), _encoder(path)
         keys, lengths, ids, held, number = [], [], [], 0, 0
 
         def flush():
-            data = frame(np.array(keys, np.int64), np.array(lengths, np.int64), np.frombuffer(b"".join(ids), "<u2"))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], names=["part", "frame", "n_tokens", "data"])
-
-        for batch in batches:
-            texts = raw(batch.column("t"))
-            names = batch.column("id").to_pylist()
-            for lo in range(0, len(texts), 256):
-                for key, x in zip(names[lo : lo + 256], encoder.ids([t or b"" for t in texts[lo : lo + 256]]), strict=True):
-                    n = len(x) // 2 + 1
-                    if held and held + n > most:
-                        yield flush()
-                        keys, lengths, ids, held, number = [], [], [], 0, number + 1
-                    keys.append(key)
-                    lengths.append(n)
-                    ids += [x, end]
-                    held += n
+            data = frame(np.concatenate(lengths), np.concatenate(ids))
+            names = pa.concat_arrays(keys)
+            ends = pa.array([0, len(names)], pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([held], pa.int64()), pa.ListArray.from_arrays(ends, names), pa.array([data], pa.binary())], names=["part", "frame", "n_tokens", "doc_ids", "data"])
+
+        for rows in _slices(batches, CHUNK):
+            bare, counts = encoder.ids(rows.column("t"))
+            lens = counts + 1
+            ends = np.cumsum(lens)
+            found = np.empty(len(bare) + len(lens), np.uint32)
+            place = np.ones(len(found), bool)
+            place[ends - 1] = False
+            found[place], found[ends - 1] = bare, END
+            lo = 0
+            while lo < len(lens):  # frames end between documents
+                before = int(ends[lo - 1]) if lo else 0
+                hi = int(np.searchsorted(ends, before + most - held, side="right"))
+                if hi == lo and not held:
+                    hi = lo + 1
+                if hi > lo:
+                    keys.append(rows.column("id").slice(lo, hi - lo))
+                    lengths.append(lens[lo:hi])
+                    ids.append(found[before : ends[hi - 1]])
+                    held += int(ends[hi - 1]) - before
+                if hi < len(lens):
+                    yield flush()
+                    keys, lengths, ids, held, number = [], [], [], 0, number + 1
+                lo = hi
         if held:
             yield flush()
 
     return run
 
 
-def write(docs: DataFrame, tokenizer: str, *, doc_id="doc_id", text="text", part: int = PART) -> str:
+def write(docs: DataFrame, tokenizer: str, *, doc_id="doc_id", text="text", part: int = PART, least: int = LEAST) -> str:
     """Writes the store and returns its path: one file per range of document ids, frames in order within it."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    size = docs.select(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    dealt = rows.repartitionByRange(max(1, -(-size // part)), "id").sortWithinPartitions("id", "t")
+    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = rows.withColumn("n", F.octet_length("t").cast("long"))
+    size = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    n = max(1, -(-size // part), min(-(-size // least), 4 * spark.sparkContext.defaultParallelism))
+    # the beginnings of texts part a hot id, in the order of the texts
+    dealt = rows.repartitionByRange(n, F.col("id"), F.substring("t", 1, 32)).sortWithinPartitions("id", "t")
     path = f"{shared_dir(spark)}/lexforge/token-store-{uuid.uuid4().hex}"
-    dealt.mapInArrow(_writer(tokenizer, BLOCK * LANES), "part int, frame int, n_tokens long, data binary").write.parquet(path)
+    kind = docs.schema[doc_id].dataType.simpleString()
+    dealt.mapInArrow(_writer(tokenizer, BLOCK * LANES), f"part int, frame int, n_tokens long, doc_ids array<{kind}>, data binary").write.parquet(path)
     return path
 
 
 def _reader(batches):
     for batch in batches:
         for k in range(batch.num_rows):
-            row = {n: batch.column(n)[k].as_py() for n in ("part", "frame")}
-            keys, lengths, ids = unframe(batch.column("data")[k].as_py())
-            starts = np.cumsum(lengths) - lengths
-            wide = ids.astype("<u4")
-            crc = [zlib.crc32(wide[a : a + n]) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(starts), pa.array(lengths), pa.array(crc, pa.int64()), pa.array([row["part"]] * len(keys), pa.int32()), pa.array([row["frame"]] * len(keys), pa.int32())], names=["id", "local", "n_tokens", "ids_crc32", "part", "frame"])
+            lengths, ids = unframe(batch.column("data")[k].as_py())
+            ends = np.cumsum(lengths)
+            starts = ends - lengths
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            same = lambda name: pa.array(np.full(len(lengths), batch.column(name)[k].as_py()), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[k].values, pa.array(starts), pa.array(lengths), pa.array(crc, pa.int64()), same("part"), same("frame")], names=["doc_id", "local", "n_tokens", "ids_crc32", "part", "frame"])
 
 
 def _ids(batches):
     for batch in batches:
-        for data in batch.column("data").to_pylist():
-            keys, lengths, ids = unframe(data)
-            wide, ends = ids.astype(np.int32), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.ListArray.from_arrays(pa.array(ends), pa.array(wide))], names=["id", "ids"])
+        for k, data in enumerate(batch.column("data").to_pylist()):
+            lengths, ids = unframe(data)
+            ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[k].values, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int64)))], names=["doc_id", "ids"])
+
+
+def _kind(store: DataFrame) -> str:
+    return store.schema["doc_ids"].dataType.elementType.simpleString()
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id and ids (with the end id) of every document of a store."""
-    rows = spark.read.parquet(path).select("data").mapInArrow(_ids, "id long, ids array<int>")
-    return rows.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "ids")
+    store = spark.read.parquet(path)
+    return store.select("doc_ids", "data").mapInArrow(_ids, f"doc_id {_kind(store)}, ids array<long>")
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
@@ -400,6 +594,6 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
     within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     frames = store.select("part", "frame", within.alias("within")).join(parts, F.col("part") == F.col("of"))
     offsets = written(frames.select(F.col("part").alias("p"), F.col("frame").alias("f"), (F.col("before") + F.col("within")).alias("offset")), "token-offsets")
-    rows = store.mapInArrow(_reader, "id long, local long, n_tokens long, ids_crc32 long, part int, frame int")
+    rows = store.select("part", "frame", "doc_ids", "data").mapInArrow(_reader, f"doc_id {_kind(store)}, local long, n_tokens long, ids_crc32 long, part int, frame int")
     rows = rows.join(offsets, (F.col("part") == F.col("p")) & (F.col("frame") == F.col("f")))
-    return rows.select(F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), (F.col("offset") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.select("doc_id", (F.col("offset") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexforge.llm import queries, token_store
@@ -21,20 +22,48 @@ def expected(docs):
     return sorted(out, key=str)
 
 
-def test_coder_round_trip():
+def test_coder_round_trip(monkeypatch):
     rng = np.random.default_rng(1)
-    for sizes in ([1], [10, 5, 1], [700] * 9 + [33], [3000] * 3):
-        for kind in range(4):
-            blocks = [(rng.zipf(1.3, n) % 49_408 if kind == 0 else rng.integers(0, 65_535, n) if kind == 1 else np.zeros(n) if kind == 2 else np.arange(n) % 7 + 60_000).astype(np.uint16) for n in sizes]
-            coded = token_store.encode(blocks)
-            assert all((a == b).all() for a, b in zip(blocks, token_store.decode(coded, np.array(sizes)), strict=True))
-    assert sum(map(len, token_store.encode([np.tile(np.arange(50, dtype=np.uint16), 80)]))) < 1500
+    for block, n in ((1, 7), (64, 1000), (700, 6333), (2048, 30_000)):
+        monkeypatch.setattr(token_store, "BLOCK", block)
+        for ids in (rng.zipf(1.3, n) % 49_408, rng.integers(0, 1 << 32, n), np.zeros(n), np.arange(n) % 7 + 60_000, np.cumsum(rng.integers(0, 3, n)), np.repeat(rng.integers(0, 9, n), 5)[:n], np.zeros(0)):
+            ids = ids.astype(np.uint32)
+            lengths, back = token_store.unframe(token_store.frame(np.array([len(ids)]), ids))
+            assert lengths.tolist() == [len(ids)] and (back == ids).all()
+
+
+def test_orders_are_learned():
+    """Text that each order foresees costs what it should: nothing, or the entropy of its ids."""
+    rng = np.random.default_rng(2)
+    n = 200_000
+    size = lambda ids: len(token_store.frame(np.array([len(ids)]), ids.astype(np.uint32))) / len(ids)
+    assert size(np.arange(n) % 50) < 0.03  # order 1
+    pairs = np.stack([rng.integers(0, 8, n // 4) + 100, rng.integers(0, 8, n // 4) + 200], 1)
+    third = pairs[:, 0] * 8 + pairs[:, 1]  # order 2 alone foresees it
+    assert size(np.concatenate([pairs, third[:, None], np.zeros((n // 4, 1), int)], 1).ravel()) < 2 * 5 / 8 / 4 * 1.06  # five bits for each of two ids by order 0, nothing for the others
+    assert size(rng.integers(0, 16, n)) < 0.53  # order 0: half a byte
+    half = np.concatenate([np.arange(n // 2) % 50, rng.integers(0, 50, n // 2)])  # the mixing adapts
+    assert size(half) < 0.5 * np.log2(50) / 8 * 1.12
+
+
+def test_smaller_than_general_compression():
+    import zlib
+
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].combine_chunks()
+    ids, counts = token_store.Encoder(queries.tokenizer("word_bpe_49k.json")).ids(texts)
+    p = np.bincount(ids) / len(ids)
+    entropy = -(p[p > 0] * np.log2(p[p > 0])).sum() / 8
+    packed = len(token_store.frame(counts, ids)) / len(ids)
+    assert packed < entropy and packed < len(zlib.compress(ids.astype("<u2"), 9)) / len(ids)
 
 
 def test_damage_is_seen():
-    data = token_store.frame(np.array([1, 2]), np.array([2500, 2500]), np.arange(5000, dtype=np.uint16))
-    keys, lengths, ids = token_store.unframe(data)
-    assert keys.tolist() == [1, 2] and lengths.tolist() == [2500, 2500] and (ids == np.arange(5000)).all()
+    ids = np.arange(5000, dtype=np.uint32)
+    data = token_store.frame(np.array([2500, 2500]), ids)
+    lengths, back = token_store.unframe(data)
+    assert lengths.tolist() == [2500, 2500] and (back == ids).all()
     bad = bytearray(data)
     bad[-100] ^= 1
     with pytest.raises(ValueError):
@@ -52,12 +81,24 @@ def test_odd_rows_and_many_frames(spark, monkeypatch):
     monkeypatch.setattr(token_store, "BLOCK", 64)
     rows = [(3, None), (1, ""), (2, "a<|endoftext|>b <|startoftext|> C#\x0b##\x1c x"), (None, "né́ ﬁ"), (7, "z" * 5000), (7, "Ab " * 100), (7, "Ab " * 100), (-5, " \n")]
     d = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 id", "2 t", "3 part")
-    path = token_store.write(d, queries.tokenizer("word_bpe_49k.json"), part=300)
+    path = token_store.write(d, queries.tokenizer("word_bpe_49k.json"), part=300, least=300)
     assert sorted((tuple(r) for r in token_store.digest(spark, path).collect()), key=str) == expected(rows)
     t = reference()
     assert sorted((r.doc_id or 0, list(r.ids)) for r in token_store.read(spark, path).collect()) == sorted((d or 0, [*t.encode(x or "", add_special_tokens=False).ids, 2]) for d, x in rows)
 
 
+def test_string_ids(spark):
+    rows = [("b", "x y"), ("a", "z"), (None, "first"), ("10", "t"), ("9", "u")]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    got = token_store.digest(spark, token_store.write(d, queries.tokenizer("word_bpe_49k.json"), part=4, least=4)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, "10", "9", "a", "b"]
+
+
+def test_whole_table(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    assert sorted((tuple(r) for r in queries.op5_token_store(spark, "/root/testdata/sf0.01").collect()), key=str) == expected(docs)
+
+
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     path = token_store.write(d, queries.tokenizer("word_bpe_49k.json"))
@@ -72,4 +113,4 @@ def test_parts_between_white_space_against_whole_texts():
     letters = "aBcÉéßøÿµªŒœ.,;:!?'\"-$123 \n\t\x0b\x0cİΣςſǅ́ﬁ中😀\x85\xa0"
     for _ in range(3000):
         text = "".join(rnd.choice(letters) for _ in range(rnd.randrange(0, 14))) + rnd.choice(["", "<|endoftext|>"])
-        assert np.frombuffer(encoder.ids([text.encode()])[0], "<u2").tolist() == encoder.model.encode(text, add_special_tokens=False).ids
+        assert encoder.ids(pa.array([text]))[0].tolist() == encoder.model.encode(text, add_special_tokens=False).ids
