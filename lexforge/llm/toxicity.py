@@ -1,23 +1,29 @@
 """Toxicity by maximum-scoring segment search.
 
-Training. Tokens (words in lower case, and the first letters of long ones) are counted by the toxic and the other
-labelled documents that have them, near copies once. A token's score is its log-odds ratio with an informative Dirichlet prior: half a count and the
-token's share of all counts, so a rare token stays near 0, and only tokens whose ratio is significant keep a score.
-All other tokens cost a little.
+Training. Tokens (words in lower case, and the first letters of long ones) are counted by the toxic and the other labelled
+documents that have them, near copies once: those of one label whose ``LEAST`` least hashes of 3-word windows all agree. A
+token's score is its log-odds ratio with an informative Dirichlet prior: half a count and the token's share of all counts,
+so a rare token stays near 0. Tokens whose ratio is significant, either way, have this score; all others have one score
+together, that of their pooled counts, and at most -``LEAST_COST``, so that a text without toxic words loses by its length.
 
 Scan. In one pass over a text's scores, every maximal segment with a positive sum is found (a token that no segment can
-be joined with any more closes it), in time linear in the text. By extreme-value theory, a text of n
-tokens without toxic passages has K n exp(-lambda S) segments of score S or more by chance; lambda solves
-sum(p exp(lambda s)) = 1 over the scores of other documents. Segments for which this is small are the toxic passages.
+be joined with any more closes it), in time linear in the text. By extreme-value theory, a text of n tokens without toxic
+passages has K n exp(-lambda S) segments of score S or more by chance; lambda solves sum(p exp(lambda s)) = 1 over the
+scores of other documents, and K is estimated from their best segments S: K n exp(-lambda S) has a mean of 1 over them.
+Segments for which this is small are the toxic passages.
 
 Calibration. A document's evidence is the largest sum of lambda S - ln(K n) over its r best segments, and ln(r!), for
 any r. A logistic curve over it, fitted on a histogram of the training documents' evidence, is the score.
 
-Training takes labelled documents of at most ``MAX_TRAIN`` ids, the lowest by hash, and a model of at most
-``MAX_TOKENS`` tokens, so what reaches the driver and the executors is bounded. Scoring is a scan without a shuffle.
+Bounds. Training takes labelled documents of at most ``MAX_TRAIN`` ids, the lowest by hash. That bounds the model, which
+is all that reaches the driver and the executors: significance is tested where the counts are, and every token that
+passes is part of it. Scoring is a scan without a shuffle.
 
-Null and empty texts have no tokens and get the score of no evidence. Labels, languages, sources and ids are not part
-of a score. Without labels of both kinds every document has the training set's share of toxic ones, or 0.
+Cases. Null and empty texts have no tokens and get the score of no evidence. Null ids are held out or not as an empty string
+would be, and have no labels. Labels, languages, sources and ids are not part of a score. An id with both labels is toxic;
+repeated rows are scored one by one and train once, like near copies (ties by the least text). A text of any length is one
+row, scanned once. Without labels of both kinds, or with empty tables, every document has the training set's share of toxic
+ones, or 0. Columns may have any names: only id, text and label are read.
 """
 
 from __future__ import annotations
@@ -33,11 +39,11 @@ from pyspark.sql import functions as F
 from .common import bind, hash60, raw, words, written
 from .quality import windows
 
-MAX_TRAIN, MAX_TOKENS = 100_000, 50_000
-#: Strength of the prior in tokens (a hundredth of all at most), significance in standard deviations, lengths of stems, chance of a random segment.
-PRIOR, SIGNIFICANT, STEMS, CHANCE = 2000.0, 3.5, (5, 4), 0.05
+MAX_TRAIN = 100_000
+#: Strength of the prior in tokens (a hundredth of all at most), significance in standard deviations, lengths of stems,
+#: chance of a random segment, least cost of a token without a score, hashes by which copies are known.
+PRIOR, SIGNIFICANT, STEMS, CHANCE, LEAST_COST, LEAST = 2000.0, 3.5, (5, 4), 0.05, 0.02, 4
 THRESHOLD = 0.7
-_K = 0.1
 #: ASCII letters, digits, apostrophes and whatever isn't ASCII belong to tokens.
 _TOKEN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c == 39 or c >= 128 else 32 for c in range(256))
 
@@ -65,9 +71,9 @@ def training(docs: DataFrame, labels: DataFrame, *, doc_id="doc_id", text="text"
         marks = marks.where(hash60(F.concat(F.lit("toxic:"), F.col("id").cast("string"))) < int(most / n * (1 << 60)))
     # at most about ``most`` ids and marks go to the executors
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(marks), "id").select("t", "y")
-    # copies of one toxic text would make all its words look toxic; near copies mostly have the same least shingle
-    least = bind(words(F.col("t")), lambda w: F.array_min(windows(w)))
-    return rows.withColumn("copy", F.coalesce(least, F.xxhash64("t"))).groupBy("copy", "y").agg(F.min("t").alias("t")).select("t", "y")
+    # copies of one toxic text would make all its words look toxic
+    least = bind(words(F.col("t")), lambda w: F.slice(F.sort_array(F.array_distinct(windows(w))), 1, LEAST))
+    return rows.withColumn("copy", F.when(F.size(least) == LEAST, F.xxhash64(least)).otherwise(F.xxhash64("t"))).groupBy("copy", "y").agg(F.min("t").alias("t")).select("t", "y")
 
 
 def _counter(batches):
@@ -85,8 +91,8 @@ def _counter(batches):
 class Model:
     """Scores of tokens, the cost of others, and the calibration."""
 
-    def __init__(self, scores: dict[bytes, float], cost: float, lam: float, curve=(0.0, 0.0)):
-        self.scores, self.cost, self.lam, self.curve = scores, cost, lam, curve
+    def __init__(self, scores: dict[bytes, float], cost: float, lam: float, k: float = 0.1, curve=(0.0, 0.0)):
+        self.scores, self.cost, self.lam, self.k, self.curve = scores, cost, lam, k, curve
 
     def score(self, token: bytes) -> float | None:
         if (s := self.scores.get(token)) is None:
@@ -95,20 +101,18 @@ class Model:
 
     def segments(self, words: list[bytes]) -> list[tuple[float, int, int]]:
         """(sum, first, last) of all maximal scoring segments, in order; linear in the number of words."""
-        known, places, values = {}, [], []
-        for i, w in enumerate(words):
-            s = known.get(w, 0)
-            if s == 0:
-                s = known[w] = self.score(w)
-            if s is not None and s > 0:
-                places.append(i)
-                values.append(s)
+        known: dict[bytes, float] = {}
         out: list[list[float]] = []  # sum before, sum after, first, last, the nearest piece on the left that began lower
-        total, before = 0.0, -1
-        for i, s in zip(places, values, strict=True):
-            total -= self.cost * (i - before - 1)
+        total = 0.0
+        for i, w in enumerate(words):
+            if (s := known.get(w)) is None:
+                s = self.score(w)
+                s = known[w] = -self.cost if s is None else s
+            if s <= 0:
+                total += s
+                continue
             piece = [total, total + s, i, i, -1]
-            total, before = total + s, i
+            total += s
             # a piece joins the nearest one that began lower, and all in between, unless that one ended as high
             while True:
                 j = len(out) - 1
@@ -125,9 +129,9 @@ class Model:
     def evidence(self, words: list[bytes]) -> tuple[float, list[tuple[int, int]]]:
         """Calibrated evidence of a text, and the word ranges of its significant segments."""
         found = self.segments(words)
+        base = math.log(self.k * (len(words) + 1))
         if not found:
-            return -math.log(_K * (len(words) + 1)), []
-        base = math.log(_K * (len(words) + 1))
+            return -base, []
         each = [(self.lam * s - base, f, t) for s, f, t in found]
         # chance of such a segment: 1 - exp(-exp(-x))
         sure = [(x, f, t) for x, f, t in each if -math.expm1(-math.exp(-x)) < CHANCE]
@@ -144,18 +148,14 @@ class Model:
         return 1 / (1 + math.exp(-z))
 
 
-def _scores(rows, toxic: float, other: float) -> dict[bytes, float]:
-    """Log-odds with a Dirichlet prior of (token, toxic, other) rows; only significant ones."""
-    out = {}
+def _scored(counts: DataFrame, toxic: float, other: float) -> DataFrame:
+    """counts with delta, the log-odds with a Dirichlet prior, and z, its standard deviations."""
     every = toxic + other
     strength = min(PRIOR, every / 100)
-    for token, y, n in rows:
-        prior = 0.5 + strength * (y + n) / every
-        odds = lambda k, total: math.log((k + prior) / (total + strength - k - prior))
-        delta = odds(y, toxic) - odds(n, other)
-        if delta / math.sqrt(1 / (y + prior) + 1 / (n + prior)) > SIGNIFICANT:
-            out[bytes(token)] = delta
-    return out
+    prior = F.lit(0.5) + F.lit(strength / every) * (F.col("toxic") + F.col("other"))
+    odds = lambda n, total: F.log((n + prior) / (F.lit(total + strength) - n - prior))
+    rows = counts.withColumn("delta", odds(F.col("toxic"), toxic) - odds(F.col("other"), other))
+    return rows.withColumn("z", F.col("delta") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("other") + prior)))
 
 
 def _lambda(values: list[tuple[float, float]], cost: float, rest: float) -> float:
@@ -174,22 +174,35 @@ def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
     """The model of the labelled documents that aren't held out."""
     rows = written(training(docs, labels, **options), "toxicity-training")
     counts = rows.mapInArrow(_counter, "token binary, toxic long, other long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    whole = ~F.col("token").cast("string").endswith("*")
-    counts = counts.persist()
-    try:
-        toxic, other = (x or 0 for x in counts.where(whole).agg(F.sum("toxic"), F.sum("other")).first())
-        if not toxic or not other:
-            return Model({}, 1.0, 1.0, (0.0, -40.0 if not toxic else 40.0))
-        ratio = (F.col("toxic") + 1) / (F.col("other") + 1)
-        top = counts.where((F.col("toxic") >= 2) & (F.col("toxic") * other > 2 * F.col("other") * toxic)).orderBy(ratio.desc(), "token").limit(MAX_TOKENS)
-        top = [(r.token, r.toxic, r.other) for r in top.collect()]
-    finally:
-        counts.unpersist()
-    scores = _scores(top, toxic, other)
-    cost = 0.05
-    share = [(scores[bytes(t)], (n + 0.5) / other) for t, _, n in top if bytes(t) in scores and not bytes(t).endswith(b"*")]
+    counts = written(counts.withColumn("whole", ~F.col("token").cast("string").endswith("*")), "toxicity-counts")
+    toxic, other = (float(x or 0) for x in counts.where("whole").agg(F.sum("toxic"), F.sum("other")).first())
+    if not toxic or not other:
+        return Model({}, 1.0, 1.0, 1.0, (0.0, -40.0 if not toxic else 40.0))
+    tested = _scored(counts, toxic, other).where(F.abs("z") > SIGNIFICANT)
+    top = [(bytes(r.token), r.toxic, r.other, r.delta) for r in tested.select("token", "toxic", "other", "delta").orderBy("token").collect()]
+    scores = {t: d for t, _, _, d in top}
+    plain = [(y, n, d) for t, y, n, d in top if not t.endswith(b"*")]
+    rest = toxic - sum(y for y, _, _ in plain), other - sum(n for _, n, _ in plain)
+    cost = max(LEAST_COST, -math.log((rest[0] + 0.5) / (toxic + 1) * (other + 1) / (rest[1] + 0.5)))
+    share = [(d, (n + 0.5) / other) for _, n, d in plain]
     model = Model(scores, cost, _lambda(share, cost, max(0.0, 1 - sum(p for _, p in share))))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    first = spark.sparkContext.broadcast(model)
+
+    def chance(batches):
+        """texts, and the sum of n exp(-lambda S), of the other documents."""
+        for batch in batches:
+            values = []
+            for data, y in zip(raw(batch.column("t")), batch.column("y").to_pylist(), strict=True):
+                if not y:
+                    words = tokens(data or b"")
+                    best = max((s for s, _, _ in first.value.segments(words)), default=0.0)
+                    values.append((len(words) + 1) * math.exp(-first.value.lam * best))
+            yield pa.RecordBatch.from_arrays([pa.array([len(values)], pa.int64()), pa.array([math.fsum(values)], pa.float64())], names=["n", "total"])
+
+    n, total = rows.mapInArrow(chance, "n long, total double").agg(F.sum("n"), F.sum("total")).first()
+    model.k = n / total if total else model.k
+    sent = spark.sparkContext.broadcast(model)
 
     def evidence(batches):
         for batch in batches:
