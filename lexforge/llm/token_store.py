@@ -26,7 +26,7 @@ ones in a frame, are an error. Columns other than id and text aren't read.
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 import uuid
 import zlib
@@ -390,12 +390,90 @@ def unframe(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(index, "<u4", docs).astype(np.int64), ids
 
 
-#: Words that every step of the tokenizer leaves whole but for case: letters, and marks behind them.
-_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+class Merges:
+    """The merges of a byte-pair model over many words at once: in each round every word that is not done makes its best
+    merge, the leftmost of equals, as it would alone."""
+
+    def __init__(self, model: dict):
+        self.vocab, self.suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        if model.get("continuing_subword_prefix") or model.get("dropout"):
+            raise ValueError("not a model of plain merges")
+        pairs = [m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"]]
+        ids = np.array([(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs], np.int64).reshape(-1, 3)
+        keys = ids[:, 0] << 32 | ids[:, 1]
+        self.bits = max(10, (8 * len(keys)).bit_length())
+        self.keys, self.rank, self.made = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.int64)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):  # the next free slot for what finds its own taken
+            free = self.keys[slot] == -1
+            _, first = np.unique(np.where(free, slot, -1 - np.arange(len(slot))), return_index=True)
+            first = first[free[first]]
+            at, k = slot[first], left[first]
+            self.keys[at], self.rank[at], self.made[at] = keys[k], k, ids[k, 2]
+            rest = np.ones(len(left), bool)
+            rest[first] = False
+            left, slot = left[rest], (slot[rest] + 1) & (1 << self.bits) - 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The slot of each pair, -1 if it is no merge."""
+        slot = self._slot(keys)
+        out = np.where(self.keys.take(slot) == keys, slot, -1)
+        open_ = np.flatnonzero((out < 0) & (self.keys.take(slot) >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & (1 << self.bits) - 1
+            there = self.keys.take(slot[open_])
+            hit = there == keys[open_]
+            out[open_[hit]] = slot[open_[hit]]
+            open_ = open_[~hit & (there >= 0)]
+        return out
+
+    def run(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols left of each word (given one word after the other, with their sizes), and the new sizes."""
+        unit = np.arange(len(sizes))
+        done: list[tuple] = []
+        while len(unit):
+            ends = np.cumsum(sizes)
+            slot = np.full(len(symbols), -1, np.int64)
+            slot[:-1] = self.find(symbols[:-1] << 32 | symbols[1:])
+            slot[ends - 1] = -1
+            rank = np.where(slot >= 0, self.rank.take(slot), np.int64(1 << 40)) << 20 | np.arange(len(slot)) - np.repeat(ends - sizes, sizes)
+            best = np.minimum.reduceat(rank, ends - sizes)
+            more = best < 1 << 60
+            if not more.all():
+                flags = np.repeat(more, sizes)
+                done.append((unit[~more], sizes[~more], symbols[~flags]))
+                unit, best = unit[more], best[more]
+                symbols, slot, sizes = symbols[flags], slot[flags], sizes[more]
+                if not len(unit):
+                    break
+                ends = np.cumsum(sizes)
+            at = ends - sizes + (best & (1 << 20) - 1)
+            symbols[at] = self.made.take(slot[at])
+            keep = np.ones(len(symbols), bool)
+            keep[at + 1] = False
+            symbols, sizes = symbols[keep], sizes - 1
+        units, counts, parts = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(units)
+        begin = (np.cumsum(counts) - counts)[order]
+        counts = counts[order]
+        return parts[np.arange(counts.sum()) + np.repeat(begin - np.cumsum(counts) + counts, counts)], counts
+
+
+#: Bytes of a part of a word that merges run over; longer words are the library's.
+_LONG = 48
+_LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
+_MARK = np.array([chr(b) in ".,;:!?" for b in range(256)])
+#: Second bytes of the letters from U+00C0 to U+00FF.
+_SECOND = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
 
 
 class Encoder:
-    """Ids of texts under a tokenizer that drops white space: those of the parts between it, one after the other."""
+    """Ids of texts under a tokenizer that drops white space: those of the parts between it, one after the other. Simple
+    words (letters to U+00FF, and marks behind them), which every step of the tokenizer leaves whole but for case, are
+    encoded by the merges alone, many at a time; all others by the library."""
 
     def __init__(self, path: str):
         import os
@@ -409,26 +487,56 @@ class Encoder:
             if self.model.encode(f"a{c}b{c}", add_special_tokens=False).ids != self.model.encode("a b", add_special_tokens=False).ids:
                 raise ValueError("this tokenizer keeps white space")
         self._forget()
-        # the letters that stand for the bytes of simple words; without them, or if a sample differs, the short way is shut
+        self.short = False
+        sample = ["Wort,", "\u00c9t\u00e9!!", "na\u00efve", "ABC.", "stra\u00dfe;:", "a", "\u00ff?", "The", "internationalisation..."]
+        try:
+            self._prepare()
+            simple, ids, counts = self._merged([w.encode() for w in sample])
+            ends = np.cumsum(counts)
+            found = [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)]
+            # if a sample differs, the short way is shut
+            self.short = simple.all() and found == [self.model.encode(w, add_special_tokens=False).ids for w in sample]
+        except (KeyError, ValueError, TypeError, AttributeError):
+            pass
+
+    def _prepare(self) -> None:
+        self.merges = Merges(json.loads(self.model.to_str())["model"])
         shown = {b: self.model.pre_tokenizer.pre_tokenize_str(chr(b))[0][0] for b in range(33, 127)}
-        self.letters = {}
         for c in range(0xC0, 0x100):
             if c not in (0xD7, 0xF7):
-                self.letters.update(zip(chr(c).encode(), self.model.pre_tokenizer.pre_tokenize_str(chr(c))[0][0], strict=True))
-        sample = ["Wort,", "\u00c9t\u00e9!!", "na\u00efve", "ABC.", "stra\u00dfe;:"]
-        self.short = all(shown[b] == chr(b) for b in shown) and [self._simple(w) for w in sample] == [self.model.encode(w, add_special_tokens=False).ids for w in sample]
-
-    def _simple(self, word: str) -> list[int] | None:
-        """Ids of a simple word by the model alone: it is in normal form, one run of letters and one of marks."""
-        found = _SIMPLE.fullmatch(word)
-        if not found:
-            return None
-        letters, marks = found.groups()
-        letters = letters.lower()
-        if not letters.isascii():
-            letters = letters.encode().decode("latin-1").translate(self.letters)
-        pieces = self.model.model.tokenize(letters)
-        return [t.id for t in (pieces + self.model.model.tokenize(marks) if marks else pieces)]
+                shown.update(zip(chr(c).encode(), self.model.pre_tokenizer.pre_tokenize_str(chr(c))[0][0], strict=True))
+        self.inner, self.final = np.full(256, -1, np.int64), np.full(256, -1, np.int64)
+        for b, c in shown.items():
+            self.inner[b], self.final[b] = self.merges.vocab.get(c, -1), self.merges.vocab.get(c + self.merges.suffix, -1)
+
+    def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which words are simple, and the ids of these, one word after the other, with their numbers."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        head = np.zeros(len(data), bool)
+        head[starts] = True
+        before, after = np.roll(data, 1), np.roll(data, -1)
+        second = (before == 0xC3) & ~head & _SECOND[data]
+        first = (data == 0xC3) & _SECOND[after] & ~np.roll(head, -1)
+        mark = _MARK[data]
+        bad = ~(_LETTER[data] | first | second | mark) | mark & head | _MARK[before] & ~head & ~mark
+        simple = ~np.logical_or.reduceat(bad, starts) & (sizes <= _LONG)
+        use = np.repeat(simple, sizes)
+        low = data + np.where((data >= 65) & (data <= 90) | second & (data < 0x9F), 32, 0).astype(np.uint8)
+        low, mark, head, after_mark = low[use], mark[use], head[use], _MARK[before][use]
+        # a word is one or two units: its letters, its marks
+        begin = np.flatnonzero(head | mark & ~after_mark)
+        units = np.diff(np.append(begin, len(low)))
+        symbols = self.inner[low]
+        if len(units):
+            last = begin + units - 1
+            symbols[last] = self.final[low[last]]
+        if (symbols < 0).any():
+            raise ValueError("a byte without a symbol")
+        ids, counts = self.merges.run(symbols, units)
+        return simple, ids, np.add.reduceat(counts, np.flatnonzero(head[begin])) if len(units) else counts
 
     def _forget(self) -> None:
         """No words known: their numbers, and by number where their ids are and how many."""
@@ -437,17 +545,12 @@ class Encoder:
 
     def _learn(self, words: list[bytes]) -> None:
         """Encodes words that aren't known."""
-        new, hard, found = [], [], []
-        for word in words:
-            ids = self._simple(word.decode()) if self.short else None
-            if ids is None:
-                hard.append(word)
-            else:
-                new.append(word)
-                found.append(ids)
-        found += [e.ids for e in self.model.encode_batch_fast([w.decode() for w in hard], add_special_tokens=False)]
-        ids = np.array([i for x in found for i in x], np.uint32)
-        counts = np.array([len(x) for x in found], np.int64)
+        simple, ids, counts = self._merged(words) if self.short else (np.zeros(len(words), bool), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        new = [w for w, easy in zip(words, simple.tolist(), strict=True) if easy]
+        hard = [w for w, easy in zip(words, simple.tolist(), strict=True) if not easy]
+        found = [e.ids for e in self.model.encode_batch_fast([w.decode() for w in hard], add_special_tokens=False)]
+        ids = np.concatenate([ids, np.array([i for x in found for i in x], np.int64)]).astype(np.uint32)
+        counts = np.concatenate([counts, np.array([len(x) for x in found], np.int64)])
         first, last = len(self.known), len(self.known) + len(counts)
         if last > len(self.begin):
             grow = max(last, 2 * len(self.begin))
