@@ -25,17 +25,44 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: cuts the lineage and survives lost executors. It is for the
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df, in folders by a column if one is given, as a Parquet table in the shared folder, read back: cuts the lineage and survives lost executors. It is for the
     caller to delete, by ``scratch`` or by hand."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexforge/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    out = df.write.mode("errorifexists")
+    (out.partitionBy(by) if by else out).parquet(path)
     if _scopes:
         _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Types of ids that operators order and keep as they are.
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+
+
+def numbered(rows: DataFrame, doc_id: str) -> tuple[DataFrame, DataFrame | None]:
+    """rows with whole numbers for ids, in the order of the ids' own type, and the table (number, name) of them; rows as they
+    are and none, if they are whole numbers already. Null ids stay null."""
+    if dict(rows.dtypes)[doc_id] in WHOLE:
+        return rows, None
+    distinct = rows.select(F.col(doc_id).alias("name")).where("name is not null").distinct()
+    # ranges in order, rows in order within them; written, so that a number never changes
+    dealt = distinct.repartitionByRange(F.col("name")).sortWithinPartitions("name")
+    names = written(dealt.select(F.monotonically_increasing_id().alias("number"), "name"), "numbers")
+    out = rows.join(names, F.col(doc_id) == F.col("name"), "left").drop("name").withColumn(doc_id, F.col("number")).drop("number")
+    return out, names
+
+
+def restored(rows: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
+    """rows with the names of the numbers in these columns."""
+    for c in columns:
+        order = rows.columns
+        rows = rows.join(names.select(F.col("number").alias("__number"), F.col("name").alias("__name")), F.col(c) == F.col("__number"), "left")
+        rows = rows.withColumn(c, F.col("__name")).select(*order)
+    return rows
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Deletes the tables written inside once it is left: results that read them must be written before."""

@@ -114,12 +114,58 @@ def test_against_brute_force(spark, monkeypatch):
         assert result(ngram_jaccard.report(d, width=width, percent=percent)) == brute(rows, width, percent)
 
 
-def test_blocks_of_large_regions(spark, monkeypatch):
+def test_pivots_part_regions():
+    """In a chain of clusters pivots leave most pairs uncompared, at any size."""
+    rnd = random.Random(3)
+    sets = []
+    for c in range(40):
+        base = set(range(60 * c, 60 * c + 60))
+        sets += [base - set(rnd.sample(sorted(base), 2)) for _ in range(6)]
+    region = ngram_jaccard.Region([np.array(sorted(s), np.uint64) for s in sets], 80)
+    compared = []
+    one = region.compare
+    region.compare = lambda x, members: compared.append(len(members)) or one(x, members)
+    region.solve(np.arange(region.m))
+    assert region.pivots >= 40 and len(set(region.label)) == 40 and sum(compared) < region.m**2 / 3
+    for few in (2, 3, 9, 48):  # no size has a way of its own
+        region = ngram_jaccard.Region([np.array(sorted(s), np.uint64) for s in sets[:few]], 80)
+        region.solve(np.arange(few))
+        assert region.pivots and len(set(region.label)) == -(-few // 6)
+
+
+def test_distributed_pivots_of_large_regions(spark, monkeypatch):
+    """Regions beyond one task: parted by rounds of pivots, or, of near copies, dealt into blocks."""
+    ran = []
+    one = ngram_jaccard._distributed
+    monkeypatch.setattr(ngram_jaccard, "_distributed", lambda sets, percent: ran.append((found := one(sets, percent))) or found)
     monkeypatch.setattr(ngram_jaccard, "REGION", 6)
-    monkeypatch.setattr(ngram_jaccard, "SENT", 0)
-    rows = corpus(4, 150)
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    chain = [" ".join(base[3 * i : 3 * i + 45]) for i in range(25)]  # neighbours share much, the ends nothing
+    near = [" ".join(["n" + w for w in base[:60]] + [f"x{i}"] * (i % 4)) for i in range(25)]
+    far = [" ".join("n" + (w if rnd.random() < 0.9 else "y") for w in base[:60]) for _ in range(25)]
+    rows = [(i, t) for i, t in enumerate(chain + near + far)] + corpus(4, 60)[:60]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    assert result(ngram_jaccard.report(d, width=3, percent=80)) == brute(rows, 3, 80)
+    for sent, width, percent in ((10**6, 3, 80), (0, 2, 60)):
+        monkeypatch.setattr(ngram_jaccard, "SENT", sent)
+        assert result(ngram_jaccard.report(d, width=width, percent=percent)) == brute(rows, width, percent)
+    assert len(ran) == 2 and all(links and parts for links, parts in ran)
+
+
+def test_string_ids(spark):
+    rows = [("b10", "a b c d"), ("b9", "a b c d"), (None, "q r s t"), ("z", "q r s t"), ("y", None)]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {(r.doc_id, r.component_id) for r in ngram_jaccard.report(d, width=3, percent=90).collect()}
+    assert got == {("b10", "b10"), ("b9", "b10"), (None, None), ("z", None), ("y", "y")}
+    assert sorted(str(r.doc_id) for r in ngram_jaccard.representatives(d).collect()) == ["None", "b10", "y"]
+
+
+def test_long_text(spark):
+    ws = [f"w{i % 9973}x{i}" for i in range(120_000)]
+    rows = [(2, " ".join(ws)), (1, " ".join(ws[:-50])), (3, " ".join(ws[:60_000]))]
+    got = result(ngram_jaccard.report(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=90))
+    assert got == [(1, 119_948, 1), (2, 119_998, 1), (3, 59_998, 3)]
 
 
 def test_representatives(spark):
