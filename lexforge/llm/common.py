@@ -25,14 +25,14 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None, keep: bool = False) -> DataFrame:
     """df, in folders by a column if one is given, as a Parquet table in the shared folder, read back: cuts the lineage and survives lost executors. It is for the
-    caller to delete, by ``scratch`` or by hand."""
+    caller to delete, by ``scratch`` (which leaves those to keep) or by hand."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexforge/{name}-{uuid.uuid4().hex}"
     out = df.write.mode("errorifexists")
     (out.partitionBy(by) if by else out).parquet(path)
-    if _scopes:
+    if _scopes and not keep:
         _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 

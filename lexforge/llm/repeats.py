@@ -20,7 +20,10 @@ third of all documents is a few rows of each task when it is shuffled. What is s
 a task; nothing is gathered but a document's own places.
 Fingerprints have 64 bits under a 64-bit trigger hash.
 
-Null and empty texts have no bytes. Documents with equal ids are ordered by their texts, null ids come first.
+Cases. Null and empty texts have no bytes. Documents with equal ids (ties) are ordered by their texts, null ids come first;
+of wholly equal rows none counts as the earlier one. Ids that aren't whole numbers are numbered in their own order first.
+Texts of any length are parsed in strides; a text is in memory as a whole. An empty table gives an empty result. Columns
+other than id and text aren't read. Windows may be wider than their gram by up to ``SPAN`` bytes; more is an error.
 """
 
 from __future__ import annotations
@@ -33,13 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import raw, written
+from .common import numbered, raw, written
 
 WIDTH, GRAM = 100, 32
 #: Bytes of text that are parsed at a time.
 BLOCK = 1 << 20
 #: Windows whose triggers are sought at a time: their places have 24 bits.
 STRIDE = 1 << 23
+#: How far a window may start before its trigger: 12 bits of a place.
+SPAN = 4095
 _POS = np.uint64((1 << 24) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -136,12 +141,12 @@ def _sql(schema: pa.Schema) -> str:
 
 
 def _place(at, left, right, done):
-    return at.astype(np.int64) << 17 | left.astype(np.int64) << 9 | right.astype(np.int64) << 1 | done
+    return at.astype(np.int64) << 25 | left.astype(np.int64) << 13 | right.astype(np.int64) << 1 | done
 
 
 def _extent(place):
-    at = place >> 17
-    return at - (place >> 9 & 255), at - (place >> 1 & 255)
+    at = place >> 25
+    return at - (place >> 13 & SPAN), at - (place >> 1 & SPAN)
 
 
 def _again(key, print_, order, at):
@@ -183,7 +188,7 @@ def _parser(width: int, gram: int, size: int):
             b = Block(texts)
             t, a, first, last, key = b.phrases(width, gram)
             if len(t):
-                shape = ((a - first) * 256 + (a - last)).astype(np.uint64)
+                shape = ((a - first) * (SPAN + 1) + (a - last)).astype(np.uint64)
                 yield _rows(part, t, a - b.starts[t], a - first, a - last, key, _mixed(b.hashes(first, last + width) ^ (shape * _BASE)))
 
     return run
@@ -217,7 +222,7 @@ def _cutter(width: int, step: int, twin: bool):
             for i, (data, places) in enumerate(zip(_unpacked(batch), lists, strict=True)):
                 b, place = Block([data]), np.unique(np.array(places, np.int64))
                 lo, hi = _extent(place)
-                a = place >> 17
+                a = place >> 25
                 for j in range(int((a - lo).max()) // step + 1):
                     first, last = np.maximum(lo, a - step * j - step + 1), np.minimum(hi, a - step * j)
                     some = np.flatnonzero(first <= last)
@@ -299,8 +304,11 @@ def _resolved(rows: DataFrame, ids: list[str]) -> DataFrame:
 def repeats(docs: DataFrame, *, doc_id="doc_id", text="text", width: int = WIDTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """One row per document: row (its id), n_bytes, n_removed, n_spans, kept_sha256, and the starts and ends of the
     removed runs of bytes."""
+    if not 0 < gram <= width <= gram + SPAN:
+        raise ValueError(f"width must be at least gram and at most gram + {SPAN}")
     null_id = -(1 << 63)
-    rows = docs.select(F.col(doc_id).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(null_id)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = numbered(docs.select(F.col(doc_id).alias("row"), F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")), "id")[0]
+    rows = rows.select("row", F.coalesce(F.col("id").cast("long"), F.lit(null_id)).alias("id"), "t")
     twin = not rows.groupBy("id").count().where("count > 1").isEmpty()
     ids = ["id", "twin"] if twin else ["id"]
     if twin:

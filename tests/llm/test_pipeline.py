@@ -54,3 +54,58 @@ def test_empty_tables(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def odd(spark, sf):
+    """The test table with null ids, texts, sources and languages, repeated rows and ids, a very long text, other columns."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = quality_kept(docs)
+    good, lang = [r.text for r in kept], kept[2].lang
+    rows = [(None, good[0] + " once more", "en", None), (None, good[1] + " again so", None, "s"), (7 * 10**6, None, "en", "s"), (7 * 10**6, "", "en", "s"), (8 * 10**6, good[2], lang, "s"), (8 * 10**6, good[2], lang, "s"), (9 * 10**6, " ".join(f"{w} {i}" for i, w in enumerate(" ".join(good).split() * 40)), "en", "s")]
+    more = spark.createDataFrame([(i, t, lang, source, len(t or "")) for i, t, lang, source in rows], docs.schema)
+    names = ["row", "kept", "key", "k0", "t", "h", "size", "id", "n", "node", "label", "shard", "bytes"]
+    return docs.unionByName(more).selectExpr("*", *[f"'{n}' as {n}" for n in names]), rows
+
+
+def quality_kept(docs):
+    from lexforge.llm import quality
+
+    return quality.passed(docs).orderBy("doc_id").limit(6).collect()
+
+
+def test_odd_rows_through_all_stages(spark, sf, tmp_path):
+    docs, rows = odd(spark, sf)
+    before = docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, sf)
+        path = str(tmp_path / name)
+        found.write.parquet(path)
+        found = spark.read.parquet(path)
+        assert sorted(found.columns) == sorted(docs.columns)  # shard is replaced by the last
+        if name == "quality_rules":
+            ids = [r.doc_id for r in found.collect()]
+            assert ids.count(8 * 10**6) == 2 and 7 * 10**6 not in ids  # repeated rows are judged alike, empty ones go
+        if name == "near_duplicates":
+            assert [r.doc_id for r in found.collect()].count(8 * 10**6) <= 1
+        docs = found
+    assert 0 < docs.count() < 4 * before and docs.where("kept = 'kept' and node = 'node'").count() == docs.count()
+    # stages alone, over rows that the stages before them would have taken out
+    raw, _ = odd(spark, sf)
+    texts = Counter(r.text for r in raw.collect())
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        left = stage(spark, raw, sf).collect()
+        if name == "near_duplicates":
+            assert sum(not r.text for r in left) == sum(n for t, n in texts.items() if not t)
+        if name == "source_mix":
+            assert all(r.text for r in left)
+
+
+def test_no_tables_are_left_behind(spark, sf):
+    import os
+
+    from lexforge.llm.common import shared_dir
+
+    root = shared_dir(spark).removeprefix("file://") + "/lexforge"
+    before = set(os.listdir(root)) if os.path.exists(root) else set()
+    corpus_pipeline.run(spark, sf)
+    assert sorted(x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before) == sorted(f"pipeline-{n}" for n, _ in corpus_pipeline.STAGES)

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from lexforge.llm import queries, repeats
 
 
@@ -72,3 +74,26 @@ def test_triggers_in_strides(monkeypatch):
     monkeypatch.setattr(repeats, "STRIDE", 37)
     assert all((a == b).all() for a, b in zip(whole, block.phrases(20, 6), strict=True))
     assert isinstance(whole[0], np.ndarray)
+
+
+def test_wide_windows(spark):
+    rnd = random.Random(11)
+    text = lambda n: "".join(rnd.choice("abcdefghij klmnop") for _ in range(n))
+    passage, long = text(520), text(3300)
+    rows = [(1, text(300) + passage + text(200)), (2, text(100) + passage + text(90)), (3, long), (4, "x" + long + "y"), (5, passage[:390])]
+    for width, gram in ((400, 32), (3000, 50), (288, 32), (287, 32)):
+        check(spark, rows, width, gram, 1 << 20, 2)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, gram in ((5000, 32), (20, 30), (20, 0)):
+        with pytest.raises(ValueError):
+            repeats.repeats(d, width=width, gram=gram)
+
+
+def test_long_text_and_string_ids(spark):
+    rnd = random.Random(12)
+    passage = "".join(rnd.choice("abcdefghij klmnop") for _ in range(150))
+    whole = "".join(rnd.choice("abcdefghij klmnop") for _ in range(400_000))
+    rows = [("b10", whole[:300_000] + passage + whole[300_000:]), ("b9", "q" + passage + "z"), (None, passage), ("b10", "twin " + passage)]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((r.n_bytes, r.row, r.n_removed) for r in repeats.repeats(d).collect())
+    assert got == [(150, None, 0), (152, "b9", 150), (155, "b10", 150), (400_150, "b10", 150)]
