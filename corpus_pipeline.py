@@ -1,7 +1,16 @@
 """The corpus pipeline: five stages over documents, each a decision of one operator that the next one builds on.
 
 Every function takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each stage's result as Parquet to the
-shared folder and reads it again as the next one's docs. All but the last return the columns of documents.
+shared folder and reads it again as the next one's docs. All but the last return the columns of documents. Tables that a
+stage writes on its way are deleted behind it.
+
+Cases, stage by stage. Null and empty texts fail the quality rules, so later stages meet them only if run alone: they are
+then linked with nothing, hold no benchmark words, are never taken by the mix, and weigh nothing in a shard. Null ids: each
+row is judged by its own text; where rows are alike, those without an id count as the smallest. Repeated rows: both are
+judged alike by quality rules, one stays after near duplicates. Ties: of equal ids in a group the row of the least text hash
+stays; equal ids share the mix's hash and a shard. Null sources and languages are ones of their own. Texts of any length are
+judged whole. Empty tables pass through all stages. Extra columns, whatever their names, travel in a struct through every
+stage; only ``shard`` is replaced by the last one.
 """
 
 from __future__ import annotations
@@ -9,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexforge.llm import decontaminate, mix, ngram_jaccard, oracle, quality, sharding
-from lexforge.llm.common import written
+from lexforge.llm.common import scratch, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +61,6 @@ ORACLE_SQL = oracle.pipeline()
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return docs
