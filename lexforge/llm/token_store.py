@@ -31,6 +31,7 @@ import struct
 import uuid
 import zlib
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ from .common import raw, shared_dir, written
 BLOCK, LANES, END = 2048, 2048, 2
 #: Bytes of text that a task codes (fewer where there are fewer for each core), and that it parses at a time; words that a
 #: worker keeps the ids of.
-PART, LEAST, CHUNK, KEPT = 256 << 20, 8 << 20, 2 << 20, 1_000_000
+PART, LEAST, CHUNK, KEPT = 256 << 20, 8 << 20, 6 << 20, 1_000_000
 _MAGIC = b"LFT2"
 #: Bits of a rank, of the order 0 frequencies, classes of a probability, and what a count grows by.
 _WIDE, _ZERO, _CLASSES, _STEP = 20, 22, 8, 24
@@ -238,7 +239,7 @@ def encode(model: Model, ranks: np.ndarray) -> list[bytes]:
     model.start(kind, at)
     steps = int(size.max()) if n else 0
     grid = lambda x, kind: np.ascontiguousarray(np.pad(x, (0, n * BLOCK - len(x))).reshape(n, BLOCK).T[:steps]).astype(kind)
-    shift, place, rank = grid(kind, np.uint8), grid(at, np.uint8), grid(ranks, np.uint32)
+    shift, place, rank = grid(kind << 4, np.uint8), grid(at, np.uint8), grid(ranks, np.int32)
     del kind, at
     base = np.arange(n) * _CLASSES**2
     mix = np.tile(model.prior, n)
@@ -265,7 +266,7 @@ def encode(model: Model, ranks: np.ndarray) -> list[bytes]:
 
     for t, m in enumerate(_lanes(size)):
         k = shift[t, :m]
-        move = k.astype(np.uint64) << np.uint64(4)
+        move = k.astype(np.uint64)
         c = base[:m] + place[t, :m]
         q = mix.take(c)
         sums = q * _SUMS
@@ -273,9 +274,9 @@ def encode(model: Model, ranks: np.ndarray) -> list[bytes]:
         unit = width[:m] // (sums >> np.uint64(48))
         low[:m], width[:m] = put(None, low[:m], unit * (end - own), unit * own)
         mix[c] = q + (np.uint64(_STEP) << move)
-        rest = np.flatnonzero(k == 3)
+        rest = np.flatnonzero(k == 48)
         if len(rest):
-            r = rank[t].take(rest).astype(np.int64)
+            r = rank[t].take(rest)
             w = width.take(rest) >> zero
             start = cum.take(r)
             low[rest], width[rest] = put(rest, low.take(rest), w * start, w * (cum.take(r + 1) - start))
@@ -572,14 +573,16 @@ class Encoder:
         if len(self.known) > KEPT:
             self._forget()
         known = self.known
-        new = [w for w in distinct if w not in known]
-        if new:
-            self._learn(new)
-        at = np.array([known[w] for w in distinct], np.int64)[words.indices.to_numpy()]
-        n = self.count[at]
-        ends = np.cumsum(n)
-        out = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[at] - ends + n, n)]
-        upto = np.concatenate([[0], ends])[np.cumsum(pc.list_value_length(parts).to_numpy())]
+        of = np.fromiter(map(known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        new = np.flatnonzero(of < 0)
+        if len(new):
+            self._learn([distinct[i] for i in new.tolist()])
+            of[new] = np.fromiter(map(known.__getitem__, map(distinct.__getitem__, new.tolist())), np.int64, len(new))
+        at = words.indices.to_numpy()
+        n = self.count[of].astype(np.int32)[at]
+        ends = np.cumsum(n, dtype=np.int32)  # a slice has far fewer ids than 2**31
+        out = self.flat.take(np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(self.begin[of].astype(np.int32)[at] - ends + n, n))
+        upto = np.concatenate([[0], ends]).astype(np.int64)[np.cumsum(pc.list_value_length(parts).to_numpy())]
         return out, np.diff(upto, prepend=0)
 
 
