@@ -41,6 +41,31 @@ def test_mix_reaches_targets(spark):
         assert target <= 3 * size and sum(taken) <= target + 1e-6 and target - sum(taken) <= max(0.02 * target, 50)
 
 
+def test_mix_passes_over_groups(spark):
+    """Rows of one id and text, a third of a source's words, that fit nowhere as a whole: the fills go on behind them."""
+    one = [(None, "a b c d e", "s0")] * 400 + [(i, "v w x y z", "s0") for i in range(800)]
+    rest = [(10_000 + i, "w " * 5, f"t{i % 2}") for i in range(400)]
+    d = spark.createDataFrame(one + rest, "doc_id long, text string, source string")
+    documents = d.toPandas().astype({"doc_id": "Int64"})  # noqa: F841
+    c = duckdb.connect()
+    c.sql("CREATE TABLE documents AS SELECT * FROM documents")
+    got = mix.report(d)
+    assert same(got, c.sql(queries.oracle_sql()["op1_source_mix"])) == d.count()
+    rows = [r for r in got.collect() if r.source_size == 6000]
+    # the target, 2,000 words, is the group's size: it fits only if no other document comes before it
+    assert sum(r.taken for r in rows if r.doc_id is None) == 0
+    assert 0 <= rows[0].target - sum(r.taken for r in rows) < 5
+
+
+def test_mix_differs_by_text(spark):
+    """Null ids are no group: nearly the whole target is met although all rows of a source have one."""
+    d = spark.createDataFrame([(None, f"a b c d t{i}", f"s{i % 3}") for i in range(3000)], "doc_id long, text string, source string")
+    by = {}
+    for r in mix.report(d).collect():
+        by[r.target] = by.get(r.target, 0) + r.taken
+    assert len(by) == 3 and all(0 <= target - taken < 5 for target, taken in by.items())
+
+
 def shards(c, limit):
     sql = f"WITH docs AS (SELECT doc_id, text FROM documents), {sharding.SQL.replace(f'<= {sharding.LIMIT}', f'<= {limit}')} SELECT doc_id, n_bytes, substr(lpad(bin(h), 60, '0'), 1, x.d) AS shard, CAST(x.d AS INTEGER) AS depth, x.s AS shard_bytes, x.s > {limit} AS over_limit FROM f"
     return c.sql(sql)
