@@ -34,8 +34,6 @@ def written(df: DataFrame, name: str, by: str | None = None, keep: bool = False)
     (out.partitionBy(by) if by else out).parquet(path)
     if _scopes and not keep:
         _scopes[-1].append(path)
-    # executors drop a finished write's shuffle files once the driver has collected its plan, which a large heap puts off
-    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
