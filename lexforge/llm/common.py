@@ -16,6 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Spark's switch to drop a query's shuffle files, on all executors, once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Folders of the tables that ``scratch`` will delete, of the innermost scope last.
 _scopes: list[list[str]] = []
 
@@ -26,12 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str, by: str | None = None, keep: bool = False) -> DataFrame:
-    """df, in folders by a column if one is given, as a Parquet table in the shared folder, read back: cuts the lineage and survives lost executors. It is for the
-    caller to delete, by ``scratch`` (which leaves those to keep) or by hand."""
+    """df, in folders by a column if one is given, as a Parquet table in the shared folder, read back: cuts the lineage and survives lost executors. The write's
+    shuffle files go with its end, as nothing reads them again. The table is for the caller to delete, by ``scratch`` (which leaves
+    those to keep) or by hand."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexforge/{name}-{uuid.uuid4().hex}"
     out = df.write.mode("errorifexists")
-    (out.partitionBy(by) if by else out).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (out.partitionBy(by) if by else out).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     if _scopes and not keep:
         _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
