@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mix, ngram_jaccard, oracle, quality, repeats, sharding, token_counts, token_store, toxicity, url_filter
+from . import chat_format, chat_repair, decontaminate, mix, ngram_jaccard, oracle, oracle_chat, prefix_trie, quality, repeats, sharding, token_counts, token_store, toxicity, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +71,20 @@ def op10_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_chat_format(spark, sf_dir):
+    return chat_format.digest(chat_format.formatted(chat_format.with_probe(_read(spark, sf_dir, "conversations"))))
+
+
+def op12_chat_repair(spark, sf_dir):
+    return chat_repair.repairs(chat_repair.damaged(_read(spark, sf_dir, "conversations")), present=F.col("present"))
+
+
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.nodes(prefix_trie.rebuilt(prefix_trie.turns(_read(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mix, op2_url_filter, op3_ngram_jaccard, op4_token_counts, op5_token_store, op6_toxicity, op7_sharding, op8_quality_rules, op9_repeated_substrings, op10_decontamination)}
+    return {f.__name__: f for f in (op1_source_mix, op2_url_filter, op3_ngram_jaccard, op4_token_counts, op5_token_store, op6_toxicity, op7_sharding, op8_quality_rules, op9_repeated_substrings, op10_decontamination, op11_chat_format, op12_chat_repair, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -83,6 +95,9 @@ def oracle_sql() -> dict[str, str]:
         "op8_quality_rules": oracle.QUALITY,
         "op9_repeated_substrings": oracle.REPEATS,
         "op10_decontamination": oracle.DECONTAMINATION,
+        "op11_chat_format": oracle_chat.formatting(),
+        "op12_chat_repair": oracle_chat.repair(),
+        "op13_prefix_trie": oracle_chat.TRIE,
         "op7_sharding": f"""WITH docs AS (SELECT doc_id, text FROM documents), {sharding.sql(SHARD)}
 SELECT doc_id, n_bytes, substr(lpad(bin(h), 60, '0'), 1, x.d) AS shard, CAST(x.d AS INTEGER) AS depth, x.s AS shard_bytes, x.s > {SHARD} AS over_limit FROM f""",
     }
