@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .folding import casefold, strip_accents  # noqa: F401
+
 #: Runs of letters; one apostrophe or hyphen between letters belongs to the word.
 WORD = r"\p{L}+(?:['-]\p{L}+)*"
 # The characters that Python's str.strip removes, and the code point ranges of the scripts.
@@ -30,23 +32,6 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def casefold(words: pd.Series) -> pd.Series:
-    """Full Unicode case folding."""
-    return words.str.casefold()
-
-
-@F.pandas_udf(StringType())
-def strip_accents(words: pd.Series) -> pd.Series:
-    """Words without their non-spacing marks, composed again."""
-
-    def bare(word: str) -> str:
-        kept = [c for c in unicodedata.normalize("NFD", word) if unicodedata.category(c) != "Mn"]
-        return unicodedata.normalize("NFC", "".join(kept))
-
-    return words.map(bare, na_action="ignore")
-
-
 def normalized(df: DataFrame, text: str, form: str = "NFKC") -> DataFrame:
     """df with its text in a normal form, typographic apostrophes made plain. Only texts that a normal form could change
     are sent to Python: in the column that it gets, all others are null."""

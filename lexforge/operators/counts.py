@@ -1,14 +1,16 @@
 """Word and quoted-word counts over a corpus.
 
-Words are counted raw and in the JVM; case folding and accent stripping run over distinct words, which are then
-counted again. Counts are exact: partial aggregation, one shuffle of distinct words.
+Words are counted raw; case folding and accent stripping run over distinct words, which are then counted again. Counts are
+exact: partial aggregation, one shuffle of distinct words. The statistics of a scan come from the pass that counts
+(``counted``, by Spark's observed metrics) or from one of their own without a shuffle of words (``scan_stats``); both look at the
+words after folding and filters, as the counts do.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import quotes, text as T
@@ -49,27 +51,35 @@ def scanned(corpus: DataFrame, o: Options) -> DataFrame:
     return corpus.where(T.nonblank(F.col(o.text)))
 
 
+def _folded(word: Column, o: Options) -> Column:
+    word = T.casefold(word) if o.lowercase else word
+    return T.strip_accents(word) if o.strip_accents else word
+
+
+def _survives(word: Column, o: Options) -> Column:
+    """Whether a folded word passes the filters."""
+    keep = F.length(word) >= o.min_length
+    return keep & T.has_script(word, o.script) if o.script else keep
+
+
 def _kept(words: DataFrame, o: Options) -> DataFrame:
     """(word, count, ...) rows after folding and filters, in that order; counts of equal words are added."""
     others = [c for c in words.columns if c not in ("word", "count")]
     if o.lowercase or o.strip_accents:
-        if o.lowercase:
-            words = words.withColumn("word", T.casefold(F.col("word")))
-        if o.strip_accents:
-            words = words.withColumn("word", T.strip_accents(F.col("word")))
-        words = words.groupBy(*others, "word").agg(F.sum("count").alias("count"))
-    if o.min_length > 1:
-        words = words.where(F.length("word") >= o.min_length)
-    if o.script:
-        words = words.where(T.has_script(F.col("word"), o.script))
-    return words.where(F.length("word") > 0)
+        words = words.withColumn("word", _folded(F.col("word"), o)).groupBy(*others, "word").agg(F.sum("count").alias("count"))
+    return words.where(_survives(F.col("word"), o))
+
+
+def _each(words: DataFrame, o: Options, by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts of the elements of an array column of words."""
+    each = words.select(*by, F.explode("words").alias("word"))
+    return _kept(each.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("count")), o)
 
 
 def word_counts(corpus: DataFrame, o: Options = Options(), by: tuple[str, ...] = ()) -> DataFrame:
     """word, count (by further columns, if given)."""
     rows = T.normalized(scanned(corpus, o).select(*by, o.text), o.text, o.normalization)
-    each = rows.select(*by, F.explode(T.words(F.col(o.text))).alias("word"))
-    return _kept(each.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("count")), o)
+    return _each(rows.select(*by, T.words(F.col(o.text)).alias("words")), o, by)
 
 
 def quoted_segments(corpus: DataFrame, o: Options = Options()) -> DataFrame:
@@ -79,8 +89,7 @@ def quoted_segments(corpus: DataFrame, o: Options = Options()) -> DataFrame:
 
 
 def quoted_word_counts(corpus: DataFrame, o: Options = Options()) -> DataFrame:
-    each = quoted_segments(corpus, o).select(F.explode(T.words(F.col("segment"))).alias("word"))
-    return _kept(each.groupBy("word").agg(F.count(F.lit(1)).alias("count")), o)
+    return _each(quoted_segments(corpus, o).select(T.words(F.col("segment")).alias("words")), o)
 
 
 def ranked(counts: DataFrame, min_count: int = 1, limit: int = 0) -> DataFrame:
@@ -93,26 +102,66 @@ def preview(counts: DataFrame, limit: int = 0, most: int = 25) -> DataFrame:
     return ranked(counts, 1, min(most, limit) if limit else most)
 
 
-def scan_stats(corpus: DataFrame, o: Options = Options()) -> DataFrame:
-    """One row: documents scanned, documents with a surviving word, and all surviving words. One pass without folding."""
-    capped = corpus.orderBy(o.order).limit(o.max_documents) if o.max_documents else corpus
-    inner = F.lit(True) if o.min_quality is None else F.coalesce(F.col(o.quality) >= o.min_quality, F.lit(False))
-    rows = T.normalized(capped.select(F.when(inner, F.col(o.text)).alias("t")), "t", o.normalization)
+def _documents(corpus: DataFrame, o: Options) -> DataFrame:
+    """One row for each scanned document; its text is null if it isn't counted."""
+    capped = corpus.orderBy(o.order).limit(o.max_documents) if o.max_documents is not None else corpus
+    counts = T.nonblank(F.col(o.text))
+    if o.min_quality is not None:
+        counts = counts & F.coalesce(F.col(o.quality) >= o.min_quality, F.lit(False))
+    return capped.select(F.when(counts, F.col(o.text)).alias(o.text))
+
+
+def _with_words(corpus: DataFrame, o: Options) -> DataFrame:
+    """words and n of every scanned document: the words as they stand, and how many of them survive folding and filters."""
+    rows = T.normalized(_documents(corpus, o), o.text, o.normalization)
+    rows = rows.select(F.coalesce(T.words(F.col(o.text)), F.array().cast("array<string>")).alias("words"))
+    return rows.withColumn("n", F.size(F.filter("words", lambda w: _survives(_folded(w, o), o))).cast("long"))
+
 
-    def survives(w):
-        keep = F.length(w) >= o.min_length
-        return keep & T.has_script(w, o.script) if o.script else keep
+def _with_quotes(corpus: DataFrame, o: Options) -> DataFrame:
+    """words, n and segments of every scanned document: the words of its quoted segments, how many survive, how many segments."""
+    rows = quotes.with_segments(_documents(corpus, o), o.text, o.normalization)
+    rows = rows.select("segments", F.flatten(F.transform("segments", T.words)).alias("words"))
+    n = F.size(F.filter("words", lambda w: _survives(_folded(w, o), o)))
+    return rows.select("words", n.cast("long").alias("n"), F.size("segments").cast("long").alias("segments"))
 
-    n = F.coalesce(F.size(F.filter(T.words(F.col("t")), survives)), F.lit(0))
-    n = F.when(F.col("t").isNull(), 0).otherwise(n)
-    return rows.select(n.cast("long").alias("n")).agg(F.count(F.lit(1)).alias("documents_scanned"), F.count_if(F.col("n") > 0).alias("documents_counted"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_words"))
+
+def _total(c: str) -> Column:
+    return F.coalesce(F.sum(c), F.lit(0)).cast("long")
+
+
+def _scan_metrics() -> list[Column]:
+    return [F.count(F.lit(1)).alias("documents_scanned"), F.count_if(F.col("n") > 0).alias("documents_counted"), _total("n").alias("total_words")]
+
+
+def _quote_metrics() -> list[Column]:
+    return [F.count(F.lit(1)).alias("documents_scanned"), F.count_if(F.col("segments") > 0).alias("documents_with_quotes"), _total("segments").alias("total_segments"), _total("n").alias("total_words")]
+
+
+def scan_stats(corpus: DataFrame, o: Options = Options()) -> DataFrame:
+    """One row: documents scanned, documents with a surviving word, and all surviving words. No word is shuffled."""
+    return _with_words(corpus, o).agg(*_scan_metrics())
 
 
 def quoted_stats(corpus: DataFrame, o: Options = Options()) -> DataFrame:
-    """One row: documents scanned, documents with a segment, and all segments."""
-    capped = corpus.orderBy(o.order).limit(o.max_documents) if o.max_documents else corpus
-    rows = quotes.with_segments(capped.select(o.text), o.text, o.normalization).select(F.size("segments").cast("long").alias("n"))
-    return rows.agg(F.count(F.lit(1)).alias("documents_scanned"), F.count_if(F.col("n") > 0).alias("documents_with_quotes"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_segments"))
+    """One row: documents scanned, documents with a segment, all segments, and all surviving words in them."""
+    return _with_quotes(corpus, o).agg(*_quote_metrics())
+
+
+def counted(corpus: DataFrame, o: Options = Options(), quoted: bool = False) -> tuple[DataFrame, Observation]:
+    """word, count of words or quoted words, and the statistics of the same pass: a dict as the observation's ``get``, once an action
+    has run over the counts."""
+    seen = Observation()
+    rows = _with_quotes(corpus, o) if quoted else _with_words(corpus, o)
+    metrics = _quote_metrics() if quoted else _scan_metrics()
+    return _each(rows.observe(seen, *metrics), o), seen
+
+
+def stored(corpus: DataFrame, path: str, o: Options = Options(), quoted: bool = False) -> tuple[DataFrame, dict]:
+    """Counts as a Parquet table at a path, read back, and the statistics of the pass that wrote them."""
+    rows, seen = counted(corpus, o, quoted)
+    rows.write.parquet(path)
+    return corpus.sparkSession.read.schema(rows.schema).parquet(path), seen.get
 
 
 def unique_stats(counts: DataFrame, min_count: int = 1) -> DataFrame:

@@ -69,6 +69,12 @@ def word_count_stats(spark, d):
     return counts.scan_stats(docs(spark, d), Options(min_length=4))
 
 
+def word_count_report(spark, d):
+    """Statistics of the scan and of the counts, both of one pass: the counts are written, and what was seen on the way observed."""
+    table, seen = counts.stored(docs(spark, d), f"{_state(spark)}/counts", Options(lowercase=True, strip_accents=True, min_length=4))
+    return counts.unique_stats(table, 5).select(*[F.lit(seen[c]).cast("long").alias(c) for c in ("documents_scanned", "documents_counted")], "*")
+
+
 def unique_word_stats(spark, d):
     return counts.unique_stats(counts.word_counts(docs(spark, d), PLAIN), 5)
 
@@ -422,7 +428,7 @@ def bpe_encoded_mixture(spark, d):
 
 QUERIES = (
     word_count_topk, word_counts_all, word_count_by_lang, word_count_script_filtered, word_count_min_length, word_count_having, word_count_casefold,
-    word_count_strip_accents, word_count_quality_filtered, word_count_max_documents, word_count_stats, unique_word_stats, word_count_merge,
+    word_count_strip_accents, word_count_quality_filtered, word_count_max_documents, word_count_stats, word_count_report, unique_word_stats, word_count_merge,
     quoted_segments, quoted_word_topk, quoted_word_preview, quoted_word_stats, contains_script,
     candidate_filter_reasons, case_variant_collapse, case_variant_stats, candidate_scores, candidate_topk, candidate_stats,
     static_token_groups, static_token_stats, static_candidates, static_candidate_stats, selected_tokens,

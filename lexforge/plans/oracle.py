@@ -145,12 +145,14 @@ SQL = {
     "word_count_quality_filtered": _counts("(SELECT text FROM documents JOIN labels USING (doc_id) WHERE quality >= 1)"),
     "word_count_max_documents": _counts("(SELECT text FROM documents ORDER BY doc_id LIMIT 100)"),
     "word_count_stats": r"WITH x AS (SELECT len(list_filter(regexp_extract_all(text, '\p{L}+(?:[''-]\p{L}+)*'), lambda w: length(w) >= 4)) AS n FROM documents) SELECT CAST(count(*) AS BIGINT) AS documents_scanned, CAST(count(*) FILTER (n > 0) AS BIGINT) AS documents_counted, CAST(sum(n) AS BIGINT) AS total_words FROM x",
+    "word_count_report": rf"""WITH w AS (SELECT doc_id, strip_accents({_KEY}) AS word FROM (SELECT doc_id, {_words()} AS word FROM documents)), k AS (SELECT * FROM w WHERE length(word) >= 4), n AS (SELECT word, count(*) AS count FROM k GROUP BY 1)
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM documents) AS documents_scanned, (SELECT CAST(count(DISTINCT doc_id) AS BIGINT) FROM k) AS documents_counted, CAST(count(*) AS BIGINT) AS unique_words, CAST(count(*) FILTER (count >= 5) AS BIGINT) AS exported_words, CAST(sum(count) AS BIGINT) AS total_words FROM n""",
     "unique_word_stats": f"WITH {_C} SELECT CAST(count(*) AS BIGINT) AS unique_words, CAST(count(*) FILTER (count >= 5) AS BIGINT) AS exported_words, CAST(sum(count) AS BIGINT) AS total_words FROM c",
     "word_count_merge": _counts("(SELECT text FROM documents UNION ALL SELECT text FROM conversations)"),
     "quoted_segments": f"WITH {_QUOTED} SELECT doc_id, CAST(i - 1 AS INTEGER) AS position, s[i] AS segment FROM q, range(1, len(s) + 1) r(i)",
     "quoted_word_topk": f"WITH {_QUOTED}, {_QW} SELECT * FROM qw ORDER BY count DESC, word LIMIT 1000",
     "quoted_word_preview": f"WITH {_QUOTED}, {_QW} SELECT * FROM qw ORDER BY count DESC, word LIMIT 25",
-    "quoted_word_stats": f"WITH {_QUOTED} SELECT CAST(count(*) AS BIGINT) AS documents_scanned, CAST(count(*) FILTER (len(s) > 0) AS BIGINT) AS documents_with_quotes, CAST(sum(len(s)) AS BIGINT) AS total_segments FROM q",
+    "quoted_word_stats": f"WITH {_QUOTED} SELECT CAST(count(*) AS BIGINT) AS documents_scanned, CAST(count(*) FILTER (len(s) > 0) AS BIGINT) AS documents_with_quotes, CAST(sum(len(s)) AS BIGINT) AS total_segments, CAST(sum(len(list_filter(flatten(list_transform(s, lambda x: regexp_extract_all(x, '\\p{{L}}+(?:[''-]\\p{{L}}+)*'))), lambda w: true))) AS BIGINT) AS total_words FROM q",
     "contains_script": rf"SELECT doc_id, regexp_matches(text, '{_LATIN}') AS latin1, regexp_matches(text, '[\x{{370}}-\x{{3FF}}\x{{1F00}}-\x{{1FFF}}]') AS greek, regexp_matches(text, '\S') AS nonblank FROM documents",
     "candidate_filter_reasons": f"WITH {_C} SELECT CASE WHEN length(word) < 4 THEN 'too_short' WHEN length(word) > 40 THEN 'too_long' WHEN NOT regexp_matches(word, '{_LATIN}') THEN 'other_script' ELSE 'kept' END AS reason, CAST(count(*) AS BIGINT) AS words FROM c GROUP BY 1",
     "case_variant_collapse": f"WITH {_C} {_collapse('c')}",

@@ -123,7 +123,7 @@ def test_counts_and_options(spark):
     assert get(counts.Options(max_documents=1, min_quality=0.95)) == {}
     assert {r["word"]: r["count"] for r in counts.quoted_word_counts(c).collect()} == {"δύο": 1, "λέξεις": 1}
     assert tuple(counts.scan_stats(c, counts.Options(script="greek")).first()) == (5, 3, 9)
-    assert tuple(counts.quoted_stats(c).first()) == (5, 1, 1)
+    assert tuple(counts.quoted_stats(c).first()) == (5, 1, 1, 2)
     ranked = counts.ranked(counts.word_counts(c), 1, 2).collect()
     assert [(r["word"], r["count"]) for r in ranked] == [("Αθήνα", 3), ("it's", 1)]
     for bad in (dict(min_length=0), dict(max_documents=0), dict(script="runes"), dict(normalization="x")):
@@ -131,6 +131,61 @@ def test_counts_and_options(spark):
             counts.Options(**bad)
 
 
+ODD = [
+    (0, "ΐ ß straße Αΐ", 0.9), (1, "«δύο ΛΈΞΕΙΣ» and 'one two' `x` ŉ", 0.5), (2, " ", 0.9), (3, None, None), (4, '"α" "" "β γ"', None), (5, 'say "Ünïcödé wörds" ﬁ', 0.2), (6, "12 34 \"5\"", 0.9),
+]
+
+
+@pytest.mark.parametrize(("lowercase", "accents", "more"), [(False, False, {"min_length": 3}), (True, False, {"min_length": 3}), (False, True, {"script": "greek"}), (True, True, {"min_quality": 0.5}), (True, False, {"max_documents": 5, "min_quality": 0.4, "min_length": 2})])
+def test_statistics_agree_with_the_counts(spark, tmp_path, lowercase, accents, more):
+    c = spark.createDataFrame(ODD, "doc_id long, text string, quality_score double")
+    o = counts.Options(lowercase=lowercase, strip_accents=accents, **more)
+    total = lambda df: sum(r["count"] for r in df.collect())
+    alone = {i: total(counts.word_counts(c.where(f"doc_id = {i}"), counts.Options(lowercase=lowercase, strip_accents=accents, **{k: v for k, v in more.items() if k != "max_documents"}))) for i in range(min(7, more.get("max_documents", 7)))}
+    s = counts.scan_stats(c, o).first()
+    assert (s.documents_scanned, s.documents_counted, s.total_words) == (len(alone), sum(n > 0 for n in alone.values()), total(counts.word_counts(c, o)))
+    q = counts.quoted_stats(c, o).first()
+    segments = counts.quoted_segments(c, o).collect()
+    assert tuple(q) == (len(alone), len({r.doc_id for r in segments}), len(segments), total(counts.quoted_word_counts(c, o)))
+    # one pass gives both
+    for quoted, want, rows in ((False, s, counts.word_counts(c, o)), (True, q, counts.quoted_word_counts(c, o))):
+        table, seen = counts.stored(c, str(tmp_path / f"{quoted}"), o, quoted)
+        assert seen == want.asDict() and sorted(map(tuple, table.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_statistics_of_folded_words(spark):
+    c = spark.createDataFrame(ODD[:1], "doc_id long, text string, quality_score double")
+    o = counts.Options(lowercase=True, min_length=3)
+    assert counts.scan_stats(c, o).first().total_words == sum(r["count"] for r in counts.word_counts(c, o).collect()) == 3
+    rows = [(0, 'a "b" c', 0.9), (1, 'a "b" c "d"', 0.1), (2, '"e"', None), (3, 'x', 0.9)]
+    c = spark.createDataFrame(rows, "doc_id long, text string, quality_score double")
+    assert tuple(counts.quoted_stats(c, counts.Options(min_quality=0.5)).first()) == (4, 1, 1, 1)
+
+
+def test_folding_equals_python_for_every_code_point(spark):
+    from pyspark.sql import functions as F
+
+    from lexforge.functions import folding
+
+    rng = random.Random(9)
+    hot = [chr(c) for c in [*range(0x1100, 0x1113), *range(0x1161, 0x1176), *range(0x11A7, 0x11C3), *range(0x9BE, 0x9D8), 0x9C7, 0xAC00, 0xAC01, 0x301, 0x308, 0x345, 0x3B9, 0xDF, 0x1FB3, 0x130, 0x1F600]]
+    texts = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000] + ["".join(rng.choices(hot, k=rng.randint(0, 8))) for _ in range(5000)]
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"t": texts}))
+    got = df.select("t", folding.casefold(F.col("t")).alias("c"), folding.strip_accents(F.col("t")).alias("a")).toPandas()
+    assert [c for t, c in zip(got.t, got.c, strict=True) if c != t.casefold()] == []
+    bare = lambda t: unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn"))
+    assert [a for t, a in zip(got.t, got.a, strict=True) if a != bare(t)] == []
+
+
+def test_folded_counts_need_no_python(spark, sf):
+    from lexforge.plans import catalog
+
+    for q in (catalog.word_count_casefold, catalog.word_count_strip_accents):
+        assert "Python" not in q(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_partitions_do_not_matter(spark):
     c = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     a = {tuple(r) for r in counts.word_counts(c).collect()}
