@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,8 +20,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Spark's switch to drop a query's shuffle files, on all executors, once it has ended.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: Folders of the tables that ``scratch`` will delete, of the innermost scope last.
-_scopes: list[list[str]] = []
+#: Folders of the tables that ``scratch`` will delete, of the innermost scope last; of each thread its own.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,8 +45,8 @@ def written(df: DataFrame, name: str, by: str | None = None, keep: bool = False)
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    if _scopes and not keep:
-        _scopes[-1].append(path)
+    if _scopes.get() and not keep:
+        _scopes.get()[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -78,11 +79,13 @@ def restored(rows: DataFrame, names: DataFrame, *columns: str) -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession):
     """Deletes the tables written inside once it is left: results that read them must be written before."""
-    _scopes.append([])
+    paths: list[str] = []
+    token = _scopes.set((*_scopes.get(), paths))
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scopes.reset(token)
+        for path in paths:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 

@@ -16,7 +16,9 @@ on behind it.
 
 Null and empty texts have size 0 and are never taken; a source with such texts only has target 0. A null source is a
 source of its own, the last. Rows of equal id and text share a hash and are taken together; a null id is an id like
-others. The result depends on the rows alone, not on their order or partitions.
+others. The result depends on the rows alone, not on their order or partitions. Of a text of any length only its words are
+counted and its digest taken; one larger than what is missing is passed over. Empty tables give empty results. Other columns
+may have any names: only id, text and source are read, and ``mixed`` carries rows in a struct.
 """
 
 from __future__ import annotations

@@ -44,6 +44,8 @@ REGION, SHINGLES, BLOCK, KEPT = 20_000, 8_000_000, 1 << 20, 300_000
 SENT = 200_000
 #: Pivots of a region or cell, and rounds of distributed pivots.
 PIVOTS, ROUNDS = 8, 4
+#: Places that the rows of one id are dealt out to.
+APART = 4096
 NULL_ID = -(1 << 63)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -367,8 +369,10 @@ def _joined(docs: DataFrame, doc_id: str, text: str, width: int, percent: int) -
     texts = docs.select(_key(doc_id).alias("id"), _hash(text).alias("h"), F.col(text).alias("t"))
     # texts are parsed once: documents and keys leave in one shuffle and are told apart behind it
     parsed = texts.mapInArrow(_parsed(width, percent), "p boolean, key long, node long, need long, h long")
-    same = Window.partitionBy("p", "key")
-    met = parsed.repartition("p", "key").withColumn("least", F.min("node").over(same)).withColumn("most", F.max("node").over(same))
+    # a document's row needs no others: those of one id, as all without one, are dealt out by their place
+    parsed = parsed.withColumn("apart", F.when(F.col("p"), F.monotonically_increasing_id() % APART))
+    same = Window.partitionBy("p", "key", "apart")
+    met = parsed.repartition("p", "key", "apart").withColumn("least", F.min("node").over(same)).withColumn("most", F.max("node").over(same))
     both = written(met.where("p or least != most").select("key", "node", "need", "h", "p"), "jaccard-parsed", by="p")
     prints = both.where("p").select(F.col("key").alias("id"), "h", F.col("need").alias("n"), "node")
     rows = written(both.where("not p").select("key", "node", "need").distinct(), "jaccard-keys")

@@ -9,11 +9,11 @@ together, that of their pooled counts, and at most -``LEAST_COST``, so that a te
 Scan. In one pass over a text's scores, every maximal segment with a positive sum is found (a token that no segment can
 be joined with any more closes it), in time linear in the text. By extreme-value theory, a text of n tokens without toxic
 passages has K n exp(-lambda S) segments of score S or more by chance; lambda solves sum(p exp(lambda s)) = 1 over the
-scores of other documents, and K is estimated from their best segments S: K n exp(-lambda S) has a mean of 1 over them.
+scores of other documents, and K is estimated from their best segments S: K n exp(-lambda S) has a mean of 1 over them. lambda is at most ``MOST_LAMBDA``.
 Segments for which this is small are the toxic passages.
 
 Calibration. A document's evidence is the largest sum of lambda S - ln(K n) over its r best segments, and ln(r!), for
-any r. A logistic curve over it, fitted on a histogram of the training documents' evidence, is the score.
+any r. A logistic curve over it, taken within ``EVIDENCE`` and fitted on a histogram of the training documents' evidence, is the score.
 
 Bounds. Training takes labelled documents of at most ``MAX_TRAIN`` ids, the lowest by hash. That bounds the model, which
 is all that reaches the driver and the executors: significance is tested where the counts are, and every token that
@@ -44,10 +44,17 @@ MAX_TRAIN = 100_000
 #: chance of a random segment, least cost of a token without a score, hashes by which copies are known.
 PRIOR, SIGNIFICANT, STEMS, CHANCE, LEAST_COST, LEAST = 2000.0, 3.5, (5, 4), 0.05, 0.02, 4
 THRESHOLD = 0.7
+#: Largest lambda: with few toxic tokens among the others the equation's root is so large that a single token would count as a
+#: certain passage. Evidence beyond these ends is as good as certain, so it is at the ends for the curve.
+MOST_LAMBDA, EVIDENCE = 2.0, (-20.0, 60.0)
 #: ASCII letters, digits, apostrophes and whatever isn't ASCII belong to tokens.
 _TOKEN = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c == 39 or c >= 128 else 32 for c in range(256))
 
 
+def within(evidence: float) -> float:
+    return max(EVIDENCE[0], min(EVIDENCE[1], evidence))
+
+
 def tokens(data: bytes) -> list[bytes]:
     return data.translate(_TOKEN).split()
 
@@ -144,7 +151,7 @@ class Model:
 
     def probability(self, evidence: float) -> float:
         a, b = self.curve
-        z = max(-40.0, min(40.0, a * max(-20.0, min(60.0, evidence)) + b))
+        z = max(-40.0, min(40.0, a * within(evidence) + b))
         return 1 / (1 + math.exp(-z))
 
 
@@ -158,8 +165,8 @@ def _scored(counts: DataFrame, toxic: float, other: float) -> DataFrame:
     return rows.withColumn("z", F.col("delta") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("other") + prior)))
 
 
-def _lambda(values: list[tuple[float, float]], cost: float, rest: float) -> float:
-    """The positive root of sum(p exp(x s)) = 1 for scores s of probability p, and -cost for the rest."""
+def _lambda(values: list[tuple[float, float]], cost: float, rest: float, most: float = MOST_LAMBDA) -> float:
+    """The positive root of sum(p exp(x s)) = 1 for scores s of probability p, and -cost for the rest; at most ``most``."""
     f = lambda x: sum(p * math.exp(min(x * s, 700)) for s, p in values) + rest * math.exp(-x * cost) - 1
     lo, hi = 1e-6, 1e-6
     while f(hi) < 0 and hi < 64:
@@ -167,7 +174,7 @@ def _lambda(values: list[tuple[float, float]], cost: float, rest: float) -> floa
     for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
-    return min(hi, 2.0)
+    return min(hi, most)
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
@@ -208,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
         for batch in batches:
             bins = Counter()
             for data, y in zip(raw(batch.column("t")), batch.column("y").to_pylist(), strict=True):
-                bins[y, round(4 * max(-20.0, min(60.0, sent.value.evidence(tokens(data or b""))[0])))] += 1
+                bins[y, round(4 * within(sent.value.evidence(tokens(data or b""))[0]))] += 1
             yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in bins], pa.int32()), pa.array([b for _, b in bins], pa.int32()), pa.array(list(bins.values()), pa.int64())], names=["y", "bin", "n"])
 
     found = rows.mapInArrow(evidence, "y int, bin int, n long").groupBy("y", "bin").agg(F.sum("n").alias("n")).collect()

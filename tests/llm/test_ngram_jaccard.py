@@ -196,3 +196,25 @@ def test_representatives_of_null_and_repeated_ids(spark):
 def test_whole_table(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert result(queries.op3_ngram_jaccard(spark, sf)) == brute(rows, 3, 90)
+
+
+def test_rows_without_an_id_are_dealt_out(spark):
+    """A third of all rows without an id, half of these one text: no task gets them all."""
+    rows = [(None if i % 3 == 0 else i, f"one two three {i if i % 2 else 0}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    seen = []
+    repartition = type(docs).repartition
+
+    def watched(df, *by):
+        out = repartition(df, *by)
+        if by == ("p", "key", "apart"):
+            seen.append([r.n for r in repartition(df.where("p"), 16, *by).groupBy(ngram_jaccard.F.spark_partition_id().alias("at")).agg(ngram_jaccard.F.count("*").alias("n")).collect()])
+        return out
+
+    type(docs).repartition = watched
+    try:
+        found = ngram_jaccard.report(docs, width=3, percent=90)
+    finally:
+        type(docs).repartition = repartition
+    assert sum(seen[0]) == 3000 and max(seen[0]) < 2 * sorted(seen[0])[len(seen[0]) // 2]
+    assert result(found) == brute(rows, 3, 90)

@@ -112,3 +112,19 @@ def test_odd_rows(spark):
     empty = toxicity.report(d, labels.limit(0)).collect()
     assert all(r.score < 0.01 for r in empty)
     assert toxicity.report(d.limit(0), labels).count() == 0
+
+
+def test_bounds_of_lambda_and_evidence():
+    """Below its bound lambda solves the equation, and beyond it the bound is what is used; evidence beyond its ends has their score."""
+    import math
+
+    solved = lambda x, values, cost, rest: abs(sum(p * math.exp(x * s) for s, p in values) + rest * math.exp(-x * cost) - 1) < 1e-9
+    some, few = [(3.0, 0.05)], [(3.0, 1e-9)]
+    x = toxicity._lambda(some, 0.5, 0.95)
+    assert 0 < x < toxicity.MOST_LAMBDA and solved(x, some, 0.5, 0.95)
+    assert toxicity._lambda(few, 0.5, 1 - 1e-9) == toxicity.MOST_LAMBDA
+    x = toxicity._lambda(few, 0.5, 1 - 1e-9, most=math.inf)
+    assert x > toxicity.MOST_LAMBDA and solved(x, few, 0.5, 1 - 1e-9)
+    m = toxicity.Model({}, 1.0, 1.0, 1.0, (0.5, -3.0))
+    low, high = toxicity.EVIDENCE
+    assert m.probability(low - 9) == m.probability(low) < m.probability(0) < m.probability(high) == m.probability(high + 9)

@@ -33,3 +33,27 @@ def test_the_setting_is_put_back(spark):
         common.written(spark.range(3), "test")
         assert spark.conf.get(common._CLEANUP, None) == value
         spark.conf.unset(common._CLEANUP)
+
+
+def test_scopes_of_threads_are_their_own(spark):
+    import os
+    import threading
+
+    found, inside, out = {}, threading.Barrier(2), threading.Barrier(2)
+
+    def run(name, first):
+        with common.scratch(spark):
+            found[name] = common.written(spark.range(3), name)
+            inside.wait(60)
+            if not first:
+                out.wait(60)  # the other scope is left meanwhile
+                found["still"] = found[name].count()
+        if first:
+            out.wait(60)
+
+    threads = [threading.Thread(target=run, args=(n, n == "a")) for n in ("a", "b")]
+    [t.start() for t in threads]
+    [t.join(120) for t in threads]
+    assert found["still"] == 3
+    paths = [found[n].inputFiles()[0].removeprefix("file://").rpartition("/")[0] for n in ("a", "b")]
+    assert not any(os.path.exists(p) for p in paths)
