@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources import io
 from .tokenization import labels, truncate_pad
 
 # Defaults of a run.
@@ -24,27 +25,22 @@ def effective_length(length: int = LENGTH, smoke: bool = False, smoke_length: in
     return smoke_length if smoke else length
 
 
+#: Draws whose numbers within a source are found together; all that a window over draws holds.
+BLOCK = 1 << 16
+
+
 def numbered(rows: DataFrame, source: str, order: str, out: str = "k") -> DataFrame:
-    """rows with their number within the source, from 1, in ascending order. Ranges of the order column are numbered
-    apart and shifted by the sizes of the ranges before, so one source is many tasks; a column that has no numeric
-    ranges takes a window per source."""
-    plain = Window.partitionBy(source).orderBy(order)
-    kind = dict(rows.dtypes)[order]
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if kind not in ("tinyint", "smallint", "int", "bigint", "float", "double"):
-        return rows.withColumn(out, F.row_number().over(plain).cast("long"))
-    bounds = sorted(set(rows.approxQuantile(order, [i / parts for i in range(1, parts)], 0.005)))
-    if not bounds:
-        return rows.withColumn(out, F.row_number().over(plain).cast("long"))
-    # null orders come first, as in a sort
-    cut = F.coalesce(F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]), lambda b: F.col(order).cast("double") > b)), F.lit(0))
-    rows = rows.withColumn("_range", cut)
-    sizes = rows.groupBy(F.col(source).alias("_of"), F.col("_range").alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_of").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("_of", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(source, "_range").orderBy(order)))
-    rows = rows.join(sizes, F.col(source).eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_part")))
-    return rows.withColumn(out, F.col("_before") + F.col("_nth")).drop("_of", "_part", "_before", "_nth", "_range")
+    """rows with their number within the source, from 1, in ascending order (nulls first; ties in any order). The rows are sorted
+    by ranges and written; what stands before a range is a sum over one row for each range and source, so numbering is as
+    parallel as the sort, for any type of order."""
+    rows = rows.repartitionByRange(F.col(source), F.col(order)).sortWithinPartitions(source, order)
+    table = io.stored(rows.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(F.col("_at"), 33)
+    sizes = table.groupBy(F.col(source).alias("_of"), part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_of").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_of", "_part", (before - F.col("_first") + 1).alias("_shift"))
+    table = table.join(sizes, F.col(source).eqNullSafe(F.col("_of")) & (part == F.col("_part")))
+    return table.withColumn(out, F.col("_at") + F.col("_shift")).drop("_of", "_part", "_shift", "_at")
 
 
 def _edges(weights: dict[str, float]) -> list[tuple[str, int]]:
@@ -58,23 +54,53 @@ def _edges(weights: dict[str, float]) -> list[tuple[str, int]]:
     return edges
 
 
-def _draws(spark: SparkSession, weights: dict[str, float], upto: int, seed: int) -> DataFrame:
-    """i, source, k: draw i takes the k-th row of its source. The first 32 bits of md5 of seed and i choose it."""
-    edges = _edges(weights)
+def _draws(spark: SparkSession, edges: list[tuple[str, int]], begin: int, end: int, seed: int) -> DataFrame:
+    """i, source, block of the draws from begin to before end. The first 32 bits of md5 of seed and i choose the source."""
     u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("i").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
     source = F.when(u < edges[0][1], edges[0][0])
     for name, edge in edges[1:-1]:
         source = source.when(u < edge, name)
-    rows = spark.range(upto).withColumnRenamed("id", "i").withColumn("source", source.otherwise(edges[-1][0]))
-    return numbered(rows, "source", "i")
+    rows = spark.range(begin, end).withColumnRenamed("id", "i").withColumn("source", source.otherwise(edges[-1][0]))
+    return rows.withColumn("block", F.floor(F.col("i") / BLOCK).cast("long"))
+
+
+def _bound(sizes: dict[str, int], weights: dict[str, float], stop: str) -> int:
+    """Draws within which the end lies, but for one case in a milliard: six standard deviations beyond the mean number that takes
+    all rows of the source that is used up first (or last, if all are to be)."""
+    total = math.fsum(weights.values())
+    each = []
+    for name, n in sizes.items():
+        p = weights[name] / total
+        each.append(math.ceil(n / p + 6 * math.sqrt(n * (1 - p)) / p) + 20)
+    return min(each) if stop == "first_exhausted" else max(each)
+
+
+def _sums(draws: DataFrame) -> DataFrame:
+    """block, source, n and before: how many draws of a block, and of all blocks before, take a source."""
+    each = draws.groupBy("block", "source").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    return io.stored(each.withColumn("before", F.coalesce(before, F.lit(0))), "draws")
+
+
+def _last(spark: SparkSession, sums: DataFrame, edges, sizes: dict[str, int], bound: int, seed: int) -> dict[str, int]:
+    """The draw that takes the last row of each source whose rows are all drawn: its block by the sums, its place in that."""
+    size = F.create_map(*[x for s, n in sizes.items() for x in (F.lit(s), F.lit(n).cast("long"))])[F.col("source")]
+    found = {}
+    for r in sums.where((F.col("before") < size) & (size <= F.col("before") + F.col("n"))).collect():
+        draws = _draws(spark, edges, r.block * BLOCK, min((r.block + 1) * BLOCK, bound), seed).where(F.col("source") == r.source)
+        found[r.source] = draws.orderBy("i").limit(sizes[r.source] - r.before).agg(F.max("i")).first()[0]
+    return found
 
 
 def interleave(rows: DataFrame, weights: dict[str, float], *, source: str = "source", order: str = "doc_id", seed: int = 42, stop: str = "first_exhausted") -> DataFrame:
     """The rows of the sources in the order of the draws, as column i.
 
     first_exhausted ends with the first draw that takes the last row of a source; all_exhausted starts used-up sources
-    again and ends when each was read once. Sources of weight 0 are skipped; a single source passes as it is. The
-    bound on the draws is twice what the largest source needs on average, and grows until the end lies within it.
+    again and ends when each was read once. Sources of weight 0 are skipped; a single source passes as it is.
+
+    Draws are numbered within their source by blocks: sums over the blocks before, and a window within each block. The row
+    that a draw takes is found by source and number; where (source, order) is a key, only these columns are numbered and
+    joined, and all others come last.
     """
     if stop not in ("first_exhausted", "all_exhausted"):
         raise ValueError("stop must be first_exhausted or all_exhausted")
@@ -82,27 +108,40 @@ def interleave(rows: DataFrame, weights: dict[str, float], *, source: str = "sou
         raise ValueError("weights must not be negative, and not all 0")
     spark = rows.sparkSession
     weights = {k: w for k, w in weights.items() if w > 0}
-    _edges(weights)
+    edges = _edges(weights)
     rows = rows.where(F.col(source).isin(*weights))
-    placed = numbered(rows, source, order)
+    columns = rows.columns
+    ids = rows.select(source, order)
+    more = len(columns) > len(ids.columns)
+    if more and not ids.groupBy(source, order).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        ids, more = rows, False
+    placed = numbered(ids, source, order)
+
+    def whole(taken: DataFrame) -> DataFrame:
+        if not more:
+            return taken.select("i", *columns)
+        keys = taken.select("i", F.col(source).alias("_source"), F.col(order).alias("_order"))
+        return keys.join(rows, (F.col("_source") == F.col(source)) & F.col("_order").eqNullSafe(F.col(order))).select("i", *columns)
+
     if len(weights) == 1:
-        return placed.withColumn("i", F.col("k") - 1).drop("k")
-    sizes = {r[0]: r[1] for r in rows.groupBy(source).count().collect()}
+        return whole(placed.withColumn("i", F.col("k") - 1))
+    sizes = {r[0]: r[1] for r in ids.groupBy(source).count().collect()}
     if len(sizes) < len(weights):
-        return placed.withColumn("i", F.lit(0).cast("long")).drop("k").limit(0)
-    total = sum(weights.values())
-    upto = math.ceil(max(n * total / weights[s] for s, n in sizes.items()) * 2) + 100
+        return rows.select(F.lit(0).cast("long").alias("i"), *columns).limit(0)
+    bound = _bound(sizes, weights, stop)
     while True:
-        draws = _draws(spark, weights, upto, seed)
-        size = F.create_map(*[x for s, n in sizes.items() for x in (F.lit(s), F.lit(n).cast("long"))])[F.col("source")]
-        last = {r[0]: r[1] for r in draws.where(F.col("k") == size).select("source", "i").collect()}
+        sums = _sums(_draws(spark, edges, 0, bound, seed))
+        last = _last(spark, sums, edges, sizes, bound, seed)
         if stop == "first_exhausted" and last or len(last) == len(sizes):
             break
-        upto *= 2
+        bound *= 2
     end = min(last.values()) if stop == "first_exhausted" else max(last.values())
-    taken = draws.where(F.col("i") <= end).withColumn("k", (F.col("k") - 1) % size + 1).withColumnRenamed("source", "_source")
-    taken = taken.withColumnRenamed("k", "_k")
-    return taken.join(placed, (F.col("_source") == F.col(source)) & (F.col("_k") == F.col("k"))).select("i", *rows.columns)
+    before = sums.select(F.col("block").alias("_block"), F.col("source").alias("_of"), "before")
+    draws = _draws(spark, edges, 0, end + 1, seed).join(before, (F.col("block") == F.col("_block")) & (F.col("source") == F.col("_of")))
+    k = F.col("before") + F.row_number().over(Window.partitionBy("block", "source").orderBy("i"))
+    size = F.create_map(*[x for s, n in sizes.items() for x in (F.lit(s), F.lit(n).cast("long"))])[F.col("source")]
+    taken = draws.select("i", F.col("source").alias("_source"), ((k - 1) % size + 1).alias("_k"))
+    return whole(taken.join(placed, (F.col("_source") == F.col(source)) & (F.col("_k") == F.col("k"))))
 
 
 def encoded(rows: DataFrame, tokenizer, *, text: str = "text", key: str = "doc_id", length: int = LENGTH, pad: int = 0) -> DataFrame:

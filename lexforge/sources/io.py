@@ -8,6 +8,7 @@ import os
 import shutil
 import sqlite3
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a new Parquet table in the shared folder, read back: rows stay as they are however often they are read, and a lost
+    executor costs only its own tasks. The table is for the caller to delete."""
+    path = f"{shared_folder(df.sparkSession)}/lexforge/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_corpus(spark: SparkSession, path: str | list[str], format: str = "parquet", *, config: str | None = None, split: str | None = None, **options) -> DataFrame:
     """A corpus; columns beyond those that a query takes are never read from columnar files. config is a folder of it, split
     what the names of its files begin with (or a folder)."""

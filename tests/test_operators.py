@@ -257,6 +257,65 @@ def test_mixture_edges(spark):
         mixture.interleave(rows, {"a": 1.0, "b": 1e-12}, stop="all_exhausted")
 
 
+def plain_mixture(rows, weights, stop, seed=42):
+    """The interleaving by plain Python: (i, id) of rows (id, source)."""
+    import hashlib
+
+    edges = mixture._edges(weights)
+    own = {s: sorted((d for d, x in rows if x == s), key=lambda d: (d is not None, d)) for s in weights}
+    used, out = dict.fromkeys(weights, 0), []
+    while True:
+        u = int(hashlib.md5(f"{seed}:{len(out)}".encode()).hexdigest()[:8], 16)
+        s = next((name for name, edge in edges if u < edge), edges[-1][0])
+        out.append((len(out), own[s][used[s] % len(own[s])]))
+        used[s] += 1
+        full = [n >= len(own[x]) for x, n in used.items()]
+        if any(full) if stop == "first_exhausted" else all(full):
+            return out
+
+
+@pytest.mark.parametrize("block", [7, 1 << 16])
+@pytest.mark.parametrize("stop", ["first_exhausted", "all_exhausted"])
+def test_interleaving_by_blocks(spark, monkeypatch, block, stop):
+    monkeypatch.setattr(mixture, "BLOCK", block)
+    rows = [(f"d{i:03}" if i else None, "abc"[(i > 90) + (i > 130)]) for i in range(150)]
+    weights = {"a": 0.5, "b": 0.3, "c": 0.2}
+    df = frame(spark, rows, "doc_id string, source string").withColumn("text", F.concat(F.lit("t"), F.col("doc_id"))).repartition(5)
+    want = plain_mixture(rows, weights, stop)
+    for some in (df, df.drop("text")):
+        got = mixture.interleave(some, weights, stop=stop).collect()
+        assert sorted((r.i, r.doc_id) for r in got) == want
+        assert "text" not in some.columns or all(r.text == (r.doc_id and f"t{r.doc_id}") for r in got)
+    # an order that is no key: every row is still one of its own
+    twice = df.unionByName(df.withColumn("text", F.lit("again")))
+    got = mixture.interleave(twice, weights, stop="all_exhausted").collect()
+    assert len({(r.doc_id, r.text) for r in got}) == 300 or {(r.doc_id, r.text) for r in got} == {tuple(r) for r in twice.select("doc_id", "text").collect()}
+
+
+def test_few_numbers_are_drawn(spark):
+    rows = frame(spark, [(i, "a" if i < 1999 else "b") for i in range(2000)], "doc_id long, source string")
+    weights, sizes = {"a": 0.9, "b": 0.1}, {"a": 1999, "b": 1}
+    assert mixture._bound(sizes, weights, "first_exhausted") < 200
+    drawn = []
+    before = mixture._draws
+    mixture._draws = lambda spark, edges, begin, end, seed: drawn.append(end - begin) or before(spark, edges, begin, end, seed)
+    try:
+        got = mixture.interleave(rows, weights).collect()
+    finally:
+        mixture._draws = before
+    assert max(drawn) < 200 and len(got) == 11
+
+
+def test_numbering_is_parallel_for_any_type(spark):
+    from pyspark.sql.window import Window
+
+    rows = spark.range(20_000).select(F.format_string("%05d", (F.col("id") * 7919) % 20_000).alias("doc_id"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("source"))
+    rows = rows.unionByName(frame(spark, [(None, "a"), (None, None), ("x", None)], "doc_id string, source string"))
+    found = mixture.numbered(rows, "source", "doc_id")
+    want = rows.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.select(found.columns).collect()))
+
+
 def test_resume(spark, tmp_path):
     for n in (9, 10, 100):
         (tmp_path / "full" / f"checkpoint-{n}").mkdir(parents=True)
