@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from ..sources import io
+from ..sources import files, io
 from .tokenization import labels, truncate_pad
 
 # Defaults of a run.
@@ -194,12 +194,12 @@ def run_config(spark: SparkSession, arguments: dict, *, vocabulary_size: int, wo
 def latest_checkpoint(folder: str, overwrite: bool = False) -> str | None:
     """The checkpoint (a folder named checkpoint-<step>) of the most steps that a phase goes on from; none if the phase
     is to be overwritten or has no checkpoint."""
-    import os
     import re
 
-    if overwrite or not os.path.isdir(folder):
+    place = files.Place(folder)
+    if overwrite or not place.is_folder():
         return None
-    found = [(int(m.group(1)), e.path) for e in os.scandir(folder) if e.is_dir() and (m := re.fullmatch(r"checkpoint-(\d+)", e.name))]
+    found = [(int(m.group(1)), str(place.inside(name))) for name, _, inner in place.entries() if inner and (m := re.fullmatch(r"checkpoint-(\d+)", name))]
     return max(found)[1] if found else None
 
 

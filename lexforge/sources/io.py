@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import csv
 import json
 import os
-import shutil
 import sqlite3
 import tempfile
 import uuid
@@ -14,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import files
 
 #: Bytes for each core up to which a scan is dealt out.
 SPREAD = 8 << 20
@@ -83,7 +82,7 @@ def resolve_counts(table: str, array: str, kind: str = "auto") -> tuple[str, str
     if kind not in ("auto", "table", "json"):
         raise ValueError("kind must be auto, table or json")
     for name, path in (("table", table), ("json", array)):
-        if kind in ("auto", name) and os.path.exists(path):
+        if kind in ("auto", name) and files.Place(path).exists():
             return name, path
     raise FileNotFoundError(f"no input of kind {kind}: {table}, {array}")
 
@@ -152,26 +151,24 @@ def read_tokenizer(path: str):
     """A tokenizer from a folder or a document, as an operator."""
     from ..operators.tokenization import Subword
 
-    return Subword.load(os.path.join(path, "tokenizer.json") if os.path.isdir(path) else path)
+    place = files.Place(path)
+    return Subword((place.inside("tokenizer.json") if place.is_folder() else place).read().decode())
 
 
 def tokenizer_config(path: str) -> dict:
     """The configuration beside a tokenizer: padding on the right, with the end token where no padding token is set, and an
     error where there is neither. Of a class that the runtime doesn't have, the known settings go over to the generic one,
     with the chat template beside it."""
-    file = os.path.join(path, "tokenizer_config.json")
-    config = {}
-    if os.path.exists(file):
-        with open(file, encoding="utf-8") as f:
-            config = json.load(f)
+    folder = files.Place(path)
+    held = {name for name, _, _ in folder.entries()} if folder.is_folder() else set()
+    text = lambda name: folder.inside(name).read().decode()
+    config = json.loads(text("tokenizer_config.json")) if "tokenizer_config.json" in held else {}
     if config.get("tokenizer_class") in INCOMPATIBLE:
-        if not os.path.exists(os.path.join(path, "tokenizer.json")):
+        if "tokenizer.json" not in held:
             raise ValueError(f"{path} names the class {config['tokenizer_class']}, but has no tokenizer.json")
         config = {k: config[k] for k in SETTINGS if k in config} | {"tokenizer_class": GENERIC}
-        template = os.path.join(path, "chat_template.jinja")
-        if os.path.exists(template):
-            with open(template, encoding="utf-8") as f:
-                config["chat_template"] = f.read()
+        if "chat_template.jinja" in held:
+            config["chat_template"] = text("chat_template.jinja")
     if config.get("pad_token") is None:
         if config.get("eos_token") is None:
             raise ValueError("the tokenizer has neither a padding token nor an end token")
@@ -193,56 +190,47 @@ def tokenizer_tables(spark: SparkSession, document: str) -> tuple[DataFrame, Dat
     )
 
 
-def prepared(path: str, overwrite: bool = False) -> str:
-    """path, free to be written: its folder made, an existing target removed or refused."""
-    if os.path.exists(path):
-        if not overwrite:
-            raise FileExistsError(f"{path} exists; pass overwrite")
-        shutil.rmtree(path) if os.path.isdir(path) else os.remove(path)
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    return path
+def write_counts(counts: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A counts table (Parquet); an old one stays until the new one is whole."""
+    with files.replacing(path, overwrite, counts.sparkSession) as staged:
+        counts.write.parquet(str(staged))
 
 
-def write_counts(counts: DataFrame, path: str, overwrite: bool = False) -> None:
-    counts.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+def _quoted(text: Column) -> Column:
+    """A string as JSON writes it."""
+    whole = F.to_json(F.struct(text.alias("x")))
+    return F.when(text.isNull(), "null").otherwise(F.substring(whole, F.lit(6), F.length(whole) - 6))
 
 
-def write_counts_json(counts: DataFrame, path: str, overwrite: bool = False) -> int:
-    """One JSON array, an object per line, in the order of counts; rows stream through the driver."""
-    n = 0
-    with open(prepared(path, overwrite), "w", encoding="utf-8") as f:
-        f.write("[")
-        for r in counts.select("word", "count").toLocalIterator():
-            f.write((",\n" if n else "\n") + json.dumps({"word": r["word"], "count": r["count"]}, ensure_ascii=False))
-            n += 1
-        f.write("\n]\n")
-    return n
+def write_counts_json(counts: DataFrame, path: str, overwrite: bool = False, parts: bool = False) -> int:
+    """One JSON array, an object per line, in the order of counts; with parts a folder of JSON lines in that order."""
+    line = F.concat(F.lit('{"word": '), _quoted(F.col("word")), F.lit(', "count": '), F.coalesce(F.col("count").cast("string"), F.lit("null")), F.lit("}"))
+    rows = counts.select(line)
+    if parts:
+        return files.write_lines(rows, path, overwrite=overwrite, parts=True)
+    return files.write_lines(rows, path, overwrite=overwrite, between=",\n", head="[\n", tail="\n]\n")
 
 
-def write_lines(rows: DataFrame, column: str, path: str, overwrite: bool = False) -> int:
-    """One value per line, in the order of rows."""
-    n = 0
-    with open(prepared(path, overwrite), "w", encoding="utf-8") as f:
-        for r in rows.select(column).toLocalIterator():
-            f.write(r[0] + "\n")
-            n += 1
-    return n
+def write_lines(rows: DataFrame, column: str, path: str, overwrite: bool = False, parts: bool = False) -> int:
+    """One value per line, in the order of rows; with parts a folder of files in that order."""
+    return files.write_lines(rows.select(F.col(column).cast("string")), path, overwrite=overwrite, parts=parts)
 
 
 # The columns of the candidate table, in file order.
 TSV = ("word", "token", "count", "source_type", "static_source_files", "source_variant_count", "base_token_count", "base_fragmentation", "utility_score")
 
 
-def write_candidates(rows: DataFrame, path: str, overwrite: bool = False) -> int:
-    """The candidates in their order, tab-separated, with a header."""
-    n = 0
-    with open(prepared(path, overwrite), "w", encoding="utf-8", newline="") as f:
-        out = csv.writer(f, delimiter="\t")
-        out.writerow(TSV)
-        for r in rows.orderBy("section", "place").select(*TSV).toLocalIterator():
-            out.writerow(r)
-            n += 1
-    return n
+def write_candidates(rows: DataFrame, path: str, overwrite: bool = False, parts: bool = False) -> int:
+    """The candidates in their order, tab-separated, with a header (in a folder of parts, without one). A field is quoted if it
+    holds a tab, a quotation mark or a line's end."""
+
+    def field(c: str) -> Column:
+        value = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        return F.when(value.rlike('[\t"\r\n]'), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
+
+    lines = rows.orderBy("section", "place").select(F.concat_ws("\t", *[field(c) for c in TSV]))
+    head = "" if parts else "\t".join(TSV) + "\r\n"
+    return files.write_lines(lines, path, overwrite=overwrite, between="\r\n", head=head, parts=parts)
 
 
 def report(row: DataFrame) -> dict:
@@ -255,21 +243,18 @@ def report(row: DataFrame) -> dict:
 
 def write_report(payload: dict, path: str, overwrite: bool = True) -> str:
     text = json.dumps(payload, ensure_ascii=False, indent=2) + "\n"
-    with open(prepared(path, overwrite), "w", encoding="utf-8") as f:
-        f.write(text)
+    files.write_text(text, path, overwrite)
     return text
 
 
 def save_tokenizer(document: str, folder: str, config: dict | None = None, overwrite: bool = False) -> None:
     """A tokenizer document and its configuration; a class that the runtime doesn't have becomes the generic one."""
-    prepared(folder, overwrite)
-    os.makedirs(folder)
-    with open(os.path.join(folder, "tokenizer.json"), "w", encoding="utf-8") as f:
-        f.write(document)
     config = dict(config or {})
     if config.get("tokenizer_class") in INCOMPATIBLE:
         config["tokenizer_class"] = GENERIC
-    write_report(config, os.path.join(folder, "tokenizer_config.json"))
+    with files.replacing(folder, overwrite) as staged:
+        files.write_text(document, f"{staged}/tokenizer.json")
+        write_report(config, f"{staged}/tokenizer_config.json")
 
 
 def as_json(row: Column) -> Column:

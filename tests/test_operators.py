@@ -201,6 +201,73 @@ def test_files(spark, tmp_path):
     assert both.where("source = 'a'").count() == 2
 
 
+def test_ordered_sinks(spark, tmp_path, monkeypatch):
+    """Many rows as one ordered file or as ordered parts, by a path with a scheme, and no row by way of the driver."""
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", None)
+    odd = frame(spark, [('q"\\', 10**7), ("é\n\U0001f600", 10**7 - 1), (None, 10**7 - 2)], "word string, count long")
+    counts = spark.range(300_000).select(F.concat(F.lit("w"), F.col("id")).alias("word"), ((F.col("id") * 7919) % 300_000).alias("count")).repartition(7).unionByName(odd)
+    ordered = counts.orderBy(F.desc("count"), "word")
+    where = f"file://{tmp_path}/out"
+    assert io.write_counts_json(ordered, f"{where}/c.json") == 300_003
+    text = (tmp_path / "out" / "c.json").read_text(encoding="utf-8")
+    found = json.loads(text)
+    assert text.startswith('[\n{"word": "q\\"\\\\", "count": 10000000},\n{"word": "é\\n\U0001f600", "count": 9999999},\n{"word": null, "count": 9999998},\n') and text.endswith("}\n]\n") and text.count("\n") == 300_005
+    assert [r["count"] for r in found] == [10**7, 10**7 - 1, 10**7 - 2, *range(299_999, -1, -1)] and len({r["word"] for r in found}) == 300_003
+    assert io.write_counts_json(ordered, f"{where}/parts", parts=True) == 300_003
+    files = sorted((tmp_path / "out" / "parts").glob("part-*"))
+    assert len(files) > 1 and [json.loads(x) for f in files for x in f.read_text(encoding="utf-8").split("\n")[:-1]] == found
+    assert io.write_lines(ordered, "word", f"{where}/w.txt") == 300_003
+    assert (tmp_path / "out" / "w.txt").read_text(encoding="utf-8").split("\n")[4:7] == [r["word"] for r in found[3:6]]
+    empty = counts.limit(0)
+    assert io.write_counts_json(empty, f"{where}/e.json") == 0 and json.loads((tmp_path / "out" / "e.json").read_text()) == []
+    assert io.write_lines(empty, "word", f"{where}/e.txt") == 0 and (tmp_path / "out" / "e.txt").read_text() == ""
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["c.json", "e.json", "e.txt", "parts", "w.txt"]  # nothing is left beside
+
+
+def test_failed_writes_leave_the_old_target(spark, tmp_path):
+    good = frame(spark, [("a", 1)], "word string, count long")
+    bad = good.withColumn("word", F.when(F.col("count") > 0, F.raise_error(F.lit("no"))).otherwise(F.col("word")))
+    writes = {
+        "c.json": lambda df, p, o: io.write_counts_json(df, p, o),
+        "parts": lambda df, p, o: io.write_counts_json(df, p, o, parts=True),
+        "table": lambda df, p, o: io.write_counts(df, p, o),
+        "w.txt": lambda df, p, o: io.write_lines(df, "word", p, o),
+    }
+    for name, write in writes.items():
+        path = tmp_path / name
+        write(good, str(path), False)
+        kept = lambda path=path: {f.name: f.read_bytes() for f in ([path] if path.is_file() else path.iterdir())}
+        before = kept()
+        with pytest.raises(FileExistsError):
+            write(good, str(path), False)
+        with pytest.raises(Exception, match="no"):
+            write(bad, str(path), True)
+        assert kept() == before
+        write(good.union(good), str(path), True)
+        assert kept() != before
+    assert sorted(p.name for p in tmp_path.iterdir()) == sorted(writes)
+    # the new one can't take its place: the old one comes back
+    from lexforge.sources import files
+
+    rename = files.Place.rename
+    for fail in (1, 2):
+        calls = []
+
+        def failing(self, to, calls=calls, fail=fail):
+            calls.append(1)
+            if len(calls) == fail:
+                raise OSError("renaming failed")
+            rename(self, to)
+
+        files.Place.rename = failing
+        try:
+            with pytest.raises(OSError, match="renaming"):
+                io.write_report({"x": 2}, str(tmp_path / "w.txt"))
+        finally:
+            files.Place.rename = rename
+        assert (tmp_path / "w.txt").read_text() == "a\na\n" and sorted(p.name for p in tmp_path.iterdir()) == sorted(writes)
+
+
 def test_partition_by_encoding(spark):
     """An entry of the vocabulary that no merge leads to is no exact single token, though its spelling is there."""
     document = json.loads(toy())
