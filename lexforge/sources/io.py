@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import sqlite3
 import tempfile
 import uuid
 
@@ -12,12 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import files
+from . import database, files
 
 #: Bytes for each core up to which a scan is dealt out.
 SPREAD = 8 << 20
-#: Rows that come from a database at a time.
-CHUNK = 100_000
 CORPUS_FORMATS = ("parquet", "json", "csv", "orc", "text")
 
 
@@ -92,23 +88,11 @@ def _top(rows: DataFrame, min_count: int, top: int) -> DataFrame:
     return rows.limit(top) if top else rows
 
 
-def read_counts(spark: SparkSession, path: str, min_count: int = 1, top: int = 0) -> DataFrame:
-    """word, count of a counts table, most frequent first, then by word. The filter reaches the scan of a Parquet table; an
-    SQLite file does filter, order and limit itself, and its rows come in columns of ``CHUNK`` rows."""
-    if os.path.isfile(path) and not path.endswith(".parquet"):
-        import pyarrow as pa
-
-        schema = pa.schema([("word", pa.string()), ("count", pa.int64())])
-        db = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
-        try:
-            rows = db.execute("SELECT word, count FROM word_counts WHERE count >= ? ORDER BY count DESC, word LIMIT ?", (min_count, top or -1))
-            parts = []
-            while chunk := rows.fetchmany(CHUNK):
-                words, numbers = zip(*chunk, strict=True)
-                parts.append(pa.RecordBatch.from_arrays([pa.array(map(str, words), pa.string()), pa.array(map(int, numbers), pa.int64())], schema=schema))
-        finally:
-            db.close()
-        return _top(spark.createDataFrame(pa.Table.from_batches(parts, schema)), min_count, top)
+def read_counts(spark: SparkSession, path: str, min_count: int = 1, top: int = 0, table: str = "word_counts", partitions: int | None = None) -> DataFrame:
+    """word, count of a counts table, most frequent first, then by word. The filter reaches the scan of a Parquet table and
+    of an SQLite file, which several tasks read."""
+    if not path.endswith(".parquet") and not files.Place(path, spark).is_folder():
+        return _top(database.read_table(spark, path, table, partitions=partitions).select("word", "count"), min_count, top)
     return _top(spark.read.parquet(path).select("word", "count"), min_count, top)
 
 

@@ -268,6 +268,42 @@ def test_failed_writes_leave_the_old_target(spark, tmp_path):
         assert (tmp_path / "w.txt").read_text() == "a\na\n" and sorted(p.name for p in tmp_path.iterdir()) == sorted(writes)
 
 
+def database(path, n, rowid):
+    with sqlite3.connect(path) as db:
+        for name in ("word_counts", "quoted_word_counts"):
+            db.execute(f"CREATE TABLE {name} (word TEXT PRIMARY KEY, count INTEGER NOT NULL)" + ("" if rowid else " WITHOUT ROWID"))
+            db.executemany(f"INSERT INTO {name} VALUES (?, ?)", ((f"w'é{i}", i % 97) for i in range(n)))
+        db.execute("CREATE TABLE odd (a BLOB, b REAL, c INTEGER, d VARCHAR(9))")
+        db.execute("INSERT INTO odd VALUES (x'00ff', 1.5, NULL, 'x'), (NULL, NULL, 2, NULL)")
+    return str(path)
+
+
+@pytest.mark.parametrize("rowid", [True, False])
+def test_database_tables(spark, tmp_path, rowid):
+    path, n = database(tmp_path / "c.db", 5000, rowid), 5000
+    rows = io.read_counts(spark, path, 90, partitions=7)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan sqlite_table" in plan and "Filter (" not in plan and "+- Filter" not in plan  # the database filters
+    assert [tuple(r) for r in rows.collect()] == sorted(((f"w'é{i}", i % 97) for i in range(n) if i % 97 >= 90), key=lambda x: (-x[1], x[0].encode()))
+    from lexforge.sources import database as db
+
+    table = db.read_table(spark, path, "quoted_word_counts", partitions=7)
+    assert table.rdd.getNumPartitions() == 7 and table.count() == table.distinct().count() == n
+    sizes = [r["n"] for r in table.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 7 and max(sizes) <= 2 * min(sizes)
+    for where, want in ((F.col("word") == "w'é7", 1), (F.col("word").isin("w'é7", "w'é8", "no"), 2), ((F.col("count") < 3) & (F.col("word") > "w'é4"), None), (F.length("word") == 4, 10), (F.col("count") == 1.5, 0)):
+        got = table.where(where).count()
+        assert got == (want if want is not None else sum(i % 97 < 3 and f"w'é{i}".encode() > "w'é4".encode() for i in range(n)))
+    odd = db.read_table(spark, path, "odd")
+    assert [f.simpleString() for f in odd.schema] == ["a:binary", "b:double", "c:bigint", "d:string"]
+    assert {tuple(r) for r in odd.collect()} == {(b"\x00\xff", 1.5, None, "x"), (None, None, 2, None)}
+    assert odd.where("d is not null").count() == 1
+    # the file goes to the executors
+    assert db.read_table(spark, path, "word_counts", ship=True, partitions=2).where("count = 5").count() == sum(i % 97 == 5 for i in range(n))
+    with pytest.raises(Exception, match="no table"):
+        db.read_table(spark, path, "absent").count()
+
+
 def test_partition_by_encoding(spark):
     """An entry of the vocabulary that no merge leads to is no exact single token, though its spelling is there."""
     document = json.loads(toy())
