@@ -62,7 +62,7 @@ def _survives(word: Column, o: Options) -> Column:
     return keep & T.has_script(word, o.script) if o.script else keep
 
 
-def _kept(words: DataFrame, o: Options) -> DataFrame:
+def kept(words: DataFrame, o: Options) -> DataFrame:
     """(word, count, ...) rows after folding and filters, in that order; counts of equal words are added."""
     others = [c for c in words.columns if c not in ("word", "count")]
     if o.lowercase or o.strip_accents:
@@ -70,16 +70,24 @@ def _kept(words: DataFrame, o: Options) -> DataFrame:
     return words.where(_survives(F.col("word"), o))
 
 
-def _each(words: DataFrame, o: Options, by: tuple[str, ...] = ()) -> DataFrame:
+def _grouped(words: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Counts of the elements of an array column of words."""
-    each = words.select(*by, F.explode("words").alias("word"))
-    return _kept(each.groupBy(*by, "word").agg(F.count(F.lit(1)).alias("count")), o)
+    return words.select(*by, F.explode("words").alias("word")).groupBy(*by, "word").agg(F.count(F.lit(1)).alias("count"))
+
+
+def _each(words: DataFrame, o: Options) -> DataFrame:
+    return kept(_grouped(words), o)
+
+
+def raw_counts(corpus: DataFrame, o: Options = Options(), by: tuple[str, ...] = ()) -> DataFrame:
+    """word, count of the words as they stand, before folding and filters (``kept``)."""
+    rows = T.normalized(scanned(corpus, o).select(*by, o.text), o.text, o.normalization)
+    return _grouped(rows.select(*by, T.words(F.col(o.text)).alias("words")), by)
 
 
 def word_counts(corpus: DataFrame, o: Options = Options(), by: tuple[str, ...] = ()) -> DataFrame:
     """word, count (by further columns, if given)."""
-    rows = T.normalized(scanned(corpus, o).select(*by, o.text), o.text, o.normalization)
-    return _each(rows.select(*by, T.words(F.col(o.text)).alias("words")), o, by)
+    return kept(raw_counts(corpus, o, by), o)
 
 
 def quoted_segments(corpus: DataFrame, o: Options = Options()) -> DataFrame:

@@ -467,5 +467,63 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert go() == {tuple(r) for r in C.word_counts(docs.where("doc_id < 100")).collect()}
     docs.where("doc_id >= 100").write.mode("append").parquet(folder)
     assert go() == {tuple(r) for r in C.word_counts(docs).collect()} == go()
-    live = incremental.running(spark, folder, docs.schema, str(tmp_path / "check2"), "live")
-    assert live.agg(F.sum("count")).first()[0] == C.word_counts(docs, C.Options(normalization="none")).agg(F.sum("count")).first()[0]
+    o = C.Options(lowercase=True, min_length=3)
+    live = lambda: {tuple(r) for r in incremental.running(spark, folder, docs.schema, str(tmp_path / "check2"), str(tmp_path / "live"), o, files_per_batch=1).collect()}
+    assert live() == {tuple(r) for r in C.word_counts(docs, o).collect()} == live()
+    for f in (incremental.running, incremental.counted):
+        with pytest.raises(ValueError, match="first documents"):
+            f(spark, folder, docs.schema, "c", "t", C.Options(max_documents=3))
+
+
+def test_keyed_counts(spark, tmp_path):
+    from collections import Counter
+
+    from lexforge.streaming import keyed
+
+    table = keyed.Counts(spark, f"file://{tmp_path}/t", fan=4)
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    want, most = Counter(), 0
+    batch = lambda b: frame(spark, [(f"w{b % 7}", 1), (f"v{b}", 2)], "word string, count int").coalesce(1)
+    counts = lambda: {r["word"]: r["count"] for r in table.read().collect()}
+    for b in range(40):
+        assert table.add(batch(b), b)
+        want.update({f"w{b % 7}": 1, f"v{b}": 2})
+        most = max(most, len(table.state()[1]))
+    assert counts() == want and not table.add(batch(39), 39) and not table.add(batch(3), 3) and counts() == want
+    assert most <= 3 * 3 + 1 and [s["level"] for s in table.state()[1]] == [2, 2, 1, 1]
+    assert [(s["first"], s["last"]) for s in table.state()[1]] == [(0, 15), (16, 31), (32, 35), (36, 39)]
+    assert len(list((tmp_path / "t" / "segments").iterdir())) <= 4 + keyed.KEPT * 5
+
+
+@pytest.mark.parametrize("step", ["segment", "commit", "merge", "merged", "vacuum"])
+def test_keyed_counts_survive_a_crash(spark, tmp_path, monkeypatch, step):
+    """Whatever step fails, the batch is added once when it is run again."""
+    from lexforge.streaming import keyed
+
+    table = keyed.Counts(spark, str(tmp_path / "t"), fan=2)
+    batch = frame(spark, [("a", 1)], "word string, count long").coalesce(1)
+    table.add(batch, 0)
+    fails = {"segment": ("_segment", 1), "commit": ("_commit", 1), "merge": ("_segment", 2), "merged": ("_commit", 2), "vacuum": ("vacuum", 1)}
+    name, nth = fails[step]
+    real, calls = getattr(keyed.Counts, name), []
+
+    def failing(self, *args):
+        calls.append(1)
+        if len(calls) == nth:
+            if name == "_segment":
+                real(self, *args)  # written, but never named
+            raise OSError("lost")
+        return real(self, *args)
+
+    monkeypatch.setattr(keyed.Counts, name, failing)
+    with pytest.raises(OSError, match="lost"):
+        table.add(batch, 1)
+    monkeypatch.undo()
+    assert table.read().first()["count"] == (1 if step in ("segment", "commit") else 2)
+    table.add(batch, 1)
+    table.add(batch, 2)
+    assert table.read().first()["count"] == 3
+    # a second writer that saw an older state takes no number twice
+    with pytest.raises(FileExistsError):
+        table._commit(table.state()[0] - 1, [])
