@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sql
 from ..functions import text as T
 from ..operators import candidates, compare, counts, mixture, tokenization, vocabulary
 from ..operators.counts import Options
@@ -100,10 +101,58 @@ def quoted_word_stats(spark, d):
     return counts.quoted_stats(docs(spark, d))
 
 
+def _marked(spark, d) -> DataFrame:
+    """The documents' words with marks of all kinds around some of them, also of one kind inside another."""
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    one = lambda x, a, b: F.concat(F.lit(a), x, F.lit(b))
+    twice = lambda x: F.concat(F.lit("“"), x, F.lit(" ‘"), x, F.lit("’ "), x, F.lit("”"))
+    marked = lambda x, i: F.when(i % 17 == 0, twice(x)).when(i % 13 == 0, one(x, "«", "»")).when(i % 11 == 0, one(x, "`", "`")).when(i % 7 == 0, one(x, "'", "'")).otherwise(x)
+    return docs(spark, d).select("doc_id", F.array_join(F.transform(words, marked), " ").alias("text"))
+
+
+def quoted_segments_marked(spark, d):
+    return counts.quoted_segments(_marked(spark, d), PLAIN)
+
+
+def quoted_word_stats_marked(spark, d):
+    return counts.quoted_stats(_marked(spark, d), Options(lowercase=True, min_length=4))
+
+
+def word_count_greek(spark, d):
+    """Documents with decomposed Greek vowels for Latin ones, folded and without accents."""
+    greek = F.regexp_replace(F.translate("text", "aeiou", "αεηιο"), "([αεηιο])", "$1\u0301")
+    rows = docs(spark, d).select("doc_id", greek.alias("text"))
+    return counts.word_counts(rows, Options(normalization="NFC", lowercase=True, strip_accents=True, script="greek"))
+
+
 def contains_script(spark, d):
     return docs(spark, d).select("doc_id", T.has_script(F.col("text"), "latin1").alias("latin1"), T.has_script(F.col("text")).alias("greek"), T.nonblank(F.col("text")).alias("nonblank"))
 
 
+# --- the same in SQL ---
+
+
+def sql_word_counts(spark, d):
+    sql.register(spark)
+    return spark.sql(f"SELECT w.word, count(*) AS count FROM parquet.`{d}/documents.parquet`, LATERAL lex_word_rows(text) w GROUP BY w.word")
+
+
+def sql_language_profile(spark, d):
+    sql.register(spark)
+    return spark.sql(f"""
+        WITH d AS (SELECT lang, text, lex_words(text) AS words FROM parquet.`{d}/documents.parquet` WHERE lex_nonblank(text)),
+        n AS (SELECT lang, count(*) AS documents, sum(size(words)) AS words, sum(size(filter(words, w -> w rlike r'[\\x{{C0}}-\\x{{FF}}]'))) AS accented_words,
+          count_if(lex_contains_latin1(text)) AS accented_documents, sum(size(lex_quoted_segments(text))) AS segments FROM d GROUP BY lang)
+        SELECT *, lex_percentage(accented_words, words) AS accented_percent FROM n""")
+
+
+def sql_quoted_words(spark, d):
+    sql.register(spark)
+    return spark.sql(f"""
+        SELECT w.word, count(*) AS count FROM parquet.`{d}/documents.parquet`, LATERAL lex_quoted_rows(text) q, LATERAL lex_word_rows(q.segment) w
+        GROUP BY w.word""")
+
+
 # --- candidates ---
 
 
@@ -429,7 +478,8 @@ def bpe_encoded_mixture(spark, d):
 QUERIES = (
     word_count_topk, word_counts_all, word_count_by_lang, word_count_script_filtered, word_count_min_length, word_count_having, word_count_casefold,
     word_count_strip_accents, word_count_quality_filtered, word_count_max_documents, word_count_stats, word_count_report, unique_word_stats, word_count_merge,
-    quoted_segments, quoted_word_topk, quoted_word_preview, quoted_word_stats, contains_script,
+    quoted_segments, quoted_word_topk, quoted_word_preview, quoted_word_stats, quoted_segments_marked, quoted_word_stats_marked, word_count_greek, contains_script,
+    sql_word_counts, sql_language_profile, sql_quoted_words,
     candidate_filter_reasons, case_variant_collapse, case_variant_stats, candidate_scores, candidate_topk, candidate_stats,
     static_token_groups, static_token_stats, static_candidates, static_candidate_stats, selected_tokens,
     token_partition, vocab_extension, vocab_extension_stats, vocab_diff_summary, vocab_diff_examples, vocab_common, vocab_only_base, vocab_only_reference, vocab_in_script,

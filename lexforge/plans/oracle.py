@@ -128,6 +128,9 @@ def _rendered() -> str:
 
 _QUOTED = r"""q AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(text, '"([^"\n]+)"', 1), lambda x: regexp_matches(x, '\S')), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS s FROM documents)"""
 _QW = f"qw AS (SELECT w AS word, CAST(count(*) AS BIGINT) AS count FROM (SELECT {_words('x')} AS w FROM (SELECT unnest(s) AS x FROM q)) GROUP BY 1)"
+# the words that get marks, with their places
+_MARKED = r"""w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS x, generate_subscripts(regexp_extract_all(text, '[A-Za-z]+'), 1) - 1 AS i FROM documents),
+m AS (SELECT doc_id, i, CASE WHEN i % 17 = 0 THEN x || ' ''' || x || ''' ' || x ELSE x END AS segment FROM w WHERE i % 17 = 0 OR i % 13 = 0 OR i % 11 = 0 OR i % 7 = 0)"""
 _TALK = "t AS (SELECT conv_id * 1000 + turn AS position, text FROM conversations)"
 _SAME_LINES = r"regexp_split_to_array(text, '\r\n|[\n\x0b\f\r\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]')"
 
@@ -153,6 +156,15 @@ SELECT (SELECT CAST(count(*) AS BIGINT) FROM documents) AS documents_scanned, (S
     "quoted_word_topk": f"WITH {_QUOTED}, {_QW} SELECT * FROM qw ORDER BY count DESC, word LIMIT 1000",
     "quoted_word_preview": f"WITH {_QUOTED}, {_QW} SELECT * FROM qw ORDER BY count DESC, word LIMIT 25",
     "quoted_word_stats": f"WITH {_QUOTED} SELECT CAST(count(*) AS BIGINT) AS documents_scanned, CAST(count(*) FILTER (len(s) > 0) AS BIGINT) AS documents_with_quotes, CAST(sum(len(s)) AS BIGINT) AS total_segments, CAST(sum(len(list_filter(flatten(list_transform(s, lambda x: regexp_extract_all(x, '\\p{{L}}+(?:[''-]\\p{{L}}+)*'))), lambda w: true))) AS BIGINT) AS total_words FROM q",
+    "quoted_segments_marked": f"WITH {_MARKED} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS position, segment FROM m",
+    "quoted_word_stats_marked": f"WITH {_MARKED}, k AS (SELECT {_words('segment')} AS word FROM m) SELECT (SELECT CAST(count(*) AS BIGINT) FROM documents) AS documents_scanned, CAST(count(DISTINCT doc_id) AS BIGINT) AS documents_with_quotes, CAST(count(*) AS BIGINT) AS total_segments, (SELECT CAST(count(*) AS BIGINT) FROM k WHERE length(word) >= 4) AS total_words FROM m",
+    "word_count_greek": rf"WITH g AS (SELECT translate(text, 'aeiou', 'αεηιο') AS text FROM documents), c AS ({_counts('g')}), k AS (SELECT strip_accents({_KEY}) AS word, count FROM c) SELECT word, CAST(sum(count) AS BIGINT) AS count FROM k WHERE regexp_matches(word, '[αεηιο]') GROUP BY 1",
+    "sql_word_counts": _counts(),
+    "sql_language_profile": rf"""WITH d AS (SELECT lang, text, regexp_extract_all(text, '\p{{L}}+(?:[''-]\p{{L}}+)*') AS words FROM documents),
+n AS (SELECT lang, CAST(count(*) AS BIGINT) AS documents, CAST(sum(len(words)) AS BIGINT) AS words, CAST(sum(len(list_filter(words, lambda w: regexp_matches(w, '{_LATIN}')))) AS BIGINT) AS accented_words, CAST(count(*) FILTER (regexp_matches(text, '{_LATIN}')) AS BIGINT) AS accented_documents FROM d GROUP BY lang),
+{_QUOTED}, s AS (SELECT lang, CAST(sum(len(s)) AS BIGINT) AS segments FROM q JOIN documents USING (doc_id) GROUP BY lang)
+SELECT n.*, segments, {_pct("accented_words", "words")} AS accented_percent FROM n JOIN s USING (lang)""",
+    "sql_quoted_words": f"WITH {_QUOTED}, {_QW} SELECT * FROM qw",
     "contains_script": rf"SELECT doc_id, regexp_matches(text, '{_LATIN}') AS latin1, regexp_matches(text, '[\x{{370}}-\x{{3FF}}\x{{1F00}}-\x{{1FFF}}]') AS greek, regexp_matches(text, '\S') AS nonblank FROM documents",
     "candidate_filter_reasons": f"WITH {_C} SELECT CASE WHEN length(word) < 4 THEN 'too_short' WHEN length(word) > 40 THEN 'too_long' WHEN NOT regexp_matches(word, '{_LATIN}') THEN 'other_script' ELSE 'kept' END AS reason, CAST(count(*) AS BIGINT) AS words FROM c GROUP BY 1",
     "case_variant_collapse": f"WITH {_C} {_collapse('c')}",

@@ -1,4 +1,5 @@
 import random
+import re
 import unicodedata
 
 import pytest
@@ -70,10 +71,48 @@ def test_quoted_segments(spark):
     assert [rows[i] for i in range(len(QUOTED))] == list(QUOTED.values())
 
 
+def spans(text):
+    """Segments by plain Python: all spans of each kind, the first of those that overlap."""
+    kinds = (r'"([^"\n]+)"', r"`([^`\n]+)`", r"(?<!\w)'([^'\n]+)'(?!\w)")
+    found = [m for kind in kinds for m in re.finditer(kind, text) if m.group(1).strip()]
+    kept, end = [], -1
+    for m in sorted(found, key=lambda m: (m.start(), -m.end())):
+        if m.start() >= end:
+            kept.append(m.group(1).strip())
+            end = m.end()
+    return kept
+
+
+def test_segments_equal_plain_python(spark):
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choices("ab'\"` \n'\"`é\U0001f600_7½\xa0", k=rnd.randint(0, 30))) for _ in range(8000)] + ["x 'a' `b` \"c\" \"d 'e'\" " * 2000]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, t string")
+    got = {r.i: r.segments for r in quotes.with_segments(df, "t", "none").collect()}
+    assert [t for i, t in enumerate(texts) if got[i] != spans(t)] == [] and got[-1] == []
+    assert "Python" not in quotes.with_segments(df, "t", "none")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sql_functions(spark):
+    from lexforge.functions import sql
+
+    names = sql.register(spark, "t_")
+    assert len(names) == len(set(names)) == 9 + len(T.SCRIPTS)
+    spark.createDataFrame([(0, "«Καλημέρα κόσμε» και 'να' -- a-b"), (1, " \xa0"), (2, None)], "i int, t string").createOrReplaceTempView("t_rows")
+    one = lambda q: [tuple(r) for r in spark.sql(q).collect()]
+    assert one("SELECT i, t_words(t), t_quoted_segments(t), t_nonblank(t), t_contains_greek(t), t_contains_latin1(t), t_stripped(t) FROM t_rows ORDER BY i") == [
+        (0, ["Καλημέρα", "κόσμε", "και", "να", "a-b"], ["Καλημέρα κόσμε", "να"], True, True, False, "«Καλημέρα κόσμε» και 'να' -- a-b"),
+        (1, [], [], False, False, False, ""),
+        (2, None, None, False, None, None, None),
+    ]
+    assert one("SELECT i, q.position, q.segment FROM t_rows, LATERAL t_quoted_rows(t) q ORDER BY 1, 2") == [(0, 0, "Καλημέρα κόσμε"), (0, 1, "να")]
+    assert one("SELECT w.word FROM t_rows, LATERAL t_word_rows(t) w WHERE w.position > 2 ORDER BY w.position") == [("να",), ("a-b",)]
+    assert one("SELECT t_percentage(1, 3), t_percentage(1, 0), t_chars_per_token('abc', 7), t_chars_per_token('', 0), t_static_entry(' -a-b ')") == [(33.33, 0.0, 0.4286, 0.0, " ab ")]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab'\"` \n", max_size=25))
 def test_spans_never_overlap_and_stand_in_the_text(text):
-    found = quotes.spans(text)
+    found = spans(text)
     assert all(s in text and s.strip() for s in found)
     assert sum(len(s) + 2 for s in found) <= len(text)
 
