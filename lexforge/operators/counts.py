@@ -51,12 +51,12 @@ def scanned(corpus: DataFrame, o: Options) -> DataFrame:
     return corpus.where(T.nonblank(F.col(o.text)))
 
 
-def _folded(word: Column, o: Options) -> Column:
+def folded(word: Column, o: Options) -> Column:
     word = T.casefold(word) if o.lowercase else word
     return T.strip_accents(word) if o.strip_accents else word
 
 
-def _survives(word: Column, o: Options) -> Column:
+def survives(word: Column, o: Options) -> Column:
     """Whether a folded word passes the filters."""
     keep = F.length(word) >= o.min_length
     return keep & T.has_script(word, o.script) if o.script else keep
@@ -66,8 +66,8 @@ def kept(words: DataFrame, o: Options) -> DataFrame:
     """(word, count, ...) rows after folding and filters, in that order; counts of equal words are added."""
     others = [c for c in words.columns if c not in ("word", "count")]
     if o.lowercase or o.strip_accents:
-        words = words.withColumn("word", _folded(F.col("word"), o)).groupBy(*others, "word").agg(F.sum("count").alias("count"))
-    return words.where(_survives(F.col("word"), o))
+        words = words.withColumn("word", folded(F.col("word"), o)).groupBy(*others, "word").agg(F.sum("count").alias("count"))
+    return words.where(survives(F.col("word"), o))
 
 
 def _grouped(words: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -123,14 +123,14 @@ def _with_words(corpus: DataFrame, o: Options) -> DataFrame:
     """words and n of every scanned document: the words as they stand, and how many of them survive folding and filters."""
     rows = T.normalized(_documents(corpus, o), o.text, o.normalization)
     rows = rows.select(F.coalesce(T.words(F.col(o.text)), F.array().cast("array<string>")).alias("words"))
-    return rows.withColumn("n", F.size(F.filter("words", lambda w: _survives(_folded(w, o), o))).cast("long"))
+    return rows.withColumn("n", F.size(F.filter("words", lambda w: survives(folded(w, o), o))).cast("long"))
 
 
 def _with_quotes(corpus: DataFrame, o: Options) -> DataFrame:
     """words, n and segments of every scanned document: the words of its quoted segments, how many survive, how many segments."""
     rows = quotes.with_segments(_documents(corpus, o), o.text, o.normalization)
     rows = rows.select("segments", F.flatten(F.transform("segments", T.words)).alias("words"))
-    n = F.size(F.filter("words", lambda w: _survives(_folded(w, o), o)))
+    n = F.size(F.filter("words", lambda w: survives(folded(w, o), o)))
     return rows.select("words", n.cast("long").alias("n"), F.size("segments").cast("long").alias("segments"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sql
 from ..functions import text as T
-from ..operators import candidates, compare, counts, mixture, tokenization, vocabulary
+from ..operators import candidates, compare, counts, mixture, tokenization, topk, vocabulary
 from ..operators.counts import Options
 from ..sources import io
 
@@ -29,6 +29,15 @@ def word_count_topk(spark, d):
     return counts.ranked(counts.word_counts(docs(spark, d)), 2, 1000)
 
 
+def word_count_topk_pruned(spark, d):
+    """The same without a shuffle of rare words."""
+    return topk.top_counts(docs(spark, d), Options(), 2, 1000)
+
+
+def word_count_having_pruned(spark, d):
+    return topk.top_counts(docs(spark, d), PLAIN, 5)
+
+
 def word_counts_all(spark, d):
     return counts.word_counts(docs(spark, d))
 
@@ -476,7 +485,7 @@ def bpe_encoded_mixture(spark, d):
 
 
 QUERIES = (
-    word_count_topk, word_counts_all, word_count_by_lang, word_count_script_filtered, word_count_min_length, word_count_having, word_count_casefold,
+    word_count_topk, word_count_topk_pruned, word_count_having_pruned, word_counts_all, word_count_by_lang, word_count_script_filtered, word_count_min_length, word_count_having, word_count_casefold,
     word_count_strip_accents, word_count_quality_filtered, word_count_max_documents, word_count_stats, word_count_report, unique_word_stats, word_count_merge,
     quoted_segments, quoted_word_topk, quoted_word_preview, quoted_word_stats, quoted_segments_marked, quoted_word_stats_marked, word_count_greek, contains_script,
     sql_word_counts, sql_language_profile, sql_quoted_words,

@@ -138,6 +138,8 @@ _TAKEN = "x AS (SELECT word AS token FROM c WHERE count >= 5 ORDER BY count DESC
 
 SQL = {
     "word_count_topk": f"WITH {_C} SELECT * FROM c WHERE count >= 2 ORDER BY count DESC, word LIMIT 1000",
+    "word_count_topk_pruned": f"WITH {_C} SELECT * FROM c WHERE count >= 2 ORDER BY count DESC, word LIMIT 1000",
+    "word_count_having_pruned": f"WITH {_C} SELECT * FROM c WHERE count >= 5",
     "word_counts_all": _counts(),
     "word_count_by_lang": _counts(by="lang"),
     "word_count_script_filtered": f"WITH {_C} SELECT * FROM c WHERE regexp_matches(word, '{_LATIN}')",

@@ -242,3 +242,17 @@ def test_segments_are_stripped_in_one_scan(spark, sf):
 
     plan = counts.quoted_word_counts(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan parquet") == plan.count("FileScan") <= 2 and plan.split("== Initial Plan ==")[0].count("FileScan") == 1
+
+
+@pytest.mark.parametrize(("min_count", "limit", "buckets", "spread"), [(1, 5, 4, 30), (3, 0, 64, 50), (2, 17, 1, 200), (1, 3, 1 << 16, 1), (5, 1000, 8, 60), (1, 40, 16, 400)])
+def test_pruned_counts_equal_full_ones(spark, min_count, limit, buckets, spread):
+    """Also with ties at the last place, buckets that hold many words, and fewer words than are asked for."""
+    from lexforge.operators import topk
+
+    rnd = random.Random(limit)
+    rows = [(i, " ".join(rnd.choice("ÄßxY") + chr(97 + (k % 26)) + "q" * (k // 26) for k in (min(int(rnd.expovariate(3 / spread)), spread) for _ in range(60)))) for i in range(40)]
+    c = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for o in (counts.Options(), counts.Options(lowercase=True, strip_accents=True, min_length=3)):
+        want = counts.ranked(counts.word_counts(c, o), min_count, limit).collect()
+        assert topk.top_counts(c, o, min_count, limit, buckets).collect() == want
+    assert topk.top_counts(c.limit(0), o, min_count, limit, buckets).collect() == []
