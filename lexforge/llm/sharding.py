@@ -2,7 +2,8 @@
 
 A shard is a prefix of the bits of a document's hash. Words of a directory: a bucket that holds more bytes than the
 limit is split on one more bit, and only such buckets are; every other keeps its short prefix. The directory comes
-from histograms of bytes by the next ``bits`` hash bits, rolled up to each shorter prefix; documents of the buckets
+from histograms of bytes by the next ``bits`` hash bits, summed for each shorter prefix by windows that leave one row for
+each bucket; documents of the buckets
 that are still too large are counted again by the bits that follow. Documents find their shard by an equi-join of
 their hash bits with the directory, never by a sort.
 
@@ -18,6 +19,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import hash60, written
 
@@ -42,12 +44,14 @@ def directory(sizes: DataFrame, limit: int = LIMIT, bits: int = BITS) -> list[Da
     while True:
         upto = min(60, done + bits)
         cells = written(rows.groupBy(F.shiftright("h", 60 - upto).alias("cell")).agg(F.sum("bytes").alias("bytes")), f"shard-cells{done}")
-        first = 0 if done == 0 else done + 1  # the bits up to here are known to be too few
-        up = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(first), F.lit(upto))).alias("depth"))
-        up = up.withColumn("prefix", F.expr(f"shiftright(cell, {upto} - depth)"))
-        totals = up.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes")).where((F.col("shard_bytes") <= limit) | (F.col("depth") == 60))
-        best = up.join(totals, ["depth", "prefix"]).groupBy("cell").agg(F.min(F.struct("depth", "shard_bytes")).alias("x"))
-        found = written(cells.select("cell").join(best, "cell", "left").select("cell", F.col("x.depth").alias("depth"), F.col("x.shard_bytes").alias("shard_bytes")), f"shard-directory{done}")
+        # the bits up to here are known to be too few; a part of the cells holds at most 2**bits of them
+        depths = range(0 if done == 0 else done + 1, upto + 1)
+        found = cells.withColumn("part", F.shiftright("cell", upto - done)).repartition("part")
+        for d in depths:
+            found = found.withColumn(f"bytes{d}", F.sum("bytes").over(Window.partitionBy("part", F.shiftright("cell", upto - d))))
+        fits = [F.when((F.col(f"bytes{d}") <= limit) | F.lit(d == 60), F.struct(F.lit(d).alias("depth"), F.col(f"bytes{d}").alias("shard_bytes"))) for d in depths]
+        found = found.withColumn("x", F.coalesce(*fits)).select("cell", F.col("x.depth").alias("depth"), F.col("x.shard_bytes").alias("shard_bytes"))
+        found = written(found, f"shard-directory{done}")
         rounds.append(found)
         large = found.where("depth is null").select("cell")
         if upto == 60 or large.isEmpty():
