@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..sources import io
 from .counts import ranked
+from .ordering import numbered
 from .tokenization import bounded
 
 MIN_COUNT, TOP_INPUT, MAX_SELECTED, MIN_PIECES, MIN_LENGTH, MAX_LENGTH = 5, 200_000, 5000, 3, 4, 40
@@ -121,20 +122,21 @@ def static_candidate_stats(groups: DataFrame, tokenizer, taken: DataFrame) -> Da
 
 def final(corpus: DataFrame, static: DataFrame) -> DataFrame:
     """Corpus candidates, then static ones, each in its own order: section, place and the columns of the TSV."""
-    by_use = Window.partitionBy("section").orderBy(F.desc("utility_score"), F.desc("base_token_count"), F.desc("count"), "word")
+    by_use = [F.desc("utility_score"), F.desc("base_token_count"), F.desc("count"), "word"]
     head = ["word", "token", "count"]
     tail = ["source_variant_count", "base_token_count", "base_fragmentation", "utility_score"]
     a = corpus.select(F.lit(0).alias("section"), *head, F.lit("corpus").alias("source_type"), F.lit("").alias("static_source_files"), *tail)
     names = F.array_join("source_files", ",").alias("static_source_files")
     b = static.withColumn("source_variant_count", F.size("raw_entries").cast("long")).select(F.lit(1).alias("section"), *head, F.lit("static").alias("source_type"), names, *tail)
-    return a.unionByName(b).withColumn("place", F.row_number().over(by_use))
+    return numbered(a.unionByName(b), "section", by_use, "place").withColumn("place", F.col("place").cast("int"))
 
 
 def select(counts: DataFrame, tokenizer, entries: DataFrame | None = None, *, min_count=MIN_COUNT, top_input=TOP_INPUT, max_selected=MAX_SELECTED, min_pieces=MIN_PIECES, min_length=MIN_LENGTH, max_length=MAX_LENGTH, script="greek", collapse=True) -> DataFrame:
     """The whole selection, from counts to the final list."""
     validate(min_count, top_input, max_selected, min_pieces, min_length, max_length)
     rows = filtered(ranked(counts, min_count, top_input), min_length=min_length, max_length=max_length, script=script)
-    chosen = selected(collapsed(rows) if collapse else uncollapsed(rows), tokenizer, min_pieces, max_selected)
+    # written: the list itself and the static entries that it leaves are made of the same selection
+    chosen = io.stored(selected(collapsed(rows) if collapse else uncollapsed(rows), tokenizer, min_pieces, max_selected), "chosen")
     if entries is None:
         entries = counts.sparkSession.createDataFrame([], "raw string, file string")
     return final(chosen, static_candidates(static_groups(entries), tokenizer, chosen))

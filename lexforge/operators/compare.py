@@ -67,6 +67,28 @@ def summary(rows: DataFrame, names=("base", "reference")) -> DataFrame:
     return out
 
 
+#: What tokenizers are called in a summary.
+LABELS = {"base": "Base", "extended": "Extended", "reference": "Reference"}
+
+
+def _plain(number: Column) -> Column:
+    """A rounded number as text, never with an exponent and with one digit after the point at least."""
+    digits = F.regexp_replace(number.cast("decimal(38,4)").cast("string"), "0+$", "")
+    return F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
+
+
+def rendered_summary(totals: DataFrame, names=("base", "reference"), labels: dict[str, str] = LABELS) -> DataFrame:
+    """text: the one row of a summary as lines, for two or three tokenizers."""
+    known = [n for n in NAMES if n in names]
+    between = lambda a, b, word: f"{labels[a]} -> {labels[b]} {word}" if len(known) > 2 else {"delta": "Token delta", "reduction": "Relative reduction"}[word]
+    lines = [("Samples", F.col("samples").cast("string"))]
+    lines += [(f"{labels[n]} total tokens", F.col(f"{n}_total").cast("string")) for n in known]
+    lines += [(between(a, b, "delta"), F.col(f"{a}_minus_{b}").cast("string")) for a, b in _pairs(names)]
+    lines += [(f"Avg {labels[n]} tokens/sample", _plain(F.col(f"{n}_mean_tokens"))) for n in known]
+    lines += [(between(a, b, "reduction"), F.concat(_plain(F.col(f"{b}_reduction_vs_{a}")), F.lit("%"))) for a, b in _pairs(names)]
+    return totals.select(F.concat_ws("\n", *[F.concat(F.lit(f"{name}: "), value) for name, value in lines]).alias("text"))
+
+
 def rendered(rows: DataFrame, names=("base", "reference"), text: str = "text", order: str = "position") -> DataFrame:
     """A Markdown section for each compared sample: nth and markdown, with the pieces where rows have
     <name>_decoded_pieces."""

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..sources import files, io
+from .ordering import numbered
 from .tokenization import labels, truncate_pad
 
 # Defaults of a run.
@@ -29,20 +30,6 @@ def effective_length(length: int = LENGTH, smoke: bool = False, smoke_length: in
 BLOCK = 1 << 16
 
 
-def numbered(rows: DataFrame, source: str, order: str, out: str = "k") -> DataFrame:
-    """rows with their number within the source, from 1, in ascending order (nulls first; ties in any order). The rows are sorted
-    by ranges and written; what stands before a range is a sum over one row for each range and source, so numbering is as
-    parallel as the sort, for any type of order."""
-    rows = rows.repartitionByRange(F.col(source), F.col(order)).sortWithinPartitions(source, order)
-    table = io.stored(rows.withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    part = F.shiftright(F.col("_at"), 33)
-    sizes = table.groupBy(F.col(source).alias("_of"), part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_of").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("_of", "_part", (before - F.col("_first") + 1).alias("_shift"))
-    table = table.join(sizes, F.col(source).eqNullSafe(F.col("_of")) & (part == F.col("_part")))
-    return table.withColumn(out, F.col("_at") + F.col("_shift")).drop("_of", "_part", "_shift", "_at")
-
-
 def _edges(weights: dict[str, float]) -> list[tuple[str, int]]:
     """The upper end of each source's share of the 32-bit numbers. A share without a number would never be drawn."""
     total, edges, at = math.fsum(weights.values()), [], []
@@ -115,7 +102,7 @@ def interleave(rows: DataFrame, weights: dict[str, float], *, source: str = "sou
     more = len(columns) > len(ids.columns)
     if more and not ids.groupBy(source, order).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         ids, more = rows, False
-    placed = numbered(ids, source, order)
+    placed = numbered(ids, source, [order])
 
     def whole(taken: DataFrame) -> DataFrame:
         if not more:

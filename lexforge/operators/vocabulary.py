@@ -87,13 +87,54 @@ def source_histogram(rows: DataFrame, ids: str = "source_ids") -> DataFrame:
     return rows.groupBy(F.size(ids).cast("long").alias("pieces")).agg(F.count(F.lit(1)).alias("tokens"))
 
 
-def mean_rows(sources: DataFrame, matrix: DataFrame, key: str, ids: str = "source_ids", row_id: str = "id", vector: str = "vec") -> DataFrame:
-    """key and the element-wise mean (in double precision) of the matrix rows of its ids, repeated ids counted."""
-    each = sources.select(key, F.posexplode(ids).alias("_at", "_row")).join(matrix.select(F.col(row_id).alias("_row"), F.col(vector).cast("array<double>").alias("_vec")), "_row")
-    # a token has a few pieces: their rows meet as arrays, in order
-    found = each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_vec"))), lambda s: s["_vec"]).alias("_rows"))
-    total = F.aggregate(F.slice("_rows", 2, F.size("_rows")), F.get("_rows", F.lit(0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
-    return found.select(key, F.transform(total, lambda x: x / F.size("_rows")).alias("mean"))
+#: Tokens that one copy of a matrix row is joined with: a piece of more tokens than that is dealt out to several copies.
+SHARE = 2048
+
+
+def _partial_sums(batches):
+    """_key, _sum, _n: the matrix rows of a batch, as often as they count, added up for each token."""
+    import numpy as np
+    import pyarrow as pa
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b.column("_key").dictionary_encode()
+        code = np.nan_to_num(keys.indices.to_numpy(zero_copy_only=False), nan=len(keys.dictionary)).astype(np.int64)
+        vectors = b.column("_vec").combine_chunks() if isinstance(b.column("_vec"), pa.ChunkedArray) else b.column("_vec")
+        lengths = np.diff(vectors.offsets.to_numpy())
+        if (lengths != lengths[0]).any():
+            raise ValueError("rows of the matrix have different lengths")
+        times = b.column("_times").to_numpy(zero_copy_only=False)
+        rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(code), -1) * times[:, None]
+        order = np.argsort(code, kind="stable")
+        first = np.flatnonzero(np.diff(code[order], prepend=-1))
+        sums, n = np.add.reduceat(rows[order], first), np.add.reduceat(times[order], first)
+        offsets = np.arange(len(first) + 1, dtype=np.int32) * sums.shape[1]
+        yield pa.RecordBatch.from_arrays([b.column("_key").take(pa.array(order[first])), pa.ListArray.from_arrays(offsets, sums.ravel()), pa.array(n)], names=["_key", "_sum", "_n"])
+
+
+def mean_rows(sources: DataFrame, matrix: DataFrame, key: str, ids: str = "source_ids", row_id: str = "id", vector: str = "vec", share: int = SHARE) -> DataFrame:
+    """key and the element-wise mean (in double precision) of the matrix rows of its ids, repeated ids counted.
+
+    A piece that is in most tokens, as a space is, would be one join key of all of them. Pieces of more than ``share`` tokens are
+    dealt out by a hash of the token, and their matrix row is copied as often. What a task has joined it adds up by token
+    before the sums are shuffled.
+    """
+    one = F.transform(F.array_distinct(ids), lambda x: F.struct(x.alias("_row"), F.size(F.filter(ids, lambda y: y == x)).cast("long").alias("_times")))
+    pairs = sources.select(F.col(key).alias("_key"), F.explode(one).alias("x")).select("_key", "x._row", "x._times")
+    copies = pairs.groupBy(F.col("_row").alias("_id")).agg(F.ceil(F.count(F.lit(1)) / F.lit(share)).cast("int").alias("_copies"))
+    hot = copies.where("_copies > 1")
+    dealt = pairs.join(hot, F.col("_row") == F.col("_id"), "left").select("_key", "_row", "_times", F.pmod(F.xxhash64("_key"), F.coalesce("_copies", F.lit(1))).cast("int").alias("_copy"))
+    rows = matrix.select(F.col(row_id).alias("_id"), F.col(vector).alias("_vec")).join(copies, "_id")
+    rows = rows.select("_id", "_vec", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_at"))
+    each = dealt.join(rows, (F.col("_row") == F.col("_id")) & (F.col("_copy") == F.col("_at"))).select("_key", "_times", "_vec")
+    kind = dict(pairs.dtypes)["_key"]
+    sums = each.mapInArrow(_partial_sums, f"_key {kind}, _sum array<double>, _n long")
+    # at most one sum for each piece of a token
+    found = sums.groupBy("_key").agg(F.collect_list("_sum").alias("_sums"), F.sum("_n").alias("_n"))
+    total = F.aggregate(F.slice("_sums", 2, F.size("_sums")), F.get("_sums", F.lit(0)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return found.select(F.col("_key").alias(key), F.transform(total, lambda x: x / F.col("_n")).alias("mean"))
 
 
 def initialised(sources: DataFrame, inputs: DataFrame, outputs: DataFrame | None = None, *, tied: bool = False, key: str = "id", **columns) -> tuple[DataFrame, DataFrame | None, dict]:

@@ -348,6 +348,13 @@ def compare_summary(spark, d):
     return compare.summary(_compared(spark, d, "documents", ("doc_id",)), compare.NAMES)
 
 
+def compare_summary_rendered(spark, d):
+    two = compare.summary(_compared(spark, d, "conversations", ("conv_id", "turn")).drop("extended_tokens", "extended_chars_per_token"))
+    three = compare.summary(_compared(spark, d, "documents", ("doc_id",)), compare.NAMES)
+    kind = lambda n, df: df.select(F.lit(n).alias("tokenizers"), "text")
+    return kind(2, compare.rendered_summary(two)).unionByName(kind(3, compare.rendered_summary(three, compare.NAMES)))
+
+
 def compare_rendered(spark, d):
     rows = _compared(spark, d, "conversations", ("conv_id", "turn")).drop("extended_tokens", "extended_chars_per_token")
     rows = rows.withColumn("position", F.struct("conv_id", "turn")).orderBy("position").limit(20)
@@ -493,7 +500,7 @@ QUERIES = (
     static_token_groups, static_token_stats, static_candidates, static_candidate_stats, selected_tokens,
     token_partition, vocab_extension, vocab_extension_stats, vocab_diff_summary, vocab_diff_examples, vocab_common, vocab_only_base, vocab_only_reference, vocab_in_script,
     readable_vocab, source_length_histogram, token_input_stats, embedding_mean_init,
-    compare_samples_2way, compare_samples_3way, compare_summary, compare_rendered, first_seen_samples, parsed_samples,
+    compare_samples_2way, compare_samples_3way, compare_summary, compare_summary_rendered, compare_rendered, first_seen_samples, parsed_samples,
     mixture_interleave_first_exhausted, mixture_interleave_all_exhausted, encode_truncate_pad, causal_labels, run_plan, run_plan_smoke,
     streaming_word_count, bpe_token_counts, bpe_segmentation, bpe_token_partition, bpe_initialisation_samples, bpe_vocab_diff,
     bpe_compare_samples, bpe_compare_summary, bpe_encoded_mixture,

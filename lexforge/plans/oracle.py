@@ -136,6 +136,21 @@ _SAME_LINES = r"regexp_split_to_array(text, '\r\n|[\n\x0b\f\r\x1c\x1d\x1e\x{85}\
 
 _TAKEN = "x AS (SELECT word AS token FROM c WHERE count >= 5 ORDER BY count DESC, word LIMIT 200000)"
 
+def _summary_lines(names: list[str]) -> str:
+    label = {"base": "Base", "extended": "Extended", "reference": "Reference"}
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    between = lambda a, b, word: f"{label[a]} -> {label[b]} {word}" if len(names) > 2 else {"delta": "Token delta", "reduction": "Relative reduction"}[word]
+    mean = lambda n: f"CASE WHEN samples = 0 THEN 0.0 ELSE round(CAST({n}_total AS DOUBLE) / CAST(samples AS DOUBLE), 4) END"
+    lines = ["'Samples: ' || samples", *(f"'{label[n]} total tokens: ' || {n}_total" for n in names), *(f"'{between(a, b, 'delta')}: ' || ({a}_total - {b}_total)" for a, b in pairs)]
+    lines += [f"'Avg {label[n]} tokens/sample: ' || {mean(n)}" for n in names]
+    lines += [f"'{between(a, b, 'reduction')}: ' || {_pct(f'({a}_total - {b}_total)', f'{a}_total')} || '%'" for a, b in pairs]
+    return " || chr(10) || ".join(lines)
+
+
+def _totals(source: str) -> str:
+    return f"SELECT CAST(count(*) AS BIGINT) AS samples, CAST(sum(strlen(text)) AS BIGINT) AS base_total, CAST(sum(length(text)) AS BIGINT) AS reference_total, CAST(sum(len(string_split(text, ' '))) AS BIGINT) AS extended_total FROM {source}"
+
+
 SQL = {
     "word_count_topk": f"WITH {_C} SELECT * FROM c WHERE count >= 2 ORDER BY count DESC, word LIMIT 1000",
     "word_count_topk_pruned": f"WITH {_C} SELECT * FROM c WHERE count >= 2 ORDER BY count DESC, word LIMIT 1000",
@@ -196,6 +211,7 @@ x AS (SELECT token_id, i - 1 AS dim, CAST(embedding[i] AS DOUBLE) AS v FROM s JO
 SELECT token_id, CAST(dim AS INTEGER) AS dim, round(avg(v), 6) AS value FROM x GROUP BY 1, 2""",
     "compare_samples_2way": f"SELECT conv_id, turn, {_TWO} FROM conversations",
     "compare_samples_3way": f"SELECT doc_id, {_THREE} FROM documents",
+    "compare_summary_rendered": f"SELECT CAST(2 AS INTEGER) AS tokenizers, {_summary_lines(['base', 'reference'])} AS text FROM ({_totals('conversations')}) UNION ALL SELECT CAST(3 AS INTEGER), {_summary_lines(['base', 'extended', 'reference'])} FROM ({_totals('documents')})",
     "compare_summary": f"""WITH x AS (SELECT CAST(count(*) AS BIGINT) AS samples, CAST(sum(strlen(text)) AS BIGINT) AS base_total, CAST(sum(length(text)) AS BIGINT) AS reference_total, CAST(sum(len(string_split(text, ' '))) AS BIGINT) AS extended_total FROM documents)
 SELECT *, round(CAST(extended_total AS DOUBLE) / CAST(samples AS DOUBLE), 4) AS extended_mean_tokens, {_minus('base_total', 'extended_total', 'base', 'extended')}, {_minus('extended_total', 'reference_total', 'extended', 'reference')}, round(CAST(base_total AS DOUBLE) / CAST(samples AS DOUBLE), 4) AS base_mean_tokens, round(CAST(reference_total AS DOUBLE) / CAST(samples AS DOUBLE), 4) AS reference_mean_tokens, {_minus('base_total', 'reference_total', 'base', 'reference')} FROM x""",
     "compare_rendered": _rendered(),

@@ -5,7 +5,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from lexforge.operators import candidates, compare, mixture, tokenization, vocabulary
+from lexforge.operators import candidates, compare, mixture, ordering, tokenization, vocabulary
 from lexforge.sources import io
 from lexforge.streaming import incremental
 
@@ -117,11 +117,11 @@ def test_interleave(spark):
 def test_numbering(spark):
     rows = frame(spark, [(i * 7 % 1000, "ab"[i % 3 == 0]) for i in range(1000)], "doc_id long, source string").repartition(3)
     got = {}
-    for r in mixture.numbered(rows, "source", "doc_id").collect():
+    for r in ordering.numbered(rows, "source", ["doc_id"]).collect():
         got.setdefault(r.source, []).append((r.doc_id, r.k))
     assert all([k for _, k in sorted(x)] == list(range(1, len(x) + 1)) for x in got.values())
-    assert mixture.numbered(rows.limit(0), "source", "doc_id").count() == 0
-    words = mixture.numbered(rows.withColumn("doc_id", F.col("doc_id").cast("string")), "source", "doc_id")
+    assert ordering.numbered(rows.limit(0), "source", ["doc_id"]).count() == 0
+    words = ordering.numbered(rows.withColumn("doc_id", F.col("doc_id").cast("string")), "source", ["doc_id"])
     assert words.agg(F.max("k")).first()[0] == max(map(len, got.values()))
 
 
@@ -344,6 +344,41 @@ def test_initialised(spark):
     assert {r.token: r["mean"] for r in vocabulary.initialised(sources, matrix, other, key="token")[1].where("token = 'c'").collect()} == {"c": [-4.0, -8.0]}
 
 
+def test_a_piece_of_all_tokens(spark, monkeypatch):
+    """A piece that all tokens have is dealt out: no task of the join gets more than twice the median."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    dims, n = 16, 20_000
+    vectors = rng.normal(size=(300, dims)).astype(np.float32)
+    matrix = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id int, vec array<float>")
+    pieces = [[0, int(a), int(b), int(a)] for a, b in rng.integers(1, 300, (n, 2))]
+    sources = spark.createDataFrame([(f"t{i}" if i else None, p) for i, p in enumerate(pieces)], "token string, source_ids array<int>").repartition(6)
+    for name, value in (("spark.sql.shuffle.partitions", "16"), ("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(name, value)
+    try:
+
+        def counted(batches):
+            import pyarrow as pa
+
+            rows = sum(b.num_rows for b in batches)
+            yield pa.RecordBatch.from_arrays([pa.array(["n"]), pa.array([[0.0]]), pa.array([rows])], names=["_key", "_sum", "_n"])
+
+        frames = []
+        monkeypatch.setattr(type(sources), "mapInArrow", lambda df, f, schema, real_map=type(sources).mapInArrow: frames.append(df) or real_map(df, f, schema))
+        found = vocabulary.mean_rows(sources, matrix, "token")
+        got = {r.token: r["mean"] for r in found.collect()}
+        monkeypatch.undo()
+        sizes = [r["_n"] for r in frames[0].mapInArrow(counted, "_key string, _sum array<double>, _n long").collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(sizes) >= 2.9 * n and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+    want = vectors.astype(np.float64)[np.array(pieces)].mean(axis=1)
+    assert len(got) == n and all(np.allclose(got[f"t{i}" if i else None], want[i]) for i in range(n))
+
+
 def test_vocabulary_report(spark):
     a = frame(spark, [("x", 0, "x"), ("é", 1, "é"), ("ñ", 2, "ñ")], "token string, id int, decoded string")
     b = frame(spark, [("é", 7, "é"), ("y", 8, "y")], "token string, id int, decoded string")
@@ -414,11 +449,35 @@ def test_numbering_is_parallel_for_any_type(spark):
 
     rows = spark.range(20_000).select(F.format_string("%05d", (F.col("id") * 7919) % 20_000).alias("doc_id"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("source"))
     rows = rows.unionByName(frame(spark, [(None, "a"), (None, None), ("x", None)], "doc_id string, source string"))
-    found = mixture.numbered(rows, "source", "doc_id")
+    found = ordering.numbered(rows, "source", ["doc_id"])
     want = rows.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long"))
     assert sorted(map(str, found.collect())) == sorted(map(str, want.select(found.columns).collect()))
 
 
+def test_places_without_a_cap(spark):
+    """All words that the tokenizer parts, numbered by ranges: no window over a section."""
+    counts = spark.range(3000).select(F.format_string("word%05d", "id").alias("word"), (5 + F.col("id") % 50).alias("count"))
+    entries = frame(spark, [(f"entry{i}", "a.txt") for i in range(50)] + [("word00007", "a.txt"), (" word00007", "a.txt")], "raw string, file string")
+    chosen = candidates.select(counts, Fixed({}), entries, script=None, max_selected=0)
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "row_number" not in plan
+    got = [(r.section, r.place, r.word) for r in chosen.orderBy("section", "place").collect()]
+    corpus = sorted(((5 + i % 50, f"word{i:05}") for i in range(3000)), key=lambda x: (-x[0], x[1]))
+    static = sorted([f"entry{i}" for i in range(50)] + ["word00007"])  # as a corpus token it has a space before it
+    assert got == [(0, i + 1, w) for i, (_, w) in enumerate(corpus)] + [(1, i + 1, w) for i, w in enumerate(static)]
+
+
+def test_rendered_summary(spark):
+    rows = spark.range(1).select(F.lit("x" * 40).alias("text"))
+    counted = compare.counted(rows, {"base": F.lit(44), "extended": F.lit(30), "reference": F.lit(23)})
+    text = compare.rendered_summary(compare.summary(counted)).first().text
+    assert text.split("\n") == ["Samples: 1", "Base total tokens: 44", "Reference total tokens: 23", "Token delta: 21", "Avg Base tokens/sample: 44.0", "Avg Reference tokens/sample: 23.0", "Relative reduction: 47.73%"]
+    text = compare.rendered_summary(compare.summary(counted, compare.NAMES), compare.NAMES, {"base": "A", "extended": "B", "reference": "C"}).first().text
+    assert text.split("\n")[4:7] == ["A -> B delta: 14", "A -> C delta: 21", "B -> C delta: 7"] and text.endswith("A -> B reduction: 31.82%\nA -> C reduction: 47.73%\nB -> C reduction: 23.33%")
+    assert compare.rendered_summary(compare.summary(counted.limit(0))).first().text.endswith("Avg Reference tokens/sample: 0.0\nRelative reduction: 0.0%")
+    assert frame(spark, [(12345678.5,), (0.1234,)], "x double").select(compare._plain(F.col("x")).alias("x")).collect() == [("12345678.5",), ("0.1234",)]
+
+
 def test_resume(spark, tmp_path):
     for n in (9, 10, 100):
         (tmp_path / "full" / f"checkpoint-{n}").mkdir(parents=True)
