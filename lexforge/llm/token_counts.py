@@ -8,7 +8,8 @@ in just these two. So one pass over a text gives the exact token count of every
 character (``Prefixes.inside``). Whether a pair may stand is found once and kept.
 
 No piece of such a vocabulary has a word mark after another character, so no merge crosses the place where a run of word
-marks begins. A text is cut there into segments, whose tables are found once for each distinct segment and added up.
+marks begins. A text is cut there into segments, whose tables are found once for each distinct segment and added up; new segments
+of many texts are gone through in their order, each from the prefix that it shares with the one before.
 
 The table of a text (``prefix_table``) answers how many tokens any prefix has (``tokens_of``) and where a budget ends
 (``truncated``) in plain SQL, without encoding and without the library.
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 LIMIT = 4096
-#: Segments whose tables a worker keeps, and the longest that it keeps; pairs of pieces that it keeps.
-KEPT, LONGEST, PAIRS = 200_000, 64, 500_000
+#: Segments whose tables a worker keeps, those of which it keeps the token count alone, and the longest of both; pairs of pieces that it keeps.
+KEPT, SIZES, LONGEST, PAIRS = 100_000, 1_000_000, 64, 500_000
 _SEGMENT = re.compile(r" +[^ ]*")
 
 
@@ -48,6 +49,7 @@ class Prefixes:
         self.pieces = {m.id_to_piece(i).replace("▁", " "): m.get_score(i) for i in ids}
         if any(re.search(r"[^ ] ", p) for p in self.pieces):
             raise ValueError("a piece of this model has a word mark after another character; segments can't be cut there")
+        self.lines = not any("\n" in p and len(p) > 1 for p in self.pieces)
         # lengths of the pieces that end in two characters, the longest first
         found: dict[str, set] = {}
         for p in self.pieces:
@@ -55,6 +57,7 @@ class Prefixes:
                 found.setdefault(p[-2:], set()).add(len(p))
         self.widths = {end: sorted(n, reverse=True) for end, n in found.items()}
         self.known: dict[str, list[int]] = {}
+        self.sizes: dict[str, int] = {}  # tokens of segments of one space, without it
         self.fits: dict[tuple[str, str], bool] = {}
 
     @staticmethod
@@ -80,13 +83,10 @@ class Prefixes:
         self.fits[left, right] = ok
         return ok
 
-    def inside(self, segment: str) -> list[int]:
-        """Tokens of each prefix of a segment, by its length in characters, from 0 on."""
-        if (out := self.known.get(segment)) is not None:
-            return out
-        count, last = [0], [""]  # last: the last piece of each prefix; none after bytes, which never merge
+    def _grow(self, segment: str, count: list[int], last: list[str]) -> None:
+        """Goes on from the prefixes that count (their tokens) and last (their last piece; none after bytes, which never merge) hold."""
         pieces, fits, widths = self.pieces, self.fits, self.widths
-        for i in range(1, len(segment) + 1):
+        for i in range(len(count), len(segment) + 1):
             for width in (*widths.get(segment[i - 2 : i], ()), 1) if i > 1 else (1,):
                 if width > i:
                     continue
@@ -101,18 +101,59 @@ class Prefixes:
             else:  # a character outside the vocabulary: its bytes
                 count.append(count[i - 1] + len(segment[i - 1].encode()))
                 last.append("")
+
+    def inside(self, segment: str) -> list[int]:
+        """Tokens of each prefix of a segment, by its length in characters, from 0 on."""
+        if (out := self.known.get(segment)) is not None:
+            return out
+        count = [0]
+        self._grow(segment, count, [""])
         if len(segment) <= LONGEST and len(self.known) < KEPT:
             self.known[segment] = count
         return count
 
+    def ends(self, words) -> dict[str, int]:
+        """Tokens of each of a set of words (``words``). In their order neighbours share prefixes, and so the work on these."""
+        out, before, count, last = {}, "", [0], [""]
+        for word in sorted(words):
+            segment = word if word[0] == "\n" else " " + word
+            most, same = min(len(segment), len(before)), 0
+            while same < most and segment[same] == before[same]:
+                same += 1
+            del count[same + 1 :], last[same + 1 :]
+            self._grow(segment, count, last)
+            out[word], before = count[-1], segment
+        return out
+
+    def words(self, text: str) -> list[str] | None:
+        """The segments of a text without their space, if single spaces part them; where no piece holds a line feed and more, a line
+        feed begins a segment of its own."""
+        text = text.replace("▁", " ")
+        words = (text.replace("\n", " \n") if self.lines else text).split(" ")
+        return None if "" in words else words
+
+    def totals(self, texts: list[str]) -> list[int]:
+        """Tokens of each text: those of its words, each found once."""
+        each = [self.words(t) if t else [] for t in texts]
+        sizes = self.sizes
+        new = {w for words in each if words for w in words if w not in sizes}
+        found = self.ends(new)
+        if len(sizes) + len(found) <= SIZES:
+            sizes.update((w, n) for w, n in found.items() if len(w) < LONGEST)
+        if all(w in sizes for w in found):
+            get = sizes.__getitem__
+        else:
+            get = lambda w: n if (n := sizes.get(w)) is not None else found[w]
+        return [sum(map(get, words)) if words is not None else sum(self.counts(self.segments(t))) for words, t in zip(each, texts, strict=True)]
+
+    def total(self, text: str) -> int:
+        return self.totals([text])[0]
+
     def counts(self, segments: list[str]) -> list[int]:
         """Tokens of each segment: the ends of their tables."""
         known, inside = self.known, self.inside
         return [known[s][-1] if s in known else inside(s)[-1] for s in segments]
 
-    def total(self, text: str) -> int:
-        return sum(self.counts(self.segments(text)))
-
     def table(self, text: str) -> np.ndarray:
         """Tokens of each prefix of a text, by its length in characters, from 0 on."""
         out = np.zeros(len(text) + 1, np.int64)
@@ -125,10 +166,10 @@ class Prefixes:
             done = int(out[at])
         return out
 
-    def within(self, text: str, limit: int, segments: list[str] | None = None, counts: list[int] | None = None) -> int:
+    def within(self, text: str, limit: int) -> int:
         """Characters of the longest prefix with at most limit tokens."""
-        segments = self.segments(text) if segments is None else segments
-        ends = np.cumsum(self.counts(segments) if counts is None else counts)
+        segments = self.segments(text)
+        ends = np.cumsum(self.counts(segments))
         k = int(np.searchsorted(ends, limit, side="right"))
         if k == len(segments):
             return len(text)
@@ -154,13 +195,8 @@ def token_counts(docs: DataFrame, model: str, *, doc_id="doc_id", text="text", l
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                rows = []
-                for t in part.column(1).to_pylist():
-                    t = t or ""
-                    segments = prefixes.segments(t)
-                    counts = prefixes.counts(segments)
-                    n = sum(counts)
-                    rows.append((n, prefixes.within(t, limit, segments, counts) if n > limit else len(t)))
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                rows = [(n, prefixes.within(t, limit) if n > limit else len(t)) for t, n in zip(texts, prefixes.totals(texts), strict=True)]
                 schema = pa.schema([("doc_id", part.column(0).type), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("limit_chars", pa.int64())])
                 yield table(part, schema, doc_id=part.column(0), n_bytes=part.column(2), n_tokens=[n for n, _ in rows], over_limit=[n > limit for n, _ in rows], limit_chars=[c for _, c in rows])
 
