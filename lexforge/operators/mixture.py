@@ -164,6 +164,15 @@ def run_plan(spark: SparkSession, *, world: int = 4, smoke: bool = False, skip_w
     return spark.createDataFrame(rows, "phase string, max_steps long, learning_rate double, warmup_steps long, effective_batch long, logging_steps long, save_steps long")
 
 
+def coverage(plan: DataFrame, rows: DataFrame, *, text: str = "text") -> DataFrame:
+    """The plan over a corpus: examples (rows with text), steps_per_epoch (the last batch may be short), examples_seen in all steps
+    of a phase, and epochs, how often it goes through the corpus; 0 for an empty one."""
+    n = rows.where(T.nonblank(F.col(text))).agg(F.count(F.lit(1)).alias("examples"))
+    seen = F.col("max_steps") * F.col("effective_batch")
+    epochs = F.when(F.col("examples") == 0, 0.0).otherwise(F.round(seen.cast("double") / F.col("examples").cast("double"), 4))
+    return plan.crossJoin(n).withColumn("steps_per_epoch", F.ceil(F.col("examples") / F.col("effective_batch"))).withColumn("examples_seen", seen).withColumn("epochs", epochs)
+
+
 def run_config(spark: SparkSession, arguments: dict, *, vocabulary_size: int, world: int = 4, smoke: bool = False, **options) -> dict:
     """What a run was started with, as a report: arguments, devices, length, vocabulary size and the plan of phases."""
     phases = run_plan(spark, world=world, smoke=smoke, **options).collect()

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import spread_join
+
 #: A vocabulary below this many rows is sent to every executor; a larger one is joined by a shuffle.
 SENT_ROWS = 200_000
 
@@ -124,6 +126,41 @@ def decoded(df: DataFrame, vocabulary: DataFrame, ids: str = "ids", key: str = "
     return rows.groupBy(key).agg(F.transform(sorted_, lambda x: x["decoded"]).alias(out))
 
 
+# The pattern by which byte-level tokenizers part a text before merging, with the white space of Unicode spelled out.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PARTS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+#: Documents that one copy of a part's token count is joined with.
+SHARE = 10_000
+
+
+def splits_by_parts(tokenizer: Subword) -> bool:
+    """Whether a tokenizer's document parts texts by the byte-level pattern and does nothing before."""
+    d = json.loads(tokenizer.document)
+    part = d.get("pre_tokenizer") or {}
+    return d.get("normalizer") is None and part.get("type") == "ByteLevel" and part.get("use_regex", True) and not part.get("add_prefix_space", False)
+
+
+def corpus_token_counts(docs: DataFrame, tokenizer: Subword, *, key: str = "doc_id", text: str = "text", share: int = SHARE) -> DataFrame:
+    """key, tokens of every row, without encoding texts: no merge crosses a part of the byte-level pattern, so a text has the tokens of
+    its parts. Parts are cut in the engine and counted by text, each distinct one of the corpus is encoded once, and the counts are
+    joined and added up; frequent parts are dealt out. Texts that hold an added token's string, which is matched across
+    parts, are encoded whole; the keys have to be distinct, and null texts have no tokens."""
+    if not splits_by_parts(tokenizer):
+        raise ValueError("the tokenizer doesn't part texts by the byte-level pattern")
+    added = [a["content"] for a in json.loads(tokenizer.document).get("added_tokens", [])]
+    held = F.lit(False)
+    for content in added:
+        held = held | F.contains(F.col("_text"), F.lit(content))
+    rows = docs.select(F.col(key).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    whole = rows.where(held).select("_doc", tokenizer.piece_count(F.col("_text")).cast("long").alias("_n"))
+    parts = rows.where(~held).select("_doc", F.explode(F.regexp_extract_all("_text", F.lit(PARTS), F.lit(0))).alias("_part"))
+    each = parts.groupBy("_doc", "_part").agg(F.count(F.lit(1)).alias("_times"))
+    costs = each.select("_part").distinct().select(F.col("_part").alias("_known"), tokenizer.piece_count(F.col("_part")).alias("_cost"))
+    sums = spread_join(each, costs, "_part", "_known", F.col("_doc"), share).select("_doc", (F.col("_times") * F.col("_cost")).alias("_n"))
+    none = rows.select("_doc", F.lit(0).cast("long").alias("_n"))  # rows without parts stay
+    return none.unionByName(sums).unionByName(whole).groupBy(F.col("_doc").alias(key)).agg(F.sum("_n").alias("tokens"))
+
+
 def truncate_pad(ids: Column, length: int, pad: int = 0) -> tuple[Column, Column]:
     """ids cut or padded on the right to a length, and their attention mask."""
     if length < 1:

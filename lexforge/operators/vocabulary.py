@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .ordering import spread_join
 from .tokenization import bounded
 
 EXACT = "already_present_as_exact_single_token"
@@ -123,12 +124,8 @@ def mean_rows(sources: DataFrame, matrix: DataFrame, key: str, ids: str = "sourc
     """
     one = F.transform(F.array_distinct(ids), lambda x: F.struct(x.alias("_row"), F.size(F.filter(ids, lambda y: y == x)).cast("long").alias("_times")))
     pairs = sources.select(F.col(key).alias("_key"), F.explode(one).alias("x")).select("_key", "x._row", "x._times")
-    copies = pairs.groupBy(F.col("_row").alias("_id")).agg(F.ceil(F.count(F.lit(1)) / F.lit(share)).cast("int").alias("_copies"))
-    hot = copies.where("_copies > 1")
-    dealt = pairs.join(hot, F.col("_row") == F.col("_id"), "left").select("_key", "_row", "_times", F.pmod(F.xxhash64("_key"), F.coalesce("_copies", F.lit(1))).cast("int").alias("_copy"))
-    rows = matrix.select(F.col(row_id).alias("_id"), F.col(vector).alias("_vec")).join(copies, "_id")
-    rows = rows.select("_id", "_vec", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_at"))
-    each = dealt.join(rows, (F.col("_row") == F.col("_id")) & (F.col("_copy") == F.col("_at"))).select("_key", "_times", "_vec")
+    rows = matrix.select(F.col(row_id).alias("_id"), F.col(vector).alias("_vec"))
+    each = spread_join(pairs, rows, "_row", "_id", F.col("_key"), share).select("_key", "_times", "_vec")
     kind = dict(pairs.dtypes)["_key"]
     sums = each.mapInArrow(_partial_sums, f"_key {kind}, _sum array<double>, _n long")
     # at most one sum for each piece of a token

@@ -419,6 +419,12 @@ def run_plan_smoke(spark, d):
     return mixture.run_plan(spark, smoke=True)
 
 
+def run_plan_coverage(spark, d):
+    """Both plans over the documents."""
+    kind = lambda name, smoke: mixture.coverage(mixture.run_plan(spark, smoke=smoke), table(spark, d, "documents")).withColumn("run", F.lit(name))
+    return kind("production", False).unionByName(kind("smoke", True))
+
+
 # --- streaming and subword tokenizers ---
 
 
@@ -448,6 +454,10 @@ def bpe_token_counts(spark, d):
     return _counted(spark, d).select("word", "count", _tokenizer().piece_count(F.col("word")).cast("long").alias("base_token_count"))
 
 
+def bpe_document_tokens(spark, d):
+    return tokenization.corpus_token_counts(docs(spark, d), _tokenizer())
+
+
 def bpe_segmentation(spark, d):
     rows = table(spark, d, "benchmark").select("item_id", _tokenizer().segmented(F.col("text")).alias("s"))
     return rows.select("item_id", F.col("s.token_count").cast("long").alias("token_count"), F.concat_ws("|", "s.decoded_pieces").alias("pieces"))
@@ -501,8 +511,8 @@ QUERIES = (
     token_partition, vocab_extension, vocab_extension_stats, vocab_diff_summary, vocab_diff_examples, vocab_common, vocab_only_base, vocab_only_reference, vocab_in_script,
     readable_vocab, source_length_histogram, token_input_stats, embedding_mean_init,
     compare_samples_2way, compare_samples_3way, compare_summary, compare_summary_rendered, compare_rendered, first_seen_samples, parsed_samples,
-    mixture_interleave_first_exhausted, mixture_interleave_all_exhausted, encode_truncate_pad, causal_labels, run_plan, run_plan_smoke,
-    streaming_word_count, bpe_token_counts, bpe_segmentation, bpe_token_partition, bpe_initialisation_samples, bpe_vocab_diff,
+    mixture_interleave_first_exhausted, mixture_interleave_all_exhausted, encode_truncate_pad, causal_labels, run_plan, run_plan_smoke, run_plan_coverage,
+    streaming_word_count, bpe_token_counts, bpe_document_tokens, bpe_segmentation, bpe_token_partition, bpe_initialisation_samples, bpe_vocab_diff,
     bpe_compare_samples, bpe_compare_summary, bpe_encoded_mixture,
 )
 

@@ -221,6 +221,8 @@ SELECT *, round(CAST(extended_total AS DOUBLE) / CAST(samples AS DOUBLE), 4) AS
     "mixture_interleave_all_exhausted": _mixture("all_exhausted", "max"),
     "encode_truncate_pad": f"SELECT item_id AS doc_id, {_ids('input_ids')}, {_ids('attention_mask')} FROM benchmark",
     "causal_labels": f"SELECT item_id AS doc_id, {_ids('labels')} FROM benchmark",
+    "run_plan_coverage": f"""WITH p AS (SELECT *, 'production' AS run FROM ({_plan(M.STEPS, M.BATCH)}) UNION ALL SELECT *, 'smoke' AS run FROM ({_plan(M.SMOKE_STEPS, M.SMOKE_BATCH)})), n AS (SELECT CAST(count(*) AS BIGINT) AS examples FROM documents WHERE regexp_matches(text, '\\S'))
+SELECT p.*, examples, CAST(ceil(examples / effective_batch) AS BIGINT) AS steps_per_epoch, max_steps * effective_batch AS examples_seen, round(CAST(max_steps * effective_batch AS DOUBLE) / examples, 4) AS epochs FROM p, n""",
     "run_plan": _plan(M.STEPS, M.BATCH),
     "run_plan_smoke": _plan(M.SMOKE_STEPS, M.SMOKE_BATCH),
     "streaming_word_count": _counts(),

@@ -454,6 +454,31 @@ def test_numbering_is_parallel_for_any_type(spark):
     assert sorted(map(str, found.collect())) == sorted(map(str, want.select(found.columns).collect()))
 
 
+def test_tokens_by_parts(spark):
+    """Counts by parts equal the library's over whole texts, whatever they hold; a hot part is dealt out."""
+    import random
+
+    import public_tokenizers
+
+    t = tokenization.Subword.load(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    odd = ["a", "'s", "'ll", " ", "  ", "\n", "\t", "\xa0", "\u2003", "é", "ß", "١", "Ⅷ", "½", "\U0001f600", "中", "…", "-", "_", "'", "the ", " The", "12", "x'd", "\u0301", "\x1c", "\x85", "<|endoftext|>"]
+    texts = ["".join(rng.choices(odd, k=rng.randint(0, 25))) for _ in range(3000)] + ["the " * 500] * 30 + ["", None]
+    docs = frame(spark, list(enumerate(texts)), "doc_id int, text string").repartition(5)
+    got = {r.doc_id: r.tokens for r in tokenization.corpus_token_counts(docs, t, share=100).collect()}
+    model = t.model()
+    assert got == {i: len(model.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    with pytest.raises(ValueError, match="pattern"):
+        tokenization.corpus_token_counts(docs, tokenization.Subword.load(public_tokenizers.path("word_bpe_49k.json")))
+
+
+def test_coverage(spark):
+    rows = frame(spark, [("x",)] * 1001 + [(" ",), (None,)], "text string")
+    got = {r.phase: r for r in mixture.coverage(mixture.run_plan(spark, smoke=True), rows).collect()}
+    assert (got["warmup"].examples, got["warmup"].steps_per_epoch, got["warmup"].examples_seen, got["warmup"].epochs) == (1001, 251, 80, 0.0799)
+    assert mixture.coverage(mixture.run_plan(spark), rows.limit(0)).first().epochs == 0.0
+
+
 def test_places_without_a_cap(spark):
     """All words that the tokenizer parts, numbered by ranges: no window over a section."""
     counts = spark.range(3000).select(F.format_string("word%05d", "id").alias("word"), (5 + F.col("id") % 50).alias("count"))
