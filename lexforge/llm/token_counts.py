@@ -135,15 +135,18 @@ class Prefixes:
     def totals(self, texts: list[str]) -> list[int]:
         """Tokens of each text: those of its words, each found once."""
         each = [self.words(t) if t else [] for t in texts]
-        sizes = self.sizes
-        new = {w for words in each if words for w in words if w not in sizes}
-        found = self.ends(new)
-        if len(sizes) + len(found) <= SIZES:
-            sizes.update((w, n) for w, n in found.items() if len(w) < LONGEST)
-        if all(w in sizes for w in found):
-            get = sizes.__getitem__
-        else:
-            get = lambda w: n if (n := sizes.get(w)) is not None else found[w]
+        here: set[str] = set()
+        for words in each:
+            here.update(words or ())
+        new = self.ends(here.difference(self.sizes))
+        # a table of these texts' words alone is small enough to stay near the processor
+        known, sizes = self.sizes, {}
+        for w in here:
+            sizes[w] = n if (n := known.get(w)) is not None else new[w]
+        if len(known) + len(new) > SIZES:
+            known.clear()  # frequent words are soon back
+        known.update((w, n) for w, n in new.items() if len(w) < LONGEST)
+        get = sizes.__getitem__
         return [sum(map(get, words)) if words is not None else sum(self.counts(self.segments(t))) for words, t in zip(each, texts, strict=True)]
 
     def total(self, text: str) -> int:
