@@ -8,8 +8,8 @@ in just these two. So one pass over a text gives the exact token count of every
 character (``Prefixes.inside``). Whether a pair may stand is found once and kept.
 
 No piece of such a vocabulary has a word mark after another character, so no merge crosses the place where a run of word
-marks begins. A text is cut there into segments, whose tables are found once for each distinct segment and added up; new segments
-of many texts are gone through in their order, each from the prefix that it shares with the one before.
+marks begins. A text is cut there into segments, whose tables are found once for each distinct segment and added up. Where only
+a segment's whole count is asked for, the recurrence is asked from its end (``_last``), which leaves out prefixes that no piece needs.
 
 The table of a text (``prefix_table``) answers how many tokens any prefix has (``tokens_of``) and where a budget ends
 (``truncated``) in plain SQL, without encoding and without the library.
@@ -33,7 +33,7 @@ from .common import table
 
 LIMIT = 4096
 #: Segments whose tables a worker keeps, those of which it keeps the token count alone, and the longest of both; pairs of pieces that it keeps.
-KEPT, SIZES, LONGEST, PAIRS = 100_000, 1_000_000, 64, 500_000
+KEPT, SIZES, LONGEST, PAIRS = 100_000, 2_000_000, 64, 500_000
 _SEGMENT = re.compile(r" +[^ ]*")
 
 
@@ -83,10 +83,13 @@ class Prefixes:
         self.fits[left, right] = ok
         return ok
 
-    def _grow(self, segment: str, count: list[int], last: list[str]) -> None:
-        """Goes on from the prefixes that count (their tokens) and last (their last piece; none after bytes, which never merge) hold."""
+    def inside(self, segment: str) -> list[int]:
+        """Tokens of each prefix of a segment, by its length in characters, from 0 on."""
+        if (out := self.known.get(segment)) is not None:
+            return out
+        count, last = [0], [""]  # last: the last piece of each prefix; none after bytes, which never merge
         pieces, fits, widths = self.pieces, self.fits, self.widths
-        for i in range(len(count), len(segment) + 1):
+        for i in range(1, len(segment) + 1):
             for width in (*widths.get(segment[i - 2 : i], ()), 1) if i > 1 else (1,):
                 if width > i:
                     continue
@@ -101,28 +104,36 @@ class Prefixes:
             else:  # a character outside the vocabulary: its bytes
                 count.append(count[i - 1] + len(segment[i - 1].encode()))
                 last.append("")
-
-    def inside(self, segment: str) -> list[int]:
-        """Tokens of each prefix of a segment, by its length in characters, from 0 on."""
-        if (out := self.known.get(segment)) is not None:
-            return out
-        count = [0]
-        self._grow(segment, count, [""])
         if len(segment) <= LONGEST and len(self.known) < KEPT:
             self.known[segment] = count
         return count
 
+    def _last(self, segment: str, i: int, found: dict[int, tuple[str, int]]) -> tuple[str, int]:
+        """The last piece of a prefix of a short segment and its tokens: the recurrence asked for one prefix, which asks for those that a
+        piece may leave. found: those known."""
+        pieces, fits = self.pieces, self.fits
+        for width in (*self.widths.get(segment[i - 2 : i], ()), 1) if i > 1 else (1,):
+            if width > i:
+                continue
+            piece = segment[i - width : i]
+            if piece in pieces:
+                before = found.get(i - width) or self._last(segment, i - width, found)
+                ok = fits.get((before[0], piece))
+                if self._follows(before[0], piece) if ok is None else ok:
+                    out = piece, before[1] + 1
+                    break
+        else:  # a character outside the vocabulary: its bytes
+            before = found.get(i - 1) or self._last(segment, i - 1, found)
+            out = "", before[1] + len(segment[i - 1].encode())
+        found[i] = out
+        return out
+
     def ends(self, words) -> dict[str, int]:
-        """Tokens of each of a set of words (``words``). In their order neighbours share prefixes, and so the work on these."""
-        out, before, count, last = {}, "", [0], [""]
-        for word in sorted(words):
+        """Tokens of each of a set of words (``words``)."""
+        out = {}
+        for word in words:
             segment = word if word[0] == "\n" else " " + word
-            most, same = min(len(segment), len(before)), 0
-            while same < most and segment[same] == before[same]:
-                same += 1
-            del count[same + 1 :], last[same + 1 :]
-            self._grow(segment, count, last)
-            out[word], before = count[-1], segment
+            out[word] = self._last(segment, len(segment), {0: ("", 0)})[1] if len(segment) <= LONGEST else self.inside(segment)[-1]
         return out
 
     def words(self, text: str) -> list[str] | None:
@@ -132,8 +143,9 @@ class Prefixes:
         words = (text.replace("\n", " \n") if self.lines else text).split(" ")
         return None if "" in words else words
 
-    def totals(self, texts: list[str]) -> list[int]:
-        """Tokens of each text: those of its words, each found once."""
+    def measured(self, texts: list[str], limit: int) -> list[tuple[int, int]]:
+        """Tokens of each text, and the characters of its longest prefix with at most limit tokens. Each word of all texts is looked up or
+        found once."""
         each = [self.words(t) if t else [] for t in texts]
         here: set[str] = set()
         for words in each:
@@ -146,11 +158,21 @@ class Prefixes:
         if len(known) + len(new) > SIZES:
             known.clear()  # frequent words are soon back
         known.update((w, n) for w, n in new.items() if len(w) < LONGEST)
-        get = sizes.__getitem__
-        return [sum(map(get, words)) if words is not None else sum(self.counts(self.segments(t))) for words, t in zip(each, texts, strict=True)]
+        get, out = sizes.__getitem__, []
+        for words, text in zip(each, texts, strict=True):
+            if words is None:
+                segments = self.segments(text)
+                counts = self.counts(segments)
+            else:
+                counts = list(map(get, words))
+            n = sum(counts)
+            if n > limit and words is not None:
+                segments = [w if w[0] == "\n" else " " + w for w in words]
+            out.append((n, self._within(segments, counts, limit) if n > limit else len(text)))
+        return out
 
     def total(self, text: str) -> int:
-        return self.totals([text])[0]
+        return self.measured([text], len(text) * 8)[0][0]
 
     def counts(self, segments: list[str]) -> list[int]:
         """Tokens of each segment: the ends of their tables."""
@@ -169,18 +191,19 @@ class Prefixes:
             done = int(out[at])
         return out
 
-    def within(self, text: str, limit: int) -> int:
-        """Characters of the longest prefix with at most limit tokens."""
-        segments = self.segments(text)
-        ends = np.cumsum(self.counts(segments))
+    def _within(self, segments: list[str], counts: list[int], limit: int) -> int:
+        """Characters of the longest prefix with at most limit tokens, of a text that has more."""
+        ends = np.cumsum(counts)
         k = int(np.searchsorted(ends, limit, side="right"))
-        if k == len(segments):
-            return len(text)
-        whole = sum(map(len, segments[:k])) - 1
+        whole = sum(map(len, segments[:k])) - 1  # the first space of all is not the text's
         left = limit - (int(ends[k - 1]) if k else 0)
         own = self.inside(segments[k])
         return max(0, whole + max(i for i, n in enumerate(own) if n <= left))
 
+    def within(self, text: str, limit: int) -> int:
+        """Characters of the longest prefix with at most limit tokens."""
+        return self.measured([text], limit)[0][1]
+
 
 @lru_cache(maxsize=1)
 def _model(path: str) -> Prefixes:
@@ -199,7 +222,7 @@ def token_counts(docs: DataFrame, model: str, *, doc_id="doc_id", text="text", l
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                rows = [(n, prefixes.within(t, limit) if n > limit else len(t)) for t, n in zip(texts, prefixes.totals(texts), strict=True)]
+                rows = prefixes.measured(texts, limit)
                 schema = pa.schema([("doc_id", part.column(0).type), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("limit_chars", pa.int64())])
                 yield table(part, schema, doc_id=part.column(0), n_bytes=part.column(2), n_tokens=[n for n, _ in rows], over_limit=[n > limit for n, _ in rows], limit_chars=[c for _, c in rows])
 
