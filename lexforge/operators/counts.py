@@ -2,7 +2,7 @@
 
 Words are counted raw; case folding and accent stripping run over distinct words, which are then counted again. Counts are
 exact: partial aggregation, one shuffle of distinct words. The statistics of a scan come from the pass that counts
-(``counted``, by Spark's observed metrics) or from one of their own without a shuffle of words (``scan_stats``); both look at the
+(``stored``; ``counted`` by Spark's observed metrics) or from one of their own without a shuffle of words (``scan_stats``); both look at the
 words after folding and filters, as the counts do.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import quotes, text as T
+from ..sources import io
 
 
 @dataclass(frozen=True)
@@ -158,7 +159,7 @@ def quoted_stats(corpus: DataFrame, o: Options = Options()) -> DataFrame:
 
 def counted(corpus: DataFrame, o: Options = Options(), quoted: bool = False) -> tuple[DataFrame, Observation]:
     """word, count of words or quoted words, and the statistics of the same pass: a dict as the observation's ``get``, once an action
-    has run over the counts."""
+    has run over the counts. A stage that runs again adds to what was observed; ``stored`` doesn't have that weakness."""
     seen = Observation()
     rows = _with_quotes(corpus, o) if quoted else _with_words(corpus, o)
     metrics = _quote_metrics() if quoted else _scan_metrics()
@@ -166,10 +167,25 @@ def counted(corpus: DataFrame, o: Options = Options(), quoted: bool = False) ->
 
 
 def stored(corpus: DataFrame, path: str, o: Options = Options(), quoted: bool = False) -> tuple[DataFrame, dict]:
-    """Counts as a Parquet table at a path, read back, and the statistics of the pass that wrote them."""
-    rows, seen = counted(corpus, o, quoted)
-    rows.write.parquet(path)
-    return corpus.sparkSession.read.schema(rows.schema).parquet(path), seen.get
+    """Counts as a Parquet table at a path, read back, and the statistics of the same pass, as ``scan_stats`` or ``quoted_stats``
+    have them. Documents are counted as rows among the words, each kind of row by a key of its own, so the statistics are exact
+    also when an executor is lost and a stage runs again, which an observation's sums are not."""
+    spark = corpus.sparkSession
+    rows = _with_quotes(corpus, o) if quoted else _with_words(corpus, o)
+    mark = lambda name: F.array(F.struct(F.lit(name).alias("mark"), F.lit(None).cast("string").alias("word")))
+    when = lambda holds, marks: F.when(holds, marks).otherwise(F.slice(marks, 1, 0))
+    words = F.transform("words", lambda w: F.struct(F.lit(None).cast("string").alias("mark"), w.alias("word")))
+    if quoted:
+        marks = [when(F.col("segments") > 0, mark("documents_with_quotes")), F.flatten(F.array_repeat(mark("total_segments"), F.col("segments").cast("int")))]
+    else:
+        marks = [when(F.col("n") > 0, mark("documents_counted"))]
+    each = rows.select(F.explode(F.concat(words, mark("documents_scanned"), *marks)).alias("x")).select("x.mark", "x.word")
+    table = io.stored(each.groupBy("mark", "word").agg(F.count(F.lit(1)).alias("count")), "scan")
+    kept(table.where("mark is null").select("word", "count"), o).write.parquet(path)
+    counts = spark.read.schema("word string, count long").parquet(path)
+    names = ("documents_scanned", *(("documents_with_quotes", "total_segments") if quoted else ("documents_counted",)))
+    seen = dict.fromkeys(names, 0) | {r.mark: r["count"] for r in table.where("mark is not null").collect()}
+    return counts, seen | {"total_words": counts.agg(_total("count")).first()[0]}
 
 
 def unique_stats(counts: DataFrame, min_count: int = 1) -> DataFrame:

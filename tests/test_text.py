@@ -190,6 +190,10 @@ def test_statistics_agree_with_the_counts(spark, tmp_path, lowercase, accents, m
     for quoted, want, rows in ((False, s, counts.word_counts(c, o)), (True, q, counts.quoted_word_counts(c, o))):
         table, seen = counts.stored(c, str(tmp_path / f"{quoted}"), o, quoted)
         assert seen == want.asDict() and sorted(map(tuple, table.collect())) == sorted(map(tuple, rows.collect()))
+        observed, seen = counts.counted(c, o, quoted)
+        assert sorted(map(tuple, observed.collect())) == sorted(map(tuple, table.collect())) and seen.get == want.asDict()
+    empty = counts.stored(c.limit(0), str(tmp_path / "none"), o)
+    assert empty[1] == counts.scan_stats(c.limit(0), o).first().asDict() and empty[0].count() == 0
 
 
 def test_statistics_of_folded_words(spark):
