@@ -71,19 +71,16 @@ def kept(words: DataFrame, o: Options) -> DataFrame:
     return words.where(survives(F.col("word"), o))
 
 
-def _grouped(words: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Counts of the elements of an array column of words."""
-    return words.select(*by, F.explode("words").alias("word")).groupBy(*by, "word").agg(F.count(F.lit(1)).alias("count"))
-
-
-def _each(words: DataFrame, o: Options) -> DataFrame:
-    return kept(_grouped(words), o)
+def _grouped(rows: DataFrame, words: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts of the elements of an array of words. The array is made in the explode itself: as a column before it, it would be made
+    once more for the filter that Spark infers from an explode."""
+    return rows.select(*by, F.explode(words).alias("word")).groupBy(*by, "word").agg(F.count(F.lit(1)).alias("count"))
 
 
 def raw_counts(corpus: DataFrame, o: Options = Options(), by: tuple[str, ...] = ()) -> DataFrame:
     """word, count of the words as they stand, before folding and filters (``kept``)."""
     rows = T.normalized(scanned(corpus, o).select(*by, o.text), o.text, o.normalization)
-    return _grouped(rows.select(*by, T.words(F.col(o.text)).alias("words")), by)
+    return _grouped(rows, T.words(F.col(o.text)), by)
 
 
 def word_counts(corpus: DataFrame, o: Options = Options(), by: tuple[str, ...] = ()) -> DataFrame:
@@ -98,7 +95,7 @@ def quoted_segments(corpus: DataFrame, o: Options = Options()) -> DataFrame:
 
 
 def quoted_word_counts(corpus: DataFrame, o: Options = Options()) -> DataFrame:
-    return _each(quoted_segments(corpus, o).select(T.words(F.col("segment")).alias("words")), o)
+    return kept(_grouped(quoted_segments(corpus, o), T.words(F.col("segment"))), o)
 
 
 def ranked(counts: DataFrame, min_count: int = 1, limit: int = 0) -> DataFrame:
@@ -163,7 +160,7 @@ def counted(corpus: DataFrame, o: Options = Options(), quoted: bool = False) ->
     seen = Observation()
     rows = _with_quotes(corpus, o) if quoted else _with_words(corpus, o)
     metrics = _quote_metrics() if quoted else _scan_metrics()
-    return _each(rows.observe(seen, *metrics), o), seen
+    return kept(_grouped(rows.observe(seen, *metrics), F.col("words")), o), seen
 
 
 def stored(corpus: DataFrame, path: str, o: Options = Options(), quoted: bool = False) -> tuple[DataFrame, dict]:
