@@ -32,8 +32,10 @@ def counted(rows: DataFrame, tokens: dict[str, Column], text: str = "text") -> D
     return rows
 
 
-def analysed(rows: DataFrame, tokenizers: dict, text: str = "text") -> DataFrame:
-    """rows with <name>_tokens, <name>_chars_per_token and <name>_decoded_pieces of each subword tokenizer."""
+def analysed(rows: DataFrame, tokenizers: dict, text: str = "text", pieces: bool = True) -> DataFrame:
+    """rows with <name>_tokens, <name>_chars_per_token and, if wanted, <name>_decoded_pieces of each subword tokenizer."""
+    if not pieces:
+        return counted(rows, {name: t.piece_count(F.col(text)) for name, t in tokenizers.items()}, text)
     for name, t in tokenizers.items():
         rows = rows.withColumn(f"_{name}", t.segmented(F.col(text)))
     out = counted(rows, {name: F.col(f"_{name}.token_count") for name in tokenizers}, text)

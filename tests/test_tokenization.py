@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lexforge.operators import mixture, tokenization
+from lexforge.operators import compare, mixture, tokenization
 
 NAMES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 
@@ -46,6 +46,14 @@ def test_slices_give_the_library_s_results(spark):
         assert rows.limit(0).select(*cols).collect() == []
 
 
+def test_counts_without_pieces(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(_texts())], "i int, text string")
+    names = {k: tokenization.Subword.load(public_tokenizers.path(n)) for k, n in zip(("base", "reference"), NAMES, strict=True)}
+    with_, without = (compare.analysed(rows, names, pieces=p) for p in (True, False))
+    assert not any(c.endswith("_pieces") for c in without.columns)
+    assert compare.summary(with_).collect() == compare.summary(without).collect()
+
+
 def test_encoded_keeps_only_its_length(spark):
     """Ids beyond the length never leave the tokenizer's task."""
 
