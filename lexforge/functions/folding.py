@@ -60,17 +60,36 @@ def _pairs() -> dict[str, str]:
 
 
 def _class(characters) -> str:
-    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in sorted(set(characters))) + "]"
+    """A pattern's class of these characters, by ranges: a class of many single ones is tried one after the other."""
+    spans = []
+    for code in sorted({ord(c) for c in characters}):
+        if spans and code == spans[-1][1] + 1:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value) with value evaluated once: as an expression named several times it would be evaluated, and its plan be copied, for
+    each of them, and once more for each at every further step."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: A text without one of these characters has no accents, and its case is the engine's own.
+_OTHER = r"[^\x00-\x7f]"
 
 
 def _mapped(text: Column, kind: str) -> Column:
+    """text is bound: it is named several times."""
     given, to, several = _map(kind)
+    mapped = F.translate(text, given, to)
     if several:
         # a text that holds one of these goes through by code points
         table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
         each = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(table, c), c))
-        text = F.when(text.rlike(_class(several)), F.array_join(each, "")).otherwise(text)
-    return F.translate(text, given, to)
+        mapped = F.when(text.rlike(_class(several)), F.translate(F.array_join(each, ""), given, to)).otherwise(mapped)
+    return mapped
 
 
 def _syllables(text: Column) -> Column:
@@ -94,16 +113,21 @@ def _syllables(text: Column) -> Column:
 
 def casefold(text: Column) -> Column:
     """Full Unicode case folding."""
-    return _mapped(text, "case")
+    return _bound(text, lambda t: F.when(t.rlike(_OTHER), _mapped(t, "case")).otherwise(F.lower(t)))
 
 
-def strip_accents(text: Column) -> Column:
-    """text without its non-spacing marks, composed again."""
-    text = _mapped(text, "accents")
+def _composed(text: Column) -> Column:
+    """Bound text with the pairs composed that stripping can leave."""
     pairs = _pairs()
     # twice, as what a pair composes to can be the first of another
     table = F.array(*[F.struct(F.lit(p).alias("pair"), F.lit(to).alias("one")) for p, to in [*pairs.items(), *pairs.items()]])
     paired = F.aggregate(table, text, lambda t, p: F.replace(t, p["pair"], p["one"]))
-    text = F.when(text.rlike(_class(p[1] for p in pairs)), paired).otherwise(text)
+    return F.when(text.rlike(_class(p[1] for p in pairs)), paired).otherwise(text)
+
+
+def strip_accents(text: Column) -> Column:
+    """text without its non-spacing marks, composed again."""
     second = f"[\\x{{{_MIDDLE[0]:X}}}-\\x{{{_FINAL[0] + _FINAL[1] - 1:X}}}]"
-    return F.when(text.rlike(second), _syllables(text)).otherwise(text)
+    syllables = lambda t: F.when(t.rlike(second), _syllables(t)).otherwise(t)
+    bare = lambda t: _bound(_bound(_mapped(t, "accents"), _composed), syllables)
+    return _bound(text, lambda t: F.when(t.rlike(_OTHER), bare(t)).otherwise(t))
