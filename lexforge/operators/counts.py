@@ -117,11 +117,13 @@ def _documents(corpus: DataFrame, o: Options) -> DataFrame:
     return capped.select(F.when(counts, F.col(o.text)).alias(o.text))
 
 
-def _with_words(corpus: DataFrame, o: Options) -> DataFrame:
-    """words and n of every scanned document: the words as they stand, and how many of them survive folding and filters."""
+def _with_words(corpus: DataFrame, o: Options, whole: bool = True) -> DataFrame:
+    """words and n of every scanned document: the words as they stand, and how many of them survive folding and filters; unless
+    whole, n is 1 if any does, for which no word beyond the first of these is folded."""
     rows = T.normalized(_documents(corpus, o), o.text, o.normalization)
     rows = rows.select(F.coalesce(T.words(F.col(o.text)), F.array().cast("array<string>")).alias("words"))
-    return rows.withColumn("n", F.size(F.filter("words", lambda w: survives(folded(w, o), o))).cast("long"))
+    passes = lambda w: survives(folded(w, o), o)
+    return rows.withColumn("n", (F.size(F.filter("words", passes)) if whole else F.exists("words", passes)).cast("long"))
 
 
 def _with_quotes(corpus: DataFrame, o: Options) -> DataFrame:
@@ -168,7 +170,7 @@ def stored(corpus: DataFrame, path: str, o: Options = Options(), quoted: bool =
     have them. Documents are counted as rows among the words, each kind of row by a key of its own, so the statistics are exact
     also when an executor is lost and a stage runs again, which an observation's sums are not."""
     spark = corpus.sparkSession
-    rows = _with_quotes(corpus, o) if quoted else _with_words(corpus, o)
+    rows = _with_quotes(corpus, o) if quoted else _with_words(corpus, o, whole=False)
     mark = lambda name: F.array(F.struct(F.lit(name).alias("mark"), F.lit(None).cast("string").alias("word")))
     when = lambda holds, marks: F.when(holds, marks).otherwise(F.slice(marks, 1, 0))
     words = F.transform("words", lambda w: F.struct(F.lit(None).cast("string").alias("mark"), w.alias("word")))
