@@ -89,8 +89,21 @@ def segments_sql(text: str) -> str:
     return f"case when {text} is null then null when {text} rlike {literal("[`']")} then {any_} when contains({text}, '\"') then {double} else {none} end"
 
 
+def _folded(df: DataFrame, text: str, form: str) -> tuple[DataFrame, Column]:
+    """df with its text in a normal form and with folded marks, and the segments of that; null for null."""
+    df = normalized(df, text, form).withColumn(text, fold(F.col(text)))
+    return df, F.expr(segments_sql("`" + text.replace("`", "``") + "`"))
+
+
 def with_segments(df: DataFrame, text: str, form: str = "NFKC", out: str = "segments") -> DataFrame:
     """df with the quoted segments of its text, from one scan; none for null."""
-    df = normalized(df, text, form).withColumn(text, fold(F.col(text)))
-    name = "`" + text.replace("`", "``") + "`"
-    return df.withColumn(out, F.coalesce(F.expr(segments_sql(name)), F.array().cast("array<string>")))
+    df, segments = _folded(df, text, form)
+    return df.withColumn(out, F.coalesce(segments, F.array().cast("array<string>")))
+
+
+def segment_rows(df: DataFrame, text: str, form: str = "NFKC") -> DataFrame:
+    """df's other columns, position and segment, a row for each. The segments are made in the explode itself: as a column before it,
+    they would be made once more for the filter that Spark infers from an explode."""
+    others = [c for c in df.columns if c != text]
+    df, segments = _folded(df, text, form)
+    return df.select(*others, F.posexplode(segments).alias("position", "segment"))

@@ -90,8 +90,7 @@ def word_counts(corpus: DataFrame, o: Options = Options(), by: tuple[str, ...] =
 
 def quoted_segments(corpus: DataFrame, o: Options = Options()) -> DataFrame:
     """id, position, segment."""
-    rows = quotes.with_segments(scanned(corpus, o).select(o.order, o.text), o.text, o.normalization)
-    return rows.select(o.order, F.posexplode("segments").alias("position", "segment"))
+    return quotes.segment_rows(scanned(corpus, o).select(o.order, o.text), o.text, o.normalization)
 
 
 def quoted_word_counts(corpus: DataFrame, o: Options = Options()) -> DataFrame:
