@@ -64,3 +64,16 @@ def test_encoded_keeps_only_its_length(spark):
 
     rows = spark.createDataFrame([(1, "a b c")], "doc_id int, text string")
     assert mixture.encoded(rows, Asked(), length=5).select("input_ids").first()[0] == [3] * 5
+
+
+def test_common_parts_are_not_shuffled(spark):
+    """Whatever is broadcast, every text has the library's count; few distinct parts leave no rows for the join."""
+    texts = ["the cat and the dog " * 200, "the cat", "", None, "<|endoftext|> the", "q" * 500 + " the " + "q" * 500, *(f"the odd{i} cat" for i in range(50))]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    t, one = tokenization.Subword.load(public_tokenizers.path(NAMES[0])), Tokenizer.from_file(public_tokenizers.path(NAMES[0]))
+    want = {i: len(one.encode(x or "", add_special_tokens=False).ids) for i, x in enumerate(texts)}
+    for sent, share in ((1, 10_000), (20, 3), (200_000, 10_000)):
+        found = tokenization.corpus_token_counts(rows, t, sent=sent, share=share)
+        assert {r.doc_id: r.tokens for r in found.collect()} == want
+    plan = tokenization.corpus_token_counts(rows, t)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan  # texts are not cut again for the join
