@@ -31,7 +31,7 @@ import struct
 import uuid
 import zlib
 from functools import lru_cache
-from itertools import repeat
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ from .common import raw, shared_dir, written
 BLOCK, LANES, END = 2048, 2048, 2
 #: Bytes of text that a task codes (fewer where there are fewer for each core), and that it parses at a time; words that a
 #: worker keeps the ids of.
-PART, LEAST, CHUNK, KEPT = 256 << 20, 8 << 20, 6 << 20, 1_000_000
+PART, LEAST, CHUNK, KEPT = 256 << 20, 8 << 20, 12 << 20, 1_000_000
 _MAGIC = b"LFT2"
 #: Bits of a rank, of the order 0 frequencies, classes of a probability, and what a count grows by.
 _WIDE, _ZERO, _CLASSES, _STEP = 20, 22, 8, 24
@@ -59,12 +59,12 @@ def _class(share: np.ndarray) -> np.ndarray:
     return np.clip(1 + np.floor(-1.5 * np.log2(np.maximum(1 - share, 1e-9))), 1, _CLASSES - 1).astype(np.int64)
 
 
-def _shifted(ranks: np.ndarray, by: int) -> np.ndarray:
+def _shifted(ranks: np.ndarray, by: int, none: int = _NONE) -> np.ndarray:
     """The ranks before each one, none at the beginning of a block."""
-    out = np.full(len(ranks), _NONE, np.int64)
+    out = np.full(len(ranks), none, np.int64)
     out[by:] = ranks[:-by] if by < len(ranks) else ranks[:0]
     for k in range(by):
-        out[k::BLOCK] = _NONE
+        out[k::BLOCK] = none
     return out
 
 
@@ -97,29 +97,30 @@ class Model:
         room = (1 << _ZERO) - len(logs)
         ends = np.floor(np.cumsum(weights) / max(weights.sum(), 1e-300) * room).astype(np.int64) + np.arange(1, len(logs) + 1)
         self.cum = np.concatenate([[0], ends]).astype(np.uint64)
-        # order 1 by rank: first follower, second, class
+        # order 1 by rank: first follower, second, class, with room for order 2's follower before them
         context, first, second, cls = one
-        self.first = np.full(len(alphabet) + 1, _NONE << _WIDE | _NONE, np.int64)
-        self.first[context] = cls << 2 * _WIDE | second << _WIDE | first
+        self.first = np.full(len(alphabet) + 1, _NONE << 2 * _WIDE | _NONE << _WIDE, np.int64)
+        self.first[context] = cls << 3 * _WIDE | second << 2 * _WIDE | first << _WIDE
         # order 2 in slots: the pair, follower, class; pairs of one slot but the first were left out by the writer
         keys, follower, cls = two
         self.bits = max(8, int(4 * len(keys) + 1).bit_length())
         self.slots = np.full(1 << self.bits, -1, np.int64)
-        self.slots[self.slot(keys)] = follower << 3 | cls
+        self.slots[self.slot(keys)] = cls << _WIDE | follower
         self.tags = np.full(1 << self.bits, -1, np.int64)
         self.tags[self.slot(keys)] = keys
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (x >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (x >> np.uint64(64 - self.bits)).view(np.int64)
 
     def foreseen(self, p2: np.ndarray, p1: np.ndarray):
-        """What order 2 and order 1 foresee behind two ranks, and the place of the mixing counts."""
-        e = self.first.take(np.minimum(p1, len(self.alphabet)))
+        """What order 2 and order 1 (twice) foresee behind two ranks, in the three lowest fields of ``_WIDE`` bits, and the place of
+        the mixing counts. No rank is the size of the alphabet."""
+        e = self.first.take(p1)
         keys = p2 << _WIDE | p1
         at = self.slot(keys)
-        f = np.where(self.tags.take(at) == keys, self.slots.take(at), _NONE << 3)
-        return f >> 3, e & _NONE, e >> _WIDE & _NONE, (f & 7) * _CLASSES + (e >> 2 * _WIDE)
+        f = np.where(self.tags.take(at) == keys, self.slots.take(at), _NONE)
+        return e | f & _NONE, (f >> _WIDE) * _CLASSES + (e >> 3 * _WIDE)
 
     @classmethod
     def of(cls, ids: np.ndarray) -> tuple[Model, np.ndarray]:
@@ -183,11 +184,12 @@ class Model:
     def kinds(self, ranks: np.ndarray):
         """Which order foresees each rank (0: order 2, 1 and 2: order 1, 3: none), and the places of its counts."""
         kind, at = np.empty(len(ranks), np.uint8), np.empty(len(ranks), np.uint8)
-        p1, p2 = _shifted(ranks, 1), _shifted(ranks, 2)
+        p1, p2 = (_shifted(ranks, by, len(self.alphabet)) for by in (1, 2))
         for lo in range(0, len(ranks), 1 << 18):
             r = ranks[lo : lo + (1 << 18)]
-            two, one, other, c = self.foreseen(p2[lo : lo + len(r)], p1[lo : lo + len(r)])
-            kind[lo : lo + len(r)] = np.where(two == r, 0, np.where(one == r, 1, np.where(other == r, 2, 3)))
+            f, c = self.foreseen(p2[lo : lo + len(r)], p1[lo : lo + len(r)])
+            two, one, other = (f >> by & _NONE != r for by in (0, _WIDE, 2 * _WIDE))
+            kind[lo : lo + len(r)] = two.view(np.uint8) + (two & one) + (two & one & other)
             at[lo : lo + len(r)] = c
         return kind, at
 
@@ -238,31 +240,36 @@ def encode(model: Model, ranks: np.ndarray) -> list[bytes]:
     kind, at = model.kinds(ranks)
     model.start(kind, at)
     steps = int(size.max()) if n else 0
-    grid = lambda x, kind: np.ascontiguousarray(np.pad(x, (0, n * BLOCK - len(x))).reshape(n, BLOCK).T[:steps]).astype(kind)
-    shift, place, rank = grid(kind << 4, np.uint8), grid(at, np.uint8), grid(ranks, np.int32)
-    del kind, at
+    grid = lambda x, kind: np.ascontiguousarray(np.pad(x, (0, n * BLOCK - len(x))).reshape(n, BLOCK).T[:steps].astype(kind))
+    # what order 0 divides behind the mixing: all of the interval by one where another order foresees the id
+    rest, cum = kind == 3, model.cum.astype(np.uint32)
+    start, part = grid(np.where(rest, cum.take(ranks), np.uint32(0)), np.uint32), grid(np.where(rest, np.diff(cum).take(ranks), np.uint32(1)), np.uint32)
+    shift, place = grid(kind << 4, np.uint8), grid(at, np.uint8)
+    del kind, at, rest
+    zero = np.zeros(49, np.uint64)
+    zero[48] = _ZERO
     base = np.arange(n) * _CLASSES**2
     mix = np.tile(model.prior, n)
     low, width = np.zeros(n, np.uint64), np.full(n, (1 << 64) - 1, np.uint64)
-    stride = 2 * steps + 8  # an id narrows the interval to a 2**36th at most
-    out = np.zeros(n * stride, np.uint64)
-    pos = np.arange(n) * stride + 1  # a word in front takes the last carry
-    zero, cum = np.uint64(_ZERO), model.cum
-
-    def put(rows, lo, add, w):
-        lo = lo + add
-        over = np.flatnonzero(lo < add)  # a carry into the word before
+    # coded words of all blocks as they come, first one in front of each block that takes its last carry; their blocks, and the last of each
+    out, of = np.zeros(3 * n + 2 * len(ranks), np.uint64), np.zeros(3 * n + 2 * len(ranks), np.int32)
+    of[:n] = last = np.arange(n)
+    used = n
+
+    def put(lo, add, w):
+        nonlocal used
+        lo += add
+        over = (lo < add).nonzero()[0]  # a carry into the word before
         if len(over):
-            out[pos[over if rows is None else rows[over]] - 1] += np.uint64(1)
-        short = np.flatnonzero(w < _HALF)
+            out[last.take(over)] += np.uint64(1)
+        short = (w < _HALF).nonzero()[0]
         if len(short):
-            r, part = short if rows is None else rows.take(short), lo.take(short)
-            p = pos.take(r)
-            out[p] = part >> _WORD
-            pos[r] = p + 1
+            part, end = lo.take(short), used + len(short)
+            out[used:end], of[used:end] = part >> _WORD, short
+            last[short] = np.arange(used, end)
+            used = end
             lo[short] = part << _WORD
-            w[short] <<= _WORD
-        return lo, w
+            w[short] = w.take(short) << _WORD
 
     for t, m in enumerate(_lanes(size)):
         k = shift[t, :m]
@@ -270,26 +277,29 @@ def encode(model: Model, ranks: np.ndarray) -> list[bytes]:
         c = base[:m] + place[t, :m]
         q = mix.take(c)
         sums = q * _SUMS
-        end, own = sums >> move & _M16, q >> move & _M16
-        unit = width[:m] // (sums >> np.uint64(48))
-        low[:m], width[:m] = put(None, low[:m], unit * (end - own), unit * own)
+        own = q >> move & _M16
+        lo, w = low[:m], width[:m]
+        unit = w // (sums >> np.uint64(48))
+        np.multiply(unit, own, out=w)
+        put(lo, unit * ((sums - q >> move) & _M16), w)
         mix[c] = q + (np.uint64(_STEP) << move)
-        rest = np.flatnonzero(k == 48)
-        if len(rest):
-            r = rank[t].take(rest)
-            w = width.take(rest) >> zero
-            start = cum.take(r)
-            low[rest], width[rest] = put(rest, low.take(rest), w * start, w * (cum.take(r + 1) - start))
+        w >>= zero.take(k)
+        add = w * start[t, :m]
+        w *= part[t, :m]
+        put(lo, add, w)
         if t % 64 == 63:
             _fade(mix)
-    out[pos] = low >> _WORD
-    out[pos + 1] = low & np.uint64(0xFFFFFFFF)
-    out = out.reshape(n, stride) if n else out.reshape(0, 1)
-    used = pos - np.arange(n) * stride + 2
-    for j in range(int(used.max()) - 1 if n else 0, 0, -1):  # carries go left
-        out[:, j - 1] += out[:, j] >> _WORD
-    words = (out & np.uint64(0xFFFFFFFF)).astype("<u4")
-    return [words[k, 1 : used[k]].tobytes() for k in range(n)]
+    of = np.concatenate([of[:used], np.repeat(np.arange(n, dtype=np.int32), 2)])
+    out = np.concatenate([out[:used], np.stack([low >> _WORD, low & np.uint64(0xFFFFFFFF)], 1).ravel()])
+    out = out[np.argsort(of.astype(np.uint16) if n <= 1 << 16 else of, kind="stable")]
+    over = np.flatnonzero(out >> _WORD)
+    while len(over):  # carries go left
+        out[over] &= np.uint64(0xFFFFFFFF)
+        out[over - 1] += np.uint64(1)
+        over = over[out[over - 1] > 0xFFFFFFFF] - 1
+    ends = np.cumsum(np.bincount(of, minlength=n))
+    words = out.astype("<u4")
+    return [words[a + 1 : b].tobytes() for a, b in zip([0, *ends.tolist()], ends.tolist())]  # noqa: B905
 
 
 def decode(model: Model, data: list[bytes], size: np.ndarray) -> list[np.ndarray]:
@@ -298,58 +308,58 @@ def decode(model: Model, data: list[bytes], size: np.ndarray) -> list[np.ndarray
     if not n:
         return []
     stride = max(map(len, data)) // 4 + 4
-    words = np.zeros((n, stride), np.uint64)
+    words = np.zeros((n, stride), np.uint32)
     for k, d in enumerate(data):
         words[k, : len(d) // 4] = np.frombuffer(d, "<u4")
     flat = words.ravel()
-    code = words[:, 0] << _WORD | words[:, 1]
+    code = words[:, 0].astype(np.uint64) << _WORD | words[:, 1]
     width = np.full(n, (1 << 64) - 1, np.uint64)
     pos = np.arange(n) * stride + 2
     base = np.arange(n) * _CLASSES**2
     mix = np.tile(model.prior, n)
-    p1, p2 = np.full(n, _NONE, np.int64), np.full(n, _NONE, np.int64)
+    p1, p2 = (np.full(n, len(model.alphabet), np.int64) for _ in range(2))
     out = np.zeros((int(size.max()), n), np.uint32)
     zero, cum, last = np.uint64(_ZERO), model.cum, np.uint64((1 << _ZERO) - 1)
-    # the rank at each 1024th of the order 0 interval: a search begins there
-    coarse = np.searchsorted(cum, np.arange(1 << 12, dtype=np.uint64) << np.uint64(_ZERO - 12), side="right") - 1
+    # the rank at each 65,536th of the order 0 interval: a search begins there
+    coarse = (np.searchsorted(cum, np.arange(1 << 16, dtype=np.uint64) << np.uint64(_ZERO - 16), side="right") - 1).astype(np.int32)
+    by = np.arange(4) * 16
 
-    def take(rows, c, w):
-        short = np.flatnonzero(w < _HALF)
-        if len(short):
-            r = short if rows is None else rows.take(short)
-            p = pos.take(r)
-            c[short] = c.take(short) << _WORD | flat.take(p)
-            pos[r] = p + 1
-            w[short] <<= _WORD
-        return c, w
+    def take(c, w, short):
+        p = pos.take(short)
+        c[short] = c.take(short) << _WORD | flat.take(p)
+        pos[short] = p + 1
+        w[short] = w.take(short) << _WORD
 
     for t, m in enumerate(_lanes(size)):
-        two, one, other, at = model.foreseen(p2[:m], p1[:m])
-        c = base[:m] + at
+        x, c = model.foreseen(p2[:m], p1[:m])
+        c += base[:m]
         q = mix.take(c)
         sums = q * _SUMS
-        v = code[:m]
-        unit = width[:m] // (sums >> np.uint64(48))
-        k = (v >= unit * (sums & _M16)).astype(np.uint64)
-        k += v >= unit * (sums >> np.uint64(16) & _M16)
-        k += v >= unit * (sums >> np.uint64(32) & _M16)
-        move = k << np.uint64(4)
-        own = q >> move & _M16
-        code[:m], width[:m] = take(None, v - unit * ((sums >> move & _M16) - own), unit * own)
+        v, w = code[:m], width[:m]
+        unit = w // (sums >> np.uint64(48))
+        k = (v >= unit * (sums & _M16)).view(np.uint8) + (v >= unit * (sums >> np.uint64(16) & _M16)) + (v >= unit * (sums >> np.uint64(32) & _M16))
+        move = by.take(k).view(np.uint64)
+        np.multiply(unit, q >> move & _M16, out=w)
+        v -= unit * (sums - q >> move & _M16)
+        take(v, w, (w < _HALF).nonzero()[0])
         mix[c] = q + (np.uint64(_STEP) << move)
-        x = np.where(k == 0, two, np.where(k == 1, one, other))
-        rest = np.flatnonzero(k == 3)
+        x >>= k * np.uint8(_WIDE)
+        x &= _NONE
+        rest = (k == 3).nonzero()[0]
         if len(rest):
-            w = width.take(rest) >> zero
-            c = code.take(rest)
+            w, c = width.take(rest) >> zero, code.take(rest)
             v = np.minimum(c // w, last)
-            r = coarse.take((v >> np.uint64(_ZERO - 12)).astype(np.int64))
-            far = np.flatnonzero(cum.take(r + 1) <= v)
+            r = coarse.take((v >> np.uint64(_ZERO - 16)).view(np.int64))
+            end = cum.take(r + 1)
+            far = (end <= v).nonzero()[0]
             if len(far):
-                r[far] = np.searchsorted(cum, v.take(far), side="right") - 1
+                r[far] = found = np.searchsorted(cum, v.take(far), side="right") - 1
+                end[far] = cum.take(found + 1)
             start = cum.take(r)
-            code[rest], width[rest] = take(rest, c - w * start, w * (cum.take(r + 1) - start))
-            x[rest] = r
+            c -= w * start
+            w *= end - start
+            code[rest], width[rest], x[rest] = c, w, r
+            take(code, width, rest.take((w < _HALF).nonzero()[0]))
         out[t, :m] = x
         p2[:m], p1[:m] = p1[:m], x
         if t % 64 == 63:
@@ -403,14 +413,14 @@ class Merges:
         ids = np.array([(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs], np.int64).reshape(-1, 3)
         keys = ids[:, 0] << 32 | ids[:, 1]
         self.bits = max(10, (8 * len(keys)).bit_length())
-        self.keys, self.rank, self.made = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64), np.zeros(1 << self.bits, np.int64)
+        self.keys, self.rank, self.made_by = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64), ids[:, 2].copy()
         left, slot = np.arange(len(keys)), self._slot(keys)
         while len(left):  # the next free slot for what finds its own taken
             free = self.keys[slot] == -1
             _, first = np.unique(np.where(free, slot, -1 - np.arange(len(slot))), return_index=True)
             first = first[free[first]]
             at, k = slot[first], left[first]
-            self.keys[at], self.rank[at], self.made[at] = keys[k], k, ids[k, 2]
+            self.keys[at], self.rank[at] = keys[k], k
             rest = np.ones(len(left), bool)
             rest[first] = False
             left, slot = left[rest], (slot[rest] + 1) & (1 << self.bits) - 1
@@ -432,49 +442,78 @@ class Merges:
         return out
 
     def run(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The symbols left of each word (given one word after the other, with their sizes), and the new sizes."""
-        unit = np.arange(len(sizes))
-        done: list[tuple] = []
-        while len(unit):
-            ends = np.cumsum(sizes)
-            slot = np.full(len(symbols), -1, np.int64)
-            slot[:-1] = self.find(symbols[:-1] << 32 | symbols[1:])
-            slot[ends - 1] = -1
-            rank = np.where(slot >= 0, self.rank.take(slot), np.int64(1 << 40)) << 20 | np.arange(len(slot)) - np.repeat(ends - sizes, sizes)
-            best = np.minimum.reduceat(rank, ends - sizes)
-            more = best < 1 << 60
-            if not more.all():
-                flags = np.repeat(more, sizes)
-                done.append((unit[~more], sizes[~more], symbols[~flags]))
-                unit, best = unit[more], best[more]
-                symbols, slot, sizes = symbols[flags], slot[flags], sizes[more]
-                if not len(unit):
-                    break
-                ends = np.cumsum(sizes)
-            at = ends - sizes + (best & (1 << 20) - 1)
-            symbols[at] = self.made.take(slot[at])
-            keep = np.ones(len(symbols), bool)
-            keep[at + 1] = False
-            symbols, sizes = symbols[keep], sizes - 1
-        units, counts, parts = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 3
-        order = np.argsort(units)
-        begin = (np.cumsum(counts) - counts)[order]
-        counts = counts[order]
-        return parts[np.arange(counts.sum()) + np.repeat(begin - np.cumsum(counts) + counts, counts)], counts
-
-
-#: Bytes of a part of a word that merges run over; longer words are the library's.
-_LONG = 48
+        """The symbols left of each word (given one word after the other, with their sizes, at most ``_LONG``), and the new sizes."""
+        begin, counts = np.cumsum(sizes) - sizes, np.zeros(len(sizes), np.int64)
+        parts, units = [], []
+        for low, high in pairwise((0, *_WIDTHS)):  # words of similar sizes together
+            unit = np.flatnonzero((sizes > low) & (sizes <= high))
+            for k in range(0, len(unit), _TOGETHER):
+                u = unit[k : k + _TOGETHER]
+                part, counts[u] = self._columns(symbols, begin[u], sizes[u], high)
+                parts.append(part)
+                units.append(u)
+        if not parts:
+            return np.zeros(0, np.int64), counts
+        unit = np.concatenate(units)
+        held = counts[unit]
+        out = np.empty(int(held.sum()), np.int64)
+        out[np.repeat((np.cumsum(counts) - counts)[unit] - np.cumsum(held) + held, held) + np.arange(len(out))] = np.concatenate(parts)
+        return out, counts
+
+    def _columns(self, symbols: np.ndarray, begin: np.ndarray, sizes: np.ndarray, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """run() for words of at most ``high`` symbols, each a column: a row for each place and one of no symbol behind. A place
+        knows the places of the symbols left before and behind it, and the rank of the pair that begins there."""
+        n, none = np.int64(len(begin)), (1 << 31) - 1
+        row = np.arange(high + 1)[:, None]
+        held = np.where(row < sizes, symbols.take(np.minimum(begin + row, len(symbols) - 1)), none)
+        order = np.full((high + 1, n), _NEVER)
+        order[:-1] = self._order(held[:-1].ravel(), held[1:].ravel(), np.repeat(np.arange(high), n)).reshape(high, n)
+        before, behind = np.repeat((row - 1).astype(np.int8), n, 1), np.repeat((row + 1).astype(np.int8), n, 1)
+        before[0] = high
+        held, order, before, behind = (x.ravel() for x in (held, order, before, behind))
+        column = np.arange(n)
+        while len(column):
+            best = order.reshape(high + 1, n)[:high].min(0) if len(column) == n else order.reshape(high + 1, n)[:high].take(column, 1).min(0)
+            more = (best != _NEVER).nonzero()[0]
+            column, best = column.take(more), best.take(more)
+            place = best & 63
+            at, made = place * n + column, self.made_by.take(best >> 6)
+            gone = behind.take(at) * n + column
+            after = behind.take(gone)
+            held[at], held[gone], order[gone] = made, none, _NEVER
+            behind[at] = after
+            far = after * n + column
+            before[far] = place
+            order[at] = self._order(made, held.take(far), place)
+            place = before.take(at).astype(np.int64)
+            near = place * n + column
+            order[near] = np.where(place == high, _NEVER, self._order(held.take(near), made, place))
+        held = held.reshape(high + 1, n)[:high].T
+        left = held != none
+        return held[left], left.sum(1)
+
+    def _order(self, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which pair comes first: by its merge, then by its place; none if it is no merge."""
+        slot = self.find(left << 32 | right)
+        return np.where(slot >= 0, self.rank.take(slot) << 6 | place, _NEVER)
+
+
+#: Bytes of a word that merges run over; longer words are the library's. Rows of columns of words, and how many at a time.
+_LONG, _TOGETHER = 48, 1 << 14
+_WIDTHS = (1, 4, 6, 8, 10, 12, 16, 24, _LONG)
+_NEVER = 1 << 62
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
-_MARK = np.array([chr(b) in ".,;:!?" for b in range(256)])
+_DIGIT = np.array([48 <= b <= 57 for b in range(256)])
+#: Printable ASCII but what may begin a contraction or a token of its own.
+_MARK = np.array([33 <= b <= 126 and chr(b) not in "'<" for b in range(256)]) & ~_LETTER & ~_DIGIT
 #: Second bytes of the letters from U+00C0 to U+00FF.
 _SECOND = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
 
 
 class Encoder:
     """Ids of texts under a tokenizer that drops white space: those of the parts between it, one after the other. Simple
-    words (letters to U+00FF, and marks behind them), which every step of the tokenizer leaves whole but for case, are
-    encoded by the merges alone, many at a time; all others by the library."""
+    words (letters to U+00FF, digits and marks), which every step of the tokenizer leaves whole but for case, or cuts into
+    runs of letters, runs of marks, and digits, are encoded by the merges alone, many at a time; all others by the library."""
 
     def __init__(self, path: str):
         import os
@@ -489,10 +528,10 @@ class Encoder:
                 raise ValueError("this tokenizer keeps white space")
         self._forget()
         self.short = False
-        sample = ["Wort,", "\u00c9t\u00e9!!", "na\u00efve", "ABC.", "stra\u00dfe;:", "a", "\u00ff?", "The", "internationalisation..."]
+        sample = ["Wort,", "\u00c9t\u00e9!!", "na\u00efve", "ABC.", "stra\u00dfe;:", "a", "\u00ff?", "The", "internationalisation...", "x86_64", "(a+b)|2024--", "``q\"s\"", "\u00c0B\u00e9#$%&*/=>@[\\]^{}~"]
         try:
             self._prepare()
-            simple, ids, counts = self._merged([w.encode() for w in sample])
+            simple, ids, counts = self._merged(pa.array(sample).cast(pa.binary()))
             ends = np.cumsum(counts)
             found = [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)]
             # if a sample differs, the short way is shut
@@ -508,48 +547,43 @@ class Encoder:
                 shown.update(zip(chr(c).encode(), self.model.pre_tokenizer.pre_tokenize_str(chr(c))[0][0], strict=True))
         self.inner, self.final = np.full(256, -1, np.int64), np.full(256, -1, np.int64)
         for b, c in shown.items():
-            self.inner[b], self.final[b] = self.merges.vocab.get(c, -1), self.merges.vocab.get(c + self.merges.suffix, -1)
+            self.inner[b], self.final[b] = self.merges.vocab[c], self.merges.vocab[c + self.merges.suffix]
 
-    def _merged(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _merged(self, words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which words are simple, and the ids of these, one word after the other, with their numbers."""
-        sizes = np.array([len(w) for w in words], np.int64)
-        data = np.frombuffer(b"".join(words), np.uint8)
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
+        ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        sizes, starts = np.diff(ends), ends[:-1] - ends[0]
         head = np.zeros(len(data), bool)
         head[starts] = True
-        before, after = np.roll(data, 1), np.roll(data, -1)
-        second = (before == 0xC3) & ~head & _SECOND[data]
-        first = (data == 0xC3) & _SECOND[after] & ~np.roll(head, -1)
-        mark = _MARK[data]
-        bad = ~(_LETTER[data] | first | second | mark) | mark & head | _MARK[before] & ~head & ~mark
-        simple = ~np.logical_or.reduceat(bad, starts) & (sizes <= _LONG)
+        second = (np.roll(data, 1) == 0xC3) & ~head & _SECOND[data]
+        letter = _LETTER[data] | second | (data == 0xC3) & _SECOND[np.roll(data, -1)] & ~np.roll(head, -1)
+        mark, digit = _MARK[data], _DIGIT[data]
+        simple = np.logical_and.reduceat(letter | mark | digit, starts) & (sizes <= _LONG)
         use = np.repeat(simple, sizes)
-        low = data + np.where((data >= 65) & (data <= 90) | second & (data < 0x9F), 32, 0).astype(np.uint8)
-        low, mark, head, after_mark = low[use], mark[use], head[use], _MARK[before][use]
-        # a word is one or two units: its letters, its marks
-        begin = np.flatnonzero(head | mark & ~after_mark)
+        low = (data + np.where((data >= 65) & (data <= 90) | second & (data < 0x9F), np.uint8(32), np.uint8(0)))[use]
+        mark, digit, head = mark[use], digit[use], head[use]
+        # a word's units: its runs of letters or of marks, and its digits
+        begin = np.flatnonzero(head | digit | np.roll(digit, 1) | (mark != np.roll(mark, 1)))
         units = np.diff(np.append(begin, len(low)))
         symbols = self.inner[low]
-        if len(units):
-            last = begin + units - 1
-            symbols[last] = self.final[low[last]]
-        if (symbols < 0).any():
-            raise ValueError("a byte without a symbol")
+        if not len(units):
+            return simple, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        last = begin + units - 1
+        symbols[last] = self.final[low[last]]
         ids, counts = self.merges.run(symbols, units)
-        return simple, ids, np.add.reduceat(counts, np.flatnonzero(head[begin])) if len(units) else counts
+        return simple, ids, np.add.reduceat(counts, np.flatnonzero(head[begin]))
 
     def _forget(self) -> None:
-        """No words known: their numbers, and by number where their ids are and how many."""
-        self.known: dict[bytes, int] = {b"": 0}
-        self.begin, self.count, self.flat, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32), 0
+        """No words known; else, by the number of a word: where its ids are and how many."""
+        self.known = pa.array([b""], pa.binary())
+        self.begin, self.count, self.flat, self.used = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), np.zeros(1 << 14, np.uint32), 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Encodes words that aren't known."""
+    def _learn(self, words: pa.BinaryArray) -> None:
+        """Encodes words that aren't known: their numbers follow."""
         simple, ids, counts = self._merged(words) if self.short else (np.zeros(len(words), bool), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        new = [w for w, easy in zip(words, simple.tolist(), strict=True) if easy]
-        hard = [w for w, easy in zip(words, simple.tolist(), strict=True) if not easy]
-        found = [e.ids for e in self.model.encode_batch_fast([w.decode() for w in hard], add_special_tokens=False)]
+        hard = np.flatnonzero(~simple)
+        found = [e.ids for e in self.model.encode_batch_fast([w.decode() for w in raw(words.take(pa.array(hard)))], add_special_tokens=False)]
         ids = np.concatenate([ids, np.array([i for x in found for i in x], np.int64)]).astype(np.uint32)
         counts = np.concatenate([counts, np.array([len(x) for x in found], np.int64)])
         first, last = len(self.known), len(self.known) + len(counts)
@@ -558,30 +592,27 @@ class Encoder:
             self.begin, self.count = (np.resize(x, grow) for x in (self.begin, self.count))
         if self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, max(self.used + len(ids), 2 * len(self.flat)))
-        self.begin[first:last], self.count[first:last] = self.used + np.cumsum(counts) - counts, counts
+        number = first + np.concatenate([np.flatnonzero(simple), hard])
+        self.begin[number], self.count[number] = self.used + np.cumsum(counts) - counts, counts
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
-        self.known.update(zip(new + hard, range(first, last)))
 
     def ids(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of an Arrow column of texts, one text after the other, and how many each text has."""
         import pyarrow.compute as pc
 
         parts = pc.ascii_split_whitespace(texts)
-        words = pc.list_flatten(parts).dictionary_encode()
-        distinct = raw(words.dictionary)
-        if len(self.known) > KEPT:
+        if len(self.known) > KEPT or self.used > 8 * KEPT:
             self._forget()
-        known = self.known
-        of = np.fromiter(map(known.get, distinct, repeat(-1)), np.int64, len(distinct))
-        new = np.flatnonzero(of < 0)
-        if len(new):
-            self._learn([distinct[i] for i in new.tolist()])
-            of[new] = np.fromiter(map(known.__getitem__, map(distinct.__getitem__, new.tolist())), np.int64, len(new))
+        # numbered behind the known words, which keep their numbers
+        words = pa.chunked_array([self.known, pc.list_flatten(parts).cast(pa.binary())]).dictionary_encode().chunk(1)
+        if len(words.dictionary) > len(self.known):
+            self._learn(words.dictionary.slice(len(self.known)))
+            self.known = words.dictionary
         at = words.indices.to_numpy()
-        n = self.count[of].astype(np.int32)[at]
+        n = self.count.take(at)
         ends = np.cumsum(n, dtype=np.int32)  # a slice has far fewer ids than 2**31
-        out = self.flat.take(np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(self.begin[of].astype(np.int32)[at] - ends + n, n))
+        out = self.flat.take(np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(self.begin.take(at) - ends + n, n))
         upto = np.concatenate([[0], ends]).astype(np.int64)[np.cumsum(pc.list_value_length(parts).to_numpy())]
         return out, np.diff(upto, prepend=0)
 

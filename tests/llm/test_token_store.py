@@ -114,3 +114,31 @@ def test_parts_between_white_space_against_whole_texts():
     for _ in range(3000):
         text = "".join(rnd.choice(letters) for _ in range(rnd.randrange(0, 14))) + rnd.choice(["", "<|endoftext|>"])
         assert encoder.ids(pa.array([text]))[0].tolist() == encoder.model.encode(text, add_special_tokens=False).ids
+
+
+def test_simple_words_are_not_taken_one_by_one(monkeypatch):
+    """Neither made Python's nor given to the library: marks, digits, and words met before, in later texts too."""
+    encoder = token_store.Encoder(queries.tokenizer("word_bpe_49k.json"))
+    texts = ["geie*** (der&&& x86_64 a-b", "", "geie*** $3.14 \"Straße\" {[#%]}", "der&&& geie***"]
+    want = [encoder.model.encode(t, add_special_tokens=False).ids for t in texts]
+    taken = []
+    monkeypatch.setattr(token_store, "raw", lambda column, made=token_store.raw: taken.extend(made(column)) or made(column))
+    for _ in range(2):
+        for t, w in zip(texts, want, strict=True):
+            assert encoder.ids(pa.array([t]))[0].tolist() == w
+    assert taken == []
+    assert encoder.ids(pa.array(["don't der&&&"]))[0].tolist() == encoder.model.encode("don't der&&&", add_special_tokens=False).ids
+    assert taken == [b"don't"]
+
+
+def test_words_of_all_sizes_and_forgotten_ones(monkeypatch):
+    import random
+
+    rnd, encoder = random.Random(5), token_store.Encoder(queries.tokenizer("word_bpe_49k.json"))
+    monkeypatch.setattr(token_store, "KEPT", 50)
+    monkeypatch.setattr(token_store, "_TOGETHER", 7)
+    for _ in range(20):
+        texts = [" ".join("".join(rnd.choice(rnd.choice(("etaoinSR", "éÜß", "#*$%&|>-_.", "0123456789"))) for _ in range(rnd.randrange(60))) for _ in range(40)) for _ in range(5)]
+        ids, counts = encoder.ids(pa.array(texts))
+        want = [e.ids for e in encoder.model.encode_batch(texts, add_special_tokens=False)]
+        assert counts.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
