@@ -49,6 +49,7 @@ _MAGIC = b"LFT2"
 #: Bits of a rank, of the order 0 frequencies, classes of a probability, and what a count grows by.
 _WIDE, _ZERO, _CLASSES, _STEP = 20, 22, 8, 24
 _NONE = (1 << _WIDE) - 1
+_TILE = 16
 _M16 = np.uint64(0xFFFF)
 _SUMS = np.uint64(0x0001_0001_0001_0001)
 _HALF, _WORD = np.uint64(1 << 32), np.uint64(32)
@@ -59,7 +60,15 @@ def _class(share: np.ndarray) -> np.ndarray:
     return np.clip(1 + np.floor(-1.5 * np.log2(np.maximum(1 - share, 1e-9))), 1, _CLASSES - 1).astype(np.int64)
 
 
-def _shifted(ranks: np.ndarray, by: int, none: int = _NONE) -> np.ndarray:
+def _turned(rows: np.ndarray) -> np.ndarray:
+    """Rows as columns, by tiles that a core's cache holds."""
+    out = np.empty(rows.shape[::-1], rows.dtype)
+    for k in range(0, len(rows), _TILE):
+        out[:, k : k + _TILE] = rows[k : k + _TILE].T
+    return out
+
+
+def _shifted(ranks: np.ndarray, by: int, none: int) -> np.ndarray:
     """The ranks before each one, none at the beginning of a block."""
     out = np.full(len(ranks), none, np.int64)
     out[by:] = ranks[:-by] if by < len(ranks) else ranks[:0]
@@ -68,9 +77,19 @@ def _shifted(ranks: np.ndarray, by: int, none: int = _NONE) -> np.ndarray:
     return out
 
 
-def _followers(context: np.ndarray, ranks: np.ndarray):
+def _pairs(ranks: np.ndarray, by: int) -> np.ndarray:
+    """The ranks, each with as many as ``by`` before it in the higher bits, where a block has them."""
+    pairs = ranks.astype(np.int64)
+    for k in range(1, by + 1):
+        pairs[k:] |= ranks[:-k].astype(np.int64) << k * _WIDE
+    there = np.ones(len(ranks), bool)
+    for k in range(by):
+        there[k::BLOCK] = False
+    return pairs[there]
+
+
+def _followers(pairs: np.ndarray):
     """Of (context, follower) pairs: contexts, totals, and the first and second follower with their counts."""
-    pairs = context << _WIDE | ranks
     if not len(pairs):
         return (pairs, pairs, (pairs, pairs), (pairs, pairs))
     pairs.sort()
@@ -137,20 +156,18 @@ class Model:
         order = np.lexsort((alphabet, -logs))
         alphabet, logs, counts = alphabet[order].astype(np.int64), logs[order], counts[order]
         if len(ids) and int(alphabet.max()) < 1 << 22:
-            place = np.zeros(int(alphabet.max()) + 1, np.int64)
+            place = np.zeros(int(alphabet.max()) + 1, np.int32)
             place[alphabet] = np.arange(len(alphabet))
             ranks = place[ids]
         else:
             sorted_ = np.argsort(alphabet)
-            ranks = sorted_[np.searchsorted(alphabet, ids, sorter=sorted_)] if len(ids) else np.zeros(0, np.int64)
+            ranks = sorted_[np.searchsorted(alphabet, ids, sorter=sorted_)].astype(np.int32) if len(ids) else np.zeros(0, np.int32)
         none = (np.zeros(0, np.int64),) * 4
         if not len(ids):
             return cls(alphabet, logs, none, none[:3], np.full(_CLASSES**2, int(_SUMS) << 4, np.uint64)), ranks
-        p1, p2 = _shifted(ranks, 1), _shifted(ranks, 2)
         cost0 = -np.log2(counts / counts.sum())
         # order 1: a follower is worth its place if it saves more than some 32 bits
-        has = p1 != _NONE
-        context, total, (f, n), (g, m) = _followers(p1[has], ranks[has])
+        context, total, (f, n), (g, m) = _followers(_pairs(ranks, 1))
         if len(context):
             keep = n * (cost0[f] + np.log2(n / total)) > 32
             g = np.where(m * (cost0[np.minimum(g, len(cost0) - 1)] + np.log2(np.maximum(m, 1) / total)) > 24, g, _NONE)
@@ -161,8 +178,7 @@ class Model:
         first1 = np.full(len(alphabet) + 1, _NONE, np.int64)
         share1[one[0]], first1[one[0]] = (n / total)[keep] if len(context) else 0, one[1]
         # order 2: where it saves more than some 48 bits against order 1 and order 0
-        has = p2 != _NONE
-        context, total, (f, n), _ = _followers((p2 << _WIDE | p1)[has], ranks[has])
+        context, total, (f, n), _ = _followers(_pairs(ranks, 2))
         before = context & _NONE
         known = np.where(first1[before] == f, share1[before], 0)
         cost = np.minimum(cost0[f], -np.log2(np.maximum(known, 1e-9)) + 0.3)
@@ -182,16 +198,20 @@ class Model:
         return model, ranks
 
     def kinds(self, ranks: np.ndarray):
-        """Which order foresees each rank (0: order 2, 1 and 2: order 1, 3: none), and the places of its counts."""
-        kind, at = np.empty(len(ranks), np.uint8), np.empty(len(ranks), np.uint8)
-        p1, p2 = (_shifted(ranks, by, len(self.alphabet)) for by in (1, 2))
-        for lo in range(0, len(ranks), 1 << 18):
-            r = ranks[lo : lo + (1 << 18)]
-            f, c = self.foreseen(p2[lo : lo + len(r)], p1[lo : lo + len(r)])
+        """Which order foresees each rank (0: order 2, 1 and 2: order 1, 3: none), the places of its counts, and where its part of
+        order 0's interval begins and how wide it is; all of an interval of one where another order foresees it."""
+        kind, at, start, part = (np.empty(len(ranks), kind) for kind in (np.uint8, np.uint8, np.uint32, np.uint32))
+        cum = self.cum.astype(np.uint32)
+        wide = np.diff(cum)
+        step = BLOCK * max(1, (1 << 17) // BLOCK)
+        for lo in range(0, len(ranks), step):  # whole blocks
+            r, here = ranks[lo : lo + step].astype(np.int64), slice(lo, lo + step)
+            f, at[here] = self.foreseen(*(_shifted(r, by, len(self.alphabet)) for by in (2, 1)))
             two, one, other = (f >> by & _NONE != r for by in (0, _WIDE, 2 * _WIDE))
-            kind[lo : lo + len(r)] = two.view(np.uint8) + (two & one) + (two & one & other)
-            at[lo : lo + len(r)] = c
-        return kind, at
+            rest = two & one & other
+            kind[here] = two.view(np.uint8) + (two & one) + rest
+            start[here], part[here] = np.where(rest, cum.take(r), np.uint32(0)), np.where(rest, wide.take(r), np.uint32(1))
+        return kind, at, start, part
 
     def start(self, kind: np.ndarray, at: np.ndarray) -> None:
         """The counts that the mixing of every block starts from: the frame's, scaled down."""
@@ -237,15 +257,12 @@ def encode(model: Model, ranks: np.ndarray) -> list[bytes]:
     """The coded bytes of each block of a frame's ranks."""
     n = -(-len(ranks) // BLOCK)
     size = np.minimum(BLOCK, len(ranks) - BLOCK * np.arange(n))
-    kind, at = model.kinds(ranks)
+    kind, at, start, part = model.kinds(ranks)
     model.start(kind, at)
     steps = int(size.max()) if n else 0
-    grid = lambda x, kind: np.ascontiguousarray(np.pad(x, (0, n * BLOCK - len(x))).reshape(n, BLOCK).T[:steps].astype(kind))
-    # what order 0 divides behind the mixing: all of the interval by one where another order foresees the id
-    rest, cum = kind == 3, model.cum.astype(np.uint32)
-    start, part = grid(np.where(rest, cum.take(ranks), np.uint32(0)), np.uint32), grid(np.where(rest, np.diff(cum).take(ranks), np.uint32(1)), np.uint32)
-    shift, place = grid(kind << 4, np.uint8), grid(at, np.uint8)
-    del kind, at, rest
+    grid = lambda x: _turned((x if len(x) == n * BLOCK else np.pad(x, (0, n * BLOCK - len(x)))).reshape(n, BLOCK)[:, :steps])
+    shift, place, start, part = grid(kind << 4), grid(at), grid(start), grid(part)
+    del kind, at
     zero = np.zeros(49, np.uint64)
     zero[48] = _ZERO
     base = np.arange(n) * _CLASSES**2
@@ -364,7 +381,7 @@ def decode(model: Model, data: list[bytes], size: np.ndarray) -> list[np.ndarray
         p2[:m], p1[:m] = p1[:m], x
         if t % 64 == 63:
             _fade(mix)
-    return [out[: size[k], k] for k in range(n)]
+    return [ranks[:m] for ranks, m in zip(_turned(out), size.tolist(), strict=True)]
 
 
 def frame(lengths: np.ndarray, ids: np.ndarray) -> bytes:
