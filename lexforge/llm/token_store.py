@@ -135,7 +135,7 @@ class Model:
     def foreseen(self, p2: np.ndarray, p1: np.ndarray):
         """What order 2 and order 1 (twice) foresee behind two ranks, in the three lowest fields of ``_WIDE`` bits, and the place of
         the mixing counts. No rank is the size of the alphabet."""
-        e = self.first.take(p1)
+        e = self.first.take(p1, mode="clip")  # a damaged block has ranks of no id
         keys = p2 << _WIDE | p1
         at = self.slot(keys)
         f = np.where(self.tags.take(at) == keys, self.slots.take(at), _NONE)
@@ -343,7 +343,7 @@ def decode(model: Model, data: list[bytes], size: np.ndarray) -> list[np.ndarray
 
     def take(c, w, short):
         p = pos.take(short)
-        c[short] = c.take(short) << _WORD | flat.take(p)
+        c[short] = c.take(short) << _WORD | flat.take(p, mode="clip")
         pos[short] = p + 1
         w[short] = w.take(short) << _WORD
 
@@ -367,10 +367,10 @@ def decode(model: Model, data: list[bytes], size: np.ndarray) -> list[np.ndarray
             w, c = width.take(rest) >> zero, code.take(rest)
             v = np.minimum(c // w, last)
             r = coarse.take((v >> np.uint64(_ZERO - 16)).view(np.int64))
-            end = cum.take(r + 1)
+            end = cum.take(r + 1, mode="clip")
             far = (end <= v).nonzero()[0]
             if len(far):
-                r[far] = found = np.searchsorted(cum, v.take(far), side="right") - 1
+                r[far] = found = np.minimum(np.searchsorted(cum, v.take(far), side="right") - 1, len(cum) - 2)
                 end[far] = cum.take(found + 1)
             start = cum.take(r)
             c -= w * start

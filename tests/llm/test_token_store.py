@@ -70,6 +70,23 @@ def test_damage_is_seen():
         token_store.unframe(bytes(bad))
 
 
+def test_any_damage_of_a_block_is_seen(monkeypatch):
+    monkeypatch.setattr(token_store, "BLOCK", 256)
+    rng = np.random.default_rng(3)
+    for ids in (rng.zipf(1.3, 9000) % 500, np.arange(9000) % 50, rng.integers(0, 3000, 9000), np.full(9000, 7)):
+        data = token_store.frame(np.array([9000]), ids.astype(np.uint32))
+        n, total, index, held = np.frombuffer(data, "<u4", 6, 8)[[0, 1, 3, 4]].tolist()
+        coded = 28 + index + held + 8 * n
+        assert total == 9000 and coded < len(data)
+        for at in (*range(coded, coded + 8), *rng.integers(coded, len(data) - 8, 40).tolist()):
+            bad = bytearray(data)
+            bad[at] ^= int(rng.integers(1, 256))
+            try:
+                assert (token_store.unframe(bytes(bad))[1] == ids).all()  # the last bits of a block may say nothing
+            except ValueError as e:
+                assert "damaged" in str(e)
+
+
 def test_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted((tuple(r) for r in queries.op5_token_store(spark, sf).collect()), key=str)
